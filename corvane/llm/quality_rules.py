@@ -46,7 +46,7 @@ RULES = (
     Rule("symbol_ratio", most=0.10),
     Rule("letter_word_ratio", least=0.70),
     Rule("stop_word_ratio", least=0.02),
-    Rule("dup_line_ratio", most=0.30),
+    Rule("dup_line_ratio", most=0.50),
     Rule("bullet_line_ratio", most=0.90),
     Rule("ellipsis_line_ratio", most=0.30),
     Rule("repeat_word_ratio", most=0.50),
