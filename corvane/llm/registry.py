@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, sharding
+from . import mixing, piece_codec, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": sharding.query,
     "op4_quality_rules": quality_rules.query,
+    "op5_piece_codec": piece_codec.query,
     "op10_mixing": mixing.query,
 }
 
