@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, piece_codec, quality_rules, sharding
+from . import mixing, piece_codec, quality_rules, sharding, token_counts, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": sharding.query,
     "op4_quality_rules": quality_rules.query,
     "op5_piece_codec": piece_codec.query,
+    "op8_token_counts": token_counts.query,
+    "op9_transport_stream": transport_stream.query,
     "op10_mixing": mixing.query,
 }
 
