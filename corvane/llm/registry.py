@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_model, mixing, piece_codec, quality_rules, sharding, token_counts, transport_stream
+from . import language_model, mixing, piece_codec, quality_rules, sharding, simhash, token_counts, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": sharding.query,
     "op4_quality_rules": quality_rules.query,
     "op5_piece_codec": piece_codec.query,
+    "op6_simhash": simhash.query,
     "op7_language_model": language_model.query,
     "op8_token_counts": token_counts.query,
     "op9_transport_stream": transport_stream.query,
