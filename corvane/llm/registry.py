@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_model, mixing, piece_codec, quality_rules, sharding, simhash, token_counts, transport_stream
+from . import langid, language_model, mixing, piece_codec, quality_rules, sharding, simhash, token_counts, toxicity, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.query,
     "op2_sharding": sharding.query,
+    "op3_langid": langid.query,
     "op4_quality_rules": quality_rules.query,
     "op5_piece_codec": piece_codec.query,
     "op6_simhash": simhash.query,
