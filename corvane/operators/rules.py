@@ -33,7 +33,7 @@ def clauses() -> dict[str, Column]:
         "consent_invalid": _false("ag_consent_sig_valid"),
         "kya_unregistered": ~F.coalesce(c("ag_kya_registered"), F.lit(False)),
         "mandate_missing": F.coalesce(c("ag_mandate_type"), F.lit("none")) == "none",
-        "provenance_mismatch": slug.isNotNull() & ~c("merchant_id").endswith(slug),
+        "provenance_mismatch": slug.isNotNull() & ~F.lower("merchant_id").endswith(slug),
     }
     return {k: F.coalesce(c("ag_agent_id").isNotNull() & v, F.lit(False)) for k, v in out.items()}
 

@@ -300,7 +300,7 @@ def auc_roc_pr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "recall_curve",
-    f"""{SC}, r(rate) AS (VALUES (0.001::DOUBLE), (0.005::DOUBLE), (0.01::DOUBLE)), th AS (SELECT 0.001::DOUBLE AS rate, quantile_cont(score, 0.999) AS threshold FROM sc WHERE NOT fraud UNION ALL SELECT 0.005, quantile_cont(score, 0.995) FROM sc WHERE NOT fraud UNION ALL SELECT 0.01, quantile_cont(score, 0.99) FROM sc WHERE NOT fraud)
+    f"""{SC}, r(rate) AS (VALUES (0.001::DOUBLE), (0.005::DOUBLE), (0.01::DOUBLE)), th AS (SELECT 0.001::DOUBLE AS rate, CASE WHEN count(*) < 1000 THEN 'inf'::DOUBLE ELSE quantile_cont(score, 0.999) END AS threshold FROM sc WHERE NOT fraud UNION ALL SELECT 0.005, CASE WHEN count(*) < 200 THEN 'inf'::DOUBLE ELSE quantile_cont(score, 0.995) END FROM sc WHERE NOT fraud UNION ALL SELECT 0.01, CASE WHEN count(*) < 100 THEN 'inf'::DOUBLE ELSE quantile_cont(score, 0.99) END FROM sc WHERE NOT fraud)
     SELECT rate, round(threshold, 6) AS threshold, (count(*) FILTER (fraud AND score >= threshold))::DOUBLE / count(*) FILTER (fraud) AS recall, (count(*) FILTER (NOT fraud AND score >= threshold))::DOUBLE / count(*) FILTER (NOT fraud) AS realised_fpr FROM sc, th GROUP BY rate, threshold""",
 )
 def recall_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
