@@ -14,7 +14,7 @@ carried to greater distances by the bits' frequencies, and each signature to be
 written costs too.  A probe writes a fingerprint's part and all values within the
 threshold; rows with one value meet and are verified.
 
-Groups that share a value are never collected beyond ``GROUP`` rows.  Larger ones
+Groups that share a value are never collected beyond ``GROUP`` squared pairs.  Larger ones
 go another exact way: for two bits, fingerprints are linked through the
 values one bit away from them (two fingerprints share such a value just if they
 differ in two bits or fewer), which is linear; for other distances they are cut into
@@ -44,12 +44,12 @@ from .piece_codec import ranges
 
 BITS = 64
 SEED = 42
-#: Rows of one part value that a task takes together.
+#: A task takes the rows of one part value together if they make at most the square of this many pairs.
 GROUP = 4096
 #: Cost of writing and shuffling one signature, in candidate checks.
 SIGNATURE_COST = 40
-#: Pairs verified at a time in a task.
-PAIRS = 1 << 21
+#: Pairs verified at a time in a task, and pairs from which a group is compared as a table.
+PAIRS, WIDE = 1 << 21, 1 << 12
 #: Ids of fingerprints that only rows without an id have.
 NO_ID = 1 << 62
 
@@ -244,10 +244,30 @@ def _verify(most_bits: int, check_bits: int | None):
             ids, fp, fp2 = (np.empty(len(place_d) + len(place_q), np.int64) for _ in range(3))
             for to, d, q in zip((ids, fp, fp2), own, probes, strict=True):
                 to[place_d], to[place_q] = d, q
-            left = place_d
-            end = np.repeat(start + nd + nq, nd)
-            many = end - left - 1  # each own row meets all rows after it in its group
             links: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def found(x: np.ndarray, y: np.ndarray) -> None:
+                """Keep the links among pairs whose first fingerprints are near."""
+                if check_bits is not None:
+                    near = np.bitwise_count((fp2[x] ^ fp2[y]).view(np.uint64)) <= check_bits  # noqa: B023
+                    x, y = x[near], y[near]
+                differ = ids[x] != ids[y]  # noqa: B023
+                if differ.any():
+                    links.append(_spanning(ids[x[differ]], ids[y[differ]]))  # noqa: B023
+
+            wide = nd * (nd + nq) >= WIDE
+            # Large groups: tables of own rows against all rows.
+            for g in np.flatnonzero(wide).tolist():
+                a, b = int(start[g]), int(start[g] + nd[g] + nq[g])
+                rows = max(1, PAIRS // (b - a))
+                for i in range(a, a + int(nd[g]), rows):
+                    stop = min(i + rows, a + int(nd[g]))
+                    x, y = np.nonzero(np.bitwise_count((fp[i:stop, None] ^ fp[None, a:b]).view(np.uint64)) <= most_bits)
+                    found(x + i, y + a)
+            # Small groups: each own row meets all rows after it in its group, over many groups at once.
+            few = np.repeat(~wide, nd)
+            left = place_d[few]
+            many = np.repeat(start + nd + nq, nd)[few] - left - 1
             ends = np.cumsum(many)
             a = 0
             while a < len(left):
@@ -255,13 +275,7 @@ def _verify(most_bits: int, check_bits: int | None):
                 x = np.repeat(left[a:b], many[a:b])
                 y = ranges(left[a:b] + 1, many[a:b])
                 near = np.bitwise_count((fp[x] ^ fp[y]).view(np.uint64)) <= most_bits
-                x, y = x[near], y[near]
-                if check_bits is not None:
-                    near = np.bitwise_count((fp2[x] ^ fp2[y]).view(np.uint64)) <= check_bits
-                    x, y = x[near], y[near]
-                differ = ids[x] != ids[y]
-                if differ.any():
-                    links.append(_spanning(ids[x[differ]], ids[y[differ]]))
+                found(x[near], y[near])
                 a = b
             if links:
                 p, q = _spanning(np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links]))
@@ -276,7 +290,7 @@ def links(points: DataFrame, most_bits: int, check_bits: int | None = None, grou
     rows = points.select("id", "fp", "fp2", F.explode(signatures(plan)).alias("s")).select("id", "fp", "fp2", "s.part", "s.v", "s.own")
     counts = rows.groupBy("part", "v").agg(F.count("*").alias("n"), F.count_if("own").alias("own_n"))
     counts = counts.where((F.col("n") > 1) & (F.col("own_n") > 0))
-    large = checkpointed(counts.where(F.col("n") > group))
+    large = checkpointed(counts.where((F.col("n") > 16 * group) | (F.col("own_n") * F.col("n") > group * group)))
     point = F.struct("id", "fp", "fp2")
 
     def meet(grouped: DataFrame, *keys: str) -> DataFrame:
