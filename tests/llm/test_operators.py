@@ -265,6 +265,6 @@ def test_pipeline_equals_its_parts(spark):
     assert 0 < clean.count() <= kept.count()
     fps = {r["doc_id"]: simhash.fingerprint((r["text"] or "").encode(), 5, True) for r in clean.collect()}
     ids = sorted(fps)
-    label = neighbours([fps[i] for i in ids], 10, 14)
+    label = neighbours([fps[i] for i in ids], 12, 14)
     unique = corpus_pipeline.STAGES[2][1](spark, clean, SF)
     assert sorted(r["doc_id"] for r in unique.collect()) == sorted({ids[x] for x in label})
