@@ -36,19 +36,19 @@ def running(df: DataFrame, value: str, sums: dict[str, Column], ranges: int = RA
 
 def average_rank(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
     """(value, rank): the 1-based average rank of each distinct value."""
-    r = running(df, value, {"n": F.lit(1)})
-    return r.select(value, (F.col("n_below") + (F.col("n") + 1) / 2).alias(out))
+    r = running(df, value, {"rows_n": F.lit(1)})
+    return r.select(value, (F.col("rows_n_below") + (F.col("rows_n") + 1) / 2).alias(out))
 
 
 def quantiles(df: DataFrame, value: str, at: list[float]) -> list[float | None]:
     """Exact quantiles with linear interpolation between neighbours."""
-    r = running(df, value, {"n": F.lit(1)})
+    r = running(df, value, {"rows_n": F.lit(1)})
     n = df.where(F.col(value).isNotNull()).count()
     if not n:
         return [None] * len(at)
     places = sorted({p for q in at for p in (int(q * (n - 1)), min(int(q * (n - 1)) + 1, n - 1))})
     wanted = F.array(*[F.lit(p) for p in places])
-    rows = r.select(value, "n", "n_below", F.filter(wanted, lambda p: (p >= F.col("n_below")) & (p < F.col("n_below") + F.col("n"))).alias("p")).where(F.size("p") > 0).select(value, F.explode("p").alias("p")).collect()
+    rows = r.select(value, F.filter(wanted, lambda p: (p >= F.col("rows_n_below")) & (p < F.col("rows_n_below") + F.col("rows_n"))).alias("p")).where(F.size("p") > 0).select(value, F.explode("p").alias("p")).collect()
     of = {x["p"]: float(x[value]) for x in rows}
     out = []
     for q in at:

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane import schema
 from corvane.functions import scalars
-from corvane.operators import baselines, distances, graph, lookups, metrics, policy, rules, sequences, text, velocity
+from corvane.generators import population, scenarios
+from corvane.operators import baselines, distances, graph, lookups, metrics, models, policy, rules, sequences, text, velocity
 from corvane.operators.ordered import average_rank, quantiles
-from corvane.plans.session import read
+from corvane.plans.session import checkpointed, read
 from corvane.sources.lenses import DAY, EVENTS_SQL, HOUR, ITEMS_SQL, auth_events, auth_items
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -577,3 +579,88 @@ def strongest_clause(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = read(spark, sf_dir, "benchmark").select("item_id", F.col("text"))
     return text.tfidf(plain, "item_id", "text").withColumn("weight", F.round("weight", 8))
+
+
+# --- more of the inventory ------------------------------------------------
+
+
+@query(
+    "schema_violations",
+    f"""{IT} SELECT 'customer' AS "constraint", count(*) FILTER (customer IS NULL) AS n FROM it UNION ALL SELECT 'lag', count(*) FILTER (lag < 0 OR lag IS NULL) FROM it
+    UNION ALL SELECT 'settlement', count(*) FILTER (declined AND settled) FROM it UNION ALL SELECT 'mcc', count(*) FILTER (NOT regexp_matches(mcc, '^[A-Z]+$') OR mcc IS NULL) FROM it""",
+)
+def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    rules_ = {"customer": c("customer").isNotNull(), "lag": c("lag") >= 0, "settlement": ~(c("declined") & c("settled")), "mcc": c("mcc").rlike("^[A-Z]+$")}
+    return schema.violations(auth_items(spark, sf_dir), rules_)
+
+
+@query("deviation_from_mean", f"{EV}, m AS (SELECT customer, sum(cents)::DOUBLE / count(*) AS m FROM ev GROUP BY customer) SELECT seq, cents - m AS deviation FROM ev JOIN m USING (customer)")
+def deviation_from_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.deviation(auth_events(spark, sf_dir))
+
+
+@query(
+    "threshold_prices",
+    f"""{EV} SELECT th AS threshold, (count(*) FILTER (amount > th AND declined))::DOUBLE / count(*) FILTER (declined) AS recall, (count(*) FILTER (amount > th AND NOT declined))::DOUBLE / count(*) FILTER (NOT declined) AS fpr FROM ev, (SELECT unnest([20.0, 50.0, 100.0, 200.0])::DOUBLE AS th) GROUP BY th""",
+)
+def threshold_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.price_thresholds(auth_events(spark, sf_dir).withColumn("is_fraud", F.col("declined")), "amount", [20.0, 50.0, 100.0, 200.0])
+
+
+@query("active_customers", f"{EV} SELECT seq, customer, cents FROM ev WHERE customer IN (SELECT customer FROM ev GROUP BY customer HAVING count(*) >= 70)")
+def active_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.active(auth_events(spark, sf_dir), "customer", 70).select("seq", "customer", "cents")
+
+
+@query(
+    "inherited_source",
+    f"""{EV}, n AS (SELECT r.seq, p.seq AS source FROM ev r JOIN ev p ON p.customer = r.customer AND p.kind = 'purchase' AND p.t <= r.t AND p.t > r.t - {7 * DAY} WHERE r.refund),
+    b AS (SELECT seq, arg_min(source, (md5(seq || ':' || source), source)) AS source FROM n GROUP BY seq)
+    SELECT r.seq, b.source, coalesce(p.merchant, r.merchant) AS merchant, coalesce(p.device, r.device) AS device, coalesce(p.cents, r.cents) AS cents FROM ev r LEFT JOIN b USING (seq) LEFT JOIN ev p ON p.seq = b.source WHERE r.refund""",
+)
+def inherited_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = auth_events(spark, sf_dir)
+    returns, purchases = e.where("refund"), e.where("kind = 'purchase'")
+    bound = lookups.bind_interval(returns, purchases, 7 * DAY, "customer")
+    return lookups.inherit(returns, purchases, bound, ["merchant", "device", "cents"]).select("seq", "source", "merchant", "device", "cents")
+
+
+@query(
+    "registry_consistency",
+    """SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NOT NULL THEN 'a' ELSE 'b' END AS side FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) a FULL JOIN (SELECT DISTINCT o_orderkey AS k FROM orders) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL""",
+)
+def registry_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.consistency(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")), read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), "k")
+
+
+@query("simulated_population")
+def simulated_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read(spark, sf_dir, "events").count()
+    return population.simulate(spark, population.Config(events=n, customers=max(50, n // 25), merchants=max(50, n // 20)))
+
+
+@query("injected_attacks")
+def injected_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scenarios.inject_all(checkpointed(simulated_population(spark, sf_dir)))
+
+
+@query("iforest_scores")
+def iforest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = baselines.entity_vectors(auth_events(spark, sf_dir), "customer", "merchant")
+    return models.entity_novelty(v, ["n", "mean", "std", "max", "decline_share", "partners", "rate", "hour_entropy", "partner_entropy"], "customer", trees=50)
+
+
+@query("gbt_scores")
+def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = auth_events(spark, sf_dir)
+    rows = checkpointed(velocity.velocity(e, ["customer"]).join(e.select("seq", "t", "amount", F.col("declined").alias("fraud")), "seq"))
+    train, test = models.time_split(rows, 0.7)
+    return models.fit_supervised(train, ["amount", "count_24h", "amount_cents_7d", "decline_ratio_7d", "seconds_since_prior", "amount_vs_mean"], rounds=5).score(test).select("seq", "fraud", "l1")
+
+
+@query("text_scores")
+def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
+    model = text.text_model(docs.where("doc_id % 4 <> 2"), "text", "toxic")
+    return text.score_texts(read(spark, sf_dir, "documents"), model, "doc_id", "text")
