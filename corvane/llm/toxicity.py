@@ -51,6 +51,9 @@ LEET = str.maketrans("013457@$!", "oieastasi")
 
 WORD = re.compile(r"[^\W\d_]+")
 MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]+(?:[0-9@$*!#]+[^\W\d_]+)+")
+#: What every masked word has; most texts lack it, and finding that out is cheap.
+MASK_HINT = re.compile(r"[0-9@$*!#][^\W\d_]")
+CAPITALS = bytes(range(65, 91))
 SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_]){3,}[^\W\d_](?!\w)")
 LONG_RUN = re.compile(r"([^\W\d_])\1{3,}")
 SHOUT = re.compile(r"[!?]{2,}")
@@ -119,7 +122,7 @@ class Featurizer:
         return w
 
     def features(self, text: str) -> list[float]:
-        low = text.lower()
+        low, raw = text.lower(), text.encode()
         words = WORD.findall(low)
         n, chars = max(len(words), 1), max(len(text), 1)
         hits = [(i, v) for i, v in enumerate(map(self.weight, words)) if v]
@@ -128,7 +131,7 @@ class Featurizer:
         if hits and persons:
             marks = {j for i in persons for j in range(i - NEAR, i + NEAR + 1)}
             near = sum(i in marks for i, _ in hits)
-        masked = MASKED.findall(low)
+        masked = MASKED.findall(low) if MASK_HINT.search(low) else []
         spaced = SPACED.findall(low)
         plain = [m.translate(LEET).replace("*", "") for m in masked] + [re.sub(r"[ .\-_]", "", s) for s in spaced]
         revealed = sum(bool(self.weight(p)) or p in self.fixed for p in plain)
@@ -136,7 +139,7 @@ class Featurizer:
         return [
             math.log1p(len(words)), 100 * len(hits) / n, 100 * sum(v for _, v in hits) / n, math.log1p(len(hits)), math.log1p(len({words[i] for i, _ in hits})), max((v for _, v in hits), default=0.0),
             100 * sum(map(self.fixed.__contains__, words)) / n, 100 * near / n, 100 * len(persons) / n,
-            sum(map(str.isupper, text)) / chars if len(text) < 64 else (chars - sum(map(str.__eq__, text, low)) if len(low) == len(text) else 0) / chars,
+            (len(raw) - len(raw.translate(None, CAPITALS))) / chars,
             100 * len(CAPS.findall(text)) / n, 100 * bangs / chars, 100 * asks / chars, 100 * sum(map(text.count, ".,;:-\"'()")) / chars, 100 * len(SHOUT.findall(text)) / n,
             100 * len(masked) / n, 100 * len(spaced) / n, 100 * len(LONG_RUN.findall(low)) / n, float(revealed), 100 * sum(map(text.count, "0123456789")) / chars,
         ]
