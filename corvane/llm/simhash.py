@@ -50,6 +50,14 @@ GROUP = 4096
 SIGNATURE_COST = 40
 #: Pairs verified at a time in a task, and pairs from which a group is compared as a table.
 PAIRS, WIDE = 1 << 21, 1 << 12
+#: Required Jaccard similarity of near-duplicates in ``keep_one``, as a fraction.
+NUMERATOR, DENOMINATOR = 4, 5
+#: Pairs of sets are compared exactly if both their sketches differ in at most so many bits (9.7 are expected at 0.8, and over 28 less often than once in 10^5).
+SKETCH_BITS = 28
+#: Shingles that occur so often among about so many texts come last in the order of prefixes.
+OFTEN, SAMPLE = 10, 20_000
+#: Nodes that are sent to all executors at most.
+FEW = 100_000
 #: Ids of fingerprints that only rows without an id have.
 NO_ID = 1 << 62
 
@@ -350,17 +358,126 @@ def near_duplicates(df: DataFrame, width: int = 3, most_bits: int = 2, id_col: s
     )
 
 
-def keep_one(df: DataFrame, width: int = 5, most_bits: int = 12, check_bits: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """Distinct XXH64 hashes of the text's word shingles, ascending (none without words)."""
+    import xxhash
+
+    words = text.translate(LOWER_AZ).split()
+    if not words:
+        return np.empty(0, np.uint64)
+    found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(max(1, len(words) - width + 1))}
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def shingle_sets(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: id, body (a hash of the text as it stands), node (a hash of the shingle set), two sketches of the set, its size and hashes."""
+    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(text_col).cast("string")).alias("body"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for part, texts in slices(batches, 1):
+            sets = [_shingle_hashes(t, width) for t in texts]
+            short = [(xxhash.xxh64_intdigest(h.tobytes(), SEED), _majority(h), _majority(_remixed(h))) if len(h) else (0, 0, 0) for h in sets]
+            nodes, fp, fp2 = (pa.array(x) for x in np.array(short, np.uint64).view(np.int64).T.copy())
+            sizes = np.array([len(h) for h in sets], np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), nodes, fp, fp2, pa.array(sizes), lists], names=["id", "body", "node", "fp", "fp2", "size", "hashes"])
+
+    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, body long, node long, fp long, fp2 long, size int, hashes array<long>")
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(token, node, size, fp, fp2): two sets of the required similarity share a token.
+
+    In any common order of the hashes, such sets share one among the first
+    size - ceil(similarity * size) + 1.  Hashes that are common in a sample go
+    last, which changes the cost and not the result.
+    """
+    n = sets.count()
+    sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20)))
+    often = sample.select(F.explode("hashes").alias("h")).groupBy("h").count().where(F.col("count") >= OFTEN).collect()  # bounded by the sample
+    common = np.array([r["h"] for r in often], np.int64)
+    order = np.argsort(common)
+    shared = sets.sparkSession.sparkContext.broadcast((common[order], np.array([r["count"] for r in often], np.int64)[order]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shared.value
+        for batch in batches:
+            lists = batch.column(4)
+            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            tokens = []
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                h = flat[a:b]
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.lexsort((h, np.where(known[at] == h, counts[at], 0)))]
+                tokens.append(h[: len(h) - -(-len(h) * NUMERATOR // DENOMINATOR) + 1])
+            many = [len(x) for x in tokens]
+            if sum(many):
+                rows = np.repeat(np.arange(len(many)), many)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *[batch.column(i).take(pa.array(rows)) for i in range(4)]], names=["token", "node", "size", "fp", "fp2"])
+
+    return sets.select("node", "size", "fp", "fp2", "hashes").mapInArrow(run, "token long, node long, size int, fp long, fp2 long")
+
+
+def _likely(a: str, b: str) -> Column:
+    """Whether sizes and sketches of the structs ``a`` and ``b`` allow the required similarity."""
+    small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
+    near = [F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) <= SKETCH_BITS for f in ("fp", "fp2")]
+    return (small * DENOMINATOR >= large * NUMERATOR) & near[0] & near[1]
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose shingle sets have at least the required Jaccard similarity."""
+    nodes = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    wanted = F.broadcast(nodes) if nodes.count() <= FEW else nodes
+    held = checkpointed(sets.join(wanted, "node", "left_semi").select("node", "size", "hashes"))
+    x, y = (held.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("hashes").alias(f"hashes_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    rows = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.col("size_a") + F.col("size_b")).alias("sizes"))
+    return rows.where(F.col("both") * DENOMINATOR >= (F.col("sizes") - F.col("both")) * NUMERATOR).select("a", "b")
+
+
+def similar_components(sets: DataFrame) -> DataFrame:
+    """(node, label) for the nodes of distinct shingle sets that a chain of similar sets connects.
+
+    Stars first: in each group of sets that share a token, the others meet one of
+    them.  Sets that this connects need no more pairs between them; all other
+    pairs follow.
+    """
+    point = F.struct("node", "size", "fp", "fp2")
+    rows = prefixes(sets)
+    shared = rows.groupBy("token").agg(F.count("*").alias("n"), F.min_by(point, F.xxhash64("node")).alias("first")).where("n > 1").select("token", "first")
+    groups = checkpointed(rows.join(shared, "token").select("token", "first", point.alias("x")))
+    pairs = groups.where((F.col("first.node") != F.col("x.node")) & _likely("first", "x")).select(F.col("first.node").alias("a"), F.col("x.node").alias("b")).distinct()
+    found = checkpointed(verified(checkpointed(pairs), sets))
+    labels = components(found)
+    named = groups.select("token", "x", F.col("x.node").alias("node")).join(labels, "node", "left").select("token", "x", F.coalesce("label", "node").alias("label"))
+    lists = named.groupBy("token", "label").agg(F.collect_list("x").alias("xs"))
+    apart = lists.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    lists = checkpointed(lists.join(apart, "token", "left_semi"))
+    other = lists.select("token", F.col("label").alias("other"), F.col("xs").alias("ys"))
+    met = lists.join(other, "token").where("label < other").select("ys", F.explode("xs").alias("x")).select("x", F.explode("ys").alias("y"))
+    rest = met.where(_likely("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    return components(found.unionByName(verified(checkpointed(rest), sets)))
+
+
+def keep_one(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates (that of the least id; of equal rows any one), with the columns of ``df``.
 
-    At a shingle similarity of 0.8 a distance of 9.7 of 64 bits is to be expected,
-    and 12 or fewer four times of five; the second fingerprint keeps chance agreement out.
+    Two texts link if the Jaccard similarity of their shingle sets is at least 0.8.
     """
-    found = checkpointed(link_all(df, width, most_bits, check_bits, id_col, text_col))
-    name = unused(df, "kept_id")
-    best = found.groupBy("component").agg(F.min("id").alias(name)).select(name).distinct()
-    kept = df.join(best, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_semi")
-    if not found.groupBy("id").count().where("count > 1").isEmpty():
+    rows = checkpointed(shingle_sets(df, width, id_col, text_col))
+    sets = checkpointed(rows.select("node", "size", "fp", "fp2", "hashes").dropDuplicates(["node"]))
+    labels = similar_components(sets)
+    named = rows.select("id", "body", "node").join(labels, "node", "left").select("id", "body", F.coalesce("label", "node").alias("component"))
+    # Rows are told apart by id and text: ids can be null or repeat.
+    best = checkpointed(named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body")).alias("best")).select(F.col("best.id").alias("kept_id"), F.col("best.body").alias("kept_body")))
+    name, body = unused(df, "kept_id"), unused(df, "kept_body")
+    best = best.select(F.col("kept_id").alias(name), F.col("kept_body").alias(body))
+    kept = df.join(best, F.col(f"`{id_col}`").eqNullSafe(F.col(name)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(body)), "left_semi")
+    if not rows.groupBy("id", "body").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates([id_col, text_col])  # rows that share id and text
     return kept.select(*[F.col(f"`{c}`") for c in df.columns])
 

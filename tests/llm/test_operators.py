@@ -268,3 +268,24 @@ def test_pipeline_equals_its_parts(spark):
     label = neighbours([fps[i] for i in ids], 12, 14)
     unique = corpus_pipeline.STAGES[2][1](spark, clean, SF)
     assert sorted(r["doc_id"] for r in unique.collect()) == sorted({ids[x] for x in label})
+
+
+def test_keep_one_equals_brute_force_jaccard(spark):
+    """Families whose copies share about half, three quarters or more of their shingles, near 0.8 on both sides."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 120, 300]))]
+        for _ in range(12):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 25))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(label))
