@@ -58,8 +58,6 @@ SKETCH_BITS = 28
 OFTEN, SAMPLE = 10, 20_000
 #: Nodes that are sent to all executors at most.
 FEW = 100_000
-#: Ids of fingerprints that only rows without an id have.
-NO_ID = 1 << 62
 
 
 def signed(x: int) -> int:
@@ -340,22 +338,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link_all(df: DataFrame, width: int, most_bits: int, check_bits: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, fp, component (the least id reachable; NO_ID or more where there is none)."""
-    rows = checkpointed(fingerprints(df, width, check_bits is not None, id_col, text_col))
-    own = F.coalesce(F.min("id"), F.lit(NO_ID) + F.pmod("fp", F.lit(NO_ID)))
-    points = checkpointed(rows.groupBy("fp", "fp2").agg(own.alias("id")))
-    labels = components(links(points, most_bits, check_bits))
-    named = points.join(labels, points["id"] == labels["node"], "left").select("fp", "fp2", F.coalesce("label", points["id"]).alias("component"))
-    return rows.join(named, ["fp", "fp2"]).select("id", "fp", "component")
-
-
 def near_duplicates(df: DataFrame, width: int = 3, most_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, fingerprint (16 hex digits), component_id.  Ids are integers below 2**62."""
-    found = link_all(df, width, most_bits, None, id_col, text_col)
-    return found.select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") < F.lit(NO_ID), F.col("component")).alias("component_id")
-    )
+    """Per row: id, fingerprint (16 hex digits), component_id (the least id of the rows in the component).
+
+    Fingerprints are linked under their own values: a repeated id links nothing.
+    """
+    rows = checkpointed(fingerprints(df, width, False, id_col, text_col))
+    points = checkpointed(rows.groupBy("fp", "fp2").agg(F.min("id").alias("least")).select("fp", "fp2", F.col("fp").alias("id"), "least"))
+    labels = components(links(points.select("id", "fp", "fp2"), most_bits))
+    named = points.join(labels, points["id"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "id").alias("label"))
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    found = rows.select("id", "fp").join(named.join(least, "label").select("fp", "component_id"), "fp")
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _shingle_hashes(text: bytes, width: int) -> np.ndarray:

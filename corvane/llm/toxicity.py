@@ -181,8 +181,11 @@ def _sample(labels: DataFrame, train: Column, id_col: str, label_col: str) -> Da
     return picked.groupBy("label_id").agg(F.max("toxic").alias("toxic")).withColumn("part", h % 10)
 
 
-def score_toxicity(df: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id") -> DataFrame:
-    """Per row: id, score (0 to 1) and raw (the trees' probability); ``train`` is a condition over ``labels``."""
+def score_toxicity(df: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id", key: Column | None = None) -> DataFrame:
+    """Per row: id, score (0 to 1) and raw (the trees' probability); ``train`` is a condition over ``labels``.
+
+    ``key`` names the rows instead of the id, under the id's column.
+    """
     # A sample of bounded size, hence small enough to be sent to all executors.
     sample = F.broadcast(checkpointed(_sample(labels, train, label_id_col, label_col)))
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
@@ -191,7 +194,8 @@ def score_toxicity(df: DataFrame, labels: DataFrame, train: Column, id_col: str
     # A text to learn from is seen by the lexicon of the other half, as a new text will be seen.
     learned = _vectors(featurize(labelled.withColumn("use", 1 - F.col("part") % 2), lexicons))
     known = checkpointed(learned.join(sample, learned["id"] == sample["label_id"]).select("features", F.col("toxic").cast("double").alias("label"), "part").repartition(4))
-    vectors = _vectors(featurize(texts.withColumn("use", F.lit(2)), lexicons))
+    named = texts if key is None else df.select(key.alias("id"), F.col(text_col).cast("string").alias("t"))
+    vectors = _vectors(featurize(named.withColumn("use", F.lit(2)), lexicons))
     counts = {(int(r["label"]), r["late"]): r["count"] for r in known.groupBy("label", (F.col("part") < CALIBRATION_PARTS).alias("late")).count().collect()}
     toxic, total = sum(n for (y, _), n in counts.items() if y), sum(counts.values())
     if not toxic or toxic == total:
@@ -209,11 +213,16 @@ def score_toxicity(df: DataFrame, labels: DataFrame, train: Column, id_col: str
 
 
 def keep_clean(df: DataFrame, labels: DataFrame, train: Column, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` whose id has no score at or above the threshold, with the columns of ``df``."""
-    scored = score_toxicity(df, labels, train, id_col, text_col, label_col, label_id_col)
-    name = unused(df, "toxic_id")
-    bad = scored.where(F.col("score") >= threshold).select(F.col(id_col).alias(name)).distinct()
-    return df.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows of ``df`` whose text has no score at or above the threshold, with the columns of ``df``.
+
+    Rows are told apart by id and text: ids can be null or repeat.
+    """
+    body = F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    key = F.struct(F.col(f"`{id_col}`").alias("id"), body.alias("body"))
+    scored = score_toxicity(df, labels, train, id_col, text_col, label_col, label_id_col, key)
+    name, text = unused(df, "toxic_id"), unused(df, "toxic_body")
+    bad = scored.where(F.col("score") >= threshold).select(F.col(f"{id_col}.id").alias(name), F.col(f"{id_col}.body").alias(text)).distinct()
+    return df.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col(name)) & (body == F.col(text)), "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -289,3 +289,23 @@ def test_keep_one_equals_brute_force_jaccard(spark):
             label[i] = label[j] = min(label[i], label[j])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(label))
+
+
+def test_stages_decide_on_rows_not_ids(spark, monkeypatch):
+    """Null and repeated ids: a row's fate depends on its own text."""
+    docs = spark.createDataFrame([(None, "bad one"), (None, "good one"), (1, "bad two"), (1, "good two"), (2, "good three")], "doc_id long, text string")
+
+    def scored(d, *args, **kw):
+        key = args[6] if len(args) > 6 else F.col("doc_id")
+        return d.select(key.alias("doc_id"), F.when(F.col("text").startswith("bad"), 1.0).otherwise(0.0).alias("score"))
+
+    monkeypatch.setattr(toxicity, "score_toxicity", scored)
+    kept = toxicity.keep_clean(docs, labels_of(spark), F.lit(True))
+    assert sorted(r["text"] for r in kept.collect()) == ["good one", "good three", "good two"]
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    # id 5 holds two unrelated texts, one of which ids 3 and 9 repeat; null ids hold others
+    rows = [(5, a), (5, b), (3, a), (9, b), (None, a + " end"), (None, "c d e f g h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs, most_bits=0).collect()}
+    assert {(5, 3), (5, 5), (3, 3), (9, 5), (None, None)} <= got and (9, 3) not in got
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(docs).collect()) == [(0, "c d e f g h"), (3, a), (5, b)]
