@@ -36,7 +36,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, checkpointed, documents, slices, unused
@@ -55,7 +55,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: Pairs of sets are compared exactly if both their sketches differ in at most so many bits (9.7 are expected at 0.8, and over 28 less often than once in 10^5).
 SKETCH_BITS = 28
 #: Shingles that occur so often among about so many texts come last in the order of prefixes.
-OFTEN, SAMPLE = 10, 20_000
+OFTEN, SAMPLE = 5, 2_000
 #: Nodes that are sent to all executors at most.
 FEW = 100_000
 
@@ -363,56 +363,73 @@ def _shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.sort(np.fromiter(found, np.uint64, len(found)))
 
 
-def shingle_sets(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, body (a hash of the text as it stands), node (a hash of the shingle set), two sketches of the set, its size and hashes."""
-    narrow = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(text_col).cast("string")).alias("body"))
+def _texts(df: DataFrame, text_col: str) -> DataFrame:
+    """(t, body): the text and a hash of it as it stands."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return df.select(text.alias("t"), F.xxhash64(text).alias("body"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
+def _node(hashes: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0
+
+
+def shingle_sketches(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: id, body (a hash of the text as it stands), node (a hash of the shingle set), the set's size and two sketches of it."""
+    text = F.col(f"`{text_col}`").cast("string")
+    narrow = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("t"), F.xxhash64(text).alias("body"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, 1):
             sets = [_shingle_hashes(t, width) for t in texts]
-            short = [(xxhash.xxh64_intdigest(h.tobytes(), SEED), _majority(h), _majority(_remixed(h))) if len(h) else (0, 0, 0) for h in sets]
-            nodes, fp, fp2 = (pa.array(x) for x in np.array(short, np.uint64).view(np.int64).T.copy())
-            sizes = np.array([len(h) for h in sets], np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), nodes, fp, fp2, pa.array(sizes), lists], names=["id", "body", "node", "fp", "fp2", "size", "hashes"])
+            short = np.array([(_node(h), _majority(h), _majority(_remixed(h))) for h in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *map(pa.array, short.T.copy()), pa.array([len(h) for h in sets], pa.int32())], names=["id", "body", "node", "fp", "fp2", "size"])
 
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, body long, node long, fp long, fp2 long, size int, hashes array<long>")
+    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, body long, node long, fp long, fp2 long, size int")
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """(token, node, size, fp, fp2): two sets of the required similarity share a token.
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, hashes) of texts(t, body)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, raw in slices(batches, 0):
+            sets = [_shingle_hashes(t, width) for t in raw]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([_node(h) for h in sets], np.uint64).view(np.int64)), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    return texts.select("t").mapInArrow(run, "node long, hashes array<long>")
+
+
+def prefixes(texts: DataFrame, n: int, width: int) -> DataFrame:
+    """(token, node) of texts(t, body), ``n`` rows: two sets of the required similarity share a token.
 
     In any common order of the hashes, such sets share one among the first
     size - ceil(similarity * size) + 1.  Hashes that are common in a sample go
     last, which changes the cost and not the result.
     """
-    n = sets.count()
-    sample = sets.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20)))
-    often = sample.select(F.explode("hashes").alias("h")).groupBy("h").count().where(F.col("count") >= OFTEN).collect()  # bounded by the sample
-    common = np.array([r["h"] for r in often], np.int64)
-    order = np.argsort(common)
-    shared = sets.sparkSession.sparkContext.broadcast((common[order], np.array([r["count"] for r in often], np.int64)[order]))
+    sample = texts.where(F.pmod(F.xxhash64("body"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20)))
+    often = shingle_sets(sample, width).select(F.explode("hashes").alias("h")).groupBy("h").count().where(F.col("count") >= OFTEN).collect()  # bounded by the sample
+    often.sort(key=lambda r: r["h"] % (1 << 64))
+    shared = texts.sparkSession.sparkContext.broadcast((np.array([r["h"] for r in often], np.int64).view(np.uint64), np.array([r["count"] for r in often], np.int64)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
-        for batch in batches:
-            lists = batch.column(4)
-            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            tokens = []
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                h = flat[a:b]
+        for _, raw in slices(batches, 0):
+            tokens, nodes = [], []
+            for t in raw:
+                h = _shingle_hashes(t, width)
+                node, most = _node(h), len(h) - -(-len(h) * NUMERATOR // DENOMINATOR) + 1
+                if not len(h):
+                    continue
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.lexsort((h, np.where(known[at] == h, counts[at], 0)))]
-                tokens.append(h[: len(h) - -(-len(h) * NUMERATOR // DENOMINATOR) + 1])
-            many = [len(x) for x in tokens]
-            if sum(many):
-                rows = np.repeat(np.arange(len(many)), many)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), *[batch.column(i).take(pa.array(rows)) for i in range(4)]], names=["token", "node", "size", "fp", "fp2"])
+                tokens.append(h[:most])
+                nodes.append(np.full(most, node, np.uint64))
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (tokens, nodes)], names=["token", "node"])
 
-    return sets.select("node", "size", "fp", "fp2", "hashes").mapInArrow(run, "token long, node long, size int, fp long, fp2 long")
+    return texts.select("t").mapInArrow(run, "token long, node long")
 
 
 def _likely(a: str, b: str) -> Column:
@@ -422,30 +439,34 @@ def _likely(a: str, b: str) -> Column:
     return (small * DENOMINATOR >= large * NUMERATOR) & near[0] & near[1]
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose shingle sets have at least the required Jaccard similarity."""
-    nodes = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    wanted = F.broadcast(nodes) if nodes.count() <= FEW else nodes
-    held = checkpointed(sets.join(wanted, "node", "left_semi").select("node", "size", "hashes"))
-    x, y = (held.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("hashes").alias(f"hashes_{c}")) for c in "ab")
-    both = F.size(F.array_intersect("hashes_a", "hashes_b"))
-    rows = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.col("size_a") + F.col("size_b")).alias("sizes"))
-    return rows.where(F.col("both") * DENOMINATOR >= (F.col("sizes") - F.col("both")) * NUMERATOR).select("a", "b")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    bodies = checkpointed(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("body").alias("body")).select("body"))
+    wanted = F.broadcast(bodies) if bodies.count() <= FEW else bodies
+    held = checkpointed(shingle_sets(texts.join(wanted, "body", "left_semi"), width).dropDuplicates(["node"]))
+    x, y = (held.select(F.col("node").alias(c), F.col("hashes").alias(f"hashes_{c}")) for c in "ab")
+    both, sizes = F.size(F.array_intersect("hashes_a", "hashes_b")), F.size("hashes_a") + F.size("hashes_b")
+    compared = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), sizes.alias("sizes"))
+    return compared.where(F.col("both") * DENOMINATOR >= (F.col("sizes") - F.col("both")) * NUMERATOR).select("a", "b")
 
 
-def similar_components(sets: DataFrame) -> DataFrame:
+def similar_components(rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """(node, label) for the nodes of distinct shingle sets that a chain of similar sets connects.
 
     Stars first: in each group of sets that share a token, the others meet one of
     them.  Sets that this connects need no more pairs between them; all other
     pairs follow.
     """
-    point = F.struct("node", "size", "fp", "fp2")
-    rows = prefixes(sets)
-    shared = rows.groupBy("token").agg(F.count("*").alias("n"), F.min_by(point, F.xxhash64("node")).alias("first")).where("n > 1").select("token", "first")
-    groups = checkpointed(rows.join(shared, "token").select("token", "first", point.alias("x")))
-    pairs = groups.where((F.col("first.node") != F.col("x.node")) & _likely("first", "x")).select(F.col("first.node").alias("a"), F.col("x.node").alias("b")).distinct()
-    found = checkpointed(verified(checkpointed(pairs), sets))
+    same = Window.partitionBy("token")
+    spread = prefixes(texts, rows.count(), width).select("token", "node", F.min("node").over(same).alias("first"), F.max("node").over(same).alias("last"))
+    groups = spread.where(F.col("first") < F.col("last")).select("token", "node", "first").distinct()
+    points = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "fp", "fp2")]).select("node", F.struct("node", "size", "fp", "fp2").alias("x"))
+    points = checkpointed(points)
+    groups = checkpointed(groups.join(points, "node").select("token", "x", "first"))
+    star = groups.select("x", "first").join(points.select(F.col("node").alias("first"), F.col("x").alias("y")), "first")
+    pairs = star.where((F.col("y.node") != F.col("x.node")) & _likely("y", "x")).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
+    found = checkpointed(verified(checkpointed(pairs), rows, texts, width))
     labels = components(found)
     named = groups.select("token", "x", F.col("x.node").alias("node")).join(labels, "node", "left").select("token", "x", F.coalesce("label", "node").alias("label"))
     lists = named.groupBy("token", "label").agg(F.collect_list("x").alias("xs"))
@@ -454,7 +475,7 @@ def similar_components(sets: DataFrame) -> DataFrame:
     other = lists.select("token", F.col("label").alias("other"), F.col("xs").alias("ys"))
     met = lists.join(other, "token").where("label < other").select("ys", F.explode("xs").alias("x")).select("x", F.explode("ys").alias("y"))
     rest = met.where(_likely("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    return components(found.unionByName(verified(checkpointed(rest), sets)))
+    return components(found.unionByName(verified(checkpointed(rest), rows, texts, width)))
 
 
 def keep_one(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -462,9 +483,8 @@ def keep_one(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: st
 
     Two texts link if the Jaccard similarity of their shingle sets is at least 0.8.
     """
-    rows = checkpointed(shingle_sets(df, width, id_col, text_col))
-    sets = checkpointed(rows.select("node", "size", "fp", "fp2", "hashes").dropDuplicates(["node"]))
-    labels = similar_components(sets)
+    rows = checkpointed(shingle_sketches(df, width, id_col, text_col))
+    labels = similar_components(rows, _texts(df, text_col), width)
     named = rows.select("id", "body", "node").join(labels, "node", "left").select("id", "body", F.coalesce("label", "node").alias("component"))
     # Rows are told apart by id and text: ids can be null or repeat.
     best = checkpointed(named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body")).alias("best")).select(F.col("best.id").alias("kept_id"), F.col("best.body").alias("kept_body")))
