@@ -2,27 +2,29 @@
 
 A text is the byte string of its words, A-Z lower-cased, each followed by a
 space, then an end byte.  The model is a trie of byte contexts up to ``ORDER``
-with the counts of the bytes that follow them, gathered from all training texts.
-A byte is coded in the longest context known; a byte new to a context costs an
-escape, estimated by a discount on the count of each distinct follower (a form of method D), and is coded in
-the next shorter context from which the followers already excluded are left out.
-Below the empty context every symbol left is equally likely.
-
-Gathering: each task counts (ORDER + 1)-grams of its texts, Spark sums them, and
-the shorter contexts are sums over the longer.  The contexts used are the most
-frequent ones, up to ``MAX_CONTEXTS`` with ``MAX_FOLLOWERS`` followers in all, so
-what is broadcast has a fixed bound.  Scoring: contexts with all their outcomes
-form an automaton (next context and log probability for each byte), and NumPy
-walks many stretches of text at once.
-
-The plain word model beside it needs the training count of every word of every
-text.  Words that make up at least ``FREQUENT`` of the training tokens (hence at
-most 1 / FREQUENT of them) are looked up in a broadcast table; other words are
-joined on the word, and no such word is frequent enough to fill a task.
+with the counts of the bytes that follow them, gathered from all training texts;
+no context and no follower is left out, so the trie grows with the corpus.  A
+byte is coded in the longest context known; a byte new to a context costs an
+escape, estimated by a discount on the count of each distinct follower (a form of
+method D), and is coded in the next shorter context from which the followers
+already excluded are left out.  Below the empty context the byte values left are
+equally likely.
+
+The trie is a table of grams (a context and its follower), never held in one
+place.  A shorter context has all followers of the longer ones, so what remains of
+it under exclusion depends on the longer context alone: two numbers a context,
+found by joins of the table with itself, make every code length a sum of table
+entries.  Texts are cut into blocks of about ``BLOCK`` bytes; a block's distinct
+grams and words are tallied in its task, priced by joins on the gram and the word,
+and sent back to the block's texts, which look up every byte.  A gram or word
+occurs at most once for each block on either side of those joins, so none is
+frequent enough to fill a task.
 
 Defined results: a null or empty text has the end token alone; rows are scored
-one by one, repeated ids included; with no training text every symbol is equally
-likely; an empty table gives an empty result.  Only id and text are read.
+one by one, repeated ids included, and equal texts get equal scores; a text of any
+length is scored whole (one longer than ``BLOCK`` is a block of its own); with no
+training text every byte value is equally likely; an empty table gives an empty
+result.  Only id and text are read.
 """
 
 from __future__ import annotations
@@ -30,293 +32,204 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, checkpointed, documents, id_remainder, slices
+from .common import LOWER_AZ, checkpointed, documents, id_remainder, slices, written
 
+#: Bytes of context; a gram, one byte longer, fits a long.
 ORDER = 5
-MAX_CONTEXTS = 100_000
-MAX_FOLLOWERS = 2_000_000
 #: Taken from each follower's count and given to the escape.
 DISCOUNT = 0.4
-#: Columns of the automaton: the most frequent bytes, and one for all others.
-SYMBOLS = 128
-FREQUENT = 2e-6
 END = b"\n"
-#: Distinct grams or words that a counting task holds before it hands them on.
-HELD = 1_000_000
-LANES = 4096
-#: Contexts that are worked on together while the automaton is built.
-ROWS = 4096
+#: Bytes of text that share one lookup table; a task holds about thirty times as much at most.
+BLOCK = 8 << 20
 
 
-def serialised(text: bytes) -> tuple[bytes, list[bytes]]:
+def serialised(text: bytes) -> bytes:
     words = text.translate(LOWER_AZ).split()
-    return (b" ".join(words) + b" " + END if words else END), words
+    return b" ".join(words) + b" " + END if words else END
 
 
-def _stream(strings: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All strings, each behind ``order`` end bytes; first place and length of each string."""
+def grams_of(strings: list[bytes], order: int) -> np.ndarray:
+    """For each byte: itself in the low byte, the ``order`` bytes before it above (end bytes before the first)."""
     pad = END * order
-    lengths = np.array([len(s) for s in strings], np.int64)
     flat = np.frombuffer(b"".join(x for s in strings for x in (pad, s)), np.uint8)
-    return flat, np.cumsum(lengths + order) - lengths, lengths
-
-
-def _grams(strings: list[bytes], order: int) -> np.ndarray:
-    """For each byte: itself in the low byte, the ``order`` bytes before it above."""
-    flat, starts, _ = _stream(strings, order)
     code = np.zeros(len(flat), np.int64)
     for k in range(order + 1):
         code[order:] |= flat[order - k : len(flat) - k].astype(np.int64) << (8 * k)
     scored = np.ones(len(flat), bool)
+    starts = np.cumsum([len(s) + order for s in strings]) - [len(s) for s in strings]
     for k in range(1, order + 1):
         scored[starts - k] = False
     return code[scored]
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    codes, inverse = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-    return codes, np.bincount(inverse, np.concatenate([n for _, n in parts])).astype(np.int64)
-
-
-def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n) of a one-column table of texts."""
+def cut_blocks(df: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
+    """(block, k, learn, s): the id, whether to learn from the row, and the serialised text."""
+    narrow = df.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").cast("string").alias("t"), F.coalesce(train, F.lit(False)).alias("learn"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for part, raw in slices(batches, 1):
+            strings = [serialised(t) for t in raw]
+            blocks = []
+            for s in strings:
+                if held and held + len(s) > BLOCK:
+                    block, held = block + 1, 0
+                held += len(s)
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), part.column(0), part.column(2), pa.array(strings, pa.binary())], names=["block", "k", "learn", "s"])
 
-        def out() -> pa.RecordBatch:
-            codes, n = _summed(held)
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], names=["gram", "n"])
+    return narrow.mapInArrow(run, f"block long, k {narrow.schema['k'].dataType.simpleString()}, learn boolean, s binary")
 
-        for _, raw in slices(batches, 0):
-            codes, n = np.unique(_grams([serialised(t)[0] for t in raw], order), return_counts=True)
-            held.append((codes, n.astype(np.int64)))
-            if sum(len(c) for c, _ in held) > HELD:
-                held = [_summed(held)]
-                if len(held[0][0]) > HELD // 2:
-                    yield out()
-                    held = []
-        if held:
-            yield out()
 
-    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, c) of a one-column table of texts."""
+def tally(texts: DataFrame, order: int) -> DataFrame:
+    """(block, gram, word, n) of texts(block, learn, s): a row for each distinct gram or word of a block, with its count in the rows to learn from."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
-
-        for _, raw in slices(batches, 0):
-            for t in raw:
-                held.update(t.translate(LOWER_AZ).split())
-            if len(held) > HELD // 8:
-                yield out()
-                held.clear()
-        if held:
-            yield out()
-
-    return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def fit_contexts(grams: DataFrame, order: int = ORDER, max_contexts: int = MAX_CONTEXTS, max_followers: int = MAX_FOLLOWERS) -> dict[str, np.ndarray]:
-    """Followers of the most frequent contexts as arrays: order, gram (context and follower), n."""
-    levels = F.array(*[F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("g")) for k in range(order + 1)])
-    table = grams.select(F.explode(levels).alias("x"), "n").groupBy("x.k", "x.g").agg(F.sum("n").alias("n"))
-    table = checkpointed(table.withColumn("context", F.shiftright("g", 8)))
-    contexts = table.groupBy("k", "context").agg(F.sum("n").alias("total"), F.count("*").alias("followers"))
-    step = F.floor(F.log(F.col("total").cast("double")) / math.log(1.02))
-    least, used, held = None, 0, 0
-    for row in sorted(contexts.groupBy(step.alias("step")).agg(F.count("*").alias("contexts"), F.sum("followers").alias("followers")).collect(), key=lambda r: -r["step"]):
-        used, held = used + row["contexts"], held + row["followers"]
-        if used > max_contexts or held > max_followers:
-            break
-        least = row["step"]
-    kept = contexts.where((F.col("k") == 0) | (step >= F.lit(least if least is not None else 2**31)))
-    found = table.join(kept.select("k", "context"), ["k", "context"]).select(F.col("k").cast("int").alias("k"), "g", "n").toArrow()
-    return {"k": found["k"].to_numpy(), "g": found["g"].to_numpy(), "n": found["n"].to_numpy()}
-
-
-class Automaton:
-    """The trie with all outcomes: ``log10p`` and ``after`` by context and symbol."""
-
-    def __init__(self, k: np.ndarray, g: np.ndarray, n: np.ndarray, order: int = ORDER, symbols: int = SYMBOLS):
-        self.order = order
-        # Symbols: the most frequent bytes, then all others as one.
-        zero = k == 0
-        seen = np.bincount(g[zero], n[zero], 256)[:256]
-        frequent = np.sort(np.argsort(-seen, kind="stable")[: symbols - 1])
-        frequent = frequent[seen[frequent] > 0]
-        width = len(frequent) + 1
-        self.column = np.full(256, width - 1, np.int64)
-        self.column[frequent] = np.arange(len(frequent))
-        other = self.column == width - 1
-        self.extra = np.where(other, np.log10((seen + 0.5) / (seen[other].sum() + 0.5 * other.sum())), 0.0)
-        # Contexts by order; ids go up with the order.
-        context = [np.unique(g[k == j] >> 8) for j in range(order + 1)]
-        context[0] = np.zeros(1, np.int64)
-        base = np.cumsum([0, *map(len, context)])
-        states = int(base[-1])
-        self.log10p = np.empty((states, width), np.float32)
-        self.after = np.empty((states, width), np.int32)
-
-        def find(j: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            i = np.minimum(np.searchsorted(context[j], codes), max(len(context[j]) - 1, 0))
-            return (base[j] + i, context[j][i] == codes) if len(context[j]) else (np.zeros(len(codes), np.int64), np.zeros(len(codes), bool))
-
-        above: tuple[np.ndarray, np.ndarray] | None = None  # counts and shorter-context values of the order before
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for j in range(order + 1):
-                rows = k == j
-                counts = np.zeros((len(context[j]), width), np.float32)
-                at = np.searchsorted(context[j], g[rows] >> 8)
-                np.add.at(counts, (at, self.column[g[rows] & 255]), n[rows])
-                shorter = np.empty_like(counts)
-                for c in range(0, len(counts), ROWS):  # a few rows at a time keep the intermediate tables small
-                    part = slice(c, c + ROWS)
-                    there = counts[part] > 0
-                    total, distinct = counts[part].sum(1, dtype=np.float64), there.sum(1)
-                    if j == 0:
-                        shorter[part] = -np.log10(max(width - int(distinct[0]), 1))
-                    else:
-                        parent = find(j - 1, context[j][part] & ((1 << 8 * (j - 1)) - 1))[0] - base[j - 1]
-                        p_counts, p_shorter = above
-                        left = np.where(there, 0, p_counts[parent])
-                        rest, new = left.sum(1, dtype=np.float64), (left > 0).sum(1)
-                        escape = np.where(rest > 0, np.log10(DISCOUNT * new / np.maximum(rest, 1)), 0.0)
-                        direct = np.log10(left - DISCOUNT) - np.log10(np.maximum(rest, 1))[:, None]
-                        shorter[part] = np.where(left > 0, direct, escape[:, None] + p_shorter[parent])
-                    escape = np.where(total > 0, np.log10(DISCOUNT * distinct / np.maximum(total, 1)), 0.0)
-                    direct = np.log10(counts[part] - DISCOUNT) - np.log10(np.maximum(total, 1))[:, None]
-                    self.log10p[base[j] + c : base[j] + c + len(there)] = np.where(there, direct, escape[:, None] + shorter[part])
-                above = (counts, shorter)
-        # The next context: the longest known end of context and byte.
-        byte_of = np.zeros(width, np.int64)
-        byte_of[: len(frequent)] = frequent
-        for j in range(order + 1):
-            for a in range(0, len(context[j]), ROWS):
-                codes = (context[j][a : a + ROWS, None] << 8 | byte_of).ravel()
-                to = np.zeros(len(codes), np.int64)
-                for m in range(1, min(j + 1, order) + 1):
-                    i, ok = find(m, codes & ((1 << 8 * m) - 1))
-                    to = np.where(ok, i, to)
-                to = to.reshape(-1, width)
-                to[:, width - 1] = 0
-                self.after[base[j] + a : base[j] + a + len(to)] = to
-
-    def score(self, strings: list[bytes]) -> np.ndarray:
-        """log10 probability of each string."""
-        flat, starts, lengths = _stream(strings, self.order)
-        lanes = max(1, min(LANES, len(flat) // 64))
-        step = -(-len(flat) // lanes)
-        wide = np.full(lanes * step + self.order, ord(END), np.uint8)
-        wide[self.order : self.order + len(flat)] = flat
-        columns = self.column.astype(np.int16)[wide]
-        first = np.arange(lanes) * step
-        state = np.zeros(lanes, np.int64)
-        width = self.log10p.shape[1]
-        log10p, after = self.log10p.ravel(), self.after.ravel()
-        out = np.empty((step, lanes), np.float32)
-        for i in range(step + self.order):
-            at = state * width + columns[first + i]
-            if i >= self.order:
-                out[i - self.order] = log10p[at]
-            state = after[at].astype(np.int64)
-        each = out.T.ravel()[: len(flat)].astype(np.float64) + self.extra[flat]
-        edges = np.stack([starts, starts + lengths], 1).ravel()
-        return np.add.reduceat(each, edges[:-1])[::2]
-
-
-_built: dict[int, tuple[Automaton, dict[bytes, int]]] = {}
-
-
-def _model(shared) -> tuple[Automaton, dict[bytes, int]]:
-    """The automaton and the frequent words of a broadcast, made once in a worker."""
-    key = shared.value["key"]
-    if key not in _built:
-        _built.clear()
-        v = shared.value
-        _built[key] = (Automaton(v["k"], v["g"], v["n"], v["order"]), dict(zip(v["words"], v["counts"], strict=True)))
-    return _built[key]
+        grams: list[tuple[np.ndarray, np.ndarray]] = []
+        words: Counter[bytes] = Counter()
+        at = None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            names = ["block", "gram", "word", "n"]
+            codes, inverse = np.unique(np.concatenate([c for c, _ in grams]), return_inverse=True)
+            n = np.bincount(inverse, np.concatenate([n for _, n in grams])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), at)), pa.array(codes), pa.nulls(len(codes), pa.binary()), pa.array(n)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), at, np.int64)), pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=names)
+            grams.clear()
+            words.clear()
+
+        for part, raw in slices(batches, 2):
+            blocks, learns = part.column(0).to_numpy(), np.array(part.column(1).to_pylist(), bool)
+            for block in np.unique(blocks).tolist():
+                if at is not None and block != at:
+                    yield from out()
+                at = block
+                for learn in (True, False):
+                    strings = [raw[i] for i in np.flatnonzero((blocks == block) & (learns == learn)).tolist()]
+                    if strings:
+                        codes, n = np.unique(grams_of(strings, order), return_counts=True)
+                        grams.append((codes, n if learn else np.zeros(len(n), np.int64)))
+                        found = Counter(chain.from_iterable(map(bytes.split, strings)))
+                        words.update(found if learn else dict.fromkeys(found, 0))
+        if at is not None:
+            yield from out()
+
+    return texts.select("block", "learn", "s").mapInArrow(run, "block long, gram long, word binary, n long")
+
+
+def _tail(gram: Column, k: int) -> Column:
+    """The gram's follower and the last ``k`` bytes of its context."""
+    return gram.bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+
+
+def trie(grams: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
+    """The trie of grams(gram, n): its grams (k, g, n), k from 0 to ``order``, and its contexts.
+
+    contexts(k, context, ...): ``whole`` and ``escape`` are log10 of the count of
+    all followers and of the probability of a new one; ``rest`` and ``onward`` are
+    those of the context one byte shorter, without the followers of this one.
+    """
+    levels = F.array(*[F.struct(F.lit(k).alias("k"), _tail(F.col("gram"), k).alias("g")) for k in range(order + 1)])
+    table = checkpointed(grams.where("n > 0").select(F.explode(levels).alias("x"), "n").groupBy("x.k", "x.g").agg(F.sum("n").alias("n")))
+    shorter = table.select((F.col("k") + 1).alias("k"), F.col("g").alias("tail"), F.col("n").alias("tail_n"))
+    cut = F.element_at(F.array(*[F.lit((1 << 8 * k) - 1) for k in range(order + 1)]), F.col("k") + 1)
+    with_tail = table.withColumn("tail", F.when(F.col("k") > 0, F.col("g").bitwiseAND(cut))).join(shorter, ["k", "tail"], "left")
+    sums = with_tail.groupBy("k", F.shiftright("g", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("followers"), F.sum("tail_n").alias("covered"))
+    sums = checkpointed(sums)
+    above = sums.select((F.col("k") + 1).alias("k"), F.col("context").alias("up"), F.col("total").alias("up_total"), F.col("followers").alias("up_followers"))
+    up = F.when(F.col("k") > 0, F.shiftright(F.shiftleft("context", 8).bitwiseAND(cut), 8))
+    rest, new = F.col("up_total") - F.col("covered"), F.col("up_followers") - F.col("followers")
+    contexts = sums.withColumn("up", up).join(above, ["k", "up"], "left").select(
+        "k", "context", "followers", F.log10("total").alias("whole"), F.log10(DISCOUNT * F.col("followers") / F.col("total")).alias("escape"),
+        F.when(rest > 0, F.log10(rest)).alias("rest"), F.when(rest > 0, F.log10(DISCOUNT * new / rest)).otherwise(F.lit(0.0)).alias("onward"),
+    )
+    return table, checkpointed(contexts)
+
+
+def price(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, value): log10 probability of each gram's last byte after the others, for all of grams(gram, n); ``n`` counts it in the training texts."""
+    table, contexts = trie(grams, order)
+
+    def contexts_of(k: int) -> DataFrame:
+        return contexts.where(F.col("k") == k).drop("k")
+
+    seen = grams.where("n > 0").withColumn("context", F.shiftright("gram", 8)).join(contexts_of(order), "context").select("gram", (F.log10(F.col("n") - DISCOUNT) - F.col("whole")).alias("value"))
+    # Grams that training lacks: down through their ends until all are known, then up again.
+    levels, missing = [], grams.where("n = 0").select(F.col("gram").alias("g"))
+    for k in range(order, -1, -1):
+        known = table.where(F.col("k") == k).select("g", "n")
+        level = missing.join(known, "g", "left").withColumn("context", F.shiftright("g", 8)).join(contexts_of(k), "context", "left")
+        levels.append(checkpointed(level))
+        missing = levels[-1].where("n IS NULL").select(_tail(F.col("g"), k - 1).alias("g")).distinct() if k else None
+    direct, found = F.log10(F.col("n") - DISCOUNT) - F.col("whole"), None
+    for k, level in enumerate(reversed(levels)):
+        if not k:
+            after = F.when(F.col("n").isNull(), -F.log10(F.lit(256) - F.coalesce("followers", F.lit(0))))
+            value = F.coalesce(direct, F.coalesce("escape", F.lit(0.0)) + after)
+        else:
+            level = level.withColumn("tail", F.when(F.col("n").isNull(), _tail(F.col("g"), k - 1))).join(found, "tail", "left")
+            # ``after``: the value once the byte has escaped from this context.
+            after = F.coalesce(F.log10(F.col("tail_n") - DISCOUNT) - F.col("rest"), F.col("onward") + F.col("tail_after"))
+            value = F.coalesce(direct, F.col("escape") + after, F.col("tail_value"))
+        found = level.select(F.col("g").alias("tail"), F.col("n").alias("tail_n"), after.alias("tail_after"), value.alias("tail_value"))
+    return seen.unionByName(found.select(F.col("tail").alias("gram"), F.col("tail_value").alias("value")))
 
 
 def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """Per row: id, n_tokens, n_known, train_tokens, base_score, score; ``train`` marks the rows to learn from."""
-    text = F.col(text_col).cast("string").alias("t")
-    learn = df.where(F.coalesce(train, F.lit(False))).select(text)
-    grams = checkpointed(count_grams(learn, order))
-    contexts = fit_contexts(grams, order)
-    words = checkpointed(count_words(learn))
-    n_docs = int(contexts["n"][(contexts["k"] == 0) & (contexts["g"] == END[0])].sum())
-    sums = words.agg(F.sum("c").alias("c"), F.count("*").alias("v")).first()
+    """Per row: id, n_tokens, n_known, train_tokens, base_score, score; ``train`` marks the rows to learn from.
+
+    ``score`` is the model's log10 probability, ``base_score`` that of a plain
+    word model with half a count added to each word.
+    """
+    if not 1 <= order <= 6:
+        raise ValueError("a gram of order + 1 bytes must fit a positive long")
+    texts = written(cut_blocks(df, train, id_col, text_col))
+    found = written(tally(texts, order))
+    words = checkpointed(found.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")))
+    grams = checkpointed(found.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")))
+    n_docs = texts.where("learn").count()
+    sums = words.agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v")).first()
     n = (sums["c"] or 0) + n_docs
-    v = sums["v"] + (1 if n_docs else 0)
-    norm = math.log10(n + 0.5 * (v + 1))
-    frequent = words.where(F.col("c") >= F.lit(FREQUENT * n)).toArrow()
-    shared = df.sparkSession.sparkContext.broadcast(contexts | {"key": hash((n, v, order, id(contexts))), "order": order, "words": frequent["word"].to_pylist(), "counts": frequent["c"].to_pylist()})
-    narrow = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("k"), text)
-    key = narrow.schema["k"].dataType
-    row = "rid long, k {}, word binary, tf long, n_tokens long, n_known long, base double, score double".format(key.simpleString())
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, known = _model(shared)
-        log_of: dict[int, float] = {}
-        for part, raw in slices(batches, 2):
-            rids = part.column(0).to_pylist()
-            strings, facts, rare_rid, rare_word, rare_tf = [], [], [], [], []
-            for rid, t in zip(rids, raw, strict=True):
-                string, ws = serialised(t)
-                strings.append(string)
-                base, seen = math.log10(n_docs + 0.5) - norm * (len(ws) + 1), 1 if n_docs else 0
-                for w, tf in Counter(ws).items():
-                    c = known.get(w)
-                    if c is None:
-                        rare_rid.append(rid)
-                        rare_word.append(w)
-                        rare_tf.append(tf)
-                    else:
-                        value = log_of.get(c)
-                        if value is None:
-                            value = log_of[c] = math.log10(c + 0.5)
-                        base += tf * value
-                        seen += tf
-                facts.append((len(ws) + 1, seen, base))
-            scores = automaton.score(strings)
-            # A document's own row has a key that is no word and that no other row has.
-            own = pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([b" %d" % r for r in rids], pa.binary()), pa.nulls(len(rids), pa.int64()), pa.array([f[0] for f in facts], pa.int64()), pa.array([f[1] for f in facts], pa.int64()), pa.array([f[2] for f in facts], pa.float64()), pa.array(scores, pa.float64())],
-                names=["rid", "k", "word", "tf", "n_tokens", "n_known", "base", "score"],
-            )
-            yield own
-            m = len(rare_rid)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rare_rid, pa.int64()), pa.nulls(m, own.schema.field("k").type), pa.array(rare_word, pa.binary()), pa.array(rare_tf, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())],
-                names=own.schema.names,
-            )
-
-    found = narrow.mapInArrow(run, row).join(words.where(F.col("c") < F.lit(FREQUENT * n)), "word", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    tf = F.coalesce(F.col("tf"), F.lit(0))
-    # An id that is null is null on all rows of its document; max() of a single value is that value.
-    return (
-        found.groupBy("rid")
-        .agg(
-            F.max("k").alias(id_col), F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + F.sum(F.when(c > 0, tf).otherwise(0))).alias("n_known"),
-            (F.max("base") + F.sum(tf * F.log10(c + F.lit(0.5)))).alias("base_score"), F.max("score").alias("score"),
-        )
-        .select(id_col, "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    norm = math.log10(n + 0.5 * (sums["v"] + (n_docs > 0) + 1))
+    prices = checkpointed(price(grams, order))
+    needs = found.where("gram IS NOT NULL").select("block", "gram").join(prices, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), "value").unionByName(
+        found.where("word IS NOT NULL").select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value"))
     )
 
+    def run(rows: pa.Table, table: pa.Table) -> pa.Table:
+        is_gram = table["gram"].is_valid()
+        priced, counted = table.filter(is_gram), table.filter(pa.compute.invert(is_gram))
+        known, first = np.unique(priced["gram"].to_numpy(), return_index=True)
+        values = priced["value"].to_numpy()[first]
+        index = {w: i for i, w in enumerate(counted["word"].to_pylist())}
+        counts = counted["value"].to_numpy()
+        logs, there = np.log10(counts + 0.5), counts > 0
+        out = []
+        for part, strings in slices(rows.to_batches(), 1):
+            codes, inverse = np.unique(grams_of(strings, order), return_inverse=True)
+            each = values[np.searchsorted(known, codes)][inverse]
+            score = np.add.reduceat(each, np.cumsum([0, *map(len, strings[:-1])]))
+            split = [s.split() for s in strings]
+            lengths = np.array([len(w) for w in split])
+            ids = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
+            owner = np.repeat(np.arange(len(split)), lengths)
+            base = np.bincount(owner, logs[ids], len(split)) + math.log10(n_docs + 0.5) - norm * (lengths + 1)
+            n_known = np.bincount(owner, there[ids], len(split)).astype(np.int64) + (1 if n_docs else 0)
+            out.append(pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths + 1), pa.array(n_known), pa.array(np.full(len(split), n)), pa.array(base), pa.array(score)], names=["k", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        return pa.Table.from_batches(out)
+
+    schema = f"k {texts.schema['k'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    scored = texts.select("block", "k", "s").groupBy("block").cogroup(needs.groupBy("block")).applyInArrow(lambda rows, table: run(rows.select(["k", "s"]), table), schema)
+    return scored.withColumnRenamed("k", id_col)
+
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)

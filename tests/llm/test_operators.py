@@ -165,17 +165,59 @@ def test_language_model(spark, texts):
         assert r["train_tokens"] == n and r["n_tokens"] == len(ws) + 1 and r["n_known"] == sum(c[w] > 0 for w in ws) + 1 and r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
 
 
-def test_contexts_sum_to_one():
-    texts = [b"the cat sat on the mat and the cat ran", b"a dog and a cat"] * 3
-    grams, n = np.unique(language_model._grams([language_model.serialised(t)[0] for t in texts], 3), return_counts=True)
-    k, g, c = [], [], []
-    for j in range(4):
-        codes, inverse = np.unique(grams & ((1 << 8 * (j + 1)) - 1), return_inverse=True)
-        k.append(np.full(len(codes), j)), g.append(codes), c.append(np.bincount(inverse, n).astype(np.int64))
-    a = language_model.Automaton(*map(np.concatenate, (k, g, c)), order=3)
-    assert np.allclose((10.0 ** a.log10p.astype(float)).sum(1), 1, atol=1e-4)
-    one = a.score([b"the cat \n"])[0]
-    assert one == pytest.approx(a.score([b"zz \n", b"the cat \n"] * 40)[1]) and one > a.score([b"qqx zvv \n"])[0]
+def ppm(strings, order):
+    """A plain PPM with exclusion: the log10 probability of a string under the counts of ``strings``."""
+    counts = {}
+    for s in strings:
+        s = language_model.END * order + s
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                counts.setdefault(s[i - k : i], Counter())[s[i]] += 1
+
+    def one(context, byte):
+        out, gone = 0.0, set()
+        for k in range(order, -1, -1):
+            left = {x: n for x, n in counts.get(context[order - k :], {}).items() if x not in gone}
+            if not left:
+                continue
+            if byte in left:
+                return out + math.log10((left[byte] - language_model.DISCOUNT) / sum(left.values()))
+            out += math.log10(language_model.DISCOUNT * len(left) / sum(left.values()))
+            gone |= set(left)
+        return out - math.log10(256 - len(gone))
+
+    def score(s):
+        s = language_model.END * order + s
+        return sum(one(s[i - order : i], s[i]) for i in range(order, len(s)))
+
+    return one, score
+
+
+@pytest.mark.parametrize(("order", "block"), [(5, 8 << 20), (5, 3000), (2, 1), (6, 40_000)])
+def test_language_model_equals_plain_ppm(spark, monkeypatch, order, block):
+    """Scores of texts learned from and of new ones, with bytes that training lacks, in one block or many."""
+    monkeypatch.setattr(language_model, "BLOCK", block)
+    rng = random.Random(order)
+    made = ["".join(rng.choice("abc de\u00e9\u65e5") for _ in range(rng.randint(0, 200))) for _ in range(60)] + ["the cat sat on the mat"] * 20 + ["", "\U0001f642 qqq zzz the cat"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(made)] + [(None, None)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(docs, F.col("doc_id") % 3 != 1, order=order).collect()}
+    strings = [language_model.serialised(t.encode()) for t in made]
+    _, score = ppm([s for i, s in enumerate(strings) if i % 3 != 1], order)
+    assert len(got) == len(made) + 1
+    for i, s in [*enumerate(strings), (None, language_model.END)]:
+        assert got[i] == pytest.approx(score(s), rel=1e-9), i
+
+
+def test_language_model_prices_sum_to_one(spark):
+    strings = [language_model.serialised(t) for t in [b"the cat sat on the mat and the cat ran", b"a dog and a cat"] * 3]
+    codes, n = np.unique(language_model.grams_of(strings, 3), return_counts=True)
+    known = dict(zip(codes.tolist(), n.tolist(), strict=True))
+    contexts = [b"the", b"e c", b"zth", b"zz ", b"qqq"]
+    asked = {int.from_bytes(c + bytes([b])) for c in contexts for b in range(256)}
+    grams = spark.createDataFrame([(g, known.get(g, 0)) for g in sorted(asked | set(known))], "gram long, n long")
+    found = {r["gram"]: r["value"] for r in language_model.price(grams, 3).collect()}
+    for c in contexts:
+        assert sum(10 ** found[int.from_bytes(c + bytes([b]))] for b in range(256)) == pytest.approx(1, abs=1e-9)
 
 
 def test_media_round_trip_and_damage():
