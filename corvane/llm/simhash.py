@@ -21,6 +21,12 @@ differ in two bits or fewer), which is linear; for other distances they are cut
 blocks that meet pairwise.  Tasks hand on links that connect what they found, not
 all pairs.  Components come from minimum labels with pointer jumping.
 
+``keep_one`` removes near-duplicates at a Jaccard similarity of 0.8, where two
+64-bit fingerprints differ in 9.7 bits on average and the pigeonhole needs a radius
+of 15, at which its probes meet several percent of all rows.  There, bands of least
+hashes of the shingle sets propose pairs, SimHash sketches screen them, and the
+exact similarity of the sets decides.
+
 Defined results: a null or empty text has fingerprint zero, linked like any
 other; rows with a null id take part, and a component without any id has a null
 component_id; repeated rows share a fingerprint; an empty table gives an empty
@@ -36,10 +42,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, checkpointed, documents, slices, unused
+from .common import LOWER_AZ, checkpointed, documents, slices, unused, written
 from .piece_codec import ranges
 
 BITS = 64
@@ -52,11 +58,11 @@ SIGNATURE_COST = 40
 PAIRS, WIDE = 1 << 21, 1 << 12
 #: Required Jaccard similarity of near-duplicates in ``keep_one``, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Pairs of sets are compared exactly if both their sketches differ in at most so many bits (9.7 are expected at 0.8, and over 28 less often than once in 10^5).
-SKETCH_BITS = 28
-#: Shingles that occur so often among about so many texts come last in the order of prefixes.
-OFTEN, SAMPLE = 5, 2_000
-#: Nodes that are sent to all executors at most.
+#: Bands of so many hash functions each: sets of that similarity share no band less often than once in 10^4 (0.8 ** 6 a band).
+BANDS, BAND = 32, 6
+#: Sets are compared exactly if their two sketches differ in at most so many of 128 bits (19.4 are expected at 0.8, with a deviation of 4.1).
+SKETCH_BITS = 44
+#: Texts' hashes that are sent to all executors at most; more are joined.
 FEW = 100_000
 
 
@@ -363,119 +369,106 @@ def _shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.sort(np.fromiter(found, np.uint64, len(found)))
 
 
-def _texts(df: DataFrame, text_col: str) -> DataFrame:
-    """(t, body): the text and a hash of it as it stands."""
-    text = F.col(f"`{text_col}`").cast("string")
-    return df.select(text.alias("t"), F.xxhash64(text).alias("body"))
-
-
 def _node(hashes: np.ndarray) -> int:
     import xxhash
 
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0
 
 
+def _band_keys(hashes: np.ndarray, odd: np.ndarray, mask: np.ndarray) -> list[int]:
+    """A key for each band: ``BAND`` least values of the set under as many hash functions."""
+    import xxhash
+
+    if not len(hashes):
+        return []
+    least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(hashes), 1024):
+        np.minimum(least, ((hashes[a : a + 1024, None] ^ mask) * odd).min(0), out=least)
+    return [signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least.reshape(BANDS, BAND))]
+
+
 def shingle_sketches(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, body (a hash of the text as it stands), node (a hash of the shingle set), the set's size and two sketches of it."""
+    """Per row: id, body (a hash of the text as it stands), node (a hash of the shingle set), the set's size, two SimHash sketches and band keys."""
     text = F.col(f"`{text_col}`").cast("string")
     narrow = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("t"), F.xxhash64(text).alias("body"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.Generator(np.random.PCG64(SEED))
+        mask, odd = (rng.integers(0, 1 << 64, BANDS * BAND, np.uint64) for _ in range(2))
+        odd |= np.uint64(1)
         for part, texts in slices(batches, 1):
             sets = [_shingle_hashes(t, width) for t in texts]
             short = np.array([(_node(h), _majority(h), _majority(_remixed(h))) for h in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *map(pa.array, short.T.copy()), pa.array([len(h) for h in sets], pa.int32())], names=["id", "body", "node", "fp", "fp2", "size"])
-
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, body long, node long, fp long, fp2 long, size int")
-
+            keys = pa.array([_band_keys(h, odd, mask) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *map(pa.array, short.T.copy()), pa.array([len(h) for h in sets], pa.int32()), keys], names=["id", "body", "node", "fp", "fp2", "size", "keys"])
 
-def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(node, hashes) of texts(t, body)."""
+    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, body long, node long, fp long, fp2 long, size int, keys array<long>")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, raw in slices(batches, 0):
-            sets = [_shingle_hashes(t, width) for t in raw]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([_node(h) for h in sets], np.uint64).view(np.int64)), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], names=["node", "hashes"])
-
-    return texts.select("t").mapInArrow(run, "node long, hashes array<long>")
-
-
-def prefixes(texts: DataFrame, n: int, width: int) -> DataFrame:
-    """(token, node) of texts(t, body), ``n`` rows: two sets of the required similarity share a token.
-
-    In any common order of the hashes, such sets share one among the first
-    size - ceil(similarity * size) + 1.  Hashes that are common in a sample go
-    last, which changes the cost and not the result.
-    """
-    sample = texts.where(F.pmod(F.xxhash64("body"), F.lit(1 << 20)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20)))
-    often = shingle_sets(sample, width).select(F.explode("hashes").alias("h")).groupBy("h").count().where(F.col("count") >= OFTEN).collect()  # bounded by the sample
-    often.sort(key=lambda r: r["h"] % (1 << 64))
-    shared = texts.sparkSession.sparkContext.broadcast((np.array([r["h"] for r in often], np.int64).view(np.uint64), np.array([r["count"] for r in often], np.int64)))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = shared.value
-        for _, raw in slices(batches, 0):
-            tokens, nodes = [], []
-            for t in raw:
-                h = _shingle_hashes(t, width)
-                node, most = _node(h), len(h) - -(-len(h) * NUMERATOR // DENOMINATOR) + 1
-                if not len(h):
-                    continue
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    h = h[np.lexsort((h, np.where(known[at] == h, counts[at], 0)))]
-                tokens.append(h[:most])
-                nodes.append(np.full(most, node, np.uint64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (tokens, nodes)], names=["token", "node"])
-
-    return texts.select("t").mapInArrow(run, "token long, node long")
+def _distance(a: str, b: str) -> Column:
+    """Differing bits of the two sketches of the structs ``a`` and ``b``."""
+    return F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) + F.bit_count(F.col(f"{a}.fp2").bitwiseXOR(F.col(f"{b}.fp2")))
 
 
 def _likely(a: str, b: str) -> Column:
     """Whether sizes and sketches of the structs ``a`` and ``b`` allow the required similarity."""
     small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
-    near = [F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) <= SKETCH_BITS for f in ("fp", "fp2")]
-    return (small * DENOMINATOR >= large * NUMERATOR) & near[0] & near[1]
+    return (small * DENOMINATOR >= large * NUMERATOR) & (_distance(a, b) <= SKETCH_BITS)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose shingle sets have at least the required Jaccard similarity."""
+def verified(pairs: DataFrame, rows: DataFrame, df: DataFrame, width: int, text_col: str) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose shingle sets have at least the required Jaccard similarity, by their texts."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bodies = checkpointed(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("body").alias("body")).select("body"))
-    wanted = F.broadcast(bodies) if bodies.count() <= FEW else bodies
-    held = checkpointed(shingle_sets(texts.join(wanted, "body", "left_semi"), width).dropDuplicates(["node"]))
-    x, y = (held.select(F.col("node").alias(c), F.col("hashes").alias(f"hashes_{c}")) for c in "ab")
-    both, sizes = F.size(F.array_intersect("hashes_a", "hashes_b")), F.size("hashes_a") + F.size("hashes_b")
-    compared = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), sizes.alias("sizes"))
-    return compared.where(F.col("both") * DENOMINATOR >= (F.col("sizes") - F.col("both")) * NUMERATOR).select("a", "b")
-
+    bodies = checkpointed(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("body").alias("body")))
+    text = F.col(f"`{text_col}`").cast("string")
+    texts = df.select(text.alias("t"), F.xxhash64(text).alias("body"))
+    held = written(texts.join(F.broadcast(bodies) if bodies.count() <= FEW else bodies, "body").groupBy("node").agg(F.first("t").alias("t")))
+    x, y = (held.select(F.col("node").alias(c), F.col("t").alias(f"t_{c}")) for c in "ab")
 
-def similar_components(rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, np.empty(0, np.uint64)
+        for part, right in slices(batches, 3):
+            keep = []
+            firsts = part.column(2)
+            for i, (node, other) in enumerate(zip(part.column(0).to_pylist(), right, strict=True)):
+                if node != last:  # rows of one node follow each other after the join on it
+                    last, left = node, _shingle_hashes((firsts[i].as_py() or "").encode(), width)
+                h = _shingle_hashes(other, width)
+                both = len(np.intersect1d(left, h, assume_unique=True))
+                keep.append(both * DENOMINATOR >= (len(left) + len(h) - both) * NUMERATOR)
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(y, "b").select("a", "b", "t_b").join(x, "a").select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
+
+
+def similar_components(rows: DataFrame, df: DataFrame, width: int, text_col: str) -> DataFrame:
     """(node, label) for the nodes of distinct shingle sets that a chain of similar sets connects.
 
-    Stars first: in each group of sets that share a token, the others meet one of
-    them.  Sets that this connects need no more pairs between them; all other
-    pairs follow.
+    Sets that share a band key are candidates.  First every set meets one head of
+    its keys, the one nearest by sketches.  Sets that this connects need no more
+    pairs between them; all other candidate pairs follow.
     """
-    same = Window.partitionBy("token")
-    spread = prefixes(texts, rows.count(), width).select("token", "node", F.min("node").over(same).alias("first"), F.max("node").over(same).alias("last"))
-    groups = spread.where(F.col("first") < F.col("last")).select("token", "node", "first").distinct()
-    points = rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "fp", "fp2")]).select("node", F.struct("node", "size", "fp", "fp2").alias("x"))
-    points = checkpointed(points)
-    groups = checkpointed(groups.join(points, "node").select("token", "x", "first"))
-    star = groups.select("x", "first").join(points.select(F.col("node").alias("first"), F.col("x").alias("y")), "first")
-    pairs = star.where((F.col("y.node") != F.col("x.node")) & _likely("y", "x")).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
-    found = checkpointed(verified(checkpointed(pairs), rows, texts, width))
-    labels = components(found)
-    named = groups.select("token", "x", F.col("x.node").alias("node")).join(labels, "node", "left").select("token", "x", F.coalesce("label", "node").alias("label"))
-    lists = named.groupBy("token", "label").agg(F.collect_list("x").alias("xs"))
-    apart = lists.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    lists = checkpointed(lists.join(apart, "token", "left_semi"))
-    other = lists.select("token", F.col("label").alias("other"), F.col("xs").alias("ys"))
-    met = lists.join(other, "token").where("label < other").select("ys", F.explode("xs").alias("x")).select("x", F.explode("ys").alias("y"))
-    rest = met.where(_likely("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    return components(found.unionByName(verified(checkpointed(rest), rows, texts, width)))
+    points = written(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "fp", "fp2", "keys")]))
+    sketch = F.struct("size", "fp", "fp2")
+    bands = points.select("node", F.explode("keys").alias("key"))
+    # A key's head is picked by a hash of key and node, so that a set is not the head of all its keys.
+    heads = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("o"), "node")).alias("head"), F.count("*").alias("n")).where("n > 1")
+    heads = checkpointed(heads.select("key", F.col("head.node").alias("head")))
+    shared = written(bands.join(heads, "key"))
+    stars = shared.where("node <> head").select("node", "head").distinct()
+    stars = stars.join(points.select("node", sketch.alias("x")), "node").join(points.select(F.col("node").alias("head"), sketch.alias("y")), "head").where(_likely("x", "y"))
+    nearest = stars.groupBy("node").agg(F.min(F.struct(_distance("x", "y").alias("d"), "head")).alias("nearest"))
+    first = checkpointed(nearest.select(F.col("nearest.head").alias("a"), F.col("node").alias("b")))
+    found = checkpointed(verified(first, rows, df, width, text_col))
+    named = shared.select("key", "node").join(components(found), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    named = checkpointed(named)
+    apart = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    ends = checkpointed(named.join(apart, "key", "left_semi").join(points.select("node", sketch.alias("s")), "node").select("key", "label", "node", "s"))
+    x, y = (ends.select("key", F.struct("label", "node", "s.size", "s.fp", "s.fp2").alias(c)) for c in "xy")
+    rest = x.join(y, "key").where((F.col("x.label") < F.col("y.label")) & _likely("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    done = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = checkpointed(rest.join(done, ["a", "b"], "left_anti"))
+    return components(found.unionByName(verified(rest, rows, df, width, text_col)))
 
 
 def keep_one(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -483,8 +476,8 @@ def keep_one(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: st
 
     Two texts link if the Jaccard similarity of their shingle sets is at least 0.8.
     """
-    rows = checkpointed(shingle_sketches(df, width, id_col, text_col))
-    labels = similar_components(rows, _texts(df, text_col), width)
+    rows = written(shingle_sketches(df, width, id_col, text_col))
+    labels = similar_components(rows, df, width, text_col)
     named = rows.select("id", "body", "node").join(labels, "node", "left").select("id", "body", F.coalesce("label", "node").alias("component"))
     # Rows are told apart by id and text: ids can be null or repeat.
     best = checkpointed(named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body")).alias("best")).select(F.col("best.id").alias("kept_id"), F.col("best.body").alias("kept_body")))
