@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: White space of the word rule: space, and tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
+#: Bytes of text that a task works on at a time.
+SLICE = 2 << 20
 #: Translation table that lower-cases A-Z and leaves every other byte.
 LOWER_AZ = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -91,12 +93,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def slices(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int | None = None) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut Arrow batches so that each part has about ``most_bytes`` of text.
 
     Yields the part and its texts as UTF-8 (null as empty).  A longer single
     text is a part of its own; no text is cut.
     """
+    most_bytes = most_bytes or SLICE
     for batch in batches:
         texts = batch.column(column).cast(pa.large_binary())
         start, held = 0, 0

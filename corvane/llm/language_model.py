@@ -22,8 +22,7 @@ frequent enough to fill a task.
 
 Defined results: a null or empty text has the end token alone; rows are scored
 one by one, repeated ids included, and equal texts get equal scores; a text of any
-length is scored whole (one longer than ``BLOCK`` is a block of its own); with no
-training text every byte value is equally likely; an empty table gives an empty
+length is scored whole; with no training text every byte value is equally likely; an empty table gives an empty
 result.  Only id and text are read.
 """
 
@@ -47,8 +46,10 @@ ORDER = 5
 #: Taken from each follower's count and given to the escape.
 DISCOUNT = 0.4
 END = b"\n"
-#: Bytes of text that share one lookup table; a task holds about thirty times as much at most.
-BLOCK = 8 << 20
+#: A block ends once it has so many bytes of text, or so many distinct grams and words; a task holds one block.
+BLOCK, ENTRIES = 64 << 20, 4_000_000
+#: Grams held before they are summed, besides twice those summed already.
+MERGE = 1 << 20
 
 
 def serialised(text: bytes) -> bytes:
@@ -70,59 +71,64 @@ def grams_of(strings: list[bytes], order: int) -> np.ndarray:
     return code[scored]
 
 
-def cut_blocks(df: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
-    """(block, k, learn, s): the id, whether to learn from the row, and the serialised text."""
-    narrow = df.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{text_col}`").cast("string").alias("t"), F.coalesce(train, F.lit(False)).alias("learn"))
+def cut_blocks(df: DataFrame, train: Column, order: int, id_col: str, text_col: str) -> DataFrame:
+    """Texts in blocks, and what the blocks hold: rows of two kinds in one table.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = TaskContext.get().partitionId() << 32, 0
-        for part, raw in slices(batches, 1):
-            strings = [serialised(t) for t in raw]
-            blocks = []
-            for s in strings:
-                if held and held + len(s) > BLOCK:
-                    block, held = block + 1, 0
-                held += len(s)
-                blocks.append(block)
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), part.column(0), part.column(2), pa.array(strings, pa.binary())], names=["block", "k", "learn", "s"])
-
-    return narrow.mapInArrow(run, f"block long, k {narrow.schema['k'].dataType.simpleString()}, learn boolean, s binary")
-
-
-def tally(texts: DataFrame, order: int) -> DataFrame:
-    """(block, gram, word, n) of texts(block, learn, s): a row for each distinct gram or word of a block, with its count in the rows to learn from."""
+    A row of a text has block, k (its id), learn (whether to learn from it) and s
+    (serialised); a row of a distinct gram or word of a block has block, gram or
+    word, and n, its count in the block's texts to learn from.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    narrow = df.select(F.col(f"`{id_col}`").alias("k"), text.alias("t"), F.coalesce(train, F.lit(False)).alias("learn"))
+    size = narrow.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    # A partition ends a block: fewer, larger partitions make fuller blocks.
+    narrow = narrow.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // BLOCK)))
+    names = ["block", "k", "learn", "s", "gram", "word", "n"]
+    types = [pa.int64(), None, pa.bool_(), pa.binary(), pa.int64(), pa.binary(), pa.int64()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size, merged = TaskContext.get().partitionId() << 32, 0, 0
         grams: list[tuple[np.ndarray, np.ndarray]] = []
         words: Counter[bytes] = Counter()
-        at = None
+        key = None
 
-        def out() -> Iterator[pa.RecordBatch]:
-            names = ["block", "gram", "word", "n"]
+        def rows(length: int, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(length, t or key)) for c, t in zip(names, types, strict=True)], names=names)
+
+        def merge() -> int:
             codes, inverse = np.unique(np.concatenate([c for c, _ in grams]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([n for _, n in grams])).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), at)), pa.array(codes), pa.nulls(len(codes), pa.binary()), pa.array(n)], names=names)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), at, np.int64)), pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=names)
+            grams[:] = [(codes, np.bincount(inverse, np.concatenate([n for _, n in grams])).astype(np.int64))]
+            return len(codes)
+
+        def found() -> Iterator[pa.RecordBatch]:
+            merge()
+            codes, n = grams[0]
+            yield rows(len(codes), block=pa.array(np.full(len(codes), block)), gram=pa.array(codes), n=pa.array(n))
+            yield rows(len(words), block=pa.array(np.full(len(words), block, np.int64)), word=pa.array(list(words), pa.binary()), n=pa.array(list(words.values()), pa.int64()))
             grams.clear()
             words.clear()
 
-        for part, raw in slices(batches, 2):
-            blocks, learns = part.column(0).to_numpy(), np.array(part.column(1).to_pylist(), bool)
-            for block in np.unique(blocks).tolist():
-                if at is not None and block != at:
-                    yield from out()
-                at = block
-                for learn in (True, False):
-                    strings = [raw[i] for i in np.flatnonzero((blocks == block) & (learns == learn)).tolist()]
-                    if strings:
-                        codes, n = np.unique(grams_of(strings, order), return_counts=True)
-                        grams.append((codes, n if learn else np.zeros(len(n), np.int64)))
-                        found = Counter(chain.from_iterable(map(bytes.split, strings)))
-                        words.update(found if learn else dict.fromkeys(found, 0))
-        if at is not None:
-            yield from out()
-
-    return texts.select("block", "learn", "s").mapInArrow(run, "block long, gram long, word binary, n long")
+        for part, raw in slices(batches, 1):
+            key = part.column(0).type
+            strings, learns = [serialised(t) for t in raw], part.column(2).to_pylist()
+            yield rows(len(strings), block=pa.array(np.full(len(strings), block)), k=part.column(0), learn=part.column(2), s=pa.array(strings, pa.binary()))
+            size += sum(map(len, strings))
+            for learn in (True, False):
+                mine = [s for s, x in zip(strings, learns, strict=True) if x == learn]
+                if mine:
+                    codes, n = np.unique(grams_of(mine, order), return_counts=True)
+                    grams.append((codes, n if learn else np.zeros(len(n), np.int64)))
+                    seen = Counter(chain.from_iterable(map(bytes.split, mine)))
+                    words.update(seen if learn else dict.fromkeys(seen, 0))
+            if sum(len(c) for c, _ in grams) > 2 * merged + MERGE:
+                merged = merge()
+            if size >= BLOCK or merged + len(words) >= ENTRIES:
+                yield from found()
+                block, size, merged = block + 1, 0, 0
+        if grams:
+            yield from found()
+
+    return narrow.mapInArrow(run, f"block long, k {narrow.schema['k'].dataType.simpleString()}, learn boolean, s binary, gram long, word binary, n long")
 
 
 def _tail(gram: Column, k: int) -> Column:
@@ -191,8 +197,8 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     """
     if not 1 <= order <= 6:
         raise ValueError("a gram of order + 1 bytes must fit a positive long")
-    texts = written(cut_blocks(df, train, id_col, text_col))
-    found = written(tally(texts, order))
+    found = written(cut_blocks(df, train, order, id_col, text_col))
+    texts = found.where("s IS NOT NULL").select("block", "k", "learn", "s")
     words = checkpointed(found.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")))
     grams = checkpointed(found.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")))
     n_docs = texts.where("learn").count()
@@ -200,8 +206,8 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     n = (sums["c"] or 0) + n_docs
     norm = math.log10(n + 0.5 * (sums["v"] + (n_docs > 0) + 1))
     prices = checkpointed(price(grams, order))
-    needs = found.where("gram IS NOT NULL").select("block", "gram").join(prices, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), "value").unionByName(
-        found.where("word IS NOT NULL").select("block", "word").join(words, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value"))
+    needs = found.where("gram IS NOT NULL").select("block", "gram").join(prices, "gram").select(F.col("block").alias("of"), "gram", F.lit(None).cast("binary").alias("word"), "value").unionByName(
+        found.where("word IS NOT NULL").select("block", "word").join(words, "word").select(F.col("block").alias("of"), F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value"))
     )
 
     def run(rows: pa.Table, table: pa.Table) -> pa.Table:
@@ -227,7 +233,7 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         return pa.Table.from_batches(out)
 
     schema = f"k {texts.schema['k'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = texts.select("block", "k", "s").groupBy("block").cogroup(needs.groupBy("block")).applyInArrow(lambda rows, table: run(rows.select(["k", "s"]), table), schema)
+    scored = texts.select("block", "k", "s").groupBy("block").cogroup(needs.groupBy("of")).applyInArrow(lambda rows, table: run(rows.select(["k", "s"]), table), schema)
     return scored.withColumnRenamed("k", id_col)
 
 

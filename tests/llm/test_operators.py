@@ -193,10 +193,12 @@ def ppm(strings, order):
     return one, score
 
 
-@pytest.mark.parametrize(("order", "block"), [(5, 8 << 20), (5, 3000), (2, 1), (6, 40_000)])
+@pytest.mark.parametrize(("order", "block"), [(5, 64 << 20), (5, 3000), (2, 1), (6, 40_000)])
 def test_language_model_equals_plain_ppm(spark, monkeypatch, order, block):
     """Scores of texts learned from and of new ones, with bytes that training lacks, in one block or many."""
     monkeypatch.setattr(language_model, "BLOCK", block)
+    monkeypatch.setattr(language_model, "MERGE", 50)
+    monkeypatch.setattr(common, "SLICE", min(block, 2 << 20))
     rng = random.Random(order)
     made = ["".join(rng.choice("abc de\u00e9\u65e5") for _ in range(rng.randint(0, 200))) for _ in range(60)] + ["the cat sat on the mat"] * 20 + ["", "\U0001f642 qqq zzz the cat"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(made)] + [(None, None)], "doc_id long, text string").repartition(3)
