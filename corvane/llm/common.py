@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -111,3 +112,15 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int | Non
             held += n
         if start < batch.num_rows:
             yield batch.slice(start), [t or b"" for t in texts.slice(start).to_pylist()]
+
+
+def picked(texts: list[str], most: int) -> Iterator[int]:
+    """Indices of texts picked at random, the same for as many texts: one at least, then up to ``most`` characters."""
+    held = 0
+    for i in random.Random(len(texts)).sample(range(len(texts)), len(texts)):
+        if held and held + len(texts[i]) > most:
+            continue
+        held += len(texts[i])
+        yield i
+        if held >= most:
+            return

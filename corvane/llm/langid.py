@@ -79,7 +79,7 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         total, n = np.zeros(DIMS, np.int64), 0
         for _, raw in slices(batches, 0, 1 << 20):
             for a in range(0, len(raw), 512):
-                total += (gram_counts([t.decode() for t in raw[a : a + 512]]) > 0).sum(0)
+                total += (gram_counts([t.decode(errors="replace") for t in raw[a : a + 512]]) > 0).sum(0)
             n += len(raw)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1)), pa.array(np.append(total, n))], names=["cell", "n"])
 
@@ -104,7 +104,7 @@ def fit_centroids(df: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw in slices(batches, 1, 1 << 20):
-            x = weigh(gram_counts([t.decode() for t in raw]), idf).astype(np.float16)
+            x = weigh(gram_counts([t.decode(errors="replace") for t in raw]), idf).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "x"])
 
     sample = picked.select("lang", "t").mapInArrow(vectors, "lang string, x binary").toArrow().to_pydict()
@@ -134,7 +134,7 @@ def identify_languages(df: DataFrame, model: dict, id_col: str = "doc_id", text_
         for part, raw in slices(batches, 1, 1 << 20):
             pred, score, near, far = [], [], [], []
             for a in range(0, len(raw), 512):
-                texts = [t.decode() for t in raw[a : a + 512]]
+                texts = [t.decode(errors="replace") for t in raw[a : a + 512]]
                 letters = [any(c.isalpha() for c in t) for t in texts]
                 if not m["names"]:
                     pred, score, near, far = (x + [y] * len(texts) for x, y in ((pred, "und"), (score, 0.0), (near, 0.0), (far, True)))

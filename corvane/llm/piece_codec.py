@@ -7,11 +7,11 @@ text falls apart before its space marks and the agendas of the parts are
 independent.  Each distinct part is merged once: the agendas of many short parts
 advance together, one merge a round each, in NumPy; a long part has a heap.
 
-In every slice of an Arrow batch some texts are encoded and decoded by the
-sentencepiece library too, and a difference stops the job.
+In every slice of an Arrow batch some texts, picked at random, are encoded and
+decoded by the sentencepiece library too, and a difference stops the job.
 
 Defined results: a null or empty text gives the begin and end ids alone and
-decodes to an empty text; repeated rows get equal results; an empty table gives
+decodes to an empty text; bytes that are not UTF-8 count as U+FFFD; repeated rows get equal results; an empty table gives
 an empty result.  Only the id and the text are read.
 """
 
@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices
+from .common import documents, picked, slices
 
 SPACE = "▁"
 #: Parts of more characters than this get a heap of their own.
 SHORT = 40
-#: Distinct parts held by a worker (about 200 bytes each); beyond it, the store begins anew.
-HELD = 300_000
-#: Bytes of text per slice that the library checks (at least one text).
+#: Distinct parts, and characters in them, held by a worker; beyond either, the store begins anew.
+HELD, HELD_CHARS = 300_000, 16 << 20
+#: Characters of text per slice that the library checks (at least one text).
 CHECKED = 16_384
 NONE = np.int32(2**31 - 1)
 
@@ -102,6 +102,7 @@ class PieceCodec:
 
     def _clear(self) -> None:
         self.held: dict[str, int] = {}
+        self.held_chars = 0
         self.ids = np.zeros(1 << 20, np.int32)
         self.at = np.zeros(HELD + 1, np.int64)
 
@@ -217,10 +218,11 @@ class PieceCodec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, with begin and end."""
         parts = [self.part.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.held) > HELD:
+        if len(self.held) > HELD or self.held_chars > HELD_CHARS:
             self._clear()
         new = set().union(*parts).difference(self.held)
         if new:
+            self.held_chars += sum(map(len, new))
             self._learn(list(new))
         index = np.fromiter(map(self.held.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
         lengths = self.at[index + 1] - self.at[index]
@@ -241,14 +243,11 @@ class PieceCodec:
         return out
 
     def check(self, texts: list[str], ids: list[np.ndarray], decoded: list[bytes]) -> None:
-        """Raise if the library says otherwise for the first texts, up to CHECKED bytes."""
-        held = 0
-        for t, i, d in zip(texts, ids, decoded, strict=True):
-            if held and held + len(t) > CHECKED:
-                break
-            held += len(t)
+        """Raise if the library says otherwise for texts picked at random, up to CHECKED characters."""
+        for i in picked(texts, CHECKED):
+            t = texts[i]
             said = self.library.encode(t, add_bos=True, add_eos=True)
-            if said != i.tolist() or self.library.decode(said).encode() != d:
+            if said != ids[i].tolist() or self.library.decode(said).encode() != decoded[i]:
                 raise RuntimeError(f"the sentencepiece library gives other ids for {t[:80]!r}")
 
 
@@ -275,7 +274,7 @@ def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for part, raw in slices(batches, 1):
-            texts = [t.decode() for t in raw]
+            texts = [t.decode(errors="replace") for t in raw]
             ids = c.encode(texts)
             decoded = c.decode(ids)
             c.check(texts, ids, decoded)

@@ -84,7 +84,7 @@ def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
 
         for part, raw in slices(batches, 0):
             for t, toxic, fold in zip(raw, part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                held.setdefault((toxic, fold % 2), Counter()).update({u for w in set(WORD.findall(t.decode().lower())) for u in units_of(w)} | {""})
+                held.setdefault((toxic, fold % 2), Counter()).update({u for w in set(WORD.findall(t.decode(errors="replace").lower())) for u in units_of(w)} | {""})
             if sum(map(len, held.values())) > 1_000_000:
                 yield out()
                 held = {}
@@ -160,7 +160,7 @@ def featurize(rows: DataFrame, lexicons: list[dict[str, float]]) -> DataFrame:
             _made[k] = [Featurizer(w) for w in words]
         made = _made[k]
         for part, raw in slices(batches, 1):
-            x = [made[u].features(t.decode()) for t, u in zip(raw, part.column(2).to_pylist(), strict=True)]
+            x = [made[u].features(t.decode(errors="replace")) for t, u in zip(raw, part.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.list_(pa.float64()))], names=["id", "x"])
 
     narrow = rows.select("id", "t", F.col("use").cast("int"))

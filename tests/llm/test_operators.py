@@ -105,6 +105,16 @@ def test_token_counts_equal_library(spark, texts):
         assert got[d] == len(c.library.encode(t, add_special_tokens=False).ids)
 
 
+def test_token_counts_with_special_pieces_equal_library():
+    import public_tokenizers
+
+    c = token_counts.counter(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(3)
+    bits = ["<unk>", "<s>", "</s>", "<0x41>", "a", "b", " ", "\u2581", "\t", "\n", "\u00e9", "\u65e5", "\U0001f642", "the", "<", "unk>", "  "]
+    made = ["a\t<unk>", "<unk><unk>", "<unk>"] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    assert c.count(made)[0].tolist() == [len(c.library.encode(t, add_special_tokens=False).ids) for t in made]
+
+
 def neighbours(fps, most, check=None):
     """Least index reachable, by comparing all pairs."""
     label = list(range(len(fps)))
