@@ -33,7 +33,8 @@ from .common import checkpointed, documents, hash60, id_remainder, slices, unuse
 
 #: Labelled rows that lexicon, trees and calibration are fitted on, about.
 MAX_TRAIN = 20_000
-MAX_UNITS = 3_000
+#: A text to learn from is seen by the lexicon of the other ones of so many folds.
+FOLDS = 5
 #: A unit counts if its log odds, less so many standard errors, are at least this.
 LEAST_LOG_ODDS, SURENESS = 1.5, 1.28
 PREFIXES = (4, 5, 6)
@@ -60,7 +61,7 @@ SHOUT = re.compile(r"[!?]{2,}")
 CAPS = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-Þ]{3,}(?!\w)")
 FEATURES = [
     "log_words", "lexicon_density", "lexicon_weight", "lexicon_hits", "lexicon_distinct", "lexicon_most", "fixed_density", "near_second_person", "second_person",
-    "upper_ratio", "caps_words", "exclamations", "questions", "punctuation", "shouts", "masked", "spaced", "long_runs", "revealed_hits", "digits",
+    "upper_ratio", "caps_words", "exclamations", "questions", "punctuation", "shouts", "masked", "spaced", "long_runs", "revealed_hits", "digits", "odd_letters",
 ]
 
 
@@ -69,42 +70,44 @@ def units_of(word: str) -> list[str]:
 
 
 def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
-    """Unit -> log odds, from sample(t, toxic, part): units that mark toxic texts, at most MAX_UNITS.
+    """Unit -> log odds, from sample(t, toxic, part): units that mark toxic texts.
 
-    Three lexicons: from the even parts, from the odd parts, from all.
+    One lexicon for each fold, from the texts of all other folds, then one from
+    all texts.  The sample is of bounded size, hence the lexicons too.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], Counter[str]] = {}
 
         def out() -> pa.RecordBatch:
-            rows = [(u, y, half, n) for (y, half), c in held.items() for u, n in c.items()]
+            rows = [(u, y, fold, n) for (y, fold), c in held.items() for u, n in c.items()]
             columns = zip(*rows, strict=True) if rows else ([], [], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["unit", "toxic", "half", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["unit", "toxic", "fold", "n"])
 
         for part, raw in slices(batches, 0):
             for t, toxic, fold in zip(raw, part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                held.setdefault((toxic, fold % 2), Counter()).update({u for w in set(WORD.findall(t.decode(errors="replace").lower())) for u in units_of(w)} | {""})
+                held.setdefault((toxic, fold % FOLDS), Counter()).update({u for w in set(WORD.findall(t.decode(errors="replace").lower())) for u in units_of(w)} | {""})
             if sum(map(len, held.values())) > 1_000_000:
                 yield out()
                 held = {}
         yield out()
 
-    def total(toxic: int, half: int) -> Column:
-        return F.sum(F.when((F.col("toxic") == toxic) & (F.col("half") == half), F.col("n")).otherwise(0)).alias(f"n{toxic}{half}")
+    def total(toxic: int, fold: int) -> Column:
+        return F.sum(F.when((F.col("toxic") == toxic) & (F.col("fold") == fold), F.col("n")).otherwise(0)).alias(f"n{toxic}{fold}")
 
-    made = sample.select("t", "toxic", F.col("part").cast("int")).mapInArrow(run, "unit string, toxic int, half int, n long")
-    counts = made.groupBy("unit").agg(total(0, 0), total(0, 1), total(1, 0), total(1, 1))
-    counts = checkpointed(counts.where((F.col("n10") + F.col("n11") >= 3) | (F.col("unit") == "")))
+    made = sample.select("t", "toxic", F.col("part").cast("int")).mapInArrow(run, "unit string, toxic int, fold int, n long")
+    counts = made.groupBy("unit").agg(*[total(y, k) for y in (0, 1) for k in range(FOLDS)])
+    counts = checkpointed(counts.where((sum(F.col(f"n1{k}") for k in range(FOLDS)) >= 2) | (F.col("unit") == "")))
     whole = counts.where(F.col("unit") == "").first()
     out = []
-    for halves in ((0,), (1,), (0, 1)):
-        a, b = (sum((F.col(f"n{y}{h}") for h in halves), F.lit(0)) for y in (1, 0))
-        na, nb = (sum(whole[f"n{y}{h}"] for h in halves) if whole else 0 for y in (1, 0))
+    for left_out in [*range(FOLDS), None]:
+        folds = [k for k in range(FOLDS) if k != left_out]
+        a, b = (sum((F.col(f"n{y}{k}") for k in folds), F.lit(0)) for y in (1, 0))
+        na, nb = (sum(whole[f"n{y}{k}"] for k in folds) if whole else 0 for y in (1, 0))
         odds = F.log((a + 0.5) / (na + 1)) - F.log((b + 0.5) / (nb + 1))
         sure = odds - SURENESS * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
         found = counts.where((F.col("unit") != "") & (a >= max(2, math.ceil(0.003 * na)))).select("unit", odds.alias("odds"), sure.alias("sure")).where(F.col("sure") >= LEAST_LOG_ODDS)
-        out.append({r["unit"]: r["odds"] for r in found.orderBy(F.desc("sure"), "unit").limit(MAX_UNITS).collect()})
+        out.append({r["unit"]: r["odds"] for r in found.collect()})
     return out
 
 
@@ -142,6 +145,7 @@ class Featurizer:
             (len(raw) - len(raw.translate(None, CAPITALS))) / chars,
             100 * len(CAPS.findall(text)) / n, 100 * bangs / chars, 100 * asks / chars, 100 * sum(map(text.count, ".,;:-\"'()")) / chars, 100 * len(SHOUT.findall(text)) / n,
             100 * len(masked) / n, 100 * len(spaced) / n, 100 * len(LONG_RUN.findall(low)) / n, float(revealed), 100 * sum(map(text.count, "0123456789")) / chars,
+            100 * (len(raw) - len(text)) / chars,  # letters outside ASCII, such as look-alikes
         ]
 
 
@@ -191,11 +195,11 @@ def score_toxicity(df: DataFrame, labels: DataFrame, train: Column, id_col: str
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     labelled = checkpointed(texts.join(sample, texts["id"] == sample["label_id"]).select("id", "t", "toxic", "part").repartition(12, "id"))
     lexicons = learn_lexicons(labelled)
-    # A text to learn from is seen by the lexicon of the other half, as a new text will be seen.
-    learned = _vectors(featurize(labelled.withColumn("use", 1 - F.col("part") % 2), lexicons))
+    # A text to learn from is seen by the lexicon of the other folds, as a new text will be seen.
+    learned = _vectors(featurize(labelled.withColumn("use", F.col("part") % FOLDS), lexicons))
     known = checkpointed(learned.join(sample, learned["id"] == sample["label_id"]).select("features", F.col("toxic").cast("double").alias("label"), "part").repartition(4))
     named = texts if key is None else df.select(key.alias("id"), F.col(text_col).cast("string").alias("t"))
-    vectors = _vectors(featurize(named.withColumn("use", F.lit(2)), lexicons))
+    vectors = _vectors(featurize(named.withColumn("use", F.lit(FOLDS)), lexicons))
     counts = {(int(r["label"]), r["late"]): r["count"] for r in known.groupBy("label", (F.col("part") < CALIBRATION_PARTS).alias("late")).count().collect()}
     toxic, total = sum(n for (y, _), n in counts.items() if y), sum(counts.values())
     if not toxic or toxic == total:
