@@ -67,7 +67,7 @@ def deliberation_residual(latency: Column, amount: Column, intercept: float, slo
 
 
 def host(url: Column) -> Column:
-    return F.parse_url(url, F.lit("HOST"))
+    return F.try_parse_url(url, F.lit("HOST"))
 
 
 def shop_slug(url: Column) -> Column:

@@ -112,7 +112,7 @@ def component_sizes(events: DataFrame) -> DataFrame:
     return found.groupBy("component").agg(F.count("*").alias("nodes"))
 
 
-STATE = "seq long, component_nodes long, component_customers long, component_devices long, component_events long, component_cents long, component_declined long, component_agentic long, root string"
+STATE = "component_nodes long, component_customers long, component_devices long, component_events long, component_cents long, component_declined long, component_agentic long, root string"
 
 
 def component_state(events: DataFrame) -> DataFrame:
@@ -167,9 +167,9 @@ def component_state(events: DataFrame) -> DataFrame:
             for i, v in ((3, 1), (4, int(r.cents)), (5, int(r.declined)), (6, int(a is not None))):
                 top[i] += v
             out.append((r.seq, *state, find(c)))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in STATE.split(", ")])
+        return pd.DataFrame(out, columns=["seq", *[x.split()[0] for x in STATE.split(", ")]])
 
-    return rows.groupBy("component").applyInPandas(replay, STATE)
+    return rows.groupBy("component").applyInPandas(replay, f"seq {rows.schema['seq'].dataType.simpleString()}, {STATE}")
 
 
 def component_features(events: DataFrame) -> DataFrame:

@@ -17,9 +17,9 @@ DAY = 86_400_000_000
 
 
 def stream_view(flat: DataFrame) -> DataFrame:
-    """Flat events as the columns that the stream operators read; seq is a hash of the id and breaks ties of time."""
+    """Flat events as the columns that the stream operators read; seq, which breaks ties of time, is the id."""
     return flat.select(
-        F.xxhash64("event_id").alias("seq"), micros(F.col("ts")).alias("t"), F.col("customer_id").alias("customer"), F.col("card_bin").alias("bin"), F.col("device_id").alias("device"), F.col("merchant_id").alias("merchant"),
+        F.col("event_id").alias("seq"), micros(F.col("ts")).alias("t"), F.col("customer_id").alias("customer"), F.col("card_bin").alias("bin"), F.col("device_id").alias("device"), F.col("merchant_id").alias("merchant"),
         F.col("ag_agent_id").alias("agent"), F.col("ag_mandate_hash").alias("mandate"), "ip", "amount", F.rint(F.col("amount") * 100).cast("long").alias("cents"), F.col("auth_response").isin(schema.DECLINES).alias("declined"),
         F.lit(True).alias("known"), (F.col("txn_type") == "refund").alias("refund"), F.rint("settlement_lag_hours").cast("long").alias("lag"), "mcc", "channel", "txn_type", "settled", F.col("is_fraud").alias("fraud"), "attack_id", "attack_campaign", "event_id",
     )
@@ -32,7 +32,7 @@ def transaction_block(flat: DataFrame, home: str = "IN") -> DataFrame:
         **{f"txn_{k}": v for k, v in scalars.calendar(micros(c("ts"))).items()}, **{f"txn_{k}": v for k, v in scalars.direction(c("txn_type"), c("original_event_id")).items()},
         **{f"txn_{k}": v for k, v in scalars.null_flags("lat", "terminal_id", "device_id", "ip").items()}, "txn_physical_without_geo": (c("channel").isin("card_present", "atm") & c("lat").isNull()).cast("int"),
     }
-    return flat.select(F.xxhash64("event_id").alias("seq"), *[v.alias(k) for k, v in columns.items()])
+    return flat.select(F.col("event_id").alias("seq"), *[v.alias(k) for k, v in columns.items()])
 
 
 def mandate_block(flat: DataFrame, train: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def mandate_block(flat: DataFrame, train: DataFrame) -> DataFrame:
         "mnd_deliberation_z": scalars.deliberation_residual(c("ag_deliberation_latency_ms"), c("amount"), fit["intercept"] or 0.0, fit["slope"] or 0.0, fit["sigma"] or 1.0),
     }
     there = c("ag_agent_id").isNotNull()
-    return flat.select(F.xxhash64("event_id").alias("seq"), *[F.when(there, v).alias(k) for k, v in columns.items()])
+    return flat.select(F.col("event_id").alias("seq"), *[F.when(there, v).alias(k) for k, v in columns.items()])
 
 
 def graph_block(events: DataFrame, components: bool = False) -> DataFrame:
@@ -92,7 +92,7 @@ def run(flat: DataFrame, keys: dict[str, list[str]] | None = None, rounds: int =
     timed = flat.withColumn("t", micros(F.col("ts")))
     past, _ = models.time_split(timed, 0.7)
     matrix, names = feature_matrix(flat, past.drop("t"), keys or velocity.KEYS)
-    facts = rules.apply_rules(flat).select(F.xxhash64("event_id").alias("seq"), "l0_reason", "l0_fired")
+    facts = rules.apply_rules(flat).select(F.col("event_id").alias("seq"), "l0_reason", "l0_fired")
     facts = stream_view(flat).select("seq", "t", "fraud", "attack_id", F.col("attack_campaign").alias("campaign"), F.col("agent").isNull().alias("can_answer")).join(facts, "seq")
     rows = checkpointed(facts.join(matrix, "seq"))
     train, test = models.time_split(rows, 0.7)
