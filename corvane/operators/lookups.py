@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered, running
+
 
 def resolve(ids: DataFrame, bindings: DataFrame, fallback: DataFrame) -> DataFrame:
     """(content_id, artifact): the explicit binding, else the fall-back artifact of ordinal hex8 mod n.
@@ -27,36 +29,55 @@ def chain_score(chains: DataFrame, scores: DataFrame, most: int = 12, runner_up:
     return items.groupBy("seq").agg(top.alias("s")).select("seq", (F.get("s", F.lit(0)) + runner_up * F.coalesce(F.get("s", F.lit(1)), F.lit(0.0))).alias("score"))
 
 
-def never_used(pairs: DataFrame, candidates: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, value): for each key the candidate never seen with it that a hash puts first.
-
-    A key tries a few candidates at hashed places, not all of them; ``candidates``
-    has an ``ordinal`` from 0.
-    """
-    n = candidates.count()
-    tries = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(i.alias("i"), F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(max(n, 1))).alias("ordinal")))
-    wanted = pairs.select(key).distinct().select(key, F.explode(tries).alias("x")).select(key, "x.i", "x.ordinal").join(candidates, "ordinal")
-    fresh = wanted.join(pairs.select(key, value), [key, value], "left_anti")
-    return fresh.groupBy(key).agg(F.min_by(value, "i").alias(value))
+def _hex8(*parts: Column) -> Column:
+    """A number from the first 8 hex digits of the MD5 of the parts joined by colons."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
 
 
-def bind_interval(returns: DataFrame, purchases: DataFrame, band: int, key: str) -> DataFrame:
-    """(seq, source): each return's purchase of the same key in (t - band, t], the one a hash puts first; null if there is none.
+def never_used(pairs: DataFrame, candidates: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value): for each key one candidate never seen with it, at a hashed place among all of those.
 
-    Purchases sit in buckets of the band's width; a return looks in two buckets.
+    ``candidates`` has an ``ordinal`` from 0 without gaps.  The free candidate at
+    place h follows from the used ordinals alone: below the i-th of them, u, lie
+    u - i free ones, so it is h plus the number of those with u - i at most h.  A
+    key that has used every candidate gets one of them.
+    """
+    n = max(candidates.count(), 1)
+    used = pairs.select(key, value).distinct().join(candidates, value).select(key, "ordinal")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("ordinal")) - 1
+    free = used.select(key, (F.col("ordinal") - rank).alias("free"))
+    counts = pairs.select(key).distinct().join(used.groupBy(key).agg(F.count("*").alias("used")), key, "left").select(key, F.coalesce("used", F.lit(0)).alias("used"))
+    place = counts.select(key, F.pmod(_hex8(F.col(key)), F.when(F.col("used") < n, n - F.col("used")).otherwise(n)).alias("place"), (F.col("used") < n).alias("some"))
+    passed = free.join(place.where("some"), key).where(F.col("free") <= F.col("place")).groupBy(key).agg(F.count("*").alias("passed"))
+    picked = place.join(passed, key, "left").select(key, (F.col("place") + F.coalesce("passed", F.lit(0))).alias("ordinal"))
+    return picked.join(candidates, "ordinal").select(key, value)
+
+
+def bind_source(returns: DataFrame, purchases: DataFrame, band: int) -> DataFrame:
+    """(seq, source): each return's purchase with t in [target - band, target], at a hashed place among them.
+
+    returns(seq, target), purchases(seq, t).  If the band holds none, it is one of
+    all purchases up to the target; null if there is none at all.  Purchases are
+    numbered in order of time; a return finds the numbers at both ends of its band
+    by running counts, and its source by number: no pairs are formed.
     """
-    p = purchases.select(F.col(key), F.col("seq").alias("source"), F.col("t").alias("pt"), F.floor(F.col("t") / band).alias("bucket"))
-    r = returns.select(F.col("seq"), F.col(key), "t", F.explode(F.array(F.floor(F.col("t") / band), F.floor(F.col("t") / band) - 1)).alias("bucket"))
-    near = r.join(p, [key, "bucket"]).where((F.col("pt") <= F.col("t")) & (F.col("pt") > F.col("t") - band) & (F.col("source") != F.col("seq")))
-    pick = near.groupBy("seq").agg(F.min_by("source", F.struct(F.md5(F.concat_ws(":", F.col("seq").cast("string"), F.col("source").cast("string"))), "source")).alias("source"))
-    return returns.select("seq").join(pick, "seq", "left")
+    pool = purchases.select(F.col("seq").alias("source"), F.col("t").alias("at"))
+    asked = returns.select("seq", "target", (F.col("target") - band).alias("least"))
+    points = pool.select("at", F.lit(1).alias("n")).unionByName(asked.select(F.explode(F.array("target", "least")).alias("at"), F.lit(0).alias("n")))
+    counted = running(points, "at", {"n": F.col("n")})
+    place = F.row_number().over(Window.partitionBy("at").orderBy("source")) - 1
+    numbers = pool.withColumn("place", place).join(counted, "at").select("source", (F.col("n_below") + F.col("place")).alias("ordinal"))
+    ends = asked.join(counted.select(F.col("at").alias("target"), (F.col("n_below") + F.col("n")).alias("high")), "target").join(counted.select(F.col("at").alias("least"), F.col("n_below").alias("low")), "least")
+    low = F.when(F.col("low") < F.col("high"), F.col("low")).otherwise(0)
+    picked = ends.where("high > 0").select("seq", (low + F.pmod(_hex8(F.col("seq")), F.col("high") - low)).alias("ordinal"))
+    return returns.select("seq").join(picked.join(numbers, "ordinal").select("seq", "source"), "seq", "left")
 
 
 def inherit(returns: DataFrame, purchases: DataFrame, bound: DataFrame, columns: list[str]) -> DataFrame:
-    """returns with ``columns`` taken from the bound purchase where there is one."""
+    """returns with ``columns`` taken from the bound purchase where there is one, nulls included."""
     source = purchases.select(F.col("seq").alias("source"), *[F.col(c).alias(f"s_{c}") for c in columns])
     rows = returns.join(bound, "seq", "left").join(source, "source", "left")
-    return rows.select(*[F.coalesce(f"s_{c}", c).alias(c) if c in columns else F.col(c) for c in returns.columns], "source")
+    return rows.select(*[F.when(F.col("source").isNull(), F.col(c)).otherwise(F.col(f"s_{c}")).alias(c) if c in columns else F.col(c) for c in returns.columns], "source")
 
 
 def active(events: DataFrame, key: str, least: int) -> DataFrame:
@@ -66,18 +87,9 @@ def active(events: DataFrame, key: str, least: int) -> DataFrame:
 
 
 def opaque(events: DataFrame, key: str, prefix: str) -> DataFrame:
-    """(key, opaque): '<prefix>-000001' by order of first appearance (t, seq).
-
-    Keys are numbered within ranges of time, and a range starts where the earlier ranges end.
-    """
+    """(key, opaque): '<prefix>-000001' by order of first appearance (t, seq)."""
     first = events.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct("t", "seq")).alias("f")).select(key, F.col("f.t").alias("t"), F.col("f.seq").alias("seq"))
-    span = first.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
-    width = max(((span["b"] or 0) - (span["a"] or 0)) // 256 + 1, 1)
-    cut = first.withColumn("part", F.floor((F.col("t") - (span["a"] or 0)) / width))
-    sizes = cut.groupBy("part").agg(F.count("*").alias("n"))
-    starts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # at most 257 rows
-    number = F.row_number().over(Window.partitionBy("part").orderBy("t", "seq")) - 1 + F.col("start")
-    return cut.join(F.broadcast(starts), "part").select(key, F.format_string(f"{prefix}-%06d", number).alias("opaque"))
+    return numbered(first, "t", "seq").select(key, F.format_string(f"{prefix}-%06d", "ordinal").alias("opaque"))
 
 
 def time_window(events: DataFrame, start: int, length: int) -> DataFrame:

@@ -1,39 +1,54 @@
 """Running sums and ranks over a global order, without a task that sees all rows.
 
-Values are cut into ranges at approximate quantiles (at most ``ranges`` numbers on
-the driver); equal values share a range.  Sums run within a range, and a range's
-start comes from the totals of the ranges before it.
+Distinct values are dealt into ranges by Spark's range partitioning (equal values
+share a range), as many as the session has shuffle partitions.  Sums run within a
+range, and a range's start comes from the totals of the ranges before it.
 """
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
 
-
-def running(df: DataFrame, value: str, sums: dict[str, Column], ranges: int = RANGES) -> DataFrame:
+def running(df: DataFrame, value: str, sums: dict[str, Column], ranges: int | None = None) -> DataFrame:
     """A row per distinct non-null value: value, each sum at it (``x``) and below it (``x_below``)."""
     from corvane.plans.session import checkpointed
 
-    points = checkpointed(df.where(F.col(value).isNotNull()).groupBy(value).agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
-    cuts = points.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (F.col(value) > F.lit(c)).cast("int")
-    points = points.withColumn("part", part)
+    points = df.where(F.col(value).isNotNull()).groupBy(value).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    # The range number is fixed by the checkpoint.
+    cut = points.repartitionByRange(value) if ranges is None else points.repartitionByRange(ranges, value)
+    points = checkpointed(cut.withColumn("part", F.spark_partition_id()))
     totals = points.groupBy("part").agg(*[F.sum(n).alias(f"{n}_all") for n in sums])
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over at most RANGES rows
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = totals.select("part", *[F.coalesce(F.sum(f"{n}_all").over(earlier), F.lit(0)).alias(f"{n}_start") for n in sums])
     below = Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     within = points.select(value, "part", *sums, *[F.coalesce(F.sum(n).over(below), F.lit(0)).alias(f"{n}_in") for n in sums])
     return within.join(F.broadcast(starts), "part").select(value, *sums, *[(F.col(f"{n}_in") + F.col(f"{n}_start")).alias(f"{n}_below") for n in sums])
 
 
+def running_by_span(rows: DataFrame, key: list[str], span: Column, order: list[str], value: Column, out: str) -> DataFrame:
+    """rows with ``out``: the sum of ``value`` over the key's earlier rows by ``order``.
+
+    A key's rows are cut by ``span``, which must not fall along the order; sums run
+    within a span and begin at the total of the key's earlier spans, so that a
+    frequent key is spread over its spans.
+    """
+    marked = rows.withColumn("span_", span).withColumn("value_", value)
+    before = Window.partitionBy(*key).orderBy("span_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = marked.groupBy(*key, "span_").agg(F.sum("value_").alias("all_")).select(*key, "span_", F.coalesce(F.sum("all_").over(before), F.lit(0)).alias("start_"))
+    inside = Window.partitionBy(*key, "span_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = marked.withColumn("in_", F.coalesce(F.sum("value_").over(inside), F.lit(0))).join(starts, [*key, "span_"])
+    return summed.select(*rows.columns, (F.col("in_") + F.col("start_")).alias(out))
+
+
+def numbered(df: DataFrame, value: str, tie: str, out: str = "ordinal") -> DataFrame:
+    """df with the place from 0 of each row by (value, tie); values must not be null."""
+    r = running(df, value, {"rows_n": F.lit(1)}).select(value, "rows_n_below")
+    within = F.row_number().over(Window.partitionBy(value).orderBy(tie)) - 1
+    return df.withColumn(out, within).join(r, value).select(*df.columns, (F.col(out) + F.col("rows_n_below")).alias(out))
+
+
 def average_rank(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
     """(value, rank): the 1-based average rank of each distinct value."""
     r = running(df, value, {"rows_n": F.lit(1)})

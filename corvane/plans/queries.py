@@ -11,7 +11,7 @@ from corvane import schema
 from corvane.functions import scalars
 from corvane.generators import population, scenarios
 from corvane.operators import baselines, distances, graph, lookups, metrics, models, policy, rules, sequences, text, velocity
-from corvane.operators.ordered import average_rank, quantiles
+from corvane.operators.ordered import average_rank, numbered, quantiles
 from corvane.plans.session import checkpointed, read
 from corvane.sources.lenses import DAY, EVENTS_SQL, HOUR, ITEMS_SQL, auth_events, auth_items
 
@@ -502,24 +502,32 @@ def content_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "anti_join_novel_merchant",
-    f"""{EV}, u AS (SELECT DISTINCT customer, merchant FROM ev), m AS (SELECT DISTINCT merchant % 100 AS ordinal, merchant % 100 AS merchant FROM ev), n AS (SELECT count(*) AS n FROM m),
-    t AS (SELECT customer, i, ('0x' || substr(md5(customer || ':' || i), 1, 8))::BIGINT % n AS ordinal FROM (SELECT DISTINCT customer FROM ev), range(16) r(i), n), f AS (SELECT customer, i, merchant FROM t JOIN m USING (ordinal))
-    SELECT customer, arg_min(merchant, i) AS merchant FROM f WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.customer = f.customer AND u.merchant = f.merchant) GROUP BY customer""",
+    f"""{EV}, u AS (SELECT DISTINCT customer, merchant FROM ev), m AS (SELECT DISTINCT merchant FROM ev), c AS (SELECT DISTINCT customer FROM ev),
+    f AS (SELECT customer, list(m.merchant ORDER BY m.merchant) AS free FROM c, m WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.customer = c.customer AND u.merchant = m.merchant) GROUP BY customer),
+    w AS (SELECT list(merchant ORDER BY merchant) AS whole FROM m)
+    SELECT c.customer, coalesce(free, whole)[('0x' || substr(md5(c.customer::VARCHAR), 1, 8))::BIGINT % len(coalesce(free, whole)) + 1] AS merchant FROM c LEFT JOIN f USING (customer), w""",
 )
 def anti_join_novel_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = auth_events(spark, sf_dir)
-    candidates = e.select((F.col("merchant") % 100).alias("merchant")).distinct().withColumn("ordinal", F.col("merchant"))
-    return lookups.never_used(e.select("customer", "merchant").distinct(), candidates, "customer", "merchant")
+    candidates = numbered(e.select("merchant").distinct(), "merchant", "merchant")
+    return lookups.never_used(e.select("customer", "merchant"), candidates, "customer", "merchant")
 
 
-@query(
-    "interval_source_binding",
-    f"""{EV}, n AS (SELECT r.seq, p.seq AS source FROM ev r JOIN ev p ON p.customer = r.customer AND p.kind = 'purchase' AND p.t <= r.t AND p.t > r.t - {7 * DAY} WHERE r.refund)
-    SELECT ev.seq, (SELECT arg_min(source, (md5(n.seq || ':' || n.source), n.source)) FROM n WHERE n.seq = ev.seq) AS source FROM ev WHERE refund""",
-)
+#: A return's target lies some hours before it.
+BIND_SQL = f"""{EV}, p AS (SELECT seq AS source, t AS pt, row_number() OVER (ORDER BY t, seq) - 1 AS ordinal FROM ev WHERE kind = 'purchase'), r AS (SELECT seq, t - merchant * {HOUR} AS target FROM ev WHERE refund),
+    n AS (SELECT seq, count(source) FILTER (pt <= target) AS high, count(source) FILTER (pt < target - {DAY}) AS low FROM r LEFT JOIN p ON true GROUP BY seq),
+    o AS (SELECT seq, high, CASE WHEN low < high THEN low ELSE 0 END AS low FROM n),
+    b AS (SELECT seq, source FROM o LEFT JOIN p ON high > 0 AND ordinal = low + ('0x' || substr(md5(seq::VARCHAR), 1, 8))::BIGINT % nullif(high - low, 0))"""
+
+
+def _bound(events: DataFrame) -> DataFrame:
+    returns = events.where("refund").select("seq", (F.col("t") - F.col("merchant") * HOUR).alias("target"))
+    return lookups.bind_source(returns, events.where("kind = 'purchase'"), DAY)
+
+
+@query("interval_source_binding", f"{BIND_SQL} SELECT seq, source FROM b")
 def interval_source_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = auth_events(spark, sf_dir)
-    return lookups.bind_interval(e.where("refund"), e.where("kind = 'purchase'"), 7 * DAY, "customer")
+    return _bound(auth_events(spark, sf_dir))
 
 
 @query(
@@ -613,17 +621,16 @@ def active_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.active(auth_events(spark, sf_dir), "customer", 70).select("seq", "customer", "cents")
 
 
+INHERITED = ["customer", "merchant", "device", "agent", "mandate", "ip", "bin", "cents", "amount"]
+
+
 @query(
     "inherited_source",
-    f"""{EV}, n AS (SELECT r.seq, p.seq AS source FROM ev r JOIN ev p ON p.customer = r.customer AND p.kind = 'purchase' AND p.t <= r.t AND p.t > r.t - {7 * DAY} WHERE r.refund),
-    b AS (SELECT seq, arg_min(source, (md5(seq || ':' || source), source)) AS source FROM n GROUP BY seq)
-    SELECT r.seq, b.source, coalesce(p.merchant, r.merchant) AS merchant, coalesce(p.device, r.device) AS device, coalesce(p.cents, r.cents) AS cents FROM ev r LEFT JOIN b USING (seq) LEFT JOIN ev p ON p.seq = b.source WHERE r.refund""",
+    f"""{BIND_SQL} SELECT e.seq, b.source, {", ".join(f"CASE WHEN b.source IS NULL THEN e.{c} ELSE s.{c} END AS {c}" for c in INHERITED)} FROM ev e JOIN b USING (seq) LEFT JOIN ev s ON s.seq = b.source""",
 )
 def inherited_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = auth_events(spark, sf_dir)
-    returns, purchases = e.where("refund"), e.where("kind = 'purchase'")
-    bound = lookups.bind_interval(returns, purchases, 7 * DAY, "customer")
-    return lookups.inherit(returns, purchases, bound, ["merchant", "device", "cents"]).select("seq", "source", "merchant", "device", "cents")
+    return lookups.inherit(e.where("refund"), e.where("kind = 'purchase'"), _bound(e), INHERITED).select("seq", "source", *INHERITED)
 
 
 @query(
