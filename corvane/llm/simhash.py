@@ -62,6 +62,10 @@ NUMERATOR, DENOMINATOR = 4, 5
 BANDS, BAND = 32, 6
 #: Sets are compared exactly if their two sketches differ in at most so many of 128 bits (19.4 are expected at 0.8, with a deviation of 4.1).
 SKETCH_BITS = 44
+#: Keys of at most so many sets are compared by a join; those of more in blocks of so many sets and shingles at most, about.
+RARE, BLOCK_ROWS, BLOCK_SHINGLES = 32, 512, 1_000_000
+#: Columns of the incidence matrices.
+COLUMNS = 2048
 #: Texts' hashes that are sent to all executors at most; more are joined.
 FEW = 100_000
 
@@ -416,14 +420,17 @@ def _likely(a: str, b: str) -> Column:
     return (small * DENOMINATOR >= large * NUMERATOR) & (_distance(a, b) <= SKETCH_BITS)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, df: DataFrame, width: int, text_col: str) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose shingle sets have at least the required Jaccard similarity, by their texts."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bodies = checkpointed(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("body").alias("body")))
+def texts_of(nodes: DataFrame, rows: DataFrame, df: DataFrame, text_col: str) -> DataFrame:
+    """(node, t): a text of each node."""
+    bodies = checkpointed(rows.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("body").alias("body")))
     text = F.col(f"`{text_col}`").cast("string")
     texts = df.select(text.alias("t"), F.xxhash64(text).alias("body"))
-    held = written(texts.join(F.broadcast(bodies) if bodies.count() <= FEW else bodies, "body").groupBy("node").agg(F.first("t").alias("t")))
-    x, y = (held.select(F.col("node").alias(c), F.col("t").alias(f"t_{c}")) for c in "ab")
+    return written(texts.join(F.broadcast(bodies) if bodies.count() <= FEW else bodies, "body").groupBy("node").agg(F.first("t").alias("t")))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose shingle sets have at least the required Jaccard similarity, by texts(node, t)."""
+    x, y = (texts.select(F.col("node").alias(c), F.col("t").alias(f"t_{c}")) for c in "ab")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, np.empty(0, np.uint64)
@@ -431,7 +438,7 @@ def verified(pairs: DataFrame, rows: DataFrame, df: DataFrame, width: int, text_
             keep = []
             firsts = part.column(2)
             for i, (node, other) in enumerate(zip(part.column(0).to_pylist(), right, strict=True)):
-                if node != last:  # rows of one node follow each other after the join on it
+                if node != last:  # rows of one node mostly follow each other after the join on it
                     last, left = node, _shingle_hashes((firsts[i].as_py() or "").encode(), width)
                 h = _shingle_hashes(other, width)
                 both = len(np.intersect1d(left, h, assume_unique=True))
@@ -441,34 +448,84 @@ def verified(pairs: DataFrame, rows: DataFrame, df: DataFrame, width: int, text_
     return pairs.join(y, "b").select("a", "b", "t_b").join(x, "a").select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
 
 
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at ``left`` with those at ``right``, by products of incidence matrices."""
+    owner = np.repeat(np.arange(len(sets)), [len(h) for h in sets])
+    _, token, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = df[token] > 1
+    token, owner = token[shared], owner[shared]
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    dense = np.cumsum(np.diff(token, prepend=-1) > 0) - 1 if len(token) else token
+    out = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, int(dense[-1]) + 1 if len(dense) else 0, COLUMNS):
+        part = slice(*np.searchsorted(dense, [a, a + COLUMNS]))
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[owner[part], dense[part] - a] = 1
+        out += m[left] @ m[right].T
+    return out
+
+
+def frequent_links(members: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Links (a, b) between similar sets of different labels among members(key, node, label, size) of one key.
+
+    A key's members are cut into blocks of bounded size that meet pairwise, and a
+    task compares two blocks: no pairs are formed outside it, and it hands on links
+    that connect what it found.
+    """
+    sizes = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    cut = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = cut.select("key", "node", "label", "block", other).select("key", "node", "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, labels, block = (table[c].to_numpy() for c in ("node", "label", "block"))
+        x, y = table["x"][0].as_py(), table["y"][0].as_py()
+        sets = [_shingle_hashes((t or "").encode(), width) for t in table["t"].to_pylist()]
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        both, n = _overlaps(sets, left, right), np.array([len(h) for h in sets])
+        near = (both * DENOMINATOR >= (n[left][:, None] + n[right][None, :] - both) * NUMERATOR) & (labels[left][:, None] != labels[right][None, :])
+        i, j = np.nonzero(near)
+        a, b = _spanning(nodes[left[i]], nodes[right[j]]) if len(i) else (np.empty(0, np.int64), np.empty(0, np.int64))
+        return pa.table({"a": a, "b": b})
+
+    return met.join(texts, "node").select("key", "x", "y", "block", "node", "label", "t").groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
+
+
 def similar_components(rows: DataFrame, df: DataFrame, width: int, text_col: str) -> DataFrame:
     """(node, label) for the nodes of distinct shingle sets that a chain of similar sets connects.
 
     Sets that share a band key are candidates.  First every set meets one head of
     its keys, the one nearest by sketches.  Sets that this connects need no more
-    pairs between them; all other candidate pairs follow.
+    pairs between them.  All other candidate pairs follow: those of keys with at
+    most ``RARE`` sets by a join, those of frequent keys block by block.
     """
     points = written(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "fp", "fp2", "keys")]))
     sketch = F.struct("size", "fp", "fp2")
     bands = points.select("node", F.explode("keys").alias("key"))
     # A key's head is picked by a hash of key and node, so that a set is not the head of all its keys.
     heads = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("o"), "node")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    heads = checkpointed(heads.select("key", F.col("head.node").alias("head")))
+    heads = checkpointed(heads.select("key", "n", F.col("head.node").alias("head")))
     shared = written(bands.join(heads, "key"))
     stars = shared.where("node <> head").select("node", "head").distinct()
     stars = stars.join(points.select("node", sketch.alias("x")), "node").join(points.select(F.col("node").alias("head"), sketch.alias("y")), "head").where(_likely("x", "y"))
     nearest = stars.groupBy("node").agg(F.min(F.struct(_distance("x", "y").alias("d"), "head")).alias("nearest"))
     first = checkpointed(nearest.select(F.col("nearest.head").alias("a"), F.col("node").alias("b")))
-    found = checkpointed(verified(first, rows, df, width, text_col))
-    named = shared.select("key", "node").join(components(found), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    texts = texts_of(first.select(F.explode(F.array("a", "b")).alias("node")), rows, df, text_col)
+    found = checkpointed(verified(first, texts, width))
+    named = shared.select("key", "n", "node").join(components(found), "node", "left").select("key", "n", "node", F.coalesce("label", "node").alias("label"))
     named = checkpointed(named)
     apart = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    ends = checkpointed(named.join(apart, "key", "left_semi").join(points.select("node", sketch.alias("s")), "node").select("key", "label", "node", "s"))
-    x, y = (ends.select("key", F.struct("label", "node", "s.size", "s.fp", "s.fp2").alias(c)) for c in "xy")
+    # A set without a likely head (hence without a text here) can still be near another one.
+    ends = checkpointed(named.join(apart, "key", "left_semi").join(points.select("node", sketch.alias("s")), "node").select("key", "n", "label", "node", "s"))
+    x, y = (ends.where(F.col("n") <= RARE).select("key", F.struct("label", "node", "s.size", "s.fp", "s.fp2").alias(c)) for c in "xy")
     rest = x.join(y, "key").where((F.col("x.label") < F.col("y.label")) & _likely("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     done = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = checkpointed(rest.join(done, ["a", "b"], "left_anti"))
-    return components(found.unionByName(verified(rest, rows, df, width, text_col)))
+    frequent = ends.where(F.col("n") > RARE).select("key", "node", "label", "s.size")
+    more = rest.select(F.explode(F.array("a", "b")).alias("node")).unionByName(frequent.select("node")).distinct().join(texts, "node", "left_anti")
+    texts = texts.unionByName(texts_of(more, rows, df, text_col))
+    return components(found.unionByName(checkpointed(verified(rest, texts, width))).unionByName(checkpointed(frequent_links(frequent, texts, width))))
 
 
 def keep_one(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

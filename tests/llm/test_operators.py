@@ -324,8 +324,11 @@ def test_pipeline_equals_its_parts(spark):
     assert sorted(r["doc_id"] for r in unique.collect()) == sorted({ids[x] for x in label})
 
 
-def test_keep_one_equals_brute_force_jaccard(spark):
+@pytest.mark.parametrize("rare", [32, 2])
+def test_keep_one_equals_brute_force_jaccard(spark, monkeypatch, rare):
     """Families whose copies share about half, three quarters or more of their shingles, near 0.8 on both sides."""
+    monkeypatch.setattr(simhash, "RARE", rare)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 4)
     rng = random.Random(11)
     texts = []
     for _ in range(12):
