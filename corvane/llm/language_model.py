@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, checkpointed, documents, id_remainder, slices, written
 
-#: Bytes of context; a gram, one byte longer, fits a long.
-ORDER = 5
+#: Bytes of context; a gram, one byte longer, fits a long.  Each byte more about trebles the trie and what is shuffled.
+ORDER = 4
 #: Taken from each follower's count and given to the escape.
 DISCOUNT = 0.4
 END = b"\n"
@@ -144,12 +144,12 @@ def trie(grams: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
     those of the context one byte shorter, without the followers of this one.
     """
     levels = F.array(*[F.struct(F.lit(k).alias("k"), _tail(F.col("gram"), k).alias("g")) for k in range(order + 1)])
-    table = checkpointed(grams.where("n > 0").select(F.explode(levels).alias("x"), "n").groupBy("x.k", "x.g").agg(F.sum("n").alias("n")))
+    table = written(grams.where("n > 0").select(F.explode(levels).alias("x"), "n").groupBy("x.k", "x.g").agg(F.sum("n").alias("n")))
     shorter = table.select((F.col("k") + 1).alias("k"), F.col("g").alias("tail"), F.col("n").alias("tail_n"))
     cut = F.element_at(F.array(*[F.lit((1 << 8 * k) - 1) for k in range(order + 1)]), F.col("k") + 1)
     with_tail = table.withColumn("tail", F.when(F.col("k") > 0, F.col("g").bitwiseAND(cut))).join(shorter, ["k", "tail"], "left")
     sums = with_tail.groupBy("k", F.shiftright("g", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("followers"), F.sum("tail_n").alias("covered"))
-    sums = checkpointed(sums)
+    sums = written(sums)
     above = sums.select((F.col("k") + 1).alias("k"), F.col("context").alias("up"), F.col("total").alias("up_total"), F.col("followers").alias("up_followers"))
     up = F.when(F.col("k") > 0, F.shiftright(F.shiftleft("context", 8).bitwiseAND(cut), 8))
     rest, new = F.col("up_total") - F.col("covered"), F.col("up_followers") - F.col("followers")
@@ -157,7 +157,7 @@ def trie(grams: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
         "k", "context", "followers", F.log10("total").alias("whole"), F.log10(DISCOUNT * F.col("followers") / F.col("total")).alias("escape"),
         F.when(rest > 0, F.log10(rest)).alias("rest"), F.when(rest > 0, F.log10(DISCOUNT * new / rest)).otherwise(F.lit(0.0)).alias("onward"),
     )
-    return table, checkpointed(contexts)
+    return table, written(contexts)
 
 
 def price(grams: DataFrame, order: int = ORDER) -> DataFrame:
@@ -199,15 +199,17 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         raise ValueError("a gram of order + 1 bytes must fit a positive long")
     found = written(cut_blocks(df, train, order, id_col, text_col))
     texts = found.where("s IS NOT NULL").select("block", "k", "learn", "s")
-    words = checkpointed(found.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")))
-    grams = checkpointed(found.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")))
+    words = written(found.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")))
+    grams = written(found.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")))
     n_docs = texts.where("learn").count()
     sums = words.agg(F.sum("c").alias("c"), F.count_if(F.col("c") > 0).alias("v")).first()
     n = (sums["c"] or 0) + n_docs
     norm = math.log10(n + 0.5 * (sums["v"] + (n_docs > 0) + 1))
-    prices = checkpointed(price(grams, order))
+    prices = written(price(grams, order))
+    # A word of one block has all its counts there.
+    spread = words.where("blocks > 1").select("word", "c")
     needs = found.where("gram IS NOT NULL").select("block", "gram").join(prices, "gram").select(F.col("block").alias("of"), "gram", F.lit(None).cast("binary").alias("word"), "value").unionByName(
-        found.where("word IS NOT NULL").select("block", "word").join(words, "word").select(F.col("block").alias("of"), F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value"))
+        found.where("word IS NOT NULL").select("block", "word").join(spread, "word").select(F.col("block").alias("of"), F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value"))
     )
 
     def run(rows: pa.Table, table: pa.Table) -> pa.Table:
@@ -215,8 +217,10 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         priced, counted = table.filter(is_gram), table.filter(pa.compute.invert(is_gram))
         known, first = np.unique(priced["gram"].to_numpy(), return_index=True)
         values = priced["value"].to_numpy()[first]
-        index = {w: i for i, w in enumerate(counted["word"].to_pylist())}
-        counts = counted["value"].to_numpy()
+        count_of = Counter(chain.from_iterable(s.split() for s in rows.filter(rows["learn"])["s"].to_pylist()))
+        count_of.update({w: int(c) - count_of[w] for w, c in zip(counted["word"].to_pylist(), counted["value"].to_pylist(), strict=True)})
+        index = dict(zip(count_of, range(1, len(count_of) + 1), strict=True))
+        counts = np.array([0, *count_of.values()])
         logs, there = np.log10(counts + 0.5), counts > 0
         out = []
         for part, strings in slices(rows.to_batches(), 1):
@@ -225,7 +229,7 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
             score = np.add.reduceat(each, np.cumsum([0, *map(len, strings[:-1])]))
             split = [s.split() for s in strings]
             lengths = np.array([len(w) for w in split])
-            ids = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
+            ids = np.fromiter((index.get(w, 0) for w in chain.from_iterable(split)), np.int64, int(lengths.sum()))
             owner = np.repeat(np.arange(len(split)), lengths)
             base = np.bincount(owner, logs[ids], len(split)) + math.log10(n_docs + 0.5) - norm * (lengths + 1)
             n_known = np.bincount(owner, there[ids], len(split)).astype(np.int64) + (1 if n_docs else 0)
@@ -233,7 +237,7 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         return pa.Table.from_batches(out)
 
     schema = f"k {texts.schema['k'].dataType.simpleString()}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = texts.select("block", "k", "s").groupBy("block").cogroup(needs.groupBy("of")).applyInArrow(lambda rows, table: run(rows.select(["k", "s"]), table), schema)
+    scored = texts.select("block", "k", "s", "learn").groupBy("block").cogroup(needs.groupBy("of")).applyInArrow(lambda rows, table: run(rows.select(["k", "s", "learn"]), table), schema)
     return scored.withColumnRenamed("k", id_col)
 
 
