@@ -5,13 +5,17 @@ Every figure is read from events strictly earlier in (t, seq).
 
 from __future__ import annotations
 
-
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered, running_by_span
+
 CAP = 256
+#: First edges that are replayed in one run at most.
+MOST_EDGES = 1_000_000
+#: A key's events are counted by spans of so many microseconds (a day).
+SPAN = 86_400_000_000
 #: Name -> (key, counted value).
 DEGREES = {
     "device_customers": ("device", "customer"), "device_merchants": ("device", "merchant"), "customer_devices": ("customer", "device"), "customer_merchants": ("customer", "merchant"), "customer_bins": ("customer", "bin"),
@@ -20,49 +24,68 @@ DEGREES = {
 EDGES = (("customer", "device"), ("customer", "agent"), ("device", "agent"))
 
 
-def _first(a: str, b: str) -> Column:
-    """1 if this is the first event with both values (null if either is absent)."""
-    turn = F.row_number().over(Window.partitionBy(a, b).orderBy("t", "seq"))
-    return F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), (turn == 1).cast("int"))
+def _firsts(events: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, f): the (t, seq) of the first event with each pair of values, nulls apart."""
+    there = events.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return there.groupBy(a, b).agg(F.min(F.struct("t", "seq")).alias("f"))
 
 
 def capped_degrees(events: DataFrame, degrees: dict[str, tuple[str, str]] = DEGREES, cap: int = CAP) -> DataFrame:
-    """Distinct earlier values per key, at most ``cap``; null without a key."""
-    out = events
-    for name, (key, value) in degrees.items():
-        out = out.withColumn(f"f_{name}", F.coalesce(_first(key, value), F.lit(0)))
-    for name, (key, _) in degrees.items():
-        prev = Window.partitionBy(key).orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, -1)
-        out = out.withColumn(name, F.when(F.col(key).isNotNull(), F.least(F.lit(cap), F.coalesce(F.sum(f"f_{name}").over(prev), F.lit(0))).cast("long")))
-    return out.select("seq", *degrees)
+    """Distinct earlier values per key, at most ``cap``; null without a key.
+
+    The first ``cap`` first events of a key's values, in order, say it for all of
+    the key's events: they are at most ``cap`` entries a key, so that no window
+    runs over the events of a key.  Events are joined with them once a key column.
+    """
+    narrow = events.select("seq", "t", *sorted({k for k, _ in degrees.values()}))
+    out = narrow
+    for key in sorted({k for k, _ in degrees.values()}):
+        found = None
+        for name, (k, value) in degrees.items():
+            if k != key:
+                continue
+            early = _firsts(events, key, value).withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("f"))).where(F.col("r") <= cap)
+            one = early.groupBy(key).agg(F.sort_array(F.collect_list("f")).alias(f"f_{name}"))  # at most ``cap`` entries
+            found = one if found is None else found.join(one, key, "full_outer")
+        out = out.join(found, key, "left")
+    here = F.struct("t", "seq")
+
+    def earlier(firsts: str) -> Column:
+        return F.aggregate(F.coalesce(firsts, F.array()), F.lit(0).cast("long"), lambda n, f: n + (f < here).cast("long"))
+
+    return out.select("seq", *[F.when(F.col(k).isNotNull(), earlier(f"f_{name}")).alias(name) for name, (k, _) in degrees.items()])
 
 
-def customer_events(events: DataFrame) -> DataFrame:
-    turn = F.row_number().over(Window.partitionBy("customer").orderBy("t", "seq"))
-    return events.where(F.col("customer").isNotNull()).select("seq", (turn - 1).cast("long").alias("customer_events"))
+def customer_events(events: DataFrame, span: int = SPAN) -> DataFrame:
+    """How many earlier events the customer had."""
+    rows = events.where(F.col("customer").isNotNull()).select("seq", "t", "customer")
+    return running_by_span(rows, ["customer"], F.floor(F.col("t") / span), ["t", "seq"], {"customer_events": F.lit(1)}).select("seq", "customer_events")
 
 
-def pair_prior(events: DataFrame, a: str = "customer", b: str = "merchant") -> DataFrame:
+def pair_prior(events: DataFrame, a: str = "customer", b: str = "merchant", span: int = SPAN) -> DataFrame:
     """How often the pair occurred before."""
-    turn = F.row_number().over(Window.partitionBy(a, b).orderBy("t", "seq"))
-    return events.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select("seq", (turn - 1).cast("long").alias("pair_prior"))
+    rows = events.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select("seq", "t", a, b)
+    return running_by_span(rows, [a, b], F.floor(F.col("t") / span), ["t", "seq"], {"pair_prior": F.lit(1)}).select("seq", "pair_prior")
 
 
 def new_edge_share(events: DataFrame) -> DataFrame:
     """Share of the event's identity edges that were never seen before; null without edges."""
-    out = events
-    for i, (a, b) in enumerate(EDGES):
-        out = out.withColumn(f"e{i}", _first(a, b))
-    new = sum((F.coalesce(f"e{i}", F.lit(0)) for i in range(len(EDGES))), F.lit(0))
-    there = sum((F.col(f"e{i}").isNotNull().cast("int") for i in range(len(EDGES))), F.lit(0))
-    return out.select("seq", F.when(there > 0, new.cast("double") / there).alias("new_edge_share"))
+    firsts = None
+    for a, b in EDGES:
+        one = _firsts(events, a, b).select(F.col("f.seq").alias("seq"))
+        firsts = one if firsts is None else firsts.unionByName(one)
+    new = firsts.groupBy("seq").agg(F.count("*").alias("new"))  # an event is first for three edges at most
+    there = sum(((F.col(a).isNotNull() & F.col(b).isNotNull()).cast("int") for a, b in EDGES), F.lit(0))
+    share = F.when(F.col("there") > 0, F.coalesce("new", F.lit(0)).cast("double") / F.col("there"))
+    return events.select("seq", there.alias("there")).join(new, "seq", "left").select("seq", share.alias("new_edge_share"))
 
 
 def sliding_distinct(events: DataFrame, key: str, value: str, width: int, name: str) -> DataFrame:
     """Distinct values of the key's earlier events with t >= now - width.
 
     A value enters after its first event and leaves when ``width`` has passed since
-    its latest one: a running sum over entries and exits, no sets.
+    its latest one: a running sum over entries and exits, no sets, spread over the
+    key's spans of ``width``.
     """
     rows = events.where(F.col(key).isNotNull()).select("seq", "t", F.col(key).alias("k"), F.col(value).alias("v"))
     again = Window.partitionBy("k", "v").orderBy("t", "seq")
@@ -71,17 +94,13 @@ def sliding_distinct(events: DataFrame, key: str, value: str, width: int, name:
     enters = F.when(there & (F.col("before").isNull() | (F.col("t") - F.col("before") > width)), 1).otherwise(0)
     reads = marked.select("k", "t", F.lit(0).alias("kind"), "seq", enters.alias("d"))
     exits = marked.where(there & (F.col("after").isNull() | (F.col("after") - F.col("t") > width))).select("k", (F.col("t") + width).alias("t"), F.lit(1).alias("kind"), "seq", F.lit(-1).alias("d"))
-    prev = Window.partitionBy("k").orderBy("t", "kind", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    swept = reads.unionByName(exits).withColumn(name, F.coalesce(F.sum("d").over(prev), F.lit(0)).cast("long"))
-    return swept.where("kind = 0").select("seq", name)
+    swept = running_by_span(reads.unionByName(exits), ["k"], F.floor(F.col("t") / width), ["t", "kind", "seq"], {name: F.col("d")})
+    return swept.where("kind = 0").select("seq", F.col(name).cast("long").alias(name))
 
 
 def identity_edges(events: DataFrame) -> DataFrame:
     """(a, b) names of linked nodes: customer, device and agent of one event."""
-    def node(c: str) -> Column:
-        return F.concat(F.lit(c[0] + ":"), F.col(c).cast("string"))
-
-    pairs = F.array(*[F.struct(node(a).alias("a"), node(b).alias("b")) for a, b in EDGES])
+    pairs = F.array(*[F.struct(_named(a).alias("a"), _named(b).alias("b")) for a, b in EDGES])
     return events.select(F.explode(pairs).alias("e")).select("e.a", "e.b").where("a is not null and b is not null").distinct()
 
 
@@ -112,25 +131,37 @@ def component_sizes(events: DataFrame) -> DataFrame:
     return found.groupBy("component").agg(F.count("*").alias("nodes"))
 
 
-STATE = "component_nodes long, component_customers long, component_devices long, component_events long, component_cents long, component_declined long, component_agentic long, root string"
+MERGE = "lost string, kept string, t long, seq {}, k int, rank int"
+SUMS = ["component_nodes", "component_customers", "component_devices", "component_events", "component_cents", "component_declined", "component_agentic"]
 
 
-def component_state(events: DataFrame) -> DataFrame:
-    """The customer's component as it stood before each event, and its root after it.
+def _named(c: str) -> Column:
+    return F.concat(F.lit(c[0] + ":"), F.col(c).cast("string"))
+
 
-    Two final components never touch, so each is replayed by itself.  A replay
-    holds one component's events in one task; its size is that of the largest
-    final component of the identity graph.
+def merges(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
+    """(lost, kept, t, seq, k, rank): which root gave way to which, and when, as edges(a, b, t, seq, k) arrive in order.
+
+    Union by rank, the side of ``a`` wins ties; ``rank`` is that of the kept root
+    afterwards.  A root gives way once, so there are fewer rows than nodes.  Edges
+    are taken in runs of at most ``most``, in order: within a run, parts of the
+    graph that do not touch are replayed in tasks of their own, beginning with the
+    roots that earlier runs left.
     """
-    found = connected_components(identity_edges(events))
-    name = F.concat(F.lit("c:"), F.col("customer").cast("string"))
-    rows = events.where(F.col("customer").isNotNull()).join(found, name == F.col("node"), "left")
-    rows = rows.select("seq", "t", "customer", "device", "agent", "cents", F.col("declined").cast("int").alias("declined"), F.coalesce("component", name).alias("component"))
+    from corvane.plans.session import checkpointed
+
+    schema = MERGE.format(edges.schema["seq"].dataType.simpleString())
+    runs = max(1, -(-edges.count() // most))
+    if runs > 1:
+        edges = checkpointed(numbered(edges.withColumn("tie", F.struct("seq", "k")), "t", "tie").withColumn("run", F.floor(F.col("ordinal") / most)))
+    else:
+        edges = edges.withColumn("run", F.lit(0))
+    done = None
 
     def replay(group: pd.DataFrame) -> pd.DataFrame:
         parent: dict[str, str] = {}
         rank: dict[str, int] = {}
-        held: dict[str, list[int]] = {}
+        out = []
 
         def find(x: str) -> str:
             while parent[x] != x:
@@ -138,38 +169,87 @@ def component_state(events: DataFrame) -> DataFrame:
                 x = parent[x]
             return x
 
-        def node(x: str) -> str:
-            if x not in parent:
-                parent[x], rank[x] = x, 0
-                held[x] = [1, int(x[0] == "c"), int(x[0] == "d"), 0, 0, 0, 0]
-            return find(x)
-
-        def union(x: str, y: str) -> None:
-            x, y = node(x), node(y)
-            if x == y:
-                return
-            if rank[x] < rank[y]:
-                x, y = y, x
-            parent[y] = x
-            rank[x] += rank[x] == rank[y]
-            held[x] = [p + q for p, q in zip(held[x], held.pop(y), strict=True)]
+        for r in group.sort_values(["t", "seq", "k"]).itertuples():
+            for x, n in ((r.a, r.rank_a), (r.b, r.rank_b)):
+                parent.setdefault(x, x)
+                rank.setdefault(x, int(n))
+            x, y = find(r.a), find(r.b)
+            if x != y:
+                if rank[x] < rank[y]:
+                    x, y = y, x
+                parent[y] = x
+                rank[x] += rank[x] == rank[y]
+                out.append((y, x, r.t, r.seq, r.k, rank[x]))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    for run in range(runs):
+        now = edges.where(F.col("run") == run).select("a", "b", "t", "seq", "k", F.lit(0).alias("rank_a"), F.lit(0).alias("rank_b"))
+        if done is not None:
+            for side in ("a", "b"):
+                top = roots_over_time(now.select(F.col(side).alias("node"), F.lit(None).cast("long").alias("t"), F.lit(None).cast(edges.schema["seq"].dataType).alias("seq")).distinct(), done)
+                last = top.groupBy("node").agg(F.max_by("root", "turn").alias("root")).join(done.groupBy(F.col("kept").alias("root")).agg(F.max("rank").alias("rank")), "root", "left")
+                named = last.select(F.col("node").alias(side), F.col("root").alias("to"), F.coalesce("rank", F.lit(0)).alias("now"))
+                now = now.join(named, side).select(*[F.col("to").alias(c) if c == side else F.col("now").alias(c) if c == f"rank_{side}" else F.col(c) for c in now.columns])
+        now = checkpointed(now.where("a <> b"))
+        parts = connected_components(now)
+        found = now.join(parts, now["a"] == parts["node"]).groupBy("component").applyInPandas(replay, schema)
+        done = checkpointed(found if done is None else done.unionByName(found))
+    return done
+
+
+def roots_over_time(nodes: DataFrame, merged: DataFrame) -> DataFrame:
+    """(node, turn, root, t, seq, k): the roots that each of nodes(node, t, seq) has in turn, from its birth on.
+
+    A root's rank grows with every turn, so turns are at most the logarithm of the nodes.
+    """
+    from corvane.plans.session import checkpointed
 
-        out = []
-        for r in group.sort_values(["t", "seq"]).itertuples():
-            c = f"c:{int(r.customer)}"
-            state = list(held[node(c)])
-            d = None if pd.isna(r.device) else f"d:{int(r.device)}"
-            a = None if pd.isna(r.agent) else f"a:{int(r.agent)}"
-            for x, y in ((c, d), (c, a), (d, a)):
-                if x and y:
-                    union(x, y)
-            top = held[find(c)]
-            for i, v in ((3, 1), (4, int(r.cents)), (5, int(r.declined)), (6, int(a is not None))):
-                top[i] += v
-            out.append((r.seq, *state, find(c)))
-        return pd.DataFrame(out, columns=["seq", *[x.split()[0] for x in STATE.split(", ")]])
-
-    return rows.groupBy("component").applyInPandas(replay, f"seq {rows.schema['seq'].dataType.simpleString()}, {STATE}")
+    last = checkpointed(nodes.select("node", F.lit(0).alias("turn"), F.col("node").alias("root"), "t", "seq", F.lit(-1).alias("k")))
+    out = last
+    while True:
+        step = last.select("node", "turn", "root").join(merged, F.col("root") == F.col("lost")).select("node", (F.col("turn") + 1).alias("turn"), F.col("kept").alias("root"), "t", "seq", "k")
+        last = checkpointed(step)
+        if last.isEmpty():
+            return out
+        out = out.unionByName(last)
+
+
+def component_state(events: DataFrame, most: int = MOST_EDGES, span: int = SPAN) -> DataFrame:
+    """The customer's component as it stood before each event, and its root after it.
+
+    Only first edges between nodes change components: ``merges`` replays those.
+    A customer's root at a time follows from its few turns.  What a root holds is
+    a running sum over what reaches it: nodes and events as they come, and what a
+    lost root held of its own, once for each later root, at the time of the merge.
+    """
+    from corvane.plans.session import checkpointed
+
+    narrow = events.where(F.col("customer").isNotNull()).select("seq", "t", "customer", "device", "agent", F.col("cents").alias("component_cents"), F.col("declined").cast("long").alias("component_declined"), F.col("agent").isNotNull().cast("long").alias("component_agentic"))
+    edges = None
+    for k, (a, b) in enumerate(EDGES):
+        one = _firsts(narrow, a, b).select(_named(a).alias("a"), _named(b).alias("b"), F.col("f.t").alias("t"), F.col("f.seq").alias("seq"), F.lit(k).alias("k"))
+        edges = one if edges is None else edges.unionByName(one)
+    merged = merges(checkpointed(edges), most)
+    born = narrow.select("t", "seq", F.explode(F.array(_named("customer"), _named("device"), _named("agent"))).alias("node")).where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("t", "seq")).alias("f"))
+    turns = checkpointed(roots_over_time(born.select("node", "f.t", "f.seq"), merged))
+    mine = turns.where(F.col("node").startswith("c:")).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("t", "seq", "k", "root"))).alias("turns"))
+    here = F.struct("t", "seq")
+
+    def root(kept) -> Column:
+        return F.element_at(F.filter("turns", lambda x: kept(F.struct(x["t"], x["seq"]))), -1)["root"]
+
+    placed = narrow.withColumn("node", _named("customer")).join(mine, "node").withColumn("before", F.when(F.size(F.filter("turns", lambda x: F.struct(x["t"], x["seq"]) < here)) > 0, root(lambda at: at < here))).withColumn("root", root(lambda at: at <= here))
+    placed = checkpointed(placed.select("seq", "t", "before", "root", F.lit(1).cast("long").alias("component_events"), "component_cents", "component_declined", "component_agentic"))
+    facts = SUMS[3:]
+    nodes = turns.select("root", "t", "seq", F.lit(1).cast("long").alias("component_nodes"), F.col("node").startswith("c:").cast("long").alias("component_customers"), F.col("node").startswith("d:").cast("long").alias("component_devices"))
+    own = placed.groupBy("root").agg(*[F.sum(c).alias(c) for c in facts])
+    later = turns.where("turn > 0").select("node", F.col("root").alias("to"), "t", "seq").join(own, F.col("node") == F.col("root")).select(F.col("to").alias("root"), "t", "seq", *facts)
+    gains = nodes.unionByName(later, allowMissingColumns=True).unionByName(placed.select("root", "t", "seq", *facts), allowMissingColumns=True).withColumn("kind", F.lit(1))
+    reads = placed.where("before IS NOT NULL").select(F.col("before").alias("root"), "t", "seq", F.lit(0).alias("kind"))
+    rows = gains.unionByName(reads, allowMissingColumns=True).select("root", "t", "seq", "kind", *[F.col(c).alias(f"g_{c}") for c in SUMS])
+    state = running_by_span(rows, ["root"], F.floor(F.col("t") / span), ["t", "seq", "kind"], {c: F.coalesce(f"g_{c}", F.lit(0)) for c in SUMS}).where("kind = 0")
+    alone = {"component_nodes": 1, "component_customers": 1}
+    return placed.select("seq", "root").join(state.select("seq", *SUMS), "seq", "left").select("seq", *[F.coalesce(c, F.lit(alone.get(c, 0))).cast("long").alias(c) for c in SUMS], "root")
 
 
 def component_features(events: DataFrame) -> DataFrame:

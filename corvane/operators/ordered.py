@@ -27,19 +27,20 @@ def running(df: DataFrame, value: str, sums: dict[str, Column], ranges: int | No
     return within.join(F.broadcast(starts), "part").select(value, *sums, *[(F.col(f"{n}_in") + F.col(f"{n}_start")).alias(f"{n}_below") for n in sums])
 
 
-def running_by_span(rows: DataFrame, key: list[str], span: Column, order: list[str], value: Column, out: str) -> DataFrame:
-    """rows with ``out``: the sum of ``value`` over the key's earlier rows by ``order``.
+def running_by_span(rows: DataFrame, key: list[str], span: Column, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """rows with each sum over the key's earlier rows by ``order``.
 
     A key's rows are cut by ``span``, which must not fall along the order; sums run
-    within a span and begin at the total of the key's earlier spans, so that a
+    within a span and begin at the totals of the key's earlier spans, so that a
     frequent key is spread over its spans.
     """
-    marked = rows.withColumn("span_", span).withColumn("value_", value)
+    marked = rows.withColumn("span_", span).withColumns({f"v_{n}": c for n, c in sums.items()})
     before = Window.partitionBy(*key).orderBy("span_").rowsBetween(Window.unboundedPreceding, -1)
-    starts = marked.groupBy(*key, "span_").agg(F.sum("value_").alias("all_")).select(*key, "span_", F.coalesce(F.sum("all_").over(before), F.lit(0)).alias("start_"))
+    totals = marked.groupBy(*key, "span_").agg(*[F.sum(f"v_{n}").alias(f"all_{n}") for n in sums])
+    starts = totals.select(*key, "span_", *[F.coalesce(F.sum(f"all_{n}").over(before), F.lit(0)).alias(f"start_{n}") for n in sums])
     inside = Window.partitionBy(*key, "span_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = marked.withColumn("in_", F.coalesce(F.sum("value_").over(inside), F.lit(0))).join(starts, [*key, "span_"])
-    return summed.select(*rows.columns, (F.col("in_") + F.col("start_")).alias(out))
+    summed = marked.withColumns({f"in_{n}": F.coalesce(F.sum(f"v_{n}").over(inside), F.lit(0)) for n in sums}).join(starts, [*key, "span_"])
+    return summed.select(*rows.columns, *[(F.col(f"in_{n}") + F.col(f"start_{n}")).alias(n) for n in sums])
 
 
 def numbered(df: DataFrame, value: str, tie: str, out: str = "ordinal") -> DataFrame:

@@ -256,16 +256,19 @@ def graph_new_edge_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.new_edge_share(auth_events(spark, sf_dir))
 
 
-@query(
-    "graph_components_final",
-    """WITH RECURSIVE e AS (SELECT DISTINCT 'u' || user_id AS a, 'p' || (user_id % 40) AS b FROM events WHERE user_id % 3 <> 0), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    r AS (SELECT a AS node, a AS reach FROM g UNION SELECT r.node, g.b FROM r JOIN g ON r.reach = g.a)
-    SELECT node, min(reach) AS component FROM r GROUP BY node""",
-)
+IDENTITY_SQL = """e AS (SELECT DISTINCT 'c:' || customer AS a, 'd:' || device AS b FROM ev WHERE device IS NOT NULL UNION SELECT DISTINCT 'c:' || customer, 'a:' || agent FROM ev WHERE agent IS NOT NULL
+    UNION SELECT DISTINCT 'd:' || device, 'a:' || agent FROM ev WHERE device IS NOT NULL AND agent IS NOT NULL), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    r AS (SELECT a AS node, a AS reach FROM g UNION SELECT r.node, g.b FROM r JOIN g ON r.reach = g.a)"""
+
+
+@query("graph_components_final", f"WITH RECURSIVE {EVENTS_SQL}, {IDENTITY_SQL} SELECT node, min(reach) AS component FROM r GROUP BY node")
 def graph_components_final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = F.col("user_id")
-    edges = read(spark, sf_dir, "events").where(u % 3 != 0).select(F.concat(F.lit("u"), u.cast("string")).alias("a"), F.concat(F.lit("p"), (u % 40).cast("string")).alias("b")).distinct()
-    return graph.connected_components(edges)
+    return graph.connected_components(graph.identity_edges(auth_events(spark, sf_dir)))
+
+
+@query("graph_component_sizes", f"WITH RECURSIVE {EVENTS_SQL}, {IDENTITY_SQL} SELECT component, count(*) AS nodes FROM (SELECT node, min(reach) AS component FROM r GROUP BY node) GROUP BY component")
+def graph_component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.component_sizes(auth_events(spark, sf_dir))
 
 
 @query("graph_component_state")

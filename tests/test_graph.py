@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from corvane.operators import graph
 
 COLUMNS = "seq long, t long, customer long, device long, merchant long, agent long, bin long, cents long, declined boolean"
@@ -41,12 +43,51 @@ def components_before(events):
     return out
 
 
-def test_component_state_equals_replay(spark):
+@pytest.mark.parametrize("most", [1_000_000, 45])
+def test_component_state_equals_replay(spark, most):
     events = micro(120, 5)
-    got = {r["seq"]: tuple(r)[1:8] for r in graph.component_state(spark.createDataFrame(events, COLUMNS)).collect()}
+    got = {r["seq"]: tuple(r)[1:8] for r in graph.component_state(spark.createDataFrame(events, COLUMNS), most, 50).collect()}
     assert got == components_before(events)
 
 
+def roots_after(events):
+    """The customer's root after each event, by union by rank in the order of events."""
+    parent, rank, out = {}, {}, {}
+
+    def find(x):
+        return x if parent.setdefault(x, x) == x else find(parent[x])
+
+    for e in sorted(events, key=lambda e: (e[1], e[0])):
+        c, d, a = f"c:{e[2]}", e[3] and f"d:{e[3]}", e[5] and f"a:{e[5]}"
+        for x, y in ((c, d), (c, a), (d, a)):
+            if x and y and find(x) != find(y):
+                x, y = find(x), find(y)
+                if rank.get(x, 0) < rank.get(y, 0):
+                    x, y = y, x
+                parent[y] = x
+                rank[x] = rank.get(x, 0) + (rank.get(x, 0) == rank.get(y, 0))
+        out[e[0]] = find(c)
+    return out
+
+
+@pytest.mark.parametrize("most", [45])
+def test_roots_and_fan_in_equal_replay(spark, most):
+    events = micro(150, 3)
+    df = spark.createDataFrame(events, COLUMNS)
+    state = graph.component_state(df, most)
+    roots = roots_after(events)
+    assert {r["seq"]: r["root"] for r in state.collect()} == roots
+    got = {r["seq"]: r for r in graph.fan_in(df, state, 60, 420).collect()}
+    for e in events:
+        past = [p for p in events if p[4] == e[4] and (p[1], p[0]) < (e[1], e[0])]
+        week, day = [p for p in past if p[1] >= e[1] - 420], {p[2] for p in past if p[1] >= e[1] - 60}
+        customers, groups = {p[2] for p in week}, {roots[p[0]] for p in week}
+        r = got[e[0]]
+        assert (r["customers_24h"], r["customers_7d"], r["components_7d"]) == (len(day), len(customers), len(groups))
+        assert r["fanin_per_component"] == (len(customers) / len(groups) if groups else None)
+        assert r["fanin_burst"] == (len(day) / (len(customers) / 7) if customers else None)
+
+
 def test_sliding_distinct_equals_replay(spark):
     events = micro(300, 8)
     got = {r["seq"]: r["n"] for r in graph.sliding_distinct(spark.createDataFrame(events, COLUMNS), "merchant", "device", 60, "n").collect()}
@@ -65,8 +106,3 @@ def test_connected_components_of_a_chain(spark):
     edges = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(40)] + [("z1", "z2")], "a string, b string")
     got = dict(graph.connected_components(edges).collect())
     assert got == {f"n{i:02d}": "n00" for i in range(41)} | {"z1": "z1", "z2": "z1"}
-
-
-def test_fan_in_runs(spark):
-    df = spark.createDataFrame(micro(60, 2), COLUMNS)
-    assert graph.fan_in(df, graph.component_state(df), 60, 420).count() == 60
