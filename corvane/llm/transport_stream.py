@@ -124,14 +124,20 @@ class Stream:
 
 
 def _packets(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """Packets with sync, their byte offsets, and the bytes outside them."""
+    """Packets with sync, their byte offsets, and the bytes outside them.
+
+    The places of sync bytes are found once, and the other places once for each
+    offset from a packet's start, so that many losses cost no more than few.
+    """
     raw = np.frombuffer(data, np.uint8)
     found, at = [], []
-    pos = 0
+    pos, pairs, others = 0, None, {}
     while pos + PACKET <= len(raw):
-        n = (len(raw) - pos) // PACKET
-        good = raw[pos : pos + n * PACKET : PACKET] == SYNC
-        run = n if good.all() else int(good.argmin())
+        n, offset = (len(raw) - pos) // PACKET, pos % PACKET
+        if offset not in others:
+            others[offset] = np.flatnonzero(raw[offset::PACKET] != SYNC) * PACKET + offset
+        i = int(np.searchsorted(others[offset], pos))
+        run = min(n, (int(others[offset][i]) - pos) // PACKET) if i < len(others[offset]) else n
         if run and not (run == 1 and pos + 2 * PACKET <= len(raw) and found and run < n):
             found.append(raw[pos : pos + run * PACKET].reshape(run, PACKET))
             at.append(pos + PACKET * np.arange(run))
@@ -141,12 +147,13 @@ def _packets(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
         if pos + PACKET > len(raw):
             break
         if raw[pos] != SYNC:  # look for two sync bytes a packet apart
-            later = np.flatnonzero(raw[pos:] == SYNC) + pos
-            pair = later[(later + PACKET >= len(raw)) | (raw[np.minimum(later + PACKET, len(raw) - 1)] == SYNC)]
-            pair = pair[pair + PACKET <= len(raw)]
-            if not len(pair):
+            if pairs is None:
+                later = np.flatnonzero(raw == SYNC)
+                pairs = later[((later + PACKET >= len(raw)) | (raw[np.minimum(later + PACKET, len(raw) - 1)] == SYNC)) & (later + PACKET <= len(raw))]
+            i = int(np.searchsorted(pairs, pos))
+            if i == len(pairs):
                 break
-            pos = int(pair[0])
+            pos = int(pairs[i])
     packets = np.concatenate(found) if found else np.zeros((0, PACKET), np.uint8)
     return packets, np.concatenate(at) if at else np.zeros(0, np.int64), len(raw) - packets.size
 

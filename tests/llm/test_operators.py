@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -90,7 +91,7 @@ def test_pieces_equal_library(spark, texts):
         ids = c.encode([t])[0]
         assert ids.tolist() == said and c.decode([ids])[0].decode() == c.library.decode(said)
     got = {r["doc_id"]: r for r in registry.QUERIES["op5_piece_codec"](spark, SF).collect()}
-    for d, t in list(texts.items())[:60]:
+    for d, t in texts.items():
         said = c.library.encode(t, add_bos=True, add_eos=True)
         assert got[d]["n_tokens"] == len(said) and got[d]["ids_sha256"] == hashlib.sha256(np.array(said, "<u4").tobytes()).hexdigest()
         assert got[d]["decoded_sha256"] == hashlib.sha256(c.library.decode(said).encode()).hexdigest()
@@ -253,8 +254,44 @@ def test_media_round_trip_and_damage():
     assert [u["pts"] for u in s.units] == [90_000 + 3600 * i for i in range(5)] and all(u["random_access"] for u in s.units)
 
 
+def test_many_losses_of_sync_take_linear_time():
+    data = bytearray(transport_stream.write_stream(os.urandom(2_000_000)))
+    data[:: 188 * 10] = bytes(len(data[:: 188 * 10]))
+    began = time.time()
+    s = transport_stream.read_stream(bytes(data))
+    assert s.lost_bytes > 0 and s.continuity_errors > 500 and time.time() - began < 2
+
+
+def plain_payload(media):
+    """The elementary bytes of a stream by a plain reading, packet after packet."""
+    units, counters = [], {}
+    for i in range(0, len(media), 188):
+        p = media[i : i + 188]
+        assert p[0] == 0x47 and len(p) == 188
+        pid, begin = (p[1] & 31) << 8 | p[2], 5 + p[4] if p[3] & 0x20 else 4
+        if not p[3] & 0x10:
+            continue
+        assert counters.setdefault(pid, p[3] & 15) == p[3] & 15
+        counters[pid] = (p[3] + 1) & 15
+        if p[1] & 0x40 and p[begin : begin + 3] == b"\0\0\1":
+            units.append(bytearray(p[begin + 9 + p[begin + 8] :]))
+            which = pid
+        elif units and pid == which:
+            units[-1] += p[begin:]
+    return b"".join(units), len(units), len(media) // 188
+
+
 def test_media_query(spark, texts):
     got = {r["doc_id"]: r for r in registry.QUERIES["op9_transport_stream"](spark, SF).collect()}
+    for d, t in texts.items():
+        p = t.encode().ljust(max(192, -(-len(t.encode()) // 192) * 192))
+        media = transport_stream.write_stream(p)
+        assert (got[d]["media_bytes"], got[d]["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        payload, units, packets = plain_payload(media)
+        assert payload == p
+        said = dict(x.split("=") for x in got[d]["feature"].split(";"))
+        assert (said["packets"], said["units"], said["random_access"], said["programs"], said["errors"]) == (str(packets), str(units), str(units), "1", "0")
+        assert (int(said["first_pts"]), int(said["last_pts"])) == (90_000, 90_000 + 3600 * (units - 1))
     for d, t in texts.items():
         b = t.encode()
         p = b.ljust(max(192, -(-len(b) // 192) * 192))
@@ -308,20 +345,34 @@ def test_quality_counts_by_hand(spark):
 
 
 def test_pipeline_equals_its_parts(spark):
+    """Stage by stage: near-duplicates by the brute-force Jaccard similarity of five-word shingle sets."""
     import corpus_pipeline
 
     docs = common.documents(spark, SF)
     good = {r["doc_id"] for r in quality_rules.score_quality(docs).where("kept").collect()}
-    kept = corpus_pipeline.STAGES[0][1](spark, docs, SF)
+    kept = common.checkpointed(corpus_pipeline.STAGES[0][1](spark, docs, SF))
     assert {r["doc_id"] for r in kept.collect()} == good
-    kept = common.checkpointed(kept)
     clean = common.checkpointed(corpus_pipeline.STAGES[1][1](spark, kept, SF))
-    assert 0 < clean.count() <= kept.count()
-    fps = {r["doc_id"]: simhash.fingerprint((r["text"] or "").encode(), 5, True) for r in clean.collect()}
-    ids = sorted(fps)
-    label = neighbours([fps[i] for i in ids], 12, 14)
-    unique = corpus_pipeline.STAGES[2][1](spark, clean, SF)
-    assert sorted(r["doc_id"] for r in unique.collect()) == sorted({ids[x] for x in label})
+    scores = toxicity.score_toxicity(kept, spark.read.parquet(f"{SF}/labels.parquet"), common.id_remainder(F.col("doc_id"), 4) != 2)
+    assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in scores.collect() if r["score"] < toxicity.THRESHOLD}
+    texts = {r["doc_id"]: r["text"].encode().translate(common.LOWER_AZ).split() for r in clean.collect()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in texts.items()}
+    label = {d: d for d in sets}
+    near = [(a, b) for a in sets for b in sets if b < a and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    unique = common.checkpointed(corpus_pipeline.STAGES[2][1](spark, clean, SF))
+    assert sorted(r["doc_id"] for r in unique.collect()) == sorted(set(label.values()))
+    taken = {r["doc_id"]: r for r in mixing.mix(unique, mixing.WEIGHTS).collect()}
+    mixed = common.checkpointed(corpus_pipeline.STAGES[3][1](spark, unique, SF))
+    times = Counter(r["doc_id"] for r in mixed.collect())
+    assert all(times[d] * r["size"] == r["taken"] for d, r in taken.items())
+    coded = corpus_pipeline.STAGES[4][1](spark, mixed, SF).collect()
+    library = piece_codec.codec(piece_codec.public_model()).library
+    whole = {r["doc_id"]: r["text"] for r in unique.collect()}
+    said = {d: library.encode(t, add_bos=True, add_eos=True) for d, t in whole.items() if times[d]}
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in coded) == Counter({(d, len(i), hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest()): times[d] for d, i in said.items()})
 
 
 @pytest.mark.parametrize("rare", [32, 2])
