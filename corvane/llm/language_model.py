@@ -47,7 +47,7 @@ ORDER = 4
 DISCOUNT = 0.4
 END = b"\n"
 #: A block ends once it has so many bytes of text, or so many distinct grams and words; a task holds one block.
-BLOCK, ENTRIES = 64 << 20, 4_000_000
+BLOCK, ENTRIES = 24 << 20, 2_000_000
 #: Grams held before they are summed, besides twice those summed already.
 MERGE = 1 << 20
 

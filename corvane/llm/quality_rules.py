@@ -60,10 +60,10 @@ def _repeated(words: Column) -> Column:
     probability of about n_words**2 / 2**65.
     """
     last = F.size(words) - 3
-    windows = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("p")),
-    )
+    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+
+    def placed(h: Column) -> Column:
+        return F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
 
     def covered(ordered: Column) -> Column:
         twice = F.filter(
@@ -82,7 +82,9 @@ def _repeated(words: Column) -> Column:
             ),
         )
 
-    return F.when(last < 1, F.lit(0)).otherwise(let(F.sort_array(windows), covered))
+    # Most texts repeat no window, which the number of distinct hashes tells.
+    counted = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(placed(h), covered)))
+    return F.when(last < 1, F.lit(0)).otherwise(counted)
 
 
 def metrics(text: Column) -> Column:
