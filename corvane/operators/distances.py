@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.scalars import draw, uniform
+
 from .ordered import average_rank, running
 
 
@@ -33,32 +37,46 @@ def jsd(a: DataFrame, b: DataFrame, level: str) -> DataFrame:
     return aligned(a, b, level).agg(F.round(F.sum((part("p") + part("q")) / 2), 9).alias("jsd"), F.round(F.sum(gap) / 2, 9).alias("total_variation"), F.round(F.max(gap), 9).alias("largest_gap"))
 
 
-def jsd_null_band(target: dict[str, float], n: int, rounds: int = 200, level: float = 0.99, seed: int = 7) -> float:
-    """What JSD reaches by chance: a quantile over multinomial draws of size n from the target shares."""
-    p = np.array([x for x in target.values() if x > 0])
-    if len(p) < 2 or n <= 0:
-        return 0.0
-    p = p / p.sum()
-    q = np.random.default_rng(seed).multinomial(n, p, rounds) / n
+def _round_divergence(counts: DataFrame, target: dict[str, float], level: float) -> float:
+    """Over counts(round, level, n): the quantile, across rounds, of the divergence of each round's shares from the target's, in bits."""
+    wanted = F.create_map(*[x for k, p in target.items() for x in (F.lit(k), F.lit(p / sum(target.values())))])
+    whole = counts.groupBy("round").agg(F.sum("n").alias("whole"))
+    q = F.col("n").cast("double") / F.col("whole")
+    p = F.element_at(wanted, F.col("level"))
     m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        d = (np.where(q > 0, q * np.log2(q / m), 0) + p * np.log2(p / m)).sum(1) / 2
-    return float(np.quantile(d, level))
+    # A level that a round did not draw adds half its target share; the others' target shares are known.
+    seen = counts.join(whole, "round").groupBy("round").agg(F.sum(F.when(q > 0, q * F.log2(q / m)).otherwise(0.0) + p * F.log2(p / m)).alias("d"), F.sum(p).alias("p"))
+    return float(seen.select(((F.col("d") + (1 - F.col("p"))) / 2).alias("jsd")).agg(F.percentile("jsd", level)).first()[0])
+
+
+def chance_divergence(spark: SparkSession, target: dict[str, float], n: int, rounds: int = 200, level: float = 0.99, seed: int = 7) -> float:
+    """What divergence n independent events reach by chance: each round draws the counts of all levels, one after another.
+
+    0 if there is but one level; infinite without events.
+    """
+    target = {k: p for k, p in target.items() if p > 0}
+    if len(target) < 2:
+        return 0.0
+    if n <= 0:
+        return math.inf
+
+    def draw_rounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, p = list(target), np.array(list(target.values()))
+        for b in batches:
+            for r in b["round"]:
+                yield pd.DataFrame({"round": r, "level": names, "n": np.random.default_rng([seed, int(r)]).multinomial(n, p / p.sum())})
+
+    return _round_divergence(spark.range(rounds).select(F.col("id").alias("round")).mapInPandas(draw_rounds, "round long, level string, n long"), target, level)
 
 
-def entity_jsd_null_band(weights: list[int], target: dict[str, float], rounds: int = 200, level: float = 0.99, seed: int = 7) -> float:
-    """The band where whole entities, not events, draw a level; an entity counts with its number of events."""
-    p = np.array([x for x in target.values() if x > 0])
-    if len(p) < 2 or not sum(weights):
+def chance_divergence_by_entity(entities: DataFrame, target: dict[str, float], rounds: int = 200, level: float = 0.99, seed: int = 7) -> float:
+    """The same where each entity of entities(key, n) draws one level for all of its n events."""
+    target = {k: p for k, p in target.items() if p > 0}
+    if len(target) < 2 or entities.where("n > 0").isEmpty():
         return 0.0
-    p, w, rng = p / p.sum(), np.asarray(weights, float), np.random.default_rng(seed)
-    found = []
-    for _ in range(rounds):
-        q = np.bincount(rng.choice(len(p), len(w), p=p), w, len(p)) / w.sum()
-        m = (p + q) / 2
-        with np.errstate(divide="ignore", invalid="ignore"):
-            found.append((np.where(q > 0, q * np.log2(q / m), 0) + p * np.log2(p / m)).sum() / 2)
-    return float(np.quantile(found, level))
+    cast = entities.where("n > 0").select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    drawn = cast.select("round", draw(uniform(str(seed), F.col("round"), F.col("key")), target).alias("level"), "n")
+    return _round_divergence(drawn.groupBy("round", "level").agg(F.sum("n").alias("n")), target, level)
 
 
 def over_band(distance: float, band: float) -> float:

@@ -43,7 +43,11 @@ def threshold_at_fpr(df: DataFrame, rate: float) -> float:
 
 def recall_curve(df: DataFrame, rates: tuple[float, ...] = RATES) -> DataFrame:
     """(rate, threshold, recall, realised_fpr) at each false-positive rate."""
-    limits = [(r, threshold_at_fpr(df, r)) for r in rates]
+    legit = df.where(~F.col("fraud") & F.col("score").isNotNull())
+    n = legit.count()
+    enough = [r for r in rates if n >= int(1 / r)]
+    found = dict(zip(enough, quantiles(legit, "score", [1 - r for r in enough]), strict=True)) if enough else {}
+    limits = [(r, found.get(r, float("inf"))) for r in rates]
     cells = F.array(*[F.struct(F.lit(r).alias("rate"), F.lit(t).alias("threshold")) for r, t in limits])
     hit = F.coalesce(F.col("score") >= F.col("threshold"), F.lit(False)).cast("long")
     found = df.withColumn("x", F.explode(cells)).select("score", "fraud", "x.*").groupBy("rate", "threshold")

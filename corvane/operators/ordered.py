@@ -59,7 +59,7 @@ def average_rank(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
 def quantiles(df: DataFrame, value: str, at: list[float]) -> list[float | None]:
     """Exact quantiles with linear interpolation between neighbours."""
     r = running(df, value, {"rows_n": F.lit(1)})
-    n = df.where(F.col(value).isNotNull()).count()
+    n = r.agg(F.sum("rows_n")).first()[0]
     if not n:
         return [None] * len(at)
     places = sorted({p for q in at for p in (int(q * (n - 1)), min(int(q * (n - 1)) + 1, n - 1))})

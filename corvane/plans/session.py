@@ -6,14 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of ``spark.checkpoint.dir``; only where it is unset, in a temporary one."""
+    """Cut the lineage in the folder of ``spark.checkpoint.dir``.
+
+    Only a local master may do without it: a temporary folder, removed at exit, takes its place.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            import atexit
+            import shutil
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="corvane-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 

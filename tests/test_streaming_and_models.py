@@ -76,8 +76,15 @@ def test_distances(spark):
     a, b = df.withColumn("campaign", F.lit("x")), df.withColumn("campaign", F.lit("y"))
     assert distances.jsd(a, b, "campaign").first()["jsd"] == 1
     assert distances.ks_two_sample(df, df, "score").first()["ks"] == 0
-    assert distances.jsd_null_band({"a": 1.0}, 10) == 0 and 0 < distances.jsd_null_band({"a": 0.5, "b": 0.5}, 100) < 0.2
-    assert distances.over_band(0, 0) == 0 and distances.entity_jsd_null_band([3, 4, 5], {"a": 0.5, "b": 0.5}) > 0
+    target = {"a": 0.5, "b": 0.3, "c": 0.2}
+    assert distances.chance_divergence(spark, {"a": 1.0}, 10) == 0 and distances.chance_divergence(spark, target, 0) == float("inf")
+    by_event, wider = distances.chance_divergence(spark, target, 1000), distances.chance_divergence(spark, target, 50)
+    # twice n times the divergence, in nats times two, is about chi-squared with two degrees of freedom: 9.2 at 0.99
+    assert 0.4 < by_event * 8 * 0.6931 * 1000 / 9.2 < 1.9 and wider > 5 * by_event
+    ones = spark.range(1000).select(F.col("id").alias("key"), F.lit(1).alias("n"))
+    assert 0.4 < distances.chance_divergence_by_entity(ones, target) / by_event < 2.5
+    assert distances.chance_divergence_by_entity(ones.withColumn("n", F.when(F.col("key") < 3, 500).otherwise(1)), target) > 5 * by_event
+    assert distances.over_band(0, 0) == 0
     assert distances.digest(df, ["seq"]).first() == distances.digest(df.repartition(5), ["seq"]).first()
 
 
