@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from corvane import schema
 from corvane.functions.scalars import content_id, draw, normal, uniform
+from corvane.operators.lookups import bind_source
+from corvane.sources.lenses import micros
 from corvane.sources.readers import Calibration
 
 #: Category -> weight, mean of log amount, its spread, step that amounts snap to.  Invented figures.
@@ -27,6 +29,9 @@ HOURS = [1, 1, 1, 1, 1, 2, 4, 7, 9, 10, 11, 12, 13, 12, 11, 11, 12, 14, 16, 17,
 DAYS = [10, 10, 10, 11, 13, 14, 12]
 CHANNEL_MIX = {"card_present": 0.38, "ecom": 0.24, "upi": 0.28, "wallet": 0.06, "atm": 0.04}
 ENTRY = {"card_present": "contactless", "ecom": "cof", "upi": "vpa", "wallet": "qr", "atm": "chip", "transfer": "vpa", "agentic": "agent_token"}
+#: What a refund takes over from its purchase, besides the agentic block; its lag (hours, median), band (microseconds) and the share of full refunds.
+INHERITED = {"customer_id", "mcc", "channel", "entry_mode", "card_bin", "merchant_id", "merchant_country", "terminal_id", "device_id", "ip", "lat", "lon", "threeds_result"}
+REFUND_LAG_HOURS, REFUND_BAND, REFUND_FULL = 72.0, 86_400_000_000, 0.8
 START = "2025-01-06 00:00:00"
 
 
@@ -134,4 +139,31 @@ def simulate(spark: SparkSession, c: Config, calibration: Calibration | None = N
         "ag_deliberation_latency_ms": on(F.round(F.exp(6.0 + 0.25 * F.log1p(F.col("amount")) + 0.4 * normal(f"{c.seed}/think", i)), 1)), "ag_cursor_entropy": on(F.when(human, 0.6 + 0.4 * _u(c, "cursor", i)).otherwise(0.1 * _u(c, "cursor", i))), "ag_dwell_time_ms": on(F.round(F.exp(7 + 0.5 * normal(f"{c.seed}/dwell", i)), 1)),
         "is_fraud": F.lit(False), "attack_id": F.lit(None).cast("string"), "attack_campaign": F.lit(None).cast("string"),
     }
-    return base.select(*[columns[x].alias(x) for x in schema.ALL_COLUMNS])
+    return bind_returns(base.select(*[columns[x].alias(x) for x in schema.ALL_COLUMNS]), c)
+
+
+def bind_returns(flat: DataFrame, c: Config) -> DataFrame:
+    """flat with every refund bound to an earlier purchase, whose parties, rail and credential it takes over.
+
+    A refund looks for purchases around a lag of some days before it, else takes
+    any earlier one; one that finds none stays a purchase.  A refund gives back
+    all or a part of the amount and is not declined.
+    """
+    own = F.col("event_id")
+    lag = F.exp(F.log(F.lit(REFUND_LAG_HOURS * 3600.0)) + 0.7 * normal(f"{c.seed}/refund_lag", own))
+    returns = flat.where("txn_type = 'refund'").select(own.alias("seq"), (micros(F.col("ts")) - (lag * 1e6).cast("long")).alias("target"))
+    purchases = flat.where("txn_type = 'purchase'")
+    bound = bind_source(returns, purchases.select(own.alias("seq"), micros(F.col("ts")).alias("t")), REFUND_BAND)
+    taken = [x for x in flat.columns if x in INHERITED or x.startswith("ag_")]
+    source = purchases.select(own.alias("source"), F.col("amount").alias("s_amount"), *[F.col(x).alias(f"s_{x}") for x in taken])
+    rows = flat.join(bound.where("source IS NOT NULL").withColumnRenamed("seq", "event_id"), "event_id", "left").join(source, "source", "left")
+    there = F.col("source").isNotNull()
+    part = F.when(_u(c, "full", own) < REFUND_FULL, 1.0).otherwise(0.2 + 0.7 * _u(c, "part", own))
+    issued = F.timestamp_seconds(F.unix_timestamp("ts") - F.floor(3000 * _u(c, "refund_age", own)))
+    changed: dict[str, Column] = {x: F.when(there, F.col(f"s_{x}")).otherwise(F.col(x)) for x in taken}
+    changed |= {
+        "original_event_id": F.col("source"), "txn_type": F.when((F.col("txn_type") == "refund") & ~there, F.lit("purchase")).otherwise(F.col("txn_type")), "auth_response": F.when(there, F.lit("approved")).otherwise(F.col("auth_response")),
+        "amount": F.when(there, F.greatest(F.lit(1.0), F.round(F.col("s_amount") * part, 2))).otherwise(F.col("amount")),
+        "ag_mandate_issued_ts": F.when(there & F.col("s_ag_agent_id").isNotNull(), issued).when(there, F.lit(None)).otherwise(F.col("ag_mandate_issued_ts")),
+    }
+    return rows.select(*[changed.get(x, F.col(x)).alias(x) for x in flat.columns])

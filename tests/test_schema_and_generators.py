@@ -39,6 +39,15 @@ def test_constraints_catch(background, column, value, broken):
     assert dict(schema.violations(bad).collect())[broken] == 5
 
 
+def test_refunds_are_bound_to_earlier_purchases(background):
+    p = background.select(F.col("event_id").alias("original_event_id"), F.col("ts").alias("p_ts"), F.col("txn_type").alias("p_type"), F.col("amount").alias("p_amount"), F.col("customer_id").alias("p_customer"), F.col("merchant_id").alias("p_merchant"), F.col("channel").alias("p_channel"))
+    refunds = background.where("txn_type = 'refund'")
+    n = refunds.count()
+    assert n > 100 and background.where("original_event_id IS NOT NULL").count() == n
+    good = "p_ts < ts AND p_type = 'purchase' AND p_customer = customer_id AND p_merchant = merchant_id AND p_channel = channel AND amount <= greatest(1.0, p_amount) AND auth_response = 'approved'"
+    assert refunds.join(p, "original_event_id").where(good).count() == n
+
+
 def test_leakage_guard():
     schema.assert_no_leakage(["vel_customer_count_1h", "txn_hour"])
     for name in ("is_fraud", "dispute_outcome", "auth_response", "x_attack_id_y"):
