@@ -21,6 +21,20 @@ from corvane.plans.session import checkpointed
 
 Rewrite = Callable[[DataFrame, "Context"], DataFrame]
 
+# How often, or how far, the scenarios do what marks them.
+NEAR_CAP = (0.88, 0.995)
+CLASSIC_RAIL = 0.32
+DRIFT = 0.55
+OVER_HALFWAY = 0.58
+INSTANT = 0.74
+SHARED_HASH = 0.46
+LAZY_CURSOR = 0.40
+CONSENT_INVALID = 0.52
+KYA_UNREGISTERED = 0.34
+LATE = 0.66
+PROBE_DECLINED = 0.56
+OVER_RARELY = 0.14
+
 
 @dataclass(frozen=True)
 class Context:
@@ -150,8 +164,8 @@ CARDS = "ag_agent_id is null and txn_type = 'purchase' and auth_response = 'appr
 def cart_tampering(rows: DataFrame, c: Context) -> DataFrame:
     """Another shop's cart just under the ceiling, after pages that tell the agent to hurry; no rule breaks."""
     rows = other_merchant(rows, c, "100 + owner * 3 + place % 2")
-    rows = rows.withColumn("ag_scope_categories", F.array_union("ag_scope_categories", F.array("mcc"))).withColumn("amount", F.col("ag_scope_max_amount") * (0.88 + 0.115 * c.u("near")))
-    classic = c.u("rail") < 0.32
+    rows = rows.withColumn("ag_scope_categories", F.array_union("ag_scope_categories", F.array("mcc"))).withColumn("amount", F.col("ag_scope_max_amount") * (NEAR_CAP[0] + (NEAR_CAP[1] - NEAR_CAP[0]) * c.u("near")))
+    classic = c.u("rail") < CLASSIC_RAIL
     rows = rows.withColumn("ag_provenance_chain", shop_chain()).withColumn("ag_deliberation_latency_ms", F.col("ag_deliberation_latency_ms") * 0.08)
     return rows.withColumn("channel", F.when(classic, "ecom").otherwise(F.col("channel"))).withColumn("ag_kya_registered", F.lit(True)).withColumn("ag_consent_sig_valid", F.lit(True))
 
@@ -159,9 +173,9 @@ def cart_tampering(rows: DataFrame, c: Context) -> DataFrame:
 @scenario("F1-02", AGENTIC, 10, 14)
 def scope_inflation(rows: DataFrame, c: Context) -> DataFrame:
     """Intent mandates that drift to other categories and, more and more, over the ceiling."""
-    drift = c.u("drift") < 0.55
+    drift = c.u("drift") < DRIFT
     rows = rows.withColumn("ag_mandate_type", F.lit("intent")).withColumn("mcc", F.when(drift, F.lit("6540")).otherwise(F.col("mcc")))
-    over = c.u("over") < 0.58 * (0.5 + F.col("place") / F.col("size"))
+    over = c.u("over") < OVER_HALFWAY * (0.5 + F.col("place") / F.col("size"))
     return rows.withColumn("amount", F.when(over, F.col("ag_scope_max_amount") * (1.05 + 1.2 * F.col("place") / F.col("size"))).otherwise(F.col("amount")))
 
 
@@ -171,7 +185,7 @@ def refund_hijack(rows: DataFrame, c: Context) -> DataFrame:
     parts = rows.withColumn("part", F.explode(F.sequence(F.lit(1), (2 + F.floor(3 * c.u("parts"))).cast("int"))))
     source = F.regexp_replace("event_id", "^X[0-9]+-F1-03-", "")
     parts = parts.withColumn("original_event_id", source).withColumn("amount", F.col("amount") * (0.15 + 0.15 * c.u("share", "event_id", "part"))).withColumn("txn_type", F.lit("refund"))
-    wait = F.when(c.u("instant", "event_id", "part") < 0.74, 120 * F.col("part")).otherwise(86_400 * F.col("part"))
+    wait = F.when(c.u("instant", "event_id", "part") < INSTANT, 120 * F.col("part")).otherwise(86_400 * F.col("part"))
     return parts.withColumn("ts", after(F.col("ts"), wait)).withColumn("settlement_lag_hours", F.when(F.col("settled"), F.lit(0.5))).withColumn("event_id", F.concat("event_id", F.lit("-"), F.col("part").cast("string")))
 
 
@@ -191,16 +205,16 @@ def delegation_laundering(rows: DataFrame, c: Context) -> DataFrame:
     """A few shared sub-agents, deep delegation, a shared mandate."""
     rows = one_of(rows, "ag_agent_id", "place % 2")
     shared = F.first("ag_mandate_hash").over(Window.partitionBy("owner").orderBy("place"))
-    rows = rows.withColumn("ag_mandate_hash", F.when(c.u("hash") < 0.46, shared).otherwise(F.col("ag_mandate_hash")))
+    rows = rows.withColumn("ag_mandate_hash", F.when(c.u("hash") < SHARED_HASH, shared).otherwise(F.col("ag_mandate_hash")))
     return campaign_time(rows.withColumn("ag_delegation_depth", (2 + F.floor(5 * c.u("depth"))).cast("int")), c, 30)
 
 
 @scenario("F1-09", AGENTIC, 8, 14)
 def presence_spoof(rows: DataFrame, c: Context) -> DataFrame:
     """A human is claimed to be present; the telemetry is lazy or forged."""
-    lazy = c.u("lazy") < 0.40
+    lazy = c.u("lazy") < LAZY_CURSOR
     rows = rows.withColumn("ag_human_present", F.lit(True)).withColumn("ag_cursor_entropy", F.when(lazy, 0.05 * c.u("c1")).otherwise(0.55 + 0.1 * c.u("c2")))
-    return rows.withColumn("ag_consent_sig_valid", c.u("consent") >= 0.52).withColumn("ag_kya_registered", c.u("kya") >= 0.34)
+    return rows.withColumn("ag_consent_sig_valid", c.u("consent") >= CONSENT_INVALID).withColumn("ag_kya_registered", c.u("kya") >= KYA_UNREGISTERED)
 
 
 @scenario("F1-10", AGENTIC, 14, 6)
@@ -210,7 +224,7 @@ def mandate_replay(rows: DataFrame, c: Context) -> DataFrame:
     rows = campaign_time(rows, c, 10)
     for col in ("ag_mandate_hash", "ag_mandate_id", "ag_agent_id", "customer_id"):
         rows = rows.withColumn(col, F.first(col).over(first))
-    late = c.u("late") < 0.66
+    late = c.u("late") < LATE
     return rows.withColumn("ag_mandate_issued_ts", F.when(late, after(F.col("ts"), F.lit(-7200.0) - 3600 * F.col("place"))).otherwise(F.col("ag_mandate_issued_ts")))
 
 
@@ -249,14 +263,14 @@ def adaptive_bin(rows: DataFrame, c: Context) -> DataFrame:
     rows = campaign_time(one_of(rows, "card_bin", "place % 3"), c, 3)
     probe = F.col("place") <= 0.7 * F.col("size")
     rows = rows.withColumn("amount", F.when(probe, 5 + 40 * c.u("probe")).otherwise(1500 + 4000 * c.u("take")))
-    return rows.withColumn("auth_response", F.when(probe & (c.u("no") < 0.56), "declined_risk").otherwise("approved"))
+    return rows.withColumn("auth_response", F.when(probe & (c.u("no") < PROBE_DECLINED), "declined_risk").otherwise("approved"))
 
 
 @scenario("F4-28", CARDS, 10, 14)
 def threshold_probe(rows: DataFrame, c: Context) -> DataFrame:
     """Amounts just under round limits, with a few that overshoot."""
     limit = F.element_at(F.array(F.lit(2000.0), F.lit(5000.0), F.lit(10000.0)), (1 + F.pmod("owner", F.lit(3))).cast("int"))
-    over = c.u("over") < 0.14
+    over = c.u("over") < OVER_RARELY
     return campaign_time(rows.withColumn("amount", limit * F.when(over, 1.01 + 0.05 * c.u("o")).otherwise(0.97 + 0.029 * c.u("under"))), c, 48)
 
 
