@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, language_model, mixing, piece_codec, quality_rules, sharding, simhash, token_counts, toxicity, transport_stream
+from . import decontamination, langid, language_model, mixing, piece_codec, quality_rules, sharding, simhash, token_counts, toxicity, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts.query,
     "op9_transport_stream": transport_stream.query,
     "op10_mixing": mixing.query,
+    "op13_decontamination": decontamination.query,
 }
 
 SQL: dict[str, str] = {
     "op2_sharding": sharding.SQL,
     "op4_quality_rules": quality_rules.SQL,
     "op10_mixing": mixing.SQL,
+    "op13_decontamination": decontamination.SQL,
 }
