@@ -155,8 +155,8 @@ def occurrences(part: Part, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
         same = np.flatnonzero(keys[slot] == h)
         places, slot = places[same], slot[same]
         n = first[slot + 1] - first[slot]
-        cuts = np.searchsorted(np.cumsum(n), np.arange(PAIRS, n.sum() + PAIRS, PAIRS)) + 1 if len(n) else []
-        for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
+        cuts = [0, *np.searchsorted(np.cumsum(n), np.arange(PAIRS, n.sum() + PAIRS, PAIRS)) + 1]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             entry = ranges(first[slot[a:b]], n[a:b])
             w, start = windows[entry], np.repeat(places[a:b], n[a:b]) - offsets[entry]
             length = part.at[w + 1] - part.at[w]
