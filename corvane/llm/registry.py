@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, language_model, mixing, piece_codec, quality_rules, sharding, simhash, token_counts, toxicity, transport_stream
+from . import conversation_trie, decontamination, langid, language_model, mixing, piece_codec, quality_rules, sharding, simhash, token_counts, toxicity, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": token_counts.query,
     "op9_transport_stream": transport_stream.query,
     "op10_mixing": mixing.query,
+    "op11_conversation_trie": conversation_trie.query,
     "op13_decontamination": decontamination.query,
 }
 
@@ -26,5 +27,6 @@ SQL: dict[str, str] = {
     "op2_sharding": sharding.SQL,
     "op4_quality_rules": quality_rules.SQL,
     "op10_mixing": mixing.SQL,
+    "op11_conversation_trie": conversation_trie.SQL,
     "op13_decontamination": decontamination.SQL,
 }
