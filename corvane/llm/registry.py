@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversation_trie, decontamination, langid, language_model, mixing, piece_codec, quality_rules, sharding, simhash, token_counts, toxicity, transport_stream
+from . import conversation_trie, decontamination, hard_negatives, langid, language_model, mixing, piece_codec, quality_rules, sharding, simhash, token_counts, toxicity, transport_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_transport_stream": transport_stream.query,
     "op10_mixing": mixing.query,
     "op11_conversation_trie": conversation_trie.query,
+    "op12_hard_negatives": hard_negatives.query,
     "op13_decontamination": decontamination.query,
 }
 
@@ -28,5 +29,6 @@ SQL: dict[str, str] = {
     "op4_quality_rules": quality_rules.SQL,
     "op10_mixing": mixing.SQL,
     "op11_conversation_trie": conversation_trie.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
     "op13_decontamination": decontamination.SQL,
 }
