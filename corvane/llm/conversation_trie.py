@@ -17,7 +17,8 @@ is spread over tasks.  The ids that end at a node are joined into text by blocks
 
 Defined results: a null conv_id takes no part; a null role or text is empty; turns
 come in the order of turn (null first), those with equal turn in the order of
-their digest, repeated turns all count; conversations of any length and texts of any
+their digest, repeated turns all count; the remainder of a negative conv_id is SQL's
+(towards zero); conversations of any length and texts of any
 length are taken whole; no conversation gives an empty result, else there is a
 root.  Turns are told apart by the SHA-256 of role and text.
 """
