@@ -75,3 +75,28 @@ def quantiles(df: DataFrame, value: str, at: list[float]) -> list[float | None]:
     return out
 
 
+
+
+def quantiles_by(df: DataFrame, by: str, value: str, at: list[float]) -> DataFrame:
+    """(by, n, q0, q1, ...): exact quantiles of each group, with linear interpolation between neighbours; null values are left out.
+
+    Groups of any number and size in one pass: distinct (by, value) in ranges, never the values of a group in one task.
+    """
+    there = df.where(F.col(value).isNotNull()).select(F.struct(F.col(by).alias("by"), F.col(value).alias("value")).alias("at"))
+    r = running(there, "at", {"rows_n": F.lit(1)})
+    groups = r.groupBy(F.col("at.by").alias("group")).agg(F.min("rows_n_below").alias("start"), F.sum("rows_n").alias("n"))
+    place = [q * (F.col("n") - 1) for q in at]
+    low = [F.floor(p) for p in place]
+    first = F.col("rows_n_below") - F.col("start")
+
+    def inside(p: Column) -> Column:
+        return (p >= first) & (p < first + F.col("rows_n"))
+
+    placed = r.join(groups, F.col("at.by").eqNullSafe(F.col("group")))
+    ends = [(inside(p), inside(F.least(p + 1, F.col("n") - 1))) for p in low]
+    wanted = ends[0][0] | ends[0][1]
+    for a, b in ends[1:]:
+        wanted = wanted | a | b
+    v = F.col("at.value").cast("double")
+    found = placed.where(wanted).groupBy("group", "n").agg(*[F.max(F.when(side, v)).alias(f"{name}{i}") for i, both in enumerate(ends) for name, side in zip("ab", both, strict=True)])
+    return found.select(F.col("group").alias(by), "n", *[(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (place[i] - low[i])).alias(f"q{i}") for i in range(len(at))])

@@ -107,10 +107,6 @@ def test_models(spark):
     model = models.fit_supervised(data, ["x", "z"], rounds=5, depth=3)
     assert metrics.areas(model.score(data).withColumn("score", F.col("l1"))).first()["roc_auc"] > 0.65
     assert model.importance()[0][0] in ("x_x", "null_x")
-    legit = data.where("not fraud").withColumn("far", F.lit(False))
-    forest = models.fit_forest(legit, ["score", "z"], "seq", label="fraud", trees=40)
-    out = forest.score(legit.unionByName(legit.limit(1).withColumn("seq", F.lit(-1)).withColumn("score", F.lit(50.0))), "seq")
-    assert out.orderBy(F.desc("novelty")).first()["seq"] == -1
     with pytest.raises(ValueError):
         models.fit_forest(data, ["score"], "seq", label="fraud")
 
