@@ -5,15 +5,13 @@ Every figure is read from events strictly earlier in (t, seq).
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import numbered, running_by_span
+from .ordered import running_by_span
+from .skew import is_small, look_up
 
 CAP = 256
-#: First edges that are replayed in one run at most.
-MOST_EDGES = 1_000_000
 #: A key's events are counted by spans of so many microseconds (a day).
 SPAN = 86_400_000_000
 #: Name -> (key, counted value).
@@ -30,30 +28,23 @@ def _firsts(events: DataFrame, a: str, b: str) -> DataFrame:
     return there.groupBy(a, b).agg(F.min(F.struct("t", "seq")).alias("f"))
 
 
-def capped_degrees(events: DataFrame, degrees: dict[str, tuple[str, str]] = DEGREES, cap: int = CAP) -> DataFrame:
+def capped_degrees(events: DataFrame, degrees: dict[str, tuple[str, str]] = DEGREES, cap: int = CAP, span: int = SPAN) -> DataFrame:
     """Distinct earlier values per key, at most ``cap``; null without a key.
 
-    The first ``cap`` first events of a key's values, in order, say it for all of
-    the key's events: they are at most ``cap`` entries a key, so that no window
-    runs over the events of a key.  Events are joined with them once a key column.
+    All degrees in one long table: the first event of each (degree, key, value) is a
+    mark that counts for the key's later events, so a degree is a running sum of
+    marks, and a key's rows are spread over its spans.
     """
-    narrow = events.select("seq", "t", *sorted({k for k, _ in degrees.values()}))
-    out = narrow
-    for key in sorted({k for k, _ in degrees.values()}):
-        found = None
-        for name, (k, value) in degrees.items():
-            if k != key:
-                continue
-            early = _firsts(events, key, value).withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("f"))).where(F.col("r") <= cap)
-            one = early.groupBy(key).agg(F.sort_array(F.collect_list("f")).alias(f"f_{name}"))  # at most ``cap`` entries
-            found = one if found is None else found.join(one, key, "full_outer")
-        out = out.join(found, key, "left")
+    text = lambda c: F.col(c).cast("string")
+    keys = list(dict.fromkeys(k for k, _ in degrees.values()))
     here = F.struct("t", "seq")
-
-    def earlier(firsts: str) -> Column:
-        return F.aggregate(F.coalesce(firsts, F.array()), F.lit(0).cast("long"), lambda n, f: n + (f < here).cast("long"))
-
-    return out.select("seq", *[F.when(F.col(k).isNotNull(), earlier(f"f_{name}")).alias(name) for name, (k, _) in degrees.items()])
+    pairs = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(k).alias("key"), text(k).alias("k"), text(v).alias("v")) for name, (k, v) in degrees.items()])
+    firsts = events.select("t", "seq", F.explode(pairs).alias("x")).where("x.k is not null and x.v is not null").groupBy("x.name", "x.key", "x.k", "x.v").agg(F.min(here).alias("f"))
+    marks = firsts.select("key", "k", "f.t", "f.seq", F.lit(1).alias("kind"), *[(F.col("name") == name).cast("long").alias(f"d_{name}") for name in degrees])
+    reads = events.select("t", "seq", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), text(k).alias("k")) for k in keys])).alias("x")).select("x.key", "x.k", "t", "seq", F.lit(0).alias("kind"), *[F.lit(0).cast("long").alias(f"d_{name}") for name in degrees])
+    swept = running_by_span(marks.unionByName(reads.where("k is not null")), ["key", "k"], F.floor(F.col("t") / span), ["t", "seq", "kind"], {name: F.col(f"d_{name}") for name in degrees}).where("kind = 0")
+    nothing = events.select(F.lit(None).cast("string").alias("key"), "seq")  # events without any key have a row too
+    return swept.select("key", "seq", *degrees).unionByName(nothing, allowMissingColumns=True).groupBy("seq").agg(*[F.max(F.when(F.col("key") == k, F.least(F.lit(cap).cast("long"), F.col(name)))).alias(name) for name, (k, _) in degrees.items()])
 
 
 def customer_events(events: DataFrame, span: int = SPAN) -> DataFrame:
@@ -80,22 +71,28 @@ def new_edge_share(events: DataFrame) -> DataFrame:
     return events.select("seq", there.alias("there")).join(new, "seq", "left").select("seq", share.alias("new_edge_share"))
 
 
-def sliding_distinct(events: DataFrame, key: str, value: str, width: int, name: str) -> DataFrame:
+def sliding_distinct(events: DataFrame, key: str, value: str, width: int, name: str, span: int = SPAN) -> DataFrame:
     """Distinct values of the key's earlier events with t >= now - width.
 
     A value enters after its first event and leaves when ``width`` has passed since
     its latest one: a running sum over entries and exits, no sets, spread over the
-    key's spans of ``width``.
+    key's spans of ``width``.  The neighbours in time of a pair's events are found
+    within spans; those beyond a span's ends come from a row for each pair and span.
     """
     rows = events.where(F.col(key).isNotNull()).select("seq", "t", F.col(key).alias("k"), F.col(value).alias("v"))
-    again = Window.partitionBy("k", "v").orderBy("t", "seq")
-    there = F.col("v").isNotNull()
-    marked = rows.withColumn("before", F.lag("t").over(again)).withColumn("after", F.lead("t").over(again))
-    enters = F.when(there & (F.col("before").isNull() | (F.col("t") - F.col("before") > width)), 1).otherwise(0)
-    reads = marked.select("k", "t", F.lit(0).alias("kind"), "seq", enters.alias("d"))
-    exits = marked.where(there & (F.col("after").isNull() | (F.col("after") - F.col("t") > width))).select("k", (F.col("t") + width).alias("t"), F.lit(1).alias("kind"), "seq", F.lit(-1).alias("d"))
-    swept = running_by_span(reads.unionByName(exits), ["k"], F.floor(F.col("t") / width), ["t", "kind", "seq"], {name: F.col("d")})
-    return swept.where("kind = 0").select("seq", F.col(name).cast("long").alias(name))
+    there = rows.where(F.col("v").isNotNull()).withColumn("s", F.floor(F.col("t") / span))
+    inside = Window.partitionBy("k", "v", "s").orderBy("t", "seq")
+    along = Window.partitionBy("k", "v").orderBy("s")
+    ends = there.groupBy("k", "v", "s").agg(F.min("t").alias("first"), F.max("t").alias("last")).select("k", "v", "s", F.lag("last").over(along).alias("earlier"), F.lead("first").over(along).alias("later"))
+    near = there.withColumn("before", F.lag("t").over(inside)).withColumn("after", F.lead("t").over(inside)).join(ends, ["k", "v", "s"])
+    before, after = F.coalesce("before", "earlier"), F.coalesce("after", "later")
+    marked = near.select("k", "t", "seq", (before.isNull() | (F.col("t") - before > width)).alias("enters"), (after.isNull() | (after - F.col("t") > width)).alias("leaves"))
+    # Entries and exits are kept only where they are; every event reads, and what enters at it counts after it.
+    moves = marked.where("enters").select("k", "t", F.lit(0).alias("kind"), "seq", F.lit(1).alias("part"), F.lit(1).alias("d"))
+    moves = moves.unionByName(marked.where("leaves").select("k", (F.col("t") + width).alias("t"), F.lit(1).alias("kind"), "seq", F.lit(1).alias("part"), F.lit(-1).alias("d")))
+    reads = rows.select("k", "t", F.lit(0).alias("kind"), "seq", F.lit(0).alias("part"), F.lit(0).alias("d"))
+    swept = running_by_span(reads.unionByName(moves), ["k"], F.floor(F.col("t") / span), ["t", "kind", "seq", "part"], {name: F.col("d")})
+    return swept.where("part = 0").select("seq", F.col(name).cast("long").alias(name))
 
 
 def identity_edges(events: DataFrame) -> DataFrame:
@@ -131,7 +128,6 @@ def component_sizes(events: DataFrame) -> DataFrame:
     return found.groupBy("component").agg(F.count("*").alias("nodes"))
 
 
-MERGE = "lost string, kept string, t long, seq {}, k int, rank int"
 SUMS = ["component_nodes", "component_customers", "component_devices", "component_events", "component_cents", "component_declined", "component_agentic"]
 
 
@@ -139,86 +135,59 @@ def _named(c: str) -> Column:
     return F.concat(F.lit(c[0] + ":"), F.col(c).cast("string"))
 
 
-def merges(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
-    """(lost, kept, t, seq, k, rank): which root gave way to which, and when, as edges(a, b, t, seq, k) arrive in order.
-
-    Union by rank, the side of ``a`` wins ties; ``rank`` is that of the kept root
-    afterwards.  A root gives way once, so there are fewer rows than nodes.  Edges
-    are taken in runs of at most ``most``, in order: within a run, parts of the
-    graph that do not touch are replayed in tasks of their own, beginning with the
-    roots that earlier runs left.
-    """
-    from corvane.plans.session import checkpointed
+def root_turns(edges: DataFrame, born: DataFrame) -> DataFrame:
+    """(node, turn, root, t, seq, k): the roots that each of born(node, t, seq) has in turn under union by rank, as edges(a, b, t, seq, k) arrive in order.
 
-    schema = MERGE.format(edges.schema["seq"].dataType.simpleString())
-    runs = max(1, -(-edges.count() // most))
-    if runs > 1:
-        edges = checkpointed(numbered(edges.withColumn("tie", F.struct("seq", "k")), "t", "tie").withColumn("run", F.floor(F.col("ordinal") / most)))
-    else:
-        edges = edges.withColumn("run", F.lit(0))
-    done = None
-
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[str, str] = {}
-        rank: dict[str, int] = {}
-        out = []
-
-        def find(x: str) -> str:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for r in group.sort_values(["t", "seq", "k"]).itertuples():
-            for x, n in ((r.a, r.rank_a), (r.b, r.rank_b)):
-                parent.setdefault(x, x)
-                rank.setdefault(x, int(n))
-            x, y = find(r.a), find(r.b)
-            if x != y:
-                if rank[x] < rank[y]:
-                    x, y = y, x
-                parent[y] = x
-                rank[x] += rank[x] == rank[y]
-                out.append((y, x, r.t, r.seq, r.k, rank[x]))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    for run in range(runs):
-        now = edges.where(F.col("run") == run).select("a", "b", "t", "seq", "k", F.lit(0).alias("rank_a"), F.lit(0).alias("rank_b"))
-        if done is not None:
-            for side in ("a", "b"):
-                top = roots_over_time(now.select(F.col(side).alias("node"), F.lit(None).cast("long").alias("t"), F.lit(None).cast(edges.schema["seq"].dataType).alias("seq")).distinct(), done)
-                last = top.groupBy("node").agg(F.max_by("root", "turn").alias("root")).join(done.groupBy(F.col("kept").alias("root")).agg(F.max("rank").alias("rank")), "root", "left")
-                named = last.select(F.col("node").alias(side), F.col("root").alias("to"), F.coalesce("rank", F.lit(0)).alias("now"))
-                now = now.join(named, side).select(*[F.col("to").alias(c) if c == side else F.col("now").alias(c) if c == f"rank_{side}" else F.col(c) for c in now.columns])
-        now = checkpointed(now.where("a <> b"))
-        parts = connected_components(now)
-        found = now.join(parts, now["a"] == parts["node"]).groupBy("component").applyInPandas(replay, schema)
-        done = checkpointed(found if done is None else done.unionByName(found))
-    return done
-
-
-def roots_over_time(nodes: DataFrame, merged: DataFrame) -> DataFrame:
-    """(node, turn, root, t, seq, k): the roots that each of nodes(node, t, seq) has in turn, from its birth on.
-
-    A root's rank grows with every turn, so turns are at most the logarithm of the nodes.
+    The side of ``a`` wins ties.  No replay: a component reaches rank r + 1 just
+    when two of rank r meet whose first edge that is, each of the other.  So the
+    components of rank r are found in rounds, all at once: every unit of rank r
+    takes its first edge to another unit; two that take one edge make a unit of rank
+    r + 1, named after the root of ``a``; whatever leads there by first edges joins
+    it when its own first edge comes.  A node's root at a time is that of the highest
+    rank to which its units have joined by then.  There are as many rounds as the
+    greatest rank, at most the logarithm of the nodes, and as many turns a node.
     """
     from corvane.plans.session import checkpointed
 
-    last = checkpointed(nodes.select("node", F.lit(0).alias("turn"), F.col("node").alias("root"), "t", "seq", F.lit(-1).alias("k")))
-    out = last
-    while True:
-        step = last.select("node", "turn", "root").join(merged, F.col("root") == F.col("lost")).select("node", (F.col("turn") + 1).alias("turn"), F.col("kept").alias("root"), "t", "seq", "k")
-        last = checkpointed(step)
-        if last.isEmpty():
-            return out
-        out = out.unionByName(last)
-
-
-def component_state(events: DataFrame, most: int = MOST_EDGES, span: int = SPAN) -> DataFrame:
+    at = F.struct("t", "seq", "k")
+    edges = checkpointed(edges.where("a <> b"))
+    held = checkpointed(born.select("node", F.col("node").alias("root"), F.lit(0).alias("turn"), F.struct("t", "seq", F.lit(-1).alias("k")).alias("at")))
+    few_nodes, few = is_small(held), is_small(edges)
+
+    def named(rows: DataFrame, key: str, table: DataFrame, small: bool) -> DataFrame:
+        return rows.join(table, F.col(key) == F.col("u")).drop("u") if small else look_up(checkpointed(rows), key, table, "u")
+
+    turns, level = held, 0
+    while not edges.isEmpty():
+        few = few or is_small(edges)
+        both = edges.select(F.col("a").alias("unit"), at.alias("at"), F.col("b").alias("to"), F.lit(True).alias("is_a")).unionByName(edges.select(F.col("b").alias("unit"), at.alias("at"), F.col("a").alias("to"), F.lit(False).alias("is_a")))
+        first = checkpointed(both.groupBy("unit").agg(F.min(F.struct("at", "to", "is_a")).alias("f")).select("unit", "f.at", "f.to", "f.is_a"))
+        mutual = F.col("at") == F.col("to_at")
+        found = named(first, "to", first.select(F.col("unit").alias("u"), F.col("at").alias("to_at")), few)
+        units = checkpointed(found.select("unit", "at", F.when(mutual & F.col("is_a"), F.col("unit")).otherwise(F.col("to")).alias("to"), mutual.alias("done")))
+        while not (left := units.where("not done")).isEmpty():  # pointers double until each ends at a named unit
+            jump = units.select(F.col("unit").alias("u"), F.col("to").alias("next"), F.col("done").alias("next_done"))
+            moved = named(left, "to", jump, few).select("unit", "at", F.col("next").alias("to"), F.col("next_done").alias("done"))
+            units = checkpointed(units.where("done").unionByName(moved))
+        level += 1
+        names = units.select(F.col("unit").alias("u"), F.col("to").alias("name"), F.col("at").alias("joined"))
+        # Nodes of units without an edge are final: they fall out here.
+        held = checkpointed(named(held, "root", names, few_nodes).select("node", F.col("name").alias("root"), F.lit(level).alias("turn"), F.greatest("at", "joined").alias("at")))
+        turns = turns.unionByName(held)
+        for side in ("a", "b"):
+            edges = named(edges, side, names.select("u", "name"), few).withColumn(side, F.col("name")).drop("name")
+        pair = edges.where("a <> b").groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.min(F.struct("t", "seq", "k", "a", "b")).alias("e"))
+        edges = checkpointed(pair.select("e.a", "e.b", "e.t", "e.seq", "e.k"))
+    along = Window.partitionBy("node").orderBy("turn")  # a row for each rank
+    kept = turns.withColumn("next", F.lead("at").over(along)).where(F.col("next").isNull() | (F.col("next") > F.col("at")))
+    return kept.withColumn("prior", F.lag("root").over(along)).where(F.col("prior").isNull() | (F.col("prior") != F.col("root"))).select("node", "turn", "root", "at.t", "at.seq", "at.k")
+
+
+def component_state(events: DataFrame, span: int = SPAN) -> DataFrame:
     """The customer's component as it stood before each event, and its root after it.
 
-    Only first edges between nodes change components: ``merges`` replays those.
-    A customer's root at a time follows from its few turns.  What a root holds is
+    Only first edges between nodes change components (``root_turns``).  A customer's
+    root at a time follows from its few turns.  What a root holds is
     a running sum over what reaches it: nodes and events as they come, and what a
     lost root held of its own, once for each later root, at the time of the merge.
     """
@@ -229,16 +198,15 @@ def component_state(events: DataFrame, most: int = MOST_EDGES, span: int = SPAN)
     for k, (a, b) in enumerate(EDGES):
         one = _firsts(narrow, a, b).select(_named(a).alias("a"), _named(b).alias("b"), F.col("f.t").alias("t"), F.col("f.seq").alias("seq"), F.lit(k).alias("k"))
         edges = one if edges is None else edges.unionByName(one)
-    merged = merges(checkpointed(edges), most)
     born = narrow.select("t", "seq", F.explode(F.array(_named("customer"), _named("device"), _named("agent"))).alias("node")).where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("t", "seq")).alias("f"))
-    turns = checkpointed(roots_over_time(born.select("node", "f.t", "f.seq"), merged))
+    turns = checkpointed(root_turns(edges, born.select("node", "f.t", "f.seq")))
     mine = turns.where(F.col("node").startswith("c:")).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("t", "seq", "k", "root"))).alias("turns"))
     here = F.struct("t", "seq")
 
     def root(kept) -> Column:
         return F.element_at(F.filter("turns", lambda x: kept(F.struct(x["t"], x["seq"]))), -1)["root"]
 
-    placed = narrow.withColumn("node", _named("customer")).join(mine, "node").withColumn("before", F.when(F.size(F.filter("turns", lambda x: F.struct(x["t"], x["seq"]) < here)) > 0, root(lambda at: at < here))).withColumn("root", root(lambda at: at <= here))
+    placed = look_up(narrow.withColumn("node", _named("customer")), "node", mine.withColumnRenamed("node", "of"), "of").withColumn("before", F.when(F.size(F.filter("turns", lambda x: F.struct(x["t"], x["seq"]) < here)) > 0, root(lambda at: at < here))).withColumn("root", root(lambda at: at <= here))
     placed = checkpointed(placed.select("seq", "t", "before", "root", F.lit(1).cast("long").alias("component_events"), "component_cents", "component_declined", "component_agentic"))
     facts = SUMS[3:]
     nodes = turns.select("root", "t", "seq", F.lit(1).cast("long").alias("component_nodes"), F.col("node").startswith("c:").cast("long").alias("component_customers"), F.col("node").startswith("d:").cast("long").alias("component_devices"))

@@ -222,9 +222,12 @@ def fit_forest(legit: DataFrame, columns: list[str], key: str, label: str | None
 
 def entity_novelty(vectors: DataFrame, columns: list[str], key: str, least: int = 3, **fit) -> DataFrame:
     """(key, novelty): rank of the forest's score among entities with enough events, 0 to 1."""
-    rows = vectors.where(F.col("n") >= least)
+    from corvane.plans.session import checkpointed
+
+    rows = checkpointed(vectors.where(F.col("n") >= least))
     scored = fit_forest(rows, columns, key, **fit).score(rows, key)
-    n = scored.count()
+    scored = checkpointed(scored)
+    n = rows.count()
     return scored.join(average_rank(scored, "novelty"), "novelty").select(key, (F.col("rank") / max(n, 1)).alias("novelty"))
 
 

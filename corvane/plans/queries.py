@@ -13,7 +13,7 @@ from corvane.generators import population, scenarios
 from corvane.operators import baselines, distances, graph, lookups, metrics, models, policy, rules, sequences, text, velocity
 from corvane.operators.ordered import average_rank, numbered, quantiles
 from corvane.plans.session import checkpointed, read
-from corvane.sources.lenses import DAY, EVENTS_SQL, HOUR, ITEMS_SQL, auth_events, auth_items
+from corvane.sources.lenses import DAY, EVENTS_SQL, HOUR, ITEMS_SQL, SESSIONS_SQL, auth_events, auth_items, auth_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -271,15 +271,78 @@ def graph_component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.component_sizes(auth_events(spark, sf_dir))
 
 
-@query("graph_component_state")
-def graph_component_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.component_features(auth_events(spark, sf_dir))
-
-
-@query("graph_fan_in")
-def graph_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = auth_events(spark, sf_dir)
-    return graph.fan_in(events, graph.component_state(events), DAY, 7 * DAY)
+def _states_sql(lens: str) -> str:
+    """Union by rank edge by edge: ``reached(step, i, root)`` has every node's root after each first edge, ``x`` events with the steps before and after them."""
+    edge = "SELECT {0} AS a, {1} AS b, min({{'t': t, 'seq': seq}}) AS f, {2} AS k FROM ev WHERE {0} IS NOT NULL AND {1} IS NOT NULL GROUP BY 1, 2".format
+    c, d, g = "'c:' || customer", "'d:' || device", "'a:' || agent"
+    return f"""WITH RECURSIVE {lens}, firsts AS ({edge(c, d, 0)} UNION ALL {edge(c, g, 1)} UNION ALL {edge(d, g, 2)}
+    ), born AS (
+      SELECT node, min(f) AS f FROM (SELECT unnest([{c}, {d}, {g}]) AS node, {{'t': t, 'seq': seq}} AS f FROM ev) WHERE node IS NOT NULL GROUP BY node
+    ), nodes AS (
+      SELECT node, f, row_number() OVER (ORDER BY node) AS i FROM born
+    ), steps AS (
+      SELECT row_number() OVER (ORDER BY firsts.f, k) AS step, x.i AS x, y.i AS y, firsts.f FROM firsts JOIN nodes x ON a = x.node JOIN nodes y ON b = y.node
+    ), rec AS (
+      SELECT 0::BIGINT AS step, list(i ORDER BY i) AS roots, list(0 ORDER BY i) AS ranks FROM nodes
+      UNION ALL
+      SELECT step, list_transform(roots, lambda v: CASE WHEN v = lost THEN kept ELSE v END), list_transform(ranks, lambda v, i: CASE WHEN i = kept AND even THEN v + 1 ELSE v END)
+      FROM (SELECT s.step, roots, ranks, CASE WHEN ranks[roots[x]] < ranks[roots[y]] THEN roots[y] ELSE roots[x] END AS kept, CASE WHEN ranks[roots[x]] < ranks[roots[y]] THEN roots[x] ELSE roots[y] END AS lost,
+              roots[x] <> roots[y] AND ranks[roots[x]] = ranks[roots[y]] AS even FROM rec r JOIN steps s ON s.step = r.step + 1)
+    ), reached AS (
+      SELECT step, unnest(roots) AS root, unnest(range(1, len(roots) + 1)) AS i FROM rec
+    ), x AS (
+      SELECT ev.*, nodes.i, nodes.f AS born, coalesce(sum(n) OVER (ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, coalesce(sum(n) OVER (ORDER BY t, seq ROWS UNBOUNDED PRECEDING), 0) AS after
+      FROM ev JOIN nodes ON nodes.node = {c} LEFT JOIN (SELECT f.seq AS edge_seq, count(*) AS n FROM steps GROUP BY 1) ON edge_seq = seq
+    ), rooted AS (
+      SELECT x.*, named.node AS root FROM x JOIN reached r ON r.step = x.after AND r.i = x.i JOIN nodes named ON named.i = r.root
+    )"""
+
+
+def _component_sql(lens: str) -> str:
+    return f"""{_states_sql(lens)}, known AS (
+      SELECT x.seq, x.t, o.i, n.node, n.f FROM x JOIN reached r ON r.step = x.before AND r.i = x.i JOIN reached o ON o.step = x.before AND o.root = r.root JOIN nodes n ON n.i = o.i
+      WHERE x.born < {{'t': x.t, 'seq': x.seq}} AND n.f < {{'t': x.t, 'seq': x.seq}}
+    ), sums AS (
+      SELECT i, t, seq, count(*) OVER w AS n, sum(cents) OVER w AS cents, sum(declined::INTEGER) OVER w AS declined, sum((agent IS NOT NULL)::INTEGER) OVER w AS agentic FROM x WINDOW w AS (PARTITION BY i ORDER BY t, seq ROWS UNBOUNDED PRECEDING)
+    ), placed AS (
+      SELECT i, n, cents, declined, agentic, {{'t': t, 'seq': seq}} AS place FROM sums
+    ), state AS (
+      SELECT k.seq, count(*) AS nodes, count(*) FILTER (node LIKE 'c:%') AS customers, count(*) FILTER (node LIKE 'd:%') AS devices, sum(p.n) AS events, sum(p.cents) AS cents, sum(p.declined) AS declined, sum(p.agentic) AS agentic
+      FROM (SELECT *, {{'t': t, 'seq': seq - 1}} AS latest FROM known) k ASOF LEFT JOIN placed p ON p.i = k.i AND p.place <= k.latest GROUP BY k.seq
+    )
+    SELECT seq, root, coalesce(nodes, 1)::BIGINT AS component_nodes, coalesce(customers, 1)::BIGINT AS component_customers, coalesce(devices, 0)::BIGINT AS component_devices, coalesce(events, 0)::BIGINT AS component_events,
+      s.cents::DOUBLE / nullif(events, 0) / 100 AS component_amount_mean, s.declined::DOUBLE / nullif(events, 0) AS component_decline_ratio, agentic::DOUBLE / nullif(events, 0) AS component_agentic_share,
+      nullif(events, 0)::DOUBLE / customers AS component_events_per_customer
+    FROM rooted LEFT JOIN state s USING (seq)"""
+
+
+def _fan_in_sql(lens: str) -> str:
+    return f"""{_states_sql(lens)}, w AS (
+      SELECT e.seq, count(DISTINCT p.customer) FILTER (p.t >= e.t - {DAY})::BIGINT AS customers_24h, count(DISTINCT p.customer)::BIGINT AS customers_7d, count(DISTINCT p.root)::BIGINT AS components_7d
+      FROM rooted e LEFT JOIN rooted p ON p.merchant = e.merchant AND (p.t < e.t OR p.t = e.t AND p.seq < e.seq) AND p.t >= e.t - {7 * DAY} WHERE e.merchant IS NOT NULL GROUP BY e.seq
+    )
+    SELECT *, customers_7d::DOUBLE / nullif(components_7d, 0) AS fanin_per_component, customers_24h / nullif(customers_7d / 7.0::DOUBLE, 0) AS fanin_burst FROM w"""
+
+
+def _components(prefix: str, lens, sql: str) -> None:
+    QUERIES[f"{prefix}_component_state"] = lambda s, d: graph.component_features(lens(s, d))
+    SQL[f"{prefix}_component_state"] = _component_sql(sql)
+
+    def fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = lens(spark, sf_dir)
+        return graph.fan_in(events, graph.component_state(events), DAY, 7 * DAY)
+
+    QUERIES[f"{prefix}_fan_in"] = fan_in
+    SQL[f"{prefix}_fan_in"] = _fan_in_sql(sql)
+
+
+_components("graph", auth_events, EVENTS_SQL)
+_components("session", auth_sessions, SESSIONS_SQL)
+
+
+@query("session_component_sizes", f"WITH RECURSIVE {SESSIONS_SQL}, {IDENTITY_SQL} SELECT component, count(*) AS nodes FROM (SELECT node, min(reach) AS component FROM r GROUP BY node) GROUP BY component")
+def session_component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.component_sizes(auth_sessions(spark, sf_dir))
 
 
 # --- metrics --------------------------------------------------------------

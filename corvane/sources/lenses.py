@@ -1,8 +1,10 @@
 """Lenses: views of general tables in the form of authorisation streams.
 
 ``auth_events`` reads an event log, ``auth_items`` order lines with their orders
-(lines without an order have null keys).  ``EVENTS_SQL`` and ``ITEMS_SQL`` say the
-same in SQL.
+(lines without an order have null keys).  ``auth_sessions`` is the event log with a
+customer for each user and six hours of the day, mostly on a device of their own, so that the
+identity graph has many components.  ``EVENTS_SQL``, ``ITEMS_SQL`` and
+``SESSIONS_SQL`` say the same in SQL.
 """
 
 from __future__ import annotations
@@ -39,6 +41,19 @@ EVENTS_SQL = """ev AS (
 )"""
 
 
+def auth_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = auth_events(spark, sf_dir)
+    customer = F.col("customer") * 4 + F.floor(F.col("t") / (6 * HOUR)) % 4
+    own, shared = customer * 3 + F.col("merchant") % 3, -1 - F.floor(customer / 3)
+    agent = F.when(F.col("agent").isNotNull() & (F.col("merchant") % 4 == 0), F.floor((customer + 1) / 5))
+    return e.withColumns({"customer": customer, "device": F.when(F.col("merchant") % 9 == 0, shared).when(F.col("merchant") % 5 > 0, own), "agent": agent})
+
+
+SESSIONS_SQL = f"""{EVENTS_SQL.replace("ev AS (", "ev0 AS (", 1)}, ev1 AS (SELECT *, customer * 4 + t // {6 * HOUR} % 4 AS c4 FROM ev0), ev AS (
+  SELECT * EXCLUDE (c4) REPLACE (c4 AS customer, CASE WHEN merchant % 9 = 0 THEN -1 - c4 // 3 WHEN merchant % 5 > 0 THEN c4 * 3 + merchant % 3 END AS device, CASE WHEN agent IS NOT NULL AND merchant % 4 = 0 THEN (c4 + 1) // 5 END AS agent) FROM ev1
+)"""
+
+
 def auth_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -4,16 +4,16 @@ import random
 
 import pytest
 
-from corvane.operators import graph
+from corvane.operators import graph, skew
 
 COLUMNS = "seq long, t long, customer long, device long, merchant long, agent long, bin long, cents long, declined boolean"
 
 
-def micro(n, seed):
+def micro(n, seed, many=1):
     rng, t, out = random.Random(seed), 0, []
     for i in range(n):
         t += rng.choice([0, 0, 5, 40])
-        out.append((i, t, rng.randint(1, 9), rng.choice([None, 1, 2, 3, 4, 5, 6]), rng.randint(1, 4), rng.choice([None, None, 1, 2]), rng.randint(1, 3), rng.randint(1, 50), rng.random() < 0.3))
+        out.append((i, t, rng.randint(1, 9 * many), rng.choice([None, 1, 2, 3, 4, 5, 6] if many == 1 else [None, *range(1, 12 * many)]), rng.randint(1, 4), rng.choice([None, None, 1, 2] if many == 1 else [None] * 30 + list(range(1, many * 2))), rng.randint(1, 3), rng.randint(1, 50), rng.random() < 0.3))
     return out
 
 
@@ -43,10 +43,12 @@ def components_before(events):
     return out
 
 
-@pytest.mark.parametrize("most", [1_000_000, 45])
-def test_component_state_equals_replay(spark, most):
-    events = micro(120, 5)
-    got = {r["seq"]: tuple(r)[1:8] for r in graph.component_state(spark.createDataFrame(events, COLUMNS), most, 50).collect()}
+@pytest.mark.parametrize(("parts", "small", "many"), [(1000, 1_000_000, 1), (3, 5, 1), (20, 5, 8)])
+def test_component_state_equals_replay(spark, monkeypatch, parts, small, many):
+    monkeypatch.setattr(skew.look_up, "__defaults__", ("inner", parts))
+    monkeypatch.setattr(skew, "SMALL", small)
+    events = micro(120 * many, 5, many)
+    got = {r["seq"]: tuple(r)[1:8] for r in graph.component_state(spark.createDataFrame(events, COLUMNS), 50).collect()}
     assert got == components_before(events)
 
 
@@ -70,11 +72,10 @@ def roots_after(events):
     return out
 
 
-@pytest.mark.parametrize("most", [45])
-def test_roots_and_fan_in_equal_replay(spark, most):
-    events = micro(150, 3)
+def test_roots_and_fan_in_equal_replay(spark):
+    events = micro(400, 3, 6)
     df = spark.createDataFrame(events, COLUMNS)
-    state = graph.component_state(df, most)
+    state = graph.component_state(df)
     roots = roots_after(events)
     assert {r["seq"]: r["root"] for r in state.collect()} == roots
     got = {r["seq"]: r for r in graph.fan_in(df, state, 60, 420).collect()}
