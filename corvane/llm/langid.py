@@ -5,14 +5,17 @@ stands between words is one space), weighted by
 1 + ln(tf) and by an inverse document frequency taken over all training texts,
 and normalised.  Each language has several centroids, found by spherical k-means
 over a sample of its training texts of bounded size (``SAMPLE`` texts per
-language, picked by a hash of the id); a text gets the language of the centroid
-with the greatest cosine.  A text farther from its centroid than nearly all of
-that language's sample is rejected.
+language, picked by a hash of the id), in a task for each language; a text gets
+the language of the centroid with the greatest cosine.  A text farther from its
+centroid than nearly all of that language's sample is rejected.  There may be any number of
+languages: they are compared ``LANGUAGES`` at a time, and a text carries the best so far.
 
 Defined results: a null text and a text without a letter are ``und`` with score
 0; with ``reject`` so is a rejected text; without training rows every text is
-``und``; repeated rows get equal results; an empty table gives an empty result.
-Only id, text and, for training rows, the language are read.
+``und``; of languages with equal cosines the first by name is taken; texts that are
+not UTF-8 are read with replacement characters, texts of any length whole; repeated
+rows get equal results; an empty table gives an empty result.  Only id, text and, for
+training rows, the language are read.
 """
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, hash60, id_remainder, slices
+from .common import checkpointed, documents, hash60, id_remainder, slices
 
 DIMS = 2048
 #: Texts per language that the centroids are fitted on, about.
 SAMPLE = 500
-#: Languages that one model can hold.
-LANGUAGES = 200
+#: Languages that are sent to all executors and compared at a time (64 KB each).
+LANGUAGES = 256
+#: Counts of languages sent to all executors at most; a longer table is joined.
+BROADCAST_LANGUAGES = 50_000
 CENTROIDS = 4
 ROUNDS = 12
 #: Share of a language's own sample that lies beyond its rejection distance.
@@ -90,72 +95,79 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def fit_centroids(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
-    """The model: idf, centroids, their languages and rejection cosines."""
-    rows = df.where(F.coalesce(train, F.lit(False)) & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.col(lang_col).alias("lang"))
-    sizes = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not sizes:
-        return {"idf": np.ones(DIMS), "centroids": np.zeros((0, DIMS)), "langs": [], "least": np.zeros(0)}
+    """The model: idf, the languages in order, and a table(lang, centroids, least) of a row for each."""
+    rows = df.where(F.coalesce(train, F.lit(False)) & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.col(lang_col).cast("string").alias("lang"))
+    sizes = checkpointed(rows.groupBy("lang").agg(F.least(F.lit(1.0), SAMPLE / F.count("*")).alias("share")))
     frequency, n = _document_frequencies(rows.select("t"))
     idf = np.log((n + 1) / (frequency + 1)) + 1
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, SAMPLE / r["count"])))])
-    picked = rows.where(hash60(F.lit("lang"), F.col("k")) < F.element_at(share, F.col("lang")) * float(1 << 60))
+    few = sizes.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    picked = rows.join(F.broadcast(sizes) if few else sizes, "lang").where(hash60(F.lit("lang"), F.col("k")) < F.col("share") * float(1 << 60))
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw in slices(batches, 1, 1 << 20):
             x = weigh(gram_counts([t.decode(errors="replace") for t in raw]), idf).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "x"])
 
-    sample = picked.select("lang", "t").mapInArrow(vectors, "lang string, x binary").toArrow().to_pydict()
-    order = sorted(range(len(sample["x"])), key=lambda i: (sample["lang"][i], sample["x"][i]))
-    langs, centroids, least = [], [], []
-    for lang in sorted({r["lang"] for r in sizes}):
-        x = np.array([np.frombuffer(sample["x"][i], np.float16) for i in order if sample["lang"][i] == lang], np.float64).reshape(-1, DIMS)
+    def fitted(sample: pa.Table) -> pa.Table:  # about SAMPLE rows of one language
+        x = np.frombuffer(b"".join(sorted(sample["x"].to_pylist())), np.float16).reshape(-1, DIMS).astype(np.float64)
         x = x[(x > 0).any(1)]
-        if len(x):
-            c = cluster(x, CENTROIDS)
-            near = (x @ c.T).max(1)
-            langs += [lang] * len(c)
-            centroids.append(c)
-            least += [float(np.quantile(near, REJECTED_SHARE))] * len(c)
-    return {"idf": idf, "centroids": np.concatenate(centroids) if centroids else np.zeros((0, DIMS)), "langs": langs, "least": np.array(least)}
+        if not len(x):
+            return pa.table({"lang": pa.array([], pa.string()), "centroids": pa.array([], pa.binary()), "least": pa.array([], pa.float64())})
+        c = cluster(x, CENTROIDS)
+        return pa.table({"lang": sample["lang"][:1], "centroids": pa.array([c.tobytes()], pa.binary()), "least": [float(np.quantile((x @ c.T).max(1), REJECTED_SHARE))]})
+
+    table = checkpointed(picked.select("lang", "t").mapInArrow(vectors, "lang string, x binary").groupBy("lang").applyInArrow(fitted, "lang string, centroids binary, least double"))
+    return {"idf": idf, "langs": sorted(r["lang"] for r in table.select("lang").collect()), "table": table}
 
 
 def identify_languages(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", reject: bool = True) -> DataFrame:
     """Per row: id, lang_pred, score (share of the best language, 0 to 1), similarity (cosine), rejected."""
-    narrow = df.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
-    langs = sorted(set(model["langs"]))
-    columns = [np.flatnonzero([x == lang for x in model["langs"]]) for lang in langs]
-    shared = df.sparkSession.sparkContext.broadcast(model | {"groups": columns, "names": langs})
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for part, raw in slices(batches, 1, 1 << 20):
-            pred, score, near, far = [], [], [], []
-            for a in range(0, len(raw), 512):
-                texts = [t.decode(errors="replace") for t in raw[a : a + 512]]
-                letters = [any(c.isalpha() for c in t) for t in texts]
-                if not m["names"]:
-                    pred, score, near, far = (x + [y] * len(texts) for x, y in ((pred, "und"), (score, 0.0), (near, 0.0), (far, True)))
-                    continue
-                cosine = weigh(gram_counts(texts), m["idf"]) @ m["centroids"].T
-                by_lang = np.stack([cosine[:, g].max(1) for g in m["groups"]], 1)
-                best, of = by_lang.argmax(1), cosine.argmax(1)
-                e = np.exp(SHARPNESS * (by_lang - by_lang.max(1, keepdims=True)))
-                share = e.max(1) / e.sum(1)
-                top = cosine.max(1)
-                out = top < m["least"][of]
-                for i, letter in enumerate(letters):
-                    none = not letter or (reject and out[i])
-                    pred.append("und" if none else m["names"][best[i]])
-                    score.append(0.0 if none else float(share[i]))
-                    near.append(float(min(max(top[i], 0.0), 1.0)) if letter else 0.0)
-                    far.append(bool(out[i]) or not letter)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(near, pa.float64()), pa.array(far, pa.bool_())], names=["k", "lang_pred", "score", "similarity", "rejected"])
-
-    made = narrow.mapInArrow(run, f"k {narrow.schema['k'].dataType.simpleString()}, lang_pred string, score double, similarity double, rejected boolean")
-    return made.withColumnRenamed("k", id_col)
+    key = df.schema[id_col].dataType.simpleString()
+    state = "best string, cosine double, least double, total double"
+    found = df.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"), *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in state.split(", ")])
+
+    def against(names: list[str], last: bool) -> DataFrame:
+        """found, compared with some languages: best, its cosine and rejection cosine, and the sum of exp(SHARPNESS * (cosine - best cosine))."""
+        rows = {r["lang"]: r for r in model["table"].where(F.col("lang").isin(names)).collect()}
+        centroids = [np.frombuffer(rows[lang]["centroids"], np.float64).reshape(-1, DIMS) for lang in names]
+        starts = np.cumsum([0, *[len(c) for c in centroids]])[:-1]
+        shared = df.sparkSession.sparkContext.broadcast((names, np.concatenate(centroids), starts, np.array([rows[lang]["least"] for lang in names]), model["idf"]))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, stacked, at, least, idf = shared.value
+            for part, raw in slices(batches, 1, 1 << 20):
+                best, cosine, far, total = (part.column(i).to_pylist() for i in (2, 3, 4, 5))
+                letters = []
+                for a in range(0, len(raw), 512):
+                    texts = [t.decode(errors="replace") for t in raw[a : a + 512]]
+                    letters += [any(c.isalpha() for c in t) for t in texts]
+                    by_lang = np.maximum.reduceat(weigh(gram_counts(texts), idf) @ stacked.T, at, axis=1)
+                    of, top = by_lang.argmax(1), by_lang.max(1)
+                    sums = np.exp(SHARPNESS * (by_lang - top[:, None])).sum(1)
+                    for i in range(len(texts)):
+                        j, new, add = a + i, float(top[i]), float(sums[i])
+                        if best[j] is None or new > cosine[j]:
+                            total[j] = add + (0.0 if best[j] is None else total[j] * float(np.exp(SHARPNESS * (cosine[j] - new))))
+                            best[j], cosine[j], far[j] = own[of[i]], new, float(least[of[i]])
+                        else:
+                            total[j] += add * float(np.exp(SHARPNESS * (new - cosine[j])))
+                made = [pa.array(best, pa.string()), *[pa.array(v, pa.float64()) for v in (cosine, far, total)]]
+                text = pa.array(letters, pa.bool_()) if last else part.column(1)
+                yield pa.RecordBatch.from_arrays([part.column(0), text, *made], names=["k", "t", "best", "cosine", "least", "total"])
+
+        return found.mapInArrow(run, f"k {key}, t {'boolean' if last else 'string'}, {state}")
+
+    names = model["langs"]
+    for a in range(0, len(names), LANGUAGES):
+        found = against(names[a : a + LANGUAGES], a + LANGUAGES >= len(names))
+    if not names:
+        found = found.withColumn("t", F.lit(False))
+    letter, out = F.col("t") & F.col("best").isNotNull(), F.coalesce(F.col("cosine") < F.col("least"), F.lit(True))
+    none = ~letter | out if reject else ~letter
+    return found.select(
+        F.col("k").alias(id_col), F.when(none, "und").otherwise(F.col("best")).alias("lang_pred"), F.when(none, 0.0).otherwise(1 / F.col("total")).alias("score"),
+        F.when(letter, F.least(F.greatest("cosine", F.lit(0.0)), F.lit(1.0))).otherwise(0.0).alias("similarity"), (out | ~letter).alias("rejected"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

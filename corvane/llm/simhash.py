@@ -424,7 +424,7 @@ def texts_of(nodes: DataFrame, rows: DataFrame, df: DataFrame, text_col: str) ->
     """(node, t): a text of each node."""
     bodies = checkpointed(rows.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("body").alias("body")))
     text = F.col(f"`{text_col}`").cast("string")
-    texts = df.select(text.alias("t"), F.xxhash64(text).alias("body"))
+    texts = df.select(text.cast("binary").alias("t"), F.xxhash64(text).alias("body"))  # bytes, since texts need not be UTF-8
     return written(texts.join(F.broadcast(bodies) if bodies.count() <= FEW else bodies, "body").groupBy("node").agg(F.first("t").alias("t")))
 
 
@@ -439,7 +439,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             firsts = part.column(2)
             for i, (node, other) in enumerate(zip(part.column(0).to_pylist(), right, strict=True)):
                 if node != last:  # rows of one node mostly follow each other after the join on it
-                    last, left = node, _shingle_hashes((firsts[i].as_py() or "").encode(), width)
+                    last, left = node, _shingle_hashes(firsts[i].as_py() or b"", width)
                 h = _shingle_hashes(other, width)
                 both = len(np.intersect1d(left, h, assume_unique=True))
                 keep.append(both * DENOMINATOR >= (len(left) + len(h) - both) * NUMERATOR)
@@ -481,7 +481,7 @@ def frequent_links(members: DataFrame, texts: DataFrame, width: int) -> DataFram
     def run(table: pa.Table) -> pa.Table:
         nodes, labels, block = (table[c].to_numpy() for c in ("node", "label", "block"))
         x, y = table["x"][0].as_py(), table["y"][0].as_py()
-        sets = [_shingle_hashes((t or "").encode(), width) for t in table["t"].to_pylist()]
+        sets = [_shingle_hashes(t or b"", width) for t in table["t"].to_pylist()]
         left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
         both, n = _overlaps(sets, left, right), np.array([len(h) for h in sets])
         near = (both * DENOMINATOR >= (n[left][:, None] + n[right][None, :] - both) * NUMERATOR) & (labels[left][:, None] != labels[right][None, :])
@@ -532,6 +532,10 @@ def keep_one(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: st
     """One row of each group of near-duplicates (that of the least id; of equal rows any one), with the columns of ``df``.
 
     Two texts link if the Jaccard similarity of their shingle sets is at least 0.8.
+    Bounded losses: a pair at 0.8 shares no band less often than once in 10^4, and
+    the screen by sketches (``SKETCH_BITS`` of 128, six deviations above what is
+    expected at 0.8) has no exact way round it.  Texts that are not UTF-8 are
+    compared as bytes.
     """
     rows = written(shingle_sketches(df, width, id_col, text_col))
     labels = similar_components(rows, df, width, text_col)
