@@ -133,9 +133,11 @@ def hex_ids(df: DataFrame, number: str, width: int, seed: str, out: str = "hex_i
     """Distinct ids of ``width`` hex digits: a walk with an odd stride meets no value of 16 ** width twice."""
     if not 1 <= width <= 8:
         raise ValueError("products with wider ids would not fit a long")
-    start, stride = seed32(F.lit(f"{seed}/start")), seed32(F.lit(f"{seed}/stride"))
-    n = F.lit(16**width)
-    value = F.pmod(start + F.pmod(stride.bitwiseOR(F.lit(1)), n) * F.pmod(F.col(number), n), n)
+    start, n = seed32(F.lit(f"{seed}/start")), F.lit(16**width)
+    stride, at = F.pmod(seed32(F.lit(f"{seed}/stride")).bitwiseOR(F.lit(1)), n), F.pmod(F.col(number).cast("long"), n)
+    # The number in two halves of 16 bits: no product passes 2 ** 48.
+    low, high = at.bitwiseAND(F.lit(0xFFFF)), F.shiftright(at, 16)
+    value = F.pmod(start + stride * low + F.pmod(stride * high, n) * F.lit(1 << 16), n)
     return df.withColumn(out, F.lower(F.lpad(F.hex(value), width, "0")))
 
 

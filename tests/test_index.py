@@ -24,6 +24,14 @@ def test_hex_ids_are_distinct(spark):
     assert len(set(ids)) == 4096 and all(len(i) == 3 for i in ids)
 
 
+def test_hex_ids_of_full_width(spark):
+    numbers = [*range(5), *range(3_000_000_000, 3_000_000_200), 2**31 - 1, 2**31, 2**32 - 1]
+    ids = [r["hex_id"] for r in index.hex_ids(spark.createDataFrame([(n,) for n in numbers], "id long"), "id", 8, "x").collect()]
+    assert len(set(ids)) == len(numbers) and all(len(i) == 8 for i in ids)
+    # A walk: equal steps between neighbours.
+    assert len({(int(b, 16) - int(a, 16)) % 2**32 for a, b in zip(ids[5:204], ids[6:205], strict=True)}) == 1
+
+
 def test_weighted_sample_follows_the_weights(spark):
     rows = spark.range(2000).select("id", F.when(F.col("id") < 1000, 9.0).otherwise(1.0).alias("w"))
     heavy = sum(r["id"] < 1000 for r in index.weighted_sample(rows, 200, "w", "id", "s").collect())
