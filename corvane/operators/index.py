@@ -155,16 +155,17 @@ def corpus_plan(spark_rows: DataFrame, subjects: list[str], variants: dict[str,
     return rows.select("subject", "x.kind", F.explode(F.sequence(F.lit(1), F.col("x.n"))).alias("variant")).withColumn("title", F.format_string("%s (%s v%d)", "subject", "kind", "variant"))
 
 
-def late_rows(events: DataFrame, arrival: str = "arrival", time: str = "t", span: int = 100_000) -> DataFrame:
-    """Events with a time below that of an event that arrived before them, and by how much.
+def late_rows(events: DataFrame, arrival: str = "arrival", time: str = "t", span: int = 100_000, by: list[str] | None = None) -> DataFrame:
+    """Events with a time below that of an event (of the same ``by``, if given) that arrived before them, and by how much.
 
     The greatest time so far is taken within spans of arrivals and over the spans before.
     """
+    key = by or []
     cut = events.withColumn("span_", F.floor(F.col(arrival) / span))
-    inside = Window.partitionBy("span_").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.orderBy("span_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each span
-    heads = cut.groupBy("span_").agg(F.max(time).alias("most_")).select("span_", F.max("most_").over(before).alias("earlier_"))
-    marked = cut.withColumn("so_far_", F.max(time).over(inside)).join(heads, "span_")
+    inside = Window.partitionBy(*key, "span_").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*key).orderBy("span_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each span
+    heads = cut.groupBy(*key, "span_").agg(F.max(time).alias("most_")).select(*key, "span_", F.max("most_").over(before).alias("earlier_"))
+    marked = cut.withColumn("so_far_", F.max(time).over(inside)).join(heads, [*key, "span_"])
     behind = F.greatest("so_far_", "earlier_") - F.col(time)
     return marked.withColumn("late_by", behind).where("late_by > 0").select(*events.columns, "late_by")
 

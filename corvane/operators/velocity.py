@@ -99,6 +99,30 @@ def velocity_block(events: DataFrame, keys: dict[str, list[str]] = KEYS, windows
     return out
 
 
+def delayed_outcomes(events: DataFrame, outcomes: DataFrame, key: str, windows: dict[str, int] = WINDOWS, span: int = 24 * HOUR) -> DataFrame:
+    """Per event with a key: seq and, by window, known, declined and decline_ratio over the key's earlier events whose outcome is known before the event.
+
+    events(seq, t, key), outcomes(seq, t, t0, key, declined): ``t`` is when the outcome
+    is known, ``t0`` its event's time.  A sweep: an outcome enters each window at
+    ``t``, if its event is still inside then, and leaves it at ``t0`` plus the width.
+    """
+    from .ordered import running_by_span
+
+    names = [f"{c}_{w}" for w in windows for c in ("known", "declined")]
+    none = {n: F.lit(0).cast("long") for n in names}
+
+    def moves(sign: int, at: Column, of: list[str], kind: int) -> DataFrame:
+        own = none | {f"{c}_{w}": F.when(F.col("t") <= F.col("t0") + windows[w], sign * (F.lit(1) if c == "known" else F.col("declined").cast("int"))).otherwise(0).cast("long") for w in of for c in ("known", "declined")}
+        return outcomes.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), at.alias("at"), F.lit(kind).alias("kind"), "seq", *[v.alias(f"d_{n}") for n, v in own.items()])
+
+    rows = events.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col("t").alias("at"), F.lit(0).alias("kind"), "seq", *[v.alias(f"d_{n}") for n, v in none.items()])
+    rows = rows.unionByName(moves(1, F.col("t"), list(windows), 1))
+    for name, width in windows.items():
+        rows = rows.unionByName(moves(-1, F.col("t0") + width, [name], 1))
+    swept = running_by_span(rows, ["k"], F.floor(F.col("at") / span), ["at", "kind", "seq"], {n: F.col(f"d_{n}") for n in names}).where("kind = 0")
+    return swept.select("seq", *[c for w in windows for c in (F.col(f"known_{w}"), F.col(f"declined_{w}"), _ratio(F.col(f"declined_{w}"), F.col(f"known_{w}")).alias(f"decline_ratio_{w}"))])
+
+
 def velocity_sql(source: str, table: str, key: list[str]) -> str:
     """The same by a self-join, for comparison."""
     same = " AND ".join(f"p.{c} = e.{c}" for c in key)
