@@ -22,9 +22,14 @@ def micros(ts: Column) -> Column:
 
 
 def auth_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_auth_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_auth_events(events: DataFrame) -> DataFrame:
+    """The event log, read as a table or as a stream, in the form of authorisations."""
     k = F.get_json_object("props", "$.k").cast("long")
     agent = F.when(F.col("event_type") == "click", F.col("user_id") % 7)
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return events.select(
         F.col("event_id").alias("seq"), micros(F.col("ts")).alias("t"), F.col("user_id").alias("customer"), k.alias("merchant"), (k % 20).alias("device"), agent.alias("agent"),
         F.when(agent.isNotNull(), F.col("user_id") % 7 * 10 + k % 3).alias("mandate"), F.when(k % 10 != 0, F.col("user_id") % 50).alias("ip"), (F.col("user_id") % 16).alias("bin"),
         F.rint(F.col("value") * 100).cast("long").alias("cents"), F.col("value").alias("amount"), (F.col("event_type") == "error").alias("declined"), (F.col("event_type") != "signup").alias("known"),

@@ -110,7 +110,7 @@ class _Keyed(StatefulProcessor):
 class Velocity(_Keyed):
     day_schema = "start bigint, base array<bigint>, times array<bigint>, sums array<array<bigint>>"
 
-    def __init__(self, key: list[str], arrival: str, forget: int | None):
+    def __init__(self, key: list[str], arrival: list[str], forget: int | None):
         self.key, self.arrival, self.forget = key, arrival, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -177,16 +177,16 @@ def _is_double(name: str) -> bool:
     return any(d in name for d in ("ratio", "seconds", "mean", "lag"))
 
 
-def stream_velocity(events: DataFrame, key: list[str], arrival: str = "seq", delay: str = "1 day", forget: int | None = None) -> DataFrame:
+def stream_velocity(events: DataFrame, key: list[str], arrival: tuple[str, ...] = ("seq",), delay: str = "1 day", forget: int | None = None) -> DataFrame:
     """seq, the key, late_by, and the features of ``velocity`` of a stream; late rows have ``late_by`` only.  Rows without the key are left out."""
     types = dict(events.dtypes)
     known = F.col("known").cast("long")
     rows = events.dropna(subset=key).select(
-        *dict.fromkeys(["seq", arrival, *key, "t", "cents"]), (F.col("declined").cast("long") * known).alias("dec"), known.alias("kno"), F.col("refund").cast("long").alias("ref"),
+        *dict.fromkeys(["seq", *arrival, *key, "t", "cents"]), (F.col("declined").cast("long") * known).alias("dec"), known.alias("kno"), F.col("refund").cast("long").alias("ref"),
         F.coalesce(F.col("lag"), F.lit(0)).cast("long").alias("lag"), F.col("lag").isNotNull().cast("long").alias("lags"),
     )
     schema = ", ".join(["seq long", *[f"{k} {types[k]}" for k in key], "late_by long", *[f"{f} {'double' if _is_double(f) else 'long'}" for f in feature_names()]])
-    return _timed(rows, delay).groupBy(*key).transformWithStateInPandas(Velocity(key, arrival, forget), schema, "append", "eventTime")
+    return _timed(rows, delay).groupBy(*key).transformWithStateInPandas(Velocity(key, list(arrival), forget), schema, "append", "eventTime")
 
 
 class Outcomes(_Keyed):
