@@ -1,16 +1,22 @@
-"""Text layer: TF-IDF over word 1-2 grams and a balanced logistic model of artefacts."""
+"""Text layer: TF-IDF over word 1-2 grams and a balanced logistic model of artefacts.
+
+The vocabulary is a table: terms are numbered in order, vectors are rows of (key,
+number, weight), and a score is a sum over a join.  No term is dropped.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import uuid
+from dataclasses import dataclass
+
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, IDF, NGram, Normalizer, RegexTokenizer, SQLTransformer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.scalars import variant
 
+from .skew import look_up
+
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
@@ -26,40 +32,89 @@ def terms(text: Column) -> Column:
     return F.concat(words, pairs)
 
 
+def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf) of the terms of each document."""
+    return docs.select(F.col(key), F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def weighted(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """(key, *vocabulary's columns, weight): (1 + ln tf) * idf of the terms in the vocabulary, each document normalised to length 1."""
+    raw = look_up(counts, "term", vocabulary.withColumnRenamed("term", "word"), "word").withColumn("w", (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
+    norm = raw.groupBy(F.col(key).alias("of")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    kept = [c for c in vocabulary.columns if c != "idf"]
+    return raw.join(norm, F.col(key) == F.col("of")).select(key, *kept, (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def fit_vocabulary(counts: DataFrame, n: int) -> DataFrame:
+    """(term, number, idf): all terms numbered from 0 in order, with ln((1 + n) / (1 + df)) + 1."""
+    from .ordered import running
+
+    placed = running(counts, "term", {"df": F.lit(1), "one": F.lit(0)})
+    numbers = running(placed.select("term"), "term", {"n": F.lit(1)}).select("term", F.col("n_below").alias("number"))
+    return placed.select("term", "df").join(numbers, "term").select("term", "number", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
 def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), each document normalised to length 1."""
-    counts = docs.select(F.col(key), F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    n = docs.count()
+    from corvane.plans.session import checkpointed
+
+    counts = checkpointed(term_counts(docs, key, text))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = counts.join(df, "term").withColumn("w", (1 + F.log(F.col("tf").cast("double"))) * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
-
-
-def text_model(train: DataFrame, text: str, label: str, c: float = 4.0, most_terms: int = 1 << 16) -> PipelineModel:
-    """Balanced logistic regression over normalised TF-IDF; the label marks artefacts, never events."""
-    rows = train.select(F.array_join(F.regexp_extract_all(plain(F.col(text)), F.lit(r"(?U)\w\w+"), F.lit(0)), " ").alias("plain_text"), F.col(label).cast("double").alias("y"))
-    n = rows.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
-    p = n["p"] or 0.0
-    rows = rows.withColumn("w", F.when(F.col("y") > 0, n["n"] / (2 * max(p, 1))).otherwise(n["n"] / (2 * max(n["n"] - p, 1))))
-    stages = [
-        RegexTokenizer(inputCol="plain_text", outputCol="words", pattern=r"(?U)\w\w+", gaps=False, toLowercase=False), NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(words, pairs) AS grams FROM __THIS__"), CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=most_terms), IDF(inputCol="tf", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=1.0 / (c * max(n["n"], 1)), maxIter=60),
-    ]
-    return Pipeline(stages=stages).fit(rows)
-
-
-def score_texts(docs: DataFrame, model: PipelineModel, key: str, text: str) -> DataFrame:
-    """(key, score) of each artefact, once."""
-    rows = docs.select(F.col(key), F.array_join(F.regexp_extract_all(plain(F.col(text)), F.lit(r"(?U)\w\w+"), F.lit(0)), " ").alias("plain_text"), F.lit(0.0).alias("y"), F.lit(1.0).alias("w"))
-    return model.transform(rows).select(key, vector_to_array("probability")[1].alias("score"))
-
-
-def top_terms(model: PipelineModel, spark, k: int = 20) -> DataFrame:
-    words, weights = model.stages[3].vocabulary, model.stages[-1].coefficients.toArray()
-    order = sorted(range(len(words)), key=lambda i: -weights[i])[:k]
-    return spark.createDataFrame([(words[i], float(weights[i])) for i in order], "term string, coefficient double")
+    return weighted(counts, df.select("term", (F.log(F.lit(1.0 + docs.count()) / (1 + F.col("df"))) + 1).alias("idf")), key)
+
+
+@dataclass
+class TextModel:
+    """terms(term, number, idf, coefficient) and the intercept."""
+
+    terms: DataFrame
+    intercept: float
+    size: int
+
+
+def text_model(train: DataFrame, text: str, label: str, c: float = 4.0, rounds: int = 200) -> TextModel:
+    """Balanced logistic regression over normalised TF-IDF of all terms; the label marks artefacts, never events.
+
+    The penalty is on the plain coefficients: half their squares over ``c``, beside the summed loss.
+    """
+    from corvane.plans.session import checkpoint_folder, checkpointed
+
+    spark = train.sparkSession
+    docs = checkpointed(train.select(F.monotonically_increasing_id().alias("doc"), F.col(text).alias("text"), F.col(label).cast("int").alias("y")))
+    sizes = docs.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
+    n, p = sizes["n"], sizes["p"] or 0
+    if not 0 < p < n:
+        raise ValueError("both kinds of artefacts are needed in training")
+    counts = checkpointed(term_counts(docs, "doc", "text"))
+    vocabulary = checkpointed(fit_vocabulary(counts, n))
+    size = vocabulary.count()
+    vectors = weighted(counts, vocabulary.select("term", "number", "idf"), "doc")
+    # Sparse vectors by way of Spark's own format for them: "label number:weight ...", numbers from 1 and ascending.
+    lists = vectors.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("number", "weight"))).alias("x"))
+    line = F.concat_ws(" ", F.col("y").cast("string"), F.concat_ws(" ", F.transform(F.coalesce("x", F.array()), lambda e: F.concat_ws(":", (e["number"] + 1).cast("string"), e["weight"].cast("string")))))
+    folder = f"{checkpoint_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    docs.join(lists, "doc", "left").select(F.trim(line).alias("value")).write.text(folder)
+    rows = spark.read.format("libsvm").option("numFeatures", max(size, 1)).load(folder)
+    rows = rows.withColumn("w", F.when(F.col("label") > 0, n / (2 * p)).otherwise(n / (2 * (n - p))))
+    fitted = LogisticRegression(weightCol="w", regParam=1.0 / (c * n), standardization=False, maxIter=rounds, tol=1e-9).fit(rows)
+    coefficients = [(i, float(x)) for i, x in enumerate(fitted.coefficients.toArray().tolist())]
+    table = spark.createDataFrame(coefficients, "place long, coefficient double")
+    terms_ = checkpointed(vocabulary.join(table, F.col("number") == F.col("place")).select("term", "number", "idf", "coefficient"))
+    return TextModel(terms_, float(fitted.intercept), size)
+
+
+def score_texts(docs: DataFrame, model: TextModel, key: str, text: str) -> DataFrame:
+    """(key, score) of each artefact, once; terms that training did not see count for nothing."""
+    from corvane.plans.session import checkpointed
+
+    found = weighted(checkpointed(term_counts(docs, key, text)), model.terms.select("term", "idf", "coefficient"), key)
+    sums = found.groupBy(F.col(key).alias("of")).agg(F.sum(F.col("coefficient") * F.col("weight")).alias("sum"))
+    margin = F.coalesce("sum", F.lit(0.0)) + model.intercept
+    return docs.select(key).join(sums, F.col(key) == F.col("of"), "left").select(key, (1 / (1 + F.exp(-margin))).alias("score"))
+
+
+def top_terms(model: TextModel, spark: SparkSession, k: int = 20) -> DataFrame:
+    return model.terms.orderBy(F.desc("coefficient"), "term").limit(k).select("term", "coefficient")
 
 
 def held_out(artifacts: DataFrame, variants: list[int], kind: str | None = None) -> DataFrame:

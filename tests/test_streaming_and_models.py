@@ -118,6 +118,41 @@ def test_text_layer(spark):
     assert text.ood_panel(scores).first()["recall"] == 1.0
     assert text.top_terms(model, spark, 3).count() == 3
     assert text.held_out(docs.withColumn("title", F.col("text")), [4]).count() == 8
+    with pytest.raises(ValueError):
+        text.text_model(docs.where("bad"), "text", "bad")
+
+
+@pytest.mark.parametrize("small", [1_000_000, 5])
+def test_text_model_by_numpy(spark, monkeypatch, small):
+    """All terms, the weights of ``tfidf``, and coefficients at the optimum of the balanced, penalised loss."""
+    import math
+    import random
+
+    import numpy as np
+
+    from corvane.operators import skew
+
+    monkeypatch.setattr(skew, "SMALL", small)
+    rng = random.Random(3)
+    made = [(i, " ".join(rng.choice(["pay", "now", "Crème", "bread", "the", "rules", "the", f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(0, 12))), rng.random() < 0.3) for i in range(60)]
+    docs = spark.createDataFrame(made, "id long, text string, bad boolean")
+    model = text.text_model(docs, "text", "bad")
+    weights = {(r["id"], r["term"]): r["weight"] for r in text.tfidf(docs, "id", "text").collect()}
+    rows = {r["term"]: r for r in model.terms.collect()}
+    assert set(rows) == {t for _, t in weights} and model.size == len(rows)
+    assert [rows[t]["number"] for t in sorted(rows)] == list(range(len(rows)))
+    x = np.zeros((60, len(rows)))
+    for (i, t), w in weights.items():
+        x[i, rows[t]["number"]] = w
+    y = np.array([b for *_, b in made], float)
+    v = np.where(y > 0, 60 / (2 * y.sum()), 60 / (2 * (60 - y.sum())))
+    beta, b = np.array([rows[t]["coefficient"] for t in sorted(rows)]), model.intercept
+    p = 1 / (1 + np.exp(-(x @ beta + b)))
+    assert np.abs(x.T @ (v * (p - y)) + beta / 4.0).max() < 1e-3 and abs((v * (p - y)).sum()) < 1e-3
+    got = {r["id"]: r["score"] for r in text.score_texts(docs, model, "id", "text").collect()}
+    assert got == pytest.approx(dict(enumerate(p.tolist())), abs=1e-9)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "unseen words only")], "id long, text string")
+    assert {round(r["score"], 12) for r in text.score_texts(odd, model, "id", "text").collect()} == {round(1 / (1 + math.exp(-b)), 12)}
 
 
 def test_sequences_and_lookups(spark):
