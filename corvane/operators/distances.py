@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions.scalars import draw, uniform
 
-from .ordered import average_rank, running
+from .ordered import long_form, running, running_by
+from .skew import look_up
 
 
 def shares(df: DataFrame, level: str) -> DataFrame:
@@ -111,12 +112,49 @@ def ks_lognormal(df: DataFrame, value: str, mean: float, std: float) -> DataFram
     return r.crossJoin(F.broadcast(total)).agg(F.round(F.max(F.greatest(F.abs(hi - cdf), F.abs(lo - cdf))), 6).alias("ks"))  # one row of totals
 
 
+def mixture_cdf(value: Column, parts: list[tuple[float, float, float]]) -> Column:
+    """The distribution function of log-normals (weight, mean, deviation of the logarithm) mixed by weight; 0 at or below zero."""
+    total = sum(w for w, _, _ in parts)
+    mixed = sum((normal_cdf((F.log(value) - mean) / std) * (w / total) for w, mean, std in parts), F.lit(0.0))
+    return F.when(value > 0, mixed).otherwise(0.0)
+
+
+def ks_mixture(df: DataFrame, value: str, parts: list[tuple[float, float, float]]) -> DataFrame:
+    """One-sample KS against a mixture of log-normals: n, ks, band (1.63 / sqrt(n)) and the bound of the error of ks.
+
+    The gap is taken on both sides of each distinct value, so ties and values at or
+    below zero count in full.
+    """
+    r = running(df.select(F.col(value).cast("double").alias("v")), "v", {"n": F.lit(1)})
+    total = df.where(F.col(value).isNotNull()).agg(F.count("*").alias("total"))
+    cdf = mixture_cdf(F.col("v"), parts)
+    hi, lo = (F.col("n") + F.col("n_below")).cast("double") / F.col("total"), F.col("n_below").cast("double") / F.col("total")
+    gaps = r.crossJoin(F.broadcast(total)).agg(F.max("total").alias("n"), F.max(F.greatest(F.abs(hi - cdf), F.abs(lo - cdf))).alias("ks"))  # one row of totals
+    return gaps.select("n", F.round("ks", 9).alias("ks"), F.round(1.63 / F.sqrt(F.col("n").cast("double")), 9).alias("band"), F.lit(1.5e-7).alias("error_bound"))
+
+
+def ks_columns(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, n, m, ks, band) of each column: ``ks_two_sample`` of all of them in one pass; null where one side has no values."""
+    both = long_form(a, columns).withColumn("x", F.lit(1)).unionByName(long_form(b, columns).withColumn("x", F.lit(0)))
+    r = running_by(both, "name", "value", {"x": F.col("x"), "y": 1 - F.col("x")})
+    share = lambda c: F.try_divide((F.col(c) + F.col(f"{c}_below")).cast("double"), F.col(f"{c}_all"))
+    out = r.groupBy("name").agg(F.max("x_all").alias("n"), F.max("y_all").alias("m"), F.max(F.abs(share("x") - share("y"))).alias("ks"))
+    return out.select("name", "n", "m", F.round("ks", 9).alias("ks"), F.round(1.63 * F.sqrt(F.try_divide((F.col("n") + F.col("m")).cast("double"), F.col("n") * F.col("m"))), 9).alias("band"))
+
+
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, rho) for every pair of columns, over rows without nulls in them."""
-    whole = df.dropna(subset=columns)
+    """(a, b, rho) for every pair of columns, over rows without nulls in them.
+
+    The ranks of all columns come from one long table; a frequent value meets its rank by broadcast.
+    """
+    from corvane.plans.session import checkpointed
+
+    whole = checkpointed(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna())
+    r = running_by(long_form(whole, columns), "name", "value", {"n": F.lit(1)})
+    ranks = checkpointed(r.select("name", "value", (F.col("n_below") + (F.col("n") + 1) / 2).alias("rank")))
     ranked = whole
     for c in columns:
-        ranked = ranked.join(average_rank(whole, c, f"r_{c}"), c)
+        ranked = look_up(ranked, c, ranks.where(F.col("name") == c).select(F.col("value").alias("at_"), F.col("rank").alias(f"r_{c}")), "at_")
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     out = ranked.agg(*[F.corr(f"r_{a}", f"r_{b}").alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     return out.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(f"c{i}", 9).alias("rho")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
@@ -127,19 +165,23 @@ def correlation_gap(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame
     return spearman(a, columns).withColumnRenamed("rho", "rho_a").join(spearman(b, columns).withColumnRenamed("rho", "rho_b"), ["a", "b"]).withColumn("gap", F.round(F.col("rho_a") - F.col("rho_b"), 9))
 
 
+def correlation_distance(gaps: DataFrame, worst: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Of ``correlation_gap``: one row with the Frobenius distance of the two matrices and the root mean square of an entry off the diagonal, and the worst pairs.
+
+    Both triangles count in the distance; an undefined coefficient counts as equal.
+    """
+    square = F.coalesce(F.col("gap") * F.col("gap"), F.lit(0.0))
+    whole = gaps.agg(F.round(F.sqrt(2 * F.sum(square)), 9).alias("frobenius"), F.round(F.sqrt(F.avg(square)), 9).alias("rms_off_diagonal"))
+    return whole, gaps.orderBy(F.abs(F.coalesce("gap", F.lit(0.0))).desc(), "a", "b").limit(worst)
+
+
 def separability(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column: rank AUC of the label ``y`` (folded to 0.5 .. 1), its direction, and the best one-split stump's AUC."""
-    out = None
-    for c in columns:
-        r = running(df, c, {"pos": F.col("y").cast("long"), "neg": (~F.col("y")).cast("long")})
-        total = df.where(F.col(c).isNotNull()).agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("n"))
-        at = r.crossJoin(F.broadcast(total))  # one row of totals
-        tpr, fpr = (F.col("pos") + F.col("pos_below")).cast("double") / F.col("p"), (F.col("neg") + F.col("neg_below")).cast("double") / F.col("n")
-        one = at.agg(F.sum(F.col("pos") * (2 * F.col("neg_below") + F.col("neg"))).alias("pairs"), F.max("p").alias("p"), F.max("n").alias("n"), F.max(F.abs(tpr - fpr)).alias("gap"))
-        auc = F.col("pairs").cast("double") / 2 / (F.col("p") * F.col("n"))
-        row = one.select(F.lit(c).alias("column"), F.round(F.greatest(auc, 1 - auc), 9).alias("rank_auc"), F.when(auc >= 0.5, "up").otherwise("down").alias("direction"), F.round(0.5 + F.col("gap") / 2, 9).alias("stump_auc"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Per column: rank AUC of the label ``y`` (folded to 0.5 .. 1), its direction, and the best one-split stump's AUC; all columns in one pass."""
+    r = running_by(long_form(df, columns, "y"), "name", "value", {"pos": F.col("y").cast("long"), "neg": (~F.col("y")).cast("long")})
+    tpr, fpr = F.try_divide((F.col("pos") + F.col("pos_below")).cast("double"), F.col("pos_all")), F.try_divide((F.col("neg") + F.col("neg_below")).cast("double"), F.col("neg_all"))
+    one = r.groupBy("name").agg(F.sum(F.col("pos") * (2 * F.col("neg_below") + F.col("neg"))).alias("pairs"), F.max("pos_all").alias("p"), F.max("neg_all").alias("n"), F.max(F.abs(tpr - fpr)).alias("gap"))
+    auc = F.try_divide(F.col("pairs").cast("double") / 2, F.col("p") * F.col("n"))
+    return one.select(F.col("name").alias("column"), F.round(F.greatest(auc, 1 - auc), 9).alias("rank_auc"), F.when(auc >= 0.5, "up").otherwise("down").alias("direction"), F.round(0.5 + F.col("gap") / 2, 9).alias("stump_auc"))
 
 
 def functional_dependency(df: DataFrame, columns: list[str], mask: Column) -> DataFrame:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import distances, metrics, sequences
-from .ordered import quantiles
+from . import distances, metrics, sequences, trees
+from .ordered import long_form, quantiles_by
 
 SHAPE = ["robust_z", "deviation", "gap", "gap_ratio", "burst_1h", "rank_pct", "category_shift", "hour"]
 
@@ -30,24 +32,41 @@ def shape(rows: DataFrame) -> DataFrame:
 
 
 def marginals(synthetic: DataFrame, real: DataFrame, columns: list[str] = SHAPE) -> DataFrame:
-    """Per column: KS, its band, their ratio, and both medians."""
-    out = None
-    for c in columns:
-        one = distances.ks_two_sample(synthetic, real, c)
-        a, b = quantiles(synthetic, c, [0.5])[0], quantiles(real, c, [0.5])[0]
-        one = one.select(F.lit(c).alias("column"), "ks", "band", F.when(F.col("band") > 0, F.col("ks") / F.col("band")).otherwise(0.0).alias("ratio"), F.lit(a).cast("double").alias("median_synthetic"), F.lit(b).cast("double").alias("median_real"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Per column: KS, its band, their ratio, and the medians and interquartile ranges of both; the worst first."""
+    out = distances.ks_columns(synthetic, real, columns)
+    for side, df in (("synthetic", synthetic), ("real", real)):
+        q = quantiles_by(long_form(df, columns), "name", "value", [0.25, 0.5, 0.75])
+        out = out.join(q.select("name", F.col("q1").alias(f"median_{side}"), (F.col("q2") - F.col("q0")).alias(f"iqr_{side}")), "name", "left")
+    ratio = F.when(F.col("band") > 0, F.col("ks") / F.col("band")).otherwise(0.0)
+    return out.select(F.col("name").alias("column"), "ks", "band", ratio.alias("ratio"), "median_synthetic", "median_real", "iqr_synthetic", "iqr_real").orderBy(F.desc("ratio"), "column")
+
+
+def level_marginals(synthetic: DataFrame, real: DataFrame, columns: list[str]) -> DataFrame:
+    """Per column of levels: Jensen-Shannon divergence in bits, how many levels, and the level whose share differs most (of equal ones the first); the worst first."""
+    def counted(df: DataFrame, side: str) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("level")) for c in columns])
+        n = df.select(F.explode(cells).alias("x")).groupBy("x.column", "x.level").agg(F.count("*").alias("n"))
+        return n.join(n.groupBy("column").agg(F.sum("n").alias("all")), "column").select("column", "level", (F.col("n") / F.col("all")).alias(side))
+
+    both = counted(synthetic, "p").join(counted(real, "q"), ["column", "level"], "full_outer").select("column", "level", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
+    m, gap = (F.col("p") + F.col("q")) / 2, F.abs(F.col("p") - F.col("q"))
+    part = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / m)).otherwise(0.0)
+    out = both.groupBy("column").agg(F.round(F.sum((part("p") + part("q")) / 2), 9).alias("jsd"), F.count("*").alias("levels"), F.min(F.struct((-F.round(gap, 9)).alias("gap"), "level")).alias("worst"))
+    return out.select("column", "jsd", "levels", F.col("worst.level").alias("worst_level"), (-F.col("worst.gap")).alias("worst_gap")).orderBy(F.desc("jsd"), "column")
 
 
 def _features(df: DataFrame, columns: list[str], y: str) -> DataFrame:
-    filled = df.select(F.col(y).cast("double").alias("y"), *[F.coalesce(c, F.lit(-9.0)).alias(c) for c in columns], *[c for c in ("fold", "seq") if c in df.columns])
+    filled = df.select(F.col(y).cast("double").alias("label_"), *[F.coalesce(c, F.lit(-9.0)).alias(c) for c in columns], *[c for c in ("fold", "seq") if c in df.columns])
     return VectorAssembler(inputCols=columns, outputCol="features").transform(filled)
 
 
+def _trees(df: DataFrame, columns: list[str], y: str, rounds: int) -> object:
+    return GBTClassifier(labelCol="label_", maxIter=rounds, maxDepth=4, seed=7).fit(_features(df, columns, y))
+
+
 def _fit(df: DataFrame, columns: list[str], y: str, rounds: int) -> Callable[[DataFrame], DataFrame]:
-    model = GBTClassifier(labelCol="y", maxIter=rounds, maxDepth=4, seed=7).fit(_features(df, columns, y))
-    return lambda d: model.transform(_features(d, columns, y)).select((F.col("y") > 0).alias("fraud"), vector_to_array("probability")[1].alias("score"))
+    model = _trees(df, columns, y, rounds)
+    return lambda d: model.transform(_features(d, columns, y)).select((F.col("label_") > 0).alias("fraud"), vector_to_array("probability")[1].alias("score"))
 
 
 def transfer(synthetic: DataFrame, real: DataFrame, columns: list[str] = SHAPE, rounds: int = 10) -> dict[str, float]:
@@ -61,17 +80,70 @@ def transfer(synthetic: DataFrame, real: DataFrame, columns: list[str] = SHAPE,
     return out | {"transfer_ratio": out["tstr"] / out["trtr"] if out["trtr"] else 0.0}
 
 
-def discriminate(synthetic: DataFrame, real: DataFrame, columns: list[str] = SHAPE, folds: int = 5, per_side: int = 20_000, rounds: int = 10) -> float:
-    """Out-of-fold AUC of telling the panels apart, over balanced samples picked by a hash."""
+@dataclass
+class Discrimination:
+    """Out-of-fold AUC, rows a side, and a table by column: alone_auc, gain_share, mean_abs_contribution, contribution_share."""
+
+    auc: float
+    per_side: int
+    columns: DataFrame
+
+
+def folded(synthetic: DataFrame, real: DataFrame, folds: int, per_side: int) -> DataFrame:
+    """Equally many rows of both sides (``y0``), those of the least hashes of seq, at most ``per_side``, dealt to ``fold`` in turn.
+
+    Every fold has the same number of rows of each side, but for one row.
+    """
+    from corvane.plans.session import checkpointed
+
     def side(df: DataFrame, y: int) -> DataFrame:
-        return df.orderBy(F.md5(F.col("seq").cast("string")), "seq").limit(per_side).withColumn("y0", F.lit(y)).withColumn("fold", F.pmod(F.xxhash64("seq", F.lit(y)), F.lit(folds)))
-    n = min(synthetic.limit(per_side).count(), real.limit(per_side).count())
-    rows = side(synthetic, 1).limit(n).unionByName(side(real, 0).limit(n))
-    out = None
+        return df.withColumn("hash_", F.xxhash64(F.lit(y), "seq")).orderBy("hash_", "seq").limit(per_side).withColumn("y0", F.lit(y))  # a bounded sample: at most ``per_side`` rows
+
+    a, b = checkpointed(side(synthetic, 1)), checkpointed(side(real, 0))
+    n = min(a.count(), b.count())
+    placed = [x.withColumn("place_", F.row_number().over(Window.partitionBy("y0").orderBy("hash_", "seq")) - 1).where(F.col("place_") < n) for x in (a, b)]
+    return placed[0].unionByName(placed[1], allowMissingColumns=True).withColumn("fold", (F.col("place_") % folds).cast("int")).drop("hash_", "place_")
+
+
+def discrimination(synthetic: DataFrame, real: DataFrame, columns: list[str] = SHAPE, folds: int = 5, per_side: int = 20_000, rounds: int = 10) -> Discrimination:
+    """How well trees tell the panels apart out of fold, over balanced samples of at most ``per_side`` rows, and by which columns.
+
+    Gains are summed over the folds' models; contributions are those of the last
+    fold's model to its own held-out rows.
+    """
+    from corvane.plans.session import checkpointed
+
+    rows = checkpointed(folded(synthetic, real, folds, per_side))
+    out, gains, model = None, np.zeros(len(columns)), None
     for k in range(folds):
-        one = _fit(rows.where(F.col("fold") != k), columns, "y0", rounds)(rows.where(F.col("fold") == k))
+        model = _trees(rows.where(F.col("fold") != k), columns, "y0", rounds)
+        gains += np.array(model.featureImportances.toArray())
+        one = model.transform(_features(rows.where(F.col("fold") == k), columns, "y0")).select((F.col("label_") > 0).alias("fraud"), vector_to_array("probability")[1].alias("score"))
         out = one if out is None else out.unionByName(one)
-    return float(metrics.areas(out).first()["roc_auc"] or 0.5)
+    held = _features(rows.where(F.col("fold") == folds - 1), columns, "y0")
+    told = trees.attribute(held, ["label_"], vector_to_array("features"), trees.Attributor(trees.read_trees(model, held), len(columns)))
+    mean = told.agg(*[F.avg(F.abs(F.col("contributions")[i])).alias(f"m{i}") for i in range(len(columns))]).first()
+    sizes, whole = [float(mean[f"m{i}"] or 0.0) for i in range(len(columns))], float(gains.sum()) or 1.0
+    table = held.sparkSession.createDataFrame([(c, float(gains[i]) / whole, sizes[i], sizes[i] / (sum(sizes) or 1.0)) for i, c in enumerate(columns)], "column string, gain_share double, mean_abs_contribution double, contribution_share double")
+    filled = rows.select((F.col("y0") == 1).alias("y"), *[F.coalesce(F.col(c).cast("double"), F.lit(-9.0)).alias(f"x_{c}") for c in columns])
+    alone = distances.separability(filled, [f"x_{c}" for c in columns]).select(F.expr("substring(column, 3)").alias("column"), F.col("rank_auc").alias("alone_auc"))
+    by_column = table.join(alone, "column").select("column", "alone_auc", "gain_share", "mean_abs_contribution", "contribution_share").orderBy(F.desc("contribution_share"), "column")
+    return Discrimination(float(metrics.areas(checkpointed(out)).first()["roc_auc"] or 0.5), rows.count() // 2, by_column)
+
+
+def discriminate(synthetic: DataFrame, real: DataFrame, columns: list[str] = SHAPE, **options) -> float:
+    """The out-of-fold AUC alone."""
+    return discrimination(synthetic, real, columns, **options).auc
+
+
+def naive_contrast(synthetic: DataFrame, real: DataFrame, raw: list[str], columns: list[str] = SHAPE, **options) -> DataFrame:
+    """One row: the AUC over raw columns (ids, currency and all) beside that over the shape, and their difference; ids are taken as hashes."""
+    def hashed(df: DataFrame) -> DataFrame:
+        kinds = dict(df.dtypes)
+        return df.select("seq", *[(F.pmod(F.xxhash64(c), F.lit(1 << 20)) if kinds[c] in ("string", "boolean") else F.col(c)).cast("double").alias(c) for c in raw])
+
+    naive, shaped = discriminate(hashed(synthetic), hashed(real), raw, **options), discriminate(synthetic, real, columns, **options)
+    return synthetic.sparkSession.createDataFrame([(naive, shaped, naive - shaped)], "naive_auc double, shape_auc double, difference double")
 
 
 def ablation_path(synthetic: DataFrame, real: DataFrame, columns: list[str] = SHAPE, most: int = 3, **fit) -> list[tuple[str, float]]:

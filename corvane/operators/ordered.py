@@ -77,26 +77,37 @@ def quantiles(df: DataFrame, value: str, at: list[float]) -> list[float | None]:
 
 
 
-def quantiles_by(df: DataFrame, by: str, value: str, at: list[float]) -> DataFrame:
-    """(by, n, q0, q1, ...): exact quantiles of each group, with linear interpolation between neighbours; null values are left out.
+def long_form(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
+    """(*keep, name, value): a row for each non-null value of the columns, as doubles."""
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])
+    return df.select(*keep, F.explode(cells).alias("cell_")).select(*keep, "cell_.name", "cell_.value").where("value is not null")
+
+
+def running_by(df: DataFrame, by: str, value: str, sums: dict[str, Column]) -> DataFrame:
+    """As ``running`` within each group: by, value, each sum at it (``x``), below it in its group (``x_below``) and over its group (``x_all``).
 
-    Groups of any number and size in one pass: distinct (by, value) in ranges, never the values of a group in one task.
+    Groups of any number and size in one pass: distinct (by, value) in ranges, never a group in one task.
     """
-    there = df.where(F.col(value).isNotNull()).select(F.struct(F.col(by).alias("by"), F.col(value).alias("value")).alias("at"))
-    r = running(there, "at", {"rows_n": F.lit(1)})
-    groups = r.groupBy(F.col("at.by").alias("group")).agg(F.min("rows_n_below").alias("start"), F.sum("rows_n").alias("n"))
-    place = [q * (F.col("n") - 1) for q in at]
+    there = df.where(F.col(value).isNotNull()).withColumn("at_", F.struct(F.col(by).alias("by"), F.col(value).alias("value")))
+    r = running(there, "at_", sums)
+    groups = r.groupBy(F.col("at_.by").alias("group_")).agg(*[f(c).alias(f"{n}{end}") for n in sums for f, c, end in ((F.min, f"{n}_below", "_start"), (F.sum, n, "_all"))])
+    placed = r.join(groups, F.col("at_.by").eqNullSafe(F.col("group_")))
+    return placed.select(F.col("at_.by").alias(by), F.col("at_.value").alias(value), *sums, *[(F.col(f"{n}_below") - F.col(f"{n}_start")).alias(f"{n}_below") for n in sums], *[f"{n}_all" for n in sums])
+
+
+def quantiles_by(df: DataFrame, by: str, value: str, at: list[float]) -> DataFrame:
+    """(by, n, q0, q1, ...): exact quantiles of each group, with linear interpolation between neighbours; null values are left out."""
+    r = running_by(df, by, value, {"n": F.lit(1)})
+    place = [q * (F.col("n_all") - 1) for q in at]
     low = [F.floor(p) for p in place]
-    first = F.col("rows_n_below") - F.col("start")
 
     def inside(p: Column) -> Column:
-        return (p >= first) & (p < first + F.col("rows_n"))
+        return (p >= F.col("n_below")) & (p < F.col("n_below") + F.col("n"))
 
-    placed = r.join(groups, F.col("at.by").eqNullSafe(F.col("group")))
-    ends = [(inside(p), inside(F.least(p + 1, F.col("n") - 1))) for p in low]
+    ends = [(inside(p), inside(F.least(p + 1, F.col("n_all") - 1))) for p in low]
     wanted = ends[0][0] | ends[0][1]
     for a, b in ends[1:]:
         wanted = wanted | a | b
-    v = F.col("at.value").cast("double")
-    found = placed.where(wanted).groupBy("group", "n").agg(*[F.max(F.when(side, v)).alias(f"{name}{i}") for i, both in enumerate(ends) for name, side in zip("ab", both, strict=True)])
-    return found.select(F.col("group").alias(by), "n", *[(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (place[i] - low[i])).alias(f"q{i}") for i in range(len(at))])
+    v = F.col(value).cast("double")
+    found = r.where(wanted).groupBy(by, "n_all").agg(*[F.max(F.when(side, v)).alias(f"{name}{i}") for i, both in enumerate(ends) for name, side in zip("ab", both, strict=True)])
+    return found.select(by, F.col("n_all").alias("n"), *[(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (place[i] - low[i])).alias(f"q{i}") for i in range(len(at))])

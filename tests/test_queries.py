@@ -1,7 +1,7 @@
 import pytest
 from conftest import SF, same
 
-from corvane.plans import contract_queries, index_queries, model_queries, queries, stream_queries  # noqa: F401
+from corvane.plans import contract_queries, fidelity_queries, index_queries, model_queries, queries, stream_queries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
