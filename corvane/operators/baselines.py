@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import with_quantiles
+
 LEAST = 5
 
 
@@ -19,7 +21,8 @@ def _share(c: Column) -> Column:
 def customer_profile(train: DataFrame, least: int = LEAST) -> DataFrame:
     """n always; the rest only from ``least`` events up."""
     x = F.log1p("amount")
-    g = train.where("customer is not null").groupBy("customer").agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.percentile("amount", 0.99).alias("p99"), _share(F.col("txn_type") == "refund").alias("outbound_share"))
+    g = train.where("customer is not null").groupBy("customer").agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), _share(F.col("txn_type") == "refund").alias("outbound_share"))
+    g = with_quantiles(g, train.where("customer is not null"), "customer", {"p99": ("amount", 0.99)})
     kept = F.col("n") >= least
     return g.select("customer", "n", *[F.when(kept, F.col(c)).alias(c) for c in ("mean", "std", "p99", "outbound_share")])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions.scalars import km_from, seed32
 from corvane.sources.lenses import micros
 
-from .ordered import numbered
+from .ordered import group_quantiles, numbered, quantiles_by, with_quantiles
 
 GAP = 1_500_000_000
 BANDS = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -16,18 +16,16 @@ BANDS = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 def customer_index(flat: DataFrame) -> DataFrame:
     """Per customer: first and last time, events, median, 99th percentile and maximum of the amount, agentic share."""
-    return flat.groupBy("customer_id").agg(
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"), F.percentile("amount", 0.5).alias("p50"), F.percentile("amount", 0.99).alias("p99"), F.max("amount").alias("most"),
-        F.avg(F.col("ag_agent_id").isNotNull().cast("double")).alias("agentic_share"),
-    )
+    grouped = flat.groupBy("customer_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"), F.max("amount").alias("most"), F.avg(F.col("ag_agent_id").isNotNull().cast("double")).alias("agentic_share"))
+    out = with_quantiles(grouped, flat, "customer_id", {"p50": ("amount", 0.5), "p99": ("amount", 0.99)})
+    return out.select("customer_id", "first_ts", "last_ts", "n", "p50", "p99", "most", "agentic_share")
 
 
 def merchant_index(flat: DataFrame) -> DataFrame:
     """Per merchant: category and country of its first event, events, medians of place and amount."""
     first = F.struct("ts", "event_id")
-    return flat.groupBy("merchant_id").agg(
-        F.min_by("mcc", first).alias("mcc"), F.min_by("merchant_country", first).alias("country"), F.count("*").alias("n"), F.percentile("lat", 0.5).alias("lat"), F.percentile("lon", 0.5).alias("lon"), F.percentile("amount", 0.5).alias("amount"),
-    )
+    grouped = flat.groupBy("merchant_id").agg(F.min_by("mcc", first).alias("mcc"), F.min_by("merchant_country", first).alias("country"), F.count("*").alias("n"))
+    return with_quantiles(grouped, flat, "merchant_id", {c: (c, 0.5) for c in ("lat", "lon", "amount")})
 
 
 def hour_shares(flat: DataFrame) -> DataFrame:
@@ -43,26 +41,29 @@ def channel_lags(flat: DataFrame) -> DataFrame:
 
 def amount_bands(flat: DataFrame, at: list[float] = BANDS) -> DataFrame:
     """(mcc, band, amount): quantiles of each category's amounts."""
-    cuts = flat.groupBy("mcc").agg(F.percentile("amount", at).alias("q"))
-    return cuts.select("mcc", F.posexplode("q").alias("i", "amount")).select("mcc", F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1).alias("band"), "amount")
+    cuts = quantiles_by(flat.select("mcc", "amount"), "mcc", "amount", at)
+    return cuts.select("mcc", F.explode(F.array(*[F.struct(F.lit(q).alias("band"), F.col(f"q{i}").alias("amount")) for i, q in enumerate(at)])).alias("x")).select("mcc", "x.band", "x.amount")
 
 
 def within_band(flat: DataFrame, low: float, high: float) -> DataFrame:
     """Events whose amount lies between two quantiles of their category."""
-    cuts = flat.groupBy("mcc").agg(F.percentile("amount", low).alias("low"), F.percentile("amount", high).alias("high"))
-    return flat.join(cuts, "mcc").where(F.col("amount").between(F.col("low"), F.col("high"))).select(*flat.columns)
+    cuts = quantiles_by(flat.where("mcc is not null").select("mcc", "amount"), "mcc", "amount", [low, high]).select(F.col("mcc").alias("of"), "q0", "q1")
+    return flat.join(cuts, F.col("mcc") == F.col("of")).where(F.col("amount").between(F.col("q0"), F.col("q1"))).select(*flat.columns)
 
 
 def calibration(flat: DataFrame) -> DataFrame:
-    """(metric, value): amount quantiles, channel mix, distinct entities and missing rates, in one pass."""
+    """(metric, value): amount quantiles, channel mix, distinct entities and missing rates."""
     n = F.count("*").cast("double")
     channels = ["agentic", "card_present", "ecom", "transfer", "upi"]
-    metrics: dict[str, Column] = {f"amount_p{round(100 * q):02d}": F.percentile("amount", q) for q in (0.01, 0.25, 0.5, 0.75, 0.99)}
-    metrics |= {f"share_{c}": F.count_if(F.col("channel") == c) / n for c in channels}
+    at = [0.01, 0.25, 0.5, 0.75, 0.99]
+    metrics: dict[str, Column] = {f"share_{c}": F.count_if(F.col("channel") == c) / n for c in channels}
     metrics |= {f"distinct_{c}": F.countDistinct(c).cast("double") for c in ("customer_id", "merchant_id", "device_id", "card_bin")}
     metrics |= {f"missing_{c}": F.count_if(F.col(c).isNull()) / n for c in ("device_id", "ip", "lat", "terminal_id")}
     row = flat.agg(*[v.alias(k) for k, v in metrics.items()])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in metrics])).alias("x")).select("x.*")
+    cuts = quantiles_by(flat.select(F.lit("amount").alias("of"), F.col("amount").cast("double").alias("amount")), "of", "amount", at)
+    cells = F.array(*[F.struct(F.lit(f"amount_p{round(100 * q):02d}").alias("metric"), F.col(f"q{i}").alias("value")) for i, q in enumerate(at)])
+    rest = row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in metrics])).alias("x")).select("x.*")
+    return rest.unionByName(cuts.select(F.explode(cells).alias("x")).select("x.*"))
 
 
 def fit_amounts(flat: DataFrame, least: int = 200) -> DataFrame:
@@ -96,7 +97,7 @@ def class_balance(pooled: DataFrame, seed: str = "seed") -> DataFrame:
 def home_distance(flat: DataFrame) -> DataFrame:
     """(event_id, km): distance of each placed event from its customer's median place."""
     placed = flat.where("lat IS NOT NULL AND lon IS NOT NULL")
-    home = placed.groupBy("customer_id").agg(F.percentile("lat", 0.5).alias("lat0"), F.percentile("lon", 0.5).alias("lon0"))
+    home = group_quantiles(placed.where("customer_id is not null"), "customer_id", {"lat0": ("lat", 0.5), "lon0": ("lon", 0.5)})
     return placed.join(home, "customer_id").select("event_id", km_from(F.col("lat"), F.col("lon"), F.col("lat0"), F.col("lon0")).alias("km"))
 
 

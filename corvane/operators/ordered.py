@@ -111,3 +111,17 @@ def quantiles_by(df: DataFrame, by: str, value: str, at: list[float]) -> DataFra
     v = F.col(value).cast("double")
     found = r.where(wanted).groupBy(by, "n_all").agg(*[F.max(F.when(side, v)).alias(f"{name}{i}") for i, both in enumerate(ends) for name, side in zip("ab", both, strict=True)])
     return found.select(by, F.col("n_all").alias("n"), *[(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (place[i] - low[i])).alias(f"q{i}") for i in range(len(at))])
+
+
+def group_quantiles(df: DataFrame, key: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """(key, *wanted): exact quantiles (column, share) of each group, all of them in one pass; groups without any value are left out."""
+    columns, shares = list(dict.fromkeys(c for c, _ in wanted.values())), list(dict.fromkeys(q for _, q in wanted.values()))
+    long = long_form(df.withColumn("key_", F.struct(F.col(key).alias("k"))), columns, "key_").select(F.struct("key_", "name").alias("group_key"), "value")
+    found = quantiles_by(long, "group_key", "value", shares)
+    picked = [F.max(F.when(F.col("group_key.name") == c, F.col(f"q{shares.index(q)}"))).alias(out) for out, (c, q) in wanted.items()]
+    return found.groupBy(F.col("group_key.key_.k").alias(key)).agg(*picked)
+
+
+def with_quantiles(grouped: DataFrame, df: DataFrame, key: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """grouped, a row for each non-null key of df, with quantiles of df's columns (null without values)."""
+    return grouped.join(group_quantiles(df, key, wanted), key, "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import average_rank
+from .ordered import average_rank, quantiles_by
 
 
 def own(key: str) -> Window:
@@ -29,9 +29,10 @@ def category_shift(events: DataFrame, key: str = "customer", category: str = "ki
 
 def robust_z(events: DataFrame, category: str, value: str) -> DataFrame:
     """seq and (value - median) / IQR within its category; 0 where the IQR is 0."""
-    stats = events.groupBy(category).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.5).alias("q2"), F.percentile(value, 0.75).alias("q3"))
-    iqr = F.col("q3") - F.col("q1")
-    return events.join(stats, category).select("seq", F.when(iqr > 0, F.round((F.col(value) - F.col("q2")) / iqr, 9)).otherwise(F.lit(0.0)).alias("robust_z"))
+    stats = quantiles_by(events.where(F.col(category).isNotNull()).select(F.col(category).alias("of"), value), "of", value, [0.25, 0.5, 0.75])
+    iqr = F.col("q2") - F.col("q0")
+    rows = events.where(F.col(category).isNotNull()).join(stats, F.col(category) == F.col("of"), "left")
+    return rows.select("seq", F.when(iqr > 0, F.round((F.col(value) - F.col("q1")) / iqr, 9)).otherwise(F.lit(0.0)).alias("robust_z"))
 
 
 def deviation(events: DataFrame, key: str = "customer") -> DataFrame:
