@@ -33,8 +33,8 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a.cast("double") / b)
 
 
-def velocity(events: DataFrame, key: list[str], windows: dict[str, int] = WINDOWS, lag_window: str = "7d") -> DataFrame:
-    """Per event: seq and the features of one key.
+def velocity(events: DataFrame, key: list[str], windows: dict[str, int] = WINDOWS, lag_window: str = "7d", keep: list[str] | None = None) -> DataFrame:
+    """Per event: seq, the columns ``keep`` of the key, and the features of the key.
 
     events: seq, t (microseconds), cents, amount, declined, known, refund, lag and the key's columns.
     """
@@ -74,7 +74,7 @@ def velocity(events: DataFrame, key: list[str], windows: dict[str, int] = WINDOW
     life = F.col("own_n") + F.coalesce("e_n", F.lit(0))
     cents = F.col("own_cents") + F.coalesce("e_cents", F.lit(0))
     seen = life > 0
-    picked: list[Column] = [F.col("seq")]
+    picked: list[Column] = [F.col("seq"), *[F.col(c) for c in keep or []]]
     for name in windows:
         n = F.col(f"n_{name}")
         picked += [
@@ -91,12 +91,27 @@ def velocity(events: DataFrame, key: list[str], windows: dict[str, int] = WINDOW
 
 
 def velocity_block(events: DataFrame, keys: dict[str, list[str]] = KEYS, windows: dict[str, int] = WINDOWS) -> DataFrame:
-    """All keys side by side: seq and ``vel_<key>_<feature>``."""
-    out = events.select("seq")
-    for name, key in keys.items():
-        one = velocity(events, key, windows)
-        out = out.join(one.select("seq", *[F.col(f).alias(f"vel_{name}_{f}") for f in feature_names(windows)]), "seq")
-    return out
+    """All keys side by side: seq and ``vel_<key>_<feature>``.
+
+    One pass over a long form with a row for each key of an event; an event's rows
+    come together again by seq.
+    """
+    names = feature_names(windows)
+
+    def value(columns: list[str]) -> Column:
+        there = F.lit(True)
+        for c in columns:
+            there = there & F.col(c).isNotNull()
+        return F.when(there, F.to_json(F.struct(*columns)) if len(columns) > 1 else F.col(columns[0]).cast("string"))
+
+    held = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), value(key).alias("value")) for name, key in keys.items()]))
+    long = events.select("seq", "t", "cents", "declined", "known", "refund", "lag", held.alias("x")).where("x.value is not null")
+    long = long.select("*", F.col("x.name").alias("key_name"), F.col("x.value").alias("key_value")).drop("x")
+    found = velocity(long, ["key_name", "key_value"], windows, keep=["key_name"])
+    rows = found.select("seq", "key_name", F.struct(*names).alias("of")).unionByName(events.select("seq"), allowMissingColumns=True)
+    entry = F.when(F.col("key_name").isNotNull(), F.struct("key_name", "of"))
+    whole = rows.groupBy("seq").agg(F.map_from_entries(F.collect_list(entry)).alias("by_key"))  # an entry for each key
+    return whole.select("seq", *[F.col("by_key")[name][f].alias(f"vel_{name}_{f}") for name in keys for f in names])
 
 
 def delayed_outcomes(events: DataFrame, outcomes: DataFrame, key: str, windows: dict[str, int] = WINDOWS, span: int = 24 * HOUR) -> DataFrame:

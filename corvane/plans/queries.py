@@ -43,6 +43,18 @@ for _key in velocity.KEYS:
     _velocity(_key)
 
 
+def _block_sql() -> str:
+    one = {n: velocity.velocity_sql("x AS (SELECT 1)", "ev", k).split("SELECT 1)", 1)[1] for n, k in velocity.KEYS.items()}
+    parts = ", ".join(f"v_{n} AS ({sql})" for n, sql in one.items())
+    columns = ", ".join(f"v_{n}.{f} AS vel_{n}_{f}" for n in one for f in velocity.feature_names())
+    return f"{EV}, {parts} SELECT ev.seq, {columns} FROM ev {' '.join(f'JOIN v_{n} USING (seq)' for n in one)}"
+
+
+@query("velocity_block", _block_sql())
+def velocity_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return velocity.velocity_block(auth_events(spark, sf_dir))
+
+
 @query(
     "l0_amount_decisions",
     f"""{EV}, v AS (SELECT e.seq, e.cents, count(p.seq) FILTER (p.t >= e.t - {HOUR}) AS c1, count(p.seq) AS life FROM ev e LEFT JOIN ev p ON p.customer = e.customer AND (p.t < e.t OR p.t = e.t AND p.seq < e.seq) GROUP BY e.seq, e.cents)
