@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.scalars import uniform
+
 from .distances import separability
 from .ordered import quantiles
 
@@ -58,6 +60,16 @@ def null_leaks(df: DataFrame, label: Column, columns: list[str]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), (0.5 + F.col(c) / 2).alias("auc")) for c in columns])).alias("x")).select("x.*")
 
 
+def null_control(matrix: DataFrame, columns: list[str], key: str, label: str = "y", seed: str = "control", most: float = GATE) -> DataFrame:
+    """The gate against a label that cannot leak: drawn by a hash of the key, as often true as the real one.
+
+    A column that fails here fails by its shape or by too few rows, not by what it knows.
+    """
+    share = matrix.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
+    drawn = uniform(seed, F.col(key)) < share
+    return gate(matrix.withColumn(label, drawn), columns, most)
+
+
 def target_leaks(df: DataFrame, key: str, label: Column, columns: list[str]) -> DataFrame:
     """Per category: the AUC of its target mean, each half of the rows encoded by the other half."""
     base = df.select(F.col(key).alias("key_"), label.alias("y"), *columns).withColumn("half", F.pmod(F.conv(F.substring(F.md5(F.col("key_").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(2)))

@@ -129,6 +129,21 @@ def cached_texts(prompts: DataFrame, cache: DataFrame, template: str = "Page abo
     return keyed.join(cache.select("digest", F.col("text").alias("held")), "digest", "left").select("digest", "kind", F.coalesce("held", made).alias("text"))
 
 
+def fill_cache(prompts: DataFrame, path: str, template: str = "Page about {kind}, number {key}.") -> DataFrame:
+    """``cached_texts`` from the cache at ``path`` (digest, text), to which the texts that it lacked are appended, once a digest."""
+    spark = prompts.sparkSession
+    try:
+        cache = spark.read.schema("digest string, text string").parquet(path)
+        cache.limit(1).count()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        cache = spark.createDataFrame([], "digest string, text string")
+    new = cached_texts(prompts, cache, template).join(cache.select("digest"), "digest", "left_anti")
+    new.select("digest", "text").dropDuplicates(["digest"]).write.mode("append").parquet(path)
+    return cached_texts(prompts, spark.read.schema("digest string, text string").parquet(path), template)
+
+
 def replay(scored: DataFrame, family: str | None, offset: int, limit: int = 600) -> DataFrame:
     """The frames of a replay: legitimate rows and those of one family, rotated by an offset, at most 600."""
     rows = scored.where(~F.col("is_fraud") | F.lit(family is None) | (F.substring("attack_id", 1, 2) == F.lit(family)))
