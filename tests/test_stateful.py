@@ -119,3 +119,25 @@ def test_degrees_and_sliding_distinct_equal_batch(spark, tmp_path):
     assert {r["seq"]: r["distinct"] for r in got} == slid and {r["seq"]: r["degree"] for r in got} == degree
     held = spark.read.format("statestore").option("stateVarName", "last").load(f"{tmp_path}/degrees_cp").count()
     assert held <= 24 and max(slid.values()) > 4
+
+
+def test_a_key_has_one_timer_and_only_days_of_use(spark, tmp_path):
+    """One micro-batch over two months of one key: neither a timer nor a stored day for each of its days."""
+    rows = [(i, i * DAY // 2, 1, 1, 100, 1.0, False, True, False, None) for i in range(120)]
+    told = [(0, i, i * DAY // 2, 1, i * DAY // 2, False) for i in range(120)] + [(1, i, i * DAY // 2 + 1, 1, i * DAY // 2, True) for i in range(120)]
+    streams = {
+        "one_v": (rows, COLUMNS, lambda s: stateful.stream_velocity(s, ["customer"], delay="9999 days")),
+        "one_o": (told, "kind int, seq long, t long, customer long, t0 long, declined boolean", lambda s: stateful.stream_outcomes(s.where("kind = 0"), s.where("kind = 1"), "customer", delay="9999 days")),
+        "one_d": (rows, COLUMNS, lambda s: stateful.stream_distinct(s, "customer", "bin", 2 * DAY, delay="9999 days")),
+    }
+    for name, (data, schema, make) in streams.items():
+        fed(spark, tmp_path, [data], schema, make, name)
+        days = spark.read.format("statestore").option("stateVarName", "days").load(f"{tmp_path}/{name}_cp").select("user_map_key.day").collect()
+        timers = spark.read.format("statestore").option("readRegisteredTimers", "true").load(f"{tmp_path}/{name}_cp").count()
+        assert 1 <= len(days) <= 9 and min(r["day"] for r in days) >= 59 - 8 and timers == 1
+
+
+def test_times_before_1970_are_not_late(spark, tmp_path):
+    rows = [(i, t, 1, 1, 100, 1.0, False, True, False, None) for i, t in enumerate([-9 * DAY, -8 * DAY, -8 * DAY - 5, 0, -1])]
+    got, _ = fed(spark, tmp_path, [rows], COLUMNS, lambda s: stateful.stream_velocity(s, ["customer"]), "early")
+    assert {r["seq"]: r["late_by"] for r in got} == {0: None, 1: None, 2: 5, 3: None, 4: 1}
