@@ -18,23 +18,28 @@ def _share(c: Column) -> Column:
     return F.count_if(c).cast("double") / F.count("*")
 
 
-def customer_profile(train: DataFrame, least: int = LEAST) -> DataFrame:
+def customer_profile(train: DataFrame, least: int = LEAST, quantiles: bool = True) -> DataFrame:
     """n always; the rest only from ``least`` events up."""
     x = F.log1p("amount")
-    g = train.where("customer is not null").groupBy("customer").agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), _share(F.col("txn_type") == "refund").alias("outbound_share"))
-    g = with_quantiles(g, train.where("customer is not null"), "customer", {"p99": ("amount", 0.99)})
+    stats = {"mean": F.avg(x), "std": F.stddev_samp(x)} | ({"outbound_share": _share(F.col("txn_type") == "refund")} if "txn_type" in train.columns else {})
+    g = train.where("customer is not null").groupBy("customer").agg(F.count("*").alias("n"), *[v.alias(k) for k, v in stats.items()])
+    if quantiles:
+        g = with_quantiles(g, train.where("customer is not null"), "customer", {"p99": ("amount", 0.99)})
     kept = F.col("n") >= least
-    return g.select("customer", "n", *[F.when(kept, F.col(c)).alias(c) for c in ("mean", "std", "p99", "outbound_share")])
+    return g.select("customer", "n", *[F.when(kept, F.col(c)).alias(c) for c in ("mean", "std", "p99", "outbound_share") if c in g.columns])
 
 
-def merchant_profile(train: DataFrame, least: int = LEAST) -> DataFrame:
+def merchant_profile(train: DataFrame, wanted: list[str] | None = None, least: int = LEAST) -> DataFrame:
+    """n always; the rest, or what of it is wanted, only from ``least`` events up."""
     x = F.log1p("amount")
-    g = train.where("merchant is not null").groupBy("merchant").agg(
-        F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), _share(F.col("txn_type") == "refund").alias("outbound_share"), _share(F.col("declined")).alias("decline_share"),
-        F.count_distinct("customer").alias("customers"), (F.sum(F.when(F.col("settled"), F.col("lag"))).cast("double") / F.count(F.when(F.col("settled"), F.col("lag")))).alias("mean_lag"),
-    )
+    stats = {
+        "mean": lambda: F.avg(x), "std": lambda: F.stddev_samp(x), "outbound_share": lambda: _share(F.col("txn_type") == "refund"), "decline_share": lambda: _share(F.col("declined")),
+        "customers": lambda: F.count_distinct("customer"), "mean_lag": lambda: F.sum(F.when(F.col("settled"), F.col("lag"))).cast("double") / F.count(F.when(F.col("settled"), F.col("lag"))),
+    }
+    stats = {n: f() for n, f in stats.items() if wanted is None or n in wanted}
+    g = train.where("merchant is not null").groupBy("merchant").agg(F.count("*").alias("n"), *[v.alias(k) for k, v in stats.items()])
     kept = F.col("n") >= least
-    return g.select("merchant", "n", *[F.when(kept, F.col(c)).alias(c) for c in ("mean", "std", "outbound_share", "decline_share", "customers", "mean_lag")])
+    return g.select("merchant", "n", *[F.when(kept, F.col(c)).alias(c) for c in stats])
 
 
 def bin_profile(train: DataFrame) -> DataFrame:
@@ -54,19 +59,24 @@ def _z(x: Column, mean: Column, std: Column) -> Column:
     return F.when(std > 0, (x - mean) / std)
 
 
-def entity_features(events: DataFrame, train: DataFrame) -> DataFrame:
-    """seq and z scores, ratios and unseen flags against profiles fitted on ``train``."""
-    x = F.log1p("amount")
+def entity_features(events: DataFrame, train: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """seq and z scores, ratios and unseen flags against profiles fitted on ``train``: all, or the wanted ones, with the profiles' columns that they need only."""
+    x, c = F.log1p("amount"), F.col
+    features = {
+        "customer_z": (_z(x, c("c_mean"), c("c_std")), ["c_mean", "c_std"]), "amount_vs_p99": (F.when(c("c_p99") > 0, c("amount") / c("c_p99")), ["c_p99"]), "customer_outbound_share": (c("c_outbound_share"), ["c_outbound_share"]),
+        "merchant_z": (_z(x, c("m_mean"), c("m_std")), ["m_mean", "m_std"]), "merchant_decline_share": (c("m_decline_share"), ["m_decline_share"]), "merchant_customers": (c("m_customers"), ["m_customers"]),
+        "lag_vs_merchant": (F.when(c("m_mean_lag") > 0, c("lag") / c("m_mean_lag")), ["m_mean_lag"]), "mcc_z": (_z(x, c("k_mean"), c("k_std")), ["k_mean", "k_std"]), "bin_decline_share": (c("b_decline_share"), ["b_decline_share"]),
+        "lag_vs_channel": (F.when(c("h_median_lag") > 0, c("lag") / c("h_median_lag")), ["h_median_lag"]), "customer_unseen": (c("c_n").isNull().cast("int"), ["c_n"]), "merchant_unseen": (c("m_n").isNull().cast("int"), ["m_n"]),
+    }
+    wanted = list(features) if wanted is None else wanted
+    needed = {n for f in wanted for n in features[f][1]}
+    profiles = {"c": (lambda: customer_profile(train, quantiles="c_p99" in needed), "customer"), "m": (lambda: merchant_profile(train, [n[2:] for n in needed if n.startswith("m_")]), "merchant"), "k": (lambda: mcc_profile(train), "mcc"), "b": (lambda: bin_profile(train), "bin"), "h": (lambda: channel_profile(train), "channel")}
     out = events
-    for name, table, key in (("c", customer_profile(train), "customer"), ("m", merchant_profile(train), "merchant"), ("k", mcc_profile(train), "mcc"), ("b", bin_profile(train), "bin"), ("h", channel_profile(train), "channel")):
-        renamed = table.select(F.col(key), *[F.col(c).alias(f"{name}_{c}") for c in table.columns if c != key])
-        out = out.join(renamed, key, "left")
-    return out.select(
-        "seq", _z(x, F.col("c_mean"), F.col("c_std")).alias("customer_z"), F.when(F.col("c_p99") > 0, F.col("amount") / F.col("c_p99")).alias("amount_vs_p99"), F.col("c_outbound_share").alias("customer_outbound_share"),
-        _z(x, F.col("m_mean"), F.col("m_std")).alias("merchant_z"), F.col("m_decline_share").alias("merchant_decline_share"), F.col("m_customers").alias("merchant_customers"),
-        F.when(F.col("m_mean_lag") > 0, F.col("lag") / F.col("m_mean_lag")).alias("lag_vs_merchant"), _z(x, F.col("k_mean"), F.col("k_std")).alias("mcc_z"), F.col("b_decline_share").alias("bin_decline_share"),
-        F.when(F.col("h_median_lag") > 0, F.col("lag") / F.col("h_median_lag")).alias("lag_vs_channel"), F.col("c_n").isNull().cast("int").alias("customer_unseen"), F.col("m_n").isNull().cast("int").alias("merchant_unseen"),
-    )
+    for name, (make, key) in profiles.items():
+        if any(n.startswith(f"{name}_") for n in needed):
+            table = make()
+            out = out.join(table.select(key, *[c(n).alias(f"{name}_{n}") for n in table.columns if f"{name}_{n}" in needed]), key, "left")
+    return out.select("seq", *[features[f][0].alias(f) for f in wanted])
 
 
 def latency_line(train: DataFrame, latency: str, amount: str, least: int = 100) -> DataFrame:

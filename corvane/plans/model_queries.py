@@ -17,7 +17,8 @@ CATEGORICAL = ["channel", "brand", "mcc", "txn_type"]
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines whose label depends on a set of brands, on two channels, and on the amount."""
     odd = (F.crc32(F.col("brand").cast("binary")) % 4 == 0) & F.col("channel").isin("1-URGENT", "2-HIGH")
-    return auth_items(spark, sf_dir).select("seq", "t", "amount", "lag", *CATEGORICAL, F.coalesce(odd | (F.col("amount") > 80_000), F.lit(False)).alias("fraud"))
+    columns = ["seq", "t", "amount", "lag", *CATEGORICAL]
+    return auth_items(spark, sf_dir, columns).select(*columns, F.coalesce(odd | (F.col("amount") > 80_000), F.lit(False)).alias("fraud"))
 
 
 def _fitted(spark: SparkSession, sf_dir: str) -> tuple[models.Supervised, DataFrame]:
