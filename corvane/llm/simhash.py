@@ -66,6 +66,8 @@ SKETCH_BITS = 44
 RARE, BLOCK_ROWS, BLOCK_SHINGLES = 32, 512, 1_000_000
 #: Columns of the incidence matrices.
 COLUMNS = 2048
+#: Links of which a task makes a spanning forest.
+LINKS = 1 << 20
 #: Texts' hashes that are sent to all executors at most; more are joined.
 FEW = 100_000
 
@@ -334,6 +336,28 @@ def links(points: DataFrame, most_bits: int, check_bits: int | None = None, grou
     return found.unionByName(meet(mine.unionByName(theirs), "part", "v", "x", "y"))
 
 
+def fewer_links(found: DataFrame, most: int = LINKS) -> DataFrame:
+    """Links (a, b) with the same components as ``found``: about one for each node instead of one for each pair.
+
+    Tasks of about ``most`` links hand on a spanning forest of theirs, until that saves little.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if held:
+            a, b = _spanning(*(np.concatenate([h[i] for h in held]) for i in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    found = checkpointed(found.select("a", "b"))
+    n = found.count()
+    while True:
+        found = checkpointed(found.coalesce(max(1, math.ceil(n / most))).mapInArrow(run, "a long, b long"))
+        left = found.count()
+        if n <= most or left > 0.7 * n:
+            return found
+        n = left
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least id of the component, for every id in edges(a, b)."""
     edges = checkpointed(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -525,7 +549,7 @@ def similar_components(rows: DataFrame, df: DataFrame, width: int, text_col: str
     frequent = ends.where(F.col("n") > RARE).select("key", "node", "label", "s.size")
     more = rest.select(F.explode(F.array("a", "b")).alias("node")).unionByName(frequent.select("node")).distinct().join(texts, "node", "left_anti")
     texts = texts.unionByName(texts_of(more, rows, df, text_col))
-    return components(found.unionByName(checkpointed(verified(rest, texts, width))).unionByName(checkpointed(frequent_links(frequent, texts, width))))
+    return components(fewer_links(found.unionByName(verified(rest, texts, width)).unionByName(frequent_links(frequent, texts, width))))
 
 
 def keep_one(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

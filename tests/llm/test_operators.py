@@ -417,3 +417,15 @@ def test_stages_decide_on_rows_not_ids(spark, monkeypatch):
     got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs, most_bits=0).collect()}
     assert {(5, 3), (5, 5), (3, 3), (9, 5), (None, None)} <= got and (9, 3) not in got
     assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(docs).collect()) == [(0, "c d e f g h"), (3, a), (5, b)]
+
+
+def test_links_of_a_group_become_one_a_node(spark):
+    """All pairs of two groups: a forest connects the same nodes, whatever the tasks."""
+    pairs = [(i, j) for g in (range(0, 40), range(100, 130)) for i in g for j in g if i < j] + [(200, 201)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    want = {(r["node"], r["label"]) for r in simhash.components(df).collect()}
+    for most in (1 << 20, 300):
+        few = simhash.fewer_links(df, most)
+        assert {(r["node"], r["label"]) for r in simhash.components(few).collect()} == want
+        assert most == 300 or few.count() == 39 + 29 + 1
+    assert simhash.fewer_links(df.limit(0)).count() == 0
