@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corvane import schema
 from corvane.functions.scalars import content_id, draw, normal, uniform
 from corvane.operators.lookups import bind_source
+from corvane.plans.session import checkpointed
 from corvane.sources.lenses import micros
 from corvane.sources.readers import Calibration
 
@@ -48,13 +49,37 @@ def _u(c: Config, stream: str, *parts: Column) -> Column:
     return uniform(f"{c.seed}/{stream}", *parts)
 
 
-def customer_columns(c: Config, n: Column) -> dict[str, Column]:
+class Draws:
+    """Draws that become columns of their own: an expression that names one often (a ladder of cases does) has it hashed once a row.
+
+    Calls return references; ``drawn`` adds what was asked for since to a table.
+    """
+
+    def __init__(self, c: Config) -> None:
+        self.c, self.asked = c, {}
+
+    def __call__(self, c: Config, stream: str, *parts: Column) -> Column:
+        self.asked[f"u_{stream}"] = _u(self.c, stream, *parts)
+        return F.col(f"u_{stream}")
+
+    def normal(self, stream: str, *parts: Column) -> Column:
+        self.asked[f"z_{stream}"] = normal(f"{self.c.seed}/{stream}", *parts)
+        return F.col(f"z_{stream}")
+
+    def drawn(self, rows: DataFrame) -> DataFrame:
+        found, self.asked = rows.withColumns(self.asked), {}
+        return found
+
+
+def customer_columns(c: Config, n: Column, draws: Draws | None = None) -> dict[str, Column]:
+    """The customer's attributes; ``draws`` holds their draws for the caller to add to its table."""
+    _u = draws or globals()["_u"]
     city = draw(_u(c, "city", n), {k: v[2] for k, v in CITIES.items()})
     def place(i: int, stream: str) -> Column:
         base = F.lit(0.0)
         for k, v in CITIES.items():
             base = F.when(city == k, F.lit(v[i])).otherwise(base)
-        return base + 0.08 * normal(f"{c.seed}/{stream}", n)
+        return base + 0.08 * (draws.normal(stream, n) if draws else normal(f"{c.seed}/{stream}", n))
     return {
         "customer_id": F.format_string("C%08d", n), "home_city": city, "home_lat": place(0, "lat"), "home_lon": place(1, "lon"), "tenure_days": (30 + 2500 * _u(c, "tenure", n)).cast("int"),
         "cards": (1 + F.floor(3 * F.pow(_u(c, "cards", n), 2))).cast("int"), "devices": (1 + F.floor(3 * F.pow(_u(c, "devices", n), 2))).cast("int"),
@@ -62,7 +87,8 @@ def customer_columns(c: Config, n: Column) -> dict[str, Column]:
     }
 
 
-def merchant_columns(c: Config, m: Column) -> dict[str, Column]:
+def merchant_columns(c: Config, m: Column, draws: Draws | None = None) -> dict[str, Column]:
+    _u = draws or globals()["_u"]
     mcc = draw(_u(c, "mcc", m), {k: v[0] for k, v in CATEGORIES.items()})
     return {"merchant_id": F.format_string("M%07d", m), "mcc": mcc, "merchant_country": F.when(_u(c, "abroad", m) < 0.05, F.lit("SG")).otherwise(F.lit("IN")), "weight": 1 / (m + 1.0)}
 
@@ -88,28 +114,40 @@ def _by_category(mcc: Column, i: int) -> Column:
 
 
 def simulate(spark: SparkSession, c: Config, calibration: Calibration | None = None) -> DataFrame:
-    """``c.events`` legitimate events in the flat contract."""
+    """``c.events`` legitimate events in the flat contract.
+
+    Every refund is bound to an earlier purchase (``bind_returns``).
+    """
     k = calibration or Calibration()
-    i = F.col("id")
-    base = spark.range(c.events).select(i, F.floor(F.lit(c.customers) * F.pow(_u(c, "who", i), 1.4)).cast("long").alias("n"))
-    n = F.col("n")
-    slot = F.floor(5 * _u(c, "slot", i))
+    return bind_returns(spark.range(c.events), c, k)
+
+
+def drawn_events(ids: DataFrame, c: Config, k: Calibration) -> DataFrame:
+    """The events of the numbers ``id`` in the flat contract, refunds not yet bound; other columns of ``ids`` stay."""
+    i, u = F.col("id"), Draws(c)
+    z, _u = u.normal, u
+    base = ids.withColumns({"n": F.floor(F.lit(c.customers) * F.pow(uniform(f"{c.seed}/who", i), 1.4)).cast("long"), "slot": F.floor(5 * uniform(f"{c.seed}/slot", i))})
+    n, slot = F.col("n"), F.col("slot")
     loyal = _log_uniform(_u(c, "loyal", n, slot), c.merchants)
-    base = base.withColumn("m", F.when(_u(c, "mode", i) < 0.55, loyal).otherwise(_log_uniform(_u(c, "merchant", i), c.merchants)))
-    base = base.select("*", *[v.alias(f"c_{x}") for x, v in customer_columns(c, n).items()], *[v.alias(f"m_{x}") for x, v in merchant_columns(c, F.col("m")).items()])
+    m = F.when(_u(c, "mode", i) < 0.55, loyal).otherwise(_log_uniform(_u(c, "merchant", i), c.merchants))
+    base = u.drawn(base).withColumn("m", m)
+    held = {f"c_{x}": v for x, v in customer_columns(c, n, u).items()} | {f"m_{x}": v for x, v in merchant_columns(c, F.col("m"), u).items()}
+    base = u.drawn(base).withColumns(held)
     agentic = _u(c, "agentic", i) < F.lit(4 * k.agentic_share) * F.col("c_agent_propensity")
     hour = F.when(agentic, F.floor(24 * _u(c, "ahour", i)).cast("string")).otherwise(draw(_u(c, "hour", i), {str(h): float(w) for h, w in enumerate(HOURS)})).cast("int")
     day = F.floor(F.lit(c.days / 7) * _u(c, "week", i)) * 7 + draw(_u(c, "dow", i), {str(d): float(w) for d, w in enumerate(DAYS)}).cast("int")
     second = (day * 86_400 + hour * 3600 + F.floor(3600 * _u(c, "second", i))).cast("long")
     mcc = F.col("m_mcc")
-    raw = F.exp(_by_category(mcc, 1) + _by_category(mcc, 2) * normal(f"{c.seed}/amount", i))
+    raw = F.exp(_by_category(mcc, 1) + _by_category(mcc, 2) * z("amount", i))
     step = _by_category(mcc, 3)
     amount = F.when(step > 0, F.greatest(step, F.rint(raw / step) * step)).otherwise(F.round(raw, 2))
-    base = base.withColumn("agentic", agentic).withColumn("ts", F.timestamp_seconds(F.unix_timestamp(F.lit(START)) + second)).withColumn("amount", amount)
+    base = u.drawn(base).withColumn("agentic", agentic).withColumn("ts", F.timestamp_seconds(F.unix_timestamp(F.lit(START)) + second)).withColumn("amount", amount)
     channel = F.when(F.col("agentic"), F.lit("agentic")).otherwise(draw(_u(c, "channel", i), CHANNEL_MIX))
-    base = base.withColumn("channel", channel).withColumn("txn_type", F.when(_u(c, "type", i) < k.refund_share, F.lit("refund")).when(_u(c, "type", i) > 0.985, F.lit("preauth")).otherwise(F.lit("purchase")))
+    txn_type = F.when(_u(c, "type", i) < k.refund_share, F.lit("refund")).when(_u(c, "type", i) > 0.985, F.lit("preauth")).otherwise(F.lit("purchase"))
+    base = u.drawn(base).withColumn("channel", channel).withColumn("txn_type", txn_type)
     declined = _u(c, "decline", i) < k.decline_share * F.when(F.log(F.col("amount")) > 8.5, 2.0).otherwise(0.9)
-    base = base.withColumn("declined", declined).withColumn("settled", ~F.col("declined") & (_u(c, "settle", i) < 0.97))
+    settled = ~F.col("declined") & (_u(c, "settle", i) < 0.97)
+    base = u.drawn(base).withColumn("declined", declined).withColumn("settled", settled)
     disputed = F.col("settled") & (_u(c, "dispute", i) < k.dispute_share)
     entry = F.lit("chip")
     for a, b in ENTRY.items():
@@ -125,9 +163,9 @@ def simulate(spark: SparkSession, c: Config, calibration: Calibration | None = N
         return F.when(ag, x)
     columns: dict[str, Column] = {
         "event_id": F.format_string("E%d-%012d", F.lit(c.seed), i), "ts": F.col("ts"), "amount": F.col("amount"), "currency": F.lit("INR"), "mcc": mcc, "channel": F.col("channel"), "entry_mode": entry, "customer_id": F.col("c_customer_id"),
-        "card_bin": F.element_at(F.array(*map(F.lit, BINS)), (1 + F.floor(len(BINS) * _u(c, "bin", n, F.floor(F.col("c_cards") * _u(c, "card", i))))).cast("int")), "merchant_id": F.col("m_merchant_id"), "merchant_country": F.col("m_merchant_country"),
+        "card_bin": F.element_at(F.array(*map(F.lit, BINS)), (1 + F.floor(len(BINS) * _u(c, "bin", n, F.floor(F.col("c_cards") * uniform(f"{c.seed}/card", i))))).cast("int")), "merchant_id": F.col("m_merchant_id"), "merchant_country": F.col("m_merchant_country"),
         "terminal_id": F.when(physical, F.format_string("T%s-%d", F.col("m_merchant_id"), F.floor(3 * _u(c, "terminal", i)))), "device_id": F.when(~physical, F.format_string("D%08d-%d", n, F.floor(F.col("c_devices") * _u(c, "device", i)))),
-        "ip": F.when(~physical, F.concat(F.col("c_prefix"), F.lit("."), (1 + F.floor(4 * _u(c, "ip", i))).cast("string"), F.lit(".7"))), "lat": F.when(physical, F.round(F.col("c_home_lat") + 0.03 * normal(f"{c.seed}/dlat", i), 5)), "lon": F.when(physical, F.round(F.col("c_home_lon") + 0.03 * normal(f"{c.seed}/dlon", i), 5)),
+        "ip": F.when(~physical, F.concat(F.col("c_prefix"), F.lit("."), (1 + F.floor(4 * _u(c, "ip", i))).cast("string"), F.lit(".7"))), "lat": F.when(physical, F.round(F.col("c_home_lat") + 0.03 * z("dlat", i), 5)), "lon": F.when(physical, F.round(F.col("c_home_lon") + 0.03 * z("dlon", i), 5)),
         "threeds_result": F.when(F.col("channel") == "ecom", draw(_u(c, "3ds", i), {"authenticated": 0.7, "frictionless": 0.2, "failed": 0.1})), "txn_type": F.col("txn_type"), "auth_response": F.when(F.col("declined"), draw(_u(c, "why", i), {"declined_funds": 0.5, "declined_risk": 0.2, "declined_invalid": 0.2, "declined_limit": 0.1})).otherwise(F.lit("approved")),
         "original_event_id": F.lit(None).cast("string"), "dispute_outcome": F.when(disputed, draw(_u(c, "outcome", i), {"won": 0.3, "lost": 0.5, "withdrawn": 0.2})), "dispute_raised_ts": F.when(disputed, F.timestamp_seconds(F.unix_timestamp("ts") + F.floor(86_400 * (2 + 40 * _u(c, "raised", i))))),
         "settled": F.col("settled"), "settlement_lag_hours": F.when(F.col("settled"), F.round(20 + 18 * _u(c, "lag", i), 3)),
@@ -136,27 +174,30 @@ def simulate(spark: SparkSession, c: Config, calibration: Calibration | None = N
         "ag_mandate_issued_ts": on(F.timestamp_seconds(F.unix_timestamp("ts") - F.floor(3000 * _u(c, "age", i)))), "ag_mandate_ttl_seconds": on(F.lit(3600)), "ag_scope_categories": on(F.array(mcc, F.lit("5411"))), "ag_scope_max_amount": on(cap), "ag_scope_max_items": on(F.lit(5)),
         "ag_scope_allowed_merchants": on(F.array().cast("array<string>")), "ag_scope_ttl_seconds": on(F.lit(3600)), "ag_human_present": on(human), "ag_consent_sig_valid": on(_u(c, "consent", i) < 0.99), "ag_delegation_depth": on((1 + F.floor(2 * F.pow(_u(c, "depth", i), 3))).cast("int")),
         "ag_provenance_chain": on(chain), "ag_ingested_content_ids": on(F.transform(chain, content_id)), "ag_tool_call_count": on((2 + F.floor(9 * _u(c, "tools", i))).cast("int")),
-        "ag_deliberation_latency_ms": on(F.round(F.exp(6.0 + 0.25 * F.log1p(F.col("amount")) + 0.4 * normal(f"{c.seed}/think", i)), 1)), "ag_cursor_entropy": on(F.when(human, 0.6 + 0.4 * _u(c, "cursor", i)).otherwise(0.1 * _u(c, "cursor", i))), "ag_dwell_time_ms": on(F.round(F.exp(7 + 0.5 * normal(f"{c.seed}/dwell", i)), 1)),
+        "ag_deliberation_latency_ms": on(F.round(F.exp(6.0 + 0.25 * F.log1p(F.col("amount")) + 0.4 * z("think", i)), 1)), "ag_cursor_entropy": on(F.when(human, 0.6 + 0.4 * _u(c, "cursor", i)).otherwise(0.1 * _u(c, "cursor", i))), "ag_dwell_time_ms": on(F.round(F.exp(7 + 0.5 * z("dwell", i)), 1)),
         "is_fraud": F.lit(False), "attack_id": F.lit(None).cast("string"), "attack_campaign": F.lit(None).cast("string"),
     }
-    return bind_returns(base.select(*[columns[x].alias(x) for x in schema.ALL_COLUMNS]), c)
+    return u.drawn(base).select(*ids.columns, *[columns[x].alias(x) for x in schema.ALL_COLUMNS])
 
 
-def bind_returns(flat: DataFrame, c: Config) -> DataFrame:
-    """flat with every refund bound to an earlier purchase, whose parties, rail and credential it takes over.
+def bind_returns(ids: DataFrame, c: Config, k: Calibration) -> DataFrame:
+    """The events of the numbers ``id``, every refund bound to an earlier purchase, whose parties, rail and credential it takes over.
 
     A refund looks for purchases around a lag of some days before it, else takes
     any earlier one; one that finds none stays a purchase.  A refund gives back
-    all or a part of the amount and is not declined.
+    all or a part of the amount and is not declined.  Only numbers and times are
+    shuffled: a purchase's columns follow from its number.
     """
+    number = lambda event: F.substring_index(event, "-", -1).cast("long")
     own = F.col("event_id")
+    light = checkpointed(drawn_events(ids, c, k).select(own, "txn_type", micros(F.col("ts")).alias("t")))
     lag = F.exp(F.log(F.lit(REFUND_LAG_HOURS * 3600.0)) + 0.7 * normal(f"{c.seed}/refund_lag", own))
-    returns = flat.where("txn_type = 'refund'").select(own.alias("seq"), (micros(F.col("ts")) - (lag * 1e6).cast("long")).alias("target"))
-    purchases = flat.where("txn_type = 'purchase'")
-    bound = bind_source(returns, purchases.select(own.alias("seq"), micros(F.col("ts")).alias("t")), REFUND_BAND)
-    taken = [x for x in flat.columns if x in INHERITED or x.startswith("ag_")]
-    source = purchases.select(own.alias("source"), F.col("amount").alias("s_amount"), *[F.col(x).alias(f"s_{x}") for x in taken])
-    rows = flat.join(bound.where("source IS NOT NULL").withColumnRenamed("seq", "event_id"), "event_id", "left").join(source, "source", "left")
+    returns = light.where("txn_type = 'refund'").select(own.alias("seq"), (F.col("t") - (lag * 1e6).cast("long")).alias("target"))
+    bound = checkpointed(bind_source(returns, light.where("txn_type = 'purchase'").select(own.alias("seq"), "t"), REFUND_BAND))
+    refunds = drawn_events(bound.select(number(F.col("seq")).alias("id"), "source"), c, k)
+    sources = drawn_events(refunds.select(F.struct(*schema.ALL_COLUMNS).alias("own"), "source", number(F.col("source")).alias("id")), c, k)
+    taken = [x for x in schema.ALL_COLUMNS if x in INHERITED or x.startswith("ag_")]
+    rows = sources.select("source", F.col("amount").alias("s_amount"), *[F.col(x).alias(f"s_{x}") for x in taken], "own.*")
     there = F.col("source").isNotNull()
     part = F.when(_u(c, "full", own) < REFUND_FULL, 1.0).otherwise(0.2 + 0.7 * _u(c, "part", own))
     issued = F.timestamp_seconds(F.unix_timestamp("ts") - F.floor(3000 * _u(c, "refund_age", own)))
@@ -166,4 +207,5 @@ def bind_returns(flat: DataFrame, c: Config) -> DataFrame:
         "amount": F.when(there, F.greatest(F.lit(1.0), F.round(F.col("s_amount") * part, 2))).otherwise(F.col("amount")),
         "ag_mandate_issued_ts": F.when(there & F.col("s_ag_agent_id").isNotNull(), issued).when(there, F.lit(None)).otherwise(F.col("ag_mandate_issued_ts")),
     }
-    return rows.select(*[changed.get(x, F.col(x)).alias(x) for x in flat.columns])
+    others = drawn_events(ids, c, k).where("txn_type <> 'refund'").select(*schema.ALL_COLUMNS)
+    return others.unionByName(rows.select(*[changed.get(x, F.col(x)).alias(x) for x in schema.ALL_COLUMNS]))
