@@ -58,6 +58,8 @@ class Scenario:
 
 
 SCENARIOS: dict[str, Scenario] = {}
+#: What the scenarios' sources and rewrites read of the whole background.
+READ = ["event_id", "customer_id", "merchant_id", "merchant_country", "mcc", "amount", "txn_type", "auth_response", "device_id", "ag_agent_id", "is_fraud"]
 
 
 def scenario(card: str, source: str, campaigns: int, per_campaign: int, clean: bool = False) -> Callable[[Rewrite], Rewrite]:
@@ -74,11 +76,16 @@ def scaled(s: Scenario, intensity: float) -> tuple[int, int]:
     return campaigns, max(campaigns, round(s.campaigns * s.per_campaign * intensity))
 
 
+def picks(background: DataFrame, s: Scenario, intensity: float, seed: int) -> DataFrame:
+    """The background events that a scenario clones: the first of its source by a seeded hash."""
+    key = uniform(f"{seed}/{s.card}/pick", F.col("event_id"))
+    return background.where(F.expr(s.source) & ~F.col("is_fraud")).withColumn("pick", key).orderBy("pick", "event_id").limit(scaled(s, intensity)[1])
+
+
 def clones(background: DataFrame, s: Scenario, intensity: float, seed: int) -> DataFrame:
     """Cloned rows with owner (campaign number), place in it, and size of it; campaigns are of uneven size."""
-    campaigns, total = scaled(s, intensity)
-    key = uniform(f"{seed}/{s.card}/pick", F.col("event_id"))
-    picked = background.where(F.expr(s.source) & ~F.col("is_fraud")).withColumn("pick", key).orderBy("pick", "event_id").limit(total)
+    campaigns, _ = scaled(s, intensity)
+    picked = picks(background, s, intensity, seed)
     w = uniform(f"{seed}/{s.card}/campaign", F.col("event_id"))
     rows = picked.withColumn("owner", F.floor(F.pow(w, 1.3) * campaigns).cast("int"))
     inside = Window.partitionBy("owner").orderBy("ts", "event_id")
@@ -89,10 +96,10 @@ def clones(background: DataFrame, s: Scenario, intensity: float, seed: int) -> D
     return rows.withColumns(reset)
 
 
-def inject(background: DataFrame, card: str, intensity: float = 1.0, seed: int = 1337) -> DataFrame:
-    """Events of one scenario in the flat contract."""
+def inject(background: DataFrame, card: str, intensity: float = 1.0, seed: int = 1337, sources: DataFrame | None = None) -> DataFrame:
+    """Events of one scenario in the flat contract; ``sources`` are background events with all that the scenario picks."""
     s = SCENARIOS[card]
-    rows = s.rewrite(clones(background, s, intensity, seed), Context(background, f"{seed}/{card}"))
+    rows = s.rewrite(clones(background if sources is None else sources, s, intensity, seed), Context(background, f"{seed}/{card}"))
     return finalise(rows)
 
 
@@ -106,9 +113,21 @@ def finalise(rows: DataFrame) -> DataFrame:
 
 
 def inject_all(background: DataFrame, intensity: float = 1.0, seed: int = 1337, cards: list[str] | None = None) -> DataFrame:
+    """All scenarios side by side.
+
+    They pick from the few columns that sources and rewrites read; whole rows are
+    taken from the background once, for all picks, as many as the scenarios' sizes.
+    """
+    chosen = cards or list(SCENARIOS)
+    light = checkpointed(background.select(*READ))
+    picked = None
+    for card in chosen:
+        one = picks(light, SCENARIOS[card], intensity, seed).select("event_id")
+        picked = one if picked is None else picked.unionByName(one)
+    sources = checkpointed(background.join(F.broadcast(checkpointed(picked.distinct())), "event_id", "left_semi"))
     out = None
-    for card in cards or list(SCENARIOS):
-        one = checkpointed(inject(background, card, intensity, seed))  # its plan holds the background's
+    for card in chosen:
+        one = checkpointed(inject(light, card, intensity, seed, sources))  # its plan holds the background's
         out = one if out is None else out.unionByName(one)
     return out
 
