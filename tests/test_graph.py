@@ -107,3 +107,15 @@ def test_connected_components_of_a_chain(spark):
     edges = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}") for i in range(40)] + [("z1", "z2")], "a string, b string")
     got = dict(graph.connected_components(edges).collect())
     assert got == {f"n{i:02d}": "n00" for i in range(41)} | {"z1": "z1", "z2": "z1"}
+
+
+def test_fan_in_broadcasts_nothing_and_finds_the_roots_once(spark):
+    """Tables that grow with the nodes are not sent to the driver, and the three counts read one written table."""
+    df = spark.createDataFrame([(i, i * 10, i % 7, i % 5, i % 3, None if i % 2 else i % 4, 100 + i, i % 6 == 0) for i in range(60)], "seq long, t long, customer long, device long, merchant long, agent long, cents long, declined boolean")
+    state = {r["seq"]: r["root"] for r in graph.component_state(df).collect()}
+    roots = graph.component_roots(df)
+    assert {r["seq"]: r["root"] for r in roots.collect()} == state
+    for out in (graph.fan_in(df, roots, 60, 420), graph.component_state(df)):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "LocalTableScan" not in plan
