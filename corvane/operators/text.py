@@ -6,15 +6,14 @@ number, weight), and a score is a sum over a join.  No term is dropped.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.scalars import variant
 
+from .logistic import fit_balanced
 from .skew import look_up
 
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
@@ -34,24 +33,30 @@ def terms(text: Column) -> Column:
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf) of the terms of each document."""
+    docs = docs.select(key, text).repartition(key)  # texts are shuffled, not their terms
     return docs.select(F.col(key), F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def raw_weights(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """counts' terms in the vocabulary, with its columns and ``w``, (1 + ln tf) * idf."""
+    return look_up(counts, "term", vocabulary.withColumnRenamed("term", "word"), "word").withColumn("w", (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
+
+
 def weighted(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """(key, *vocabulary's columns, weight): (1 + ln tf) * idf of the terms in the vocabulary, each document normalised to length 1."""
-    raw = look_up(counts, "term", vocabulary.withColumnRenamed("term", "word"), "word").withColumn("w", (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
+    raw = raw_weights(counts, vocabulary)
     norm = raw.groupBy(F.col(key).alias("of")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     kept = [c for c in vocabulary.columns if c != "idf"]
     return raw.join(norm, F.col(key) == F.col("of")).select(key, *kept, (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def fit_vocabulary(counts: DataFrame, n: int) -> DataFrame:
-    """(term, number, idf): all terms numbered from 0 in order, with ln((1 + n) / (1 + df)) + 1."""
+    """(term, number, place, idf): all terms numbered from 0 in order, with ln((1 + n) / (1 + df)) + 1; ``place`` numbers those of several documents."""
     from .ordered import running
 
-    placed = running(counts, "term", {"df": F.lit(1), "one": F.lit(0)})
-    numbers = running(placed.select("term"), "term", {"n": F.lit(1)}).select("term", F.col("n_below").alias("number"))
-    return placed.select("term", "df").join(numbers, "term").select("term", "number", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    found = counts.groupBy("term").agg(F.count("*").alias("df"))
+    numbers = running(found, "term", {"n": F.lit(1), "several": (F.col("df") > 1).cast("int"), "same_df": F.col("df")})
+    return numbers.select("term", F.col("n_below").alias("number"), F.when(F.col("several") > 0, F.col("several_below")).alias("place"), (F.log(F.lit(1.0 + n) / (1 + F.col("same_df"))) + 1).alias("idf"))
 
 
 def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -77,40 +82,35 @@ def text_model(train: DataFrame, text: str, label: str, c: float = 4.0, rounds:
 
     The penalty is on the plain coefficients: half their squares over ``c``, beside the summed loss.
     """
-    from corvane.plans.session import checkpoint_folder, checkpointed
+    from corvane.plans.session import checkpointed, written
 
-    spark = train.sparkSession
     docs = checkpointed(train.select(F.monotonically_increasing_id().alias("doc"), F.col(text).alias("text"), F.col(label).cast("int").alias("y")))
     sizes = docs.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
     n, p = sizes["n"], sizes["p"] or 0
     if not 0 < p < n:
         raise ValueError("both kinds of artefacts are needed in training")
-    counts = checkpointed(term_counts(docs, "doc", "text"))
-    vocabulary = checkpointed(fit_vocabulary(counts, n))
-    size = vocabulary.count()
-    vectors = weighted(counts, vocabulary.select("term", "number", "idf"), "doc")
-    # Sparse vectors by way of Spark's own format for them: "label number:weight ...", numbers from 1 and ascending.
-    lists = vectors.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("number", "weight"))).alias("x"))
-    line = F.concat_ws(" ", F.col("y").cast("string"), F.concat_ws(" ", F.transform(F.coalesce("x", F.array()), lambda e: F.concat_ws(":", (e["number"] + 1).cast("string"), e["weight"].cast("string")))))
-    folder = f"{checkpoint_folder(spark)}/vectors-{uuid.uuid4().hex}"
-    docs.join(lists, "doc", "left").select(F.trim(line).alias("value")).write.text(folder)
-    rows = spark.read.format("libsvm").option("numFeatures", max(size, 1)).load(folder)
-    rows = rows.withColumn("w", F.when(F.col("label") > 0, n / (2 * p)).otherwise(n / (2 * (n - p))))
-    fitted = LogisticRegression(weightCol="w", regParam=1.0 / (c * n), standardization=False, maxIter=rounds, tol=1e-9).fit(rows)
-    coefficients = [(i, float(x)) for i, x in enumerate(fitted.coefficients.toArray().tolist())]
-    table = spark.createDataFrame(coefficients, "place long, coefficient double")
-    terms_ = checkpointed(vocabulary.join(table, F.col("number") == F.col("place")).select("term", "number", "idf", "coefficient"))
-    return TextModel(terms_, float(fitted.intercept), size)
+    counts = written(term_counts(docs, "doc", "text"))
+    vocabulary = written(fit_vocabulary(counts, n))
+    last = vocabulary.agg(F.count("*").alias("size"), F.max("place").alias("place")).first()
+    # Rows are brought to length 1 by a factor for each document, not by another join of all terms.
+    vectors = written(raw_weights(counts, vocabulary).select("doc", "number", "place", F.col("w").alias("weight")))
+    weights = F.when(F.col("y") > 0, n / (2 * p)).otherwise(n / (2 * (n - p)))
+    entries = vectors.select("doc", F.col("place").alias("term"), "weight")
+    shares, intercept = fit_balanced(entries, docs.select("doc", "y", weights.alias("v")), (last["place"] or 0) + 1, c, rounds)
+    shares = shares.withColumnRenamed("doc", "of")
+    summed = vectors.join(shares.hint("merge"), F.col("doc") == F.col("of")).groupBy(F.col("number").alias("at")).agg(F.sum(F.col("weight") * F.col("a")).alias("coefficient"))
+    terms_ = written(vocabulary.join(summed.hint("merge"), F.col("number") == F.col("at")).select("term", "number", "idf", "coefficient"))
+    return TextModel(terms_, intercept, last["size"])
 
 
 def score_texts(docs: DataFrame, model: TextModel, key: str, text: str) -> DataFrame:
     """(key, score) of each artefact, once; terms that training did not see count for nothing."""
-    from corvane.plans.session import checkpointed
+    from corvane.plans.session import written
 
-    found = weighted(checkpointed(term_counts(docs, key, text)), model.terms.select("term", "idf", "coefficient"), key)
-    sums = found.groupBy(F.col(key).alias("of")).agg(F.sum(F.col("coefficient") * F.col("weight")).alias("sum"))
+    found = raw_weights(written(term_counts(docs, key, text)), model.terms.select("term", "idf", "coefficient"))
+    sums = found.groupBy(F.col(key).alias("of")).agg((F.sum(F.col("coefficient") * F.col("w")) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("sum"))
     margin = F.coalesce("sum", F.lit(0.0)) + model.intercept
-    return docs.select(key).join(sums, F.col(key) == F.col("of"), "left").select(key, (1 / (1 + F.exp(-margin))).alias("score"))
+    return docs.select(key).join(sums.hint("merge"), F.col(key) == F.col("of"), "left").select(key, (1 / (1 + F.exp(-margin))).alias("score"))
 
 
 def top_terms(model: TextModel, spark: SparkSession, k: int = 20) -> DataFrame:

@@ -155,6 +155,32 @@ def test_text_model_by_numpy(spark, monkeypatch, small):
     assert {round(r["score"], 12) for r in text.score_texts(odd, model, "id", "text").collect()} == {round(1 / (1 + math.exp(-b)), 12)}
 
 
+def test_text_model_brings_no_coefficients_to_the_driver(spark, monkeypatch):
+    """Many groups of terms and chunks of rows: the exact optimum, and no list of the driver becomes a table."""
+    import numpy as np
+
+    from corvane.operators import logistic
+
+    made = [(i, " ".join(f"w{(i * j) % (7 + i % 5)} x{i}" for j in range(1, 9)), i % 3 == 0) for i in range(40)]
+    docs = spark.createDataFrame(made, "id long, text string, bad boolean").repartition(3, "id")
+    make = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: pytest.fail("a list became a table") if isinstance(data, list) else make(self, data, *a, **k))
+    monkeypatch.setattr(logistic, "CHUNK_BITS", 2)
+    monkeypatch.setattr(logistic, "FEW_ENTRIES", 40)
+    model = text.text_model(docs, "text", "bad")
+    weights = {(r["id"], r["term"]): r["weight"] for r in text.tfidf(docs, "id", "text").collect()}
+    rows = {r["term"]: r for r in model.terms.collect()}
+    assert set(rows) == {t for _, t in weights}
+    x = np.zeros((40, len(rows)))
+    for (i, t), w in weights.items():
+        x[i, rows[t]["number"]] = w
+    y = np.array([b for *_, b in made], float)
+    v = np.where(y > 0, 40 / (2 * y.sum()), 40 / (2 * (40 - y.sum())))
+    beta = np.array([rows[t]["coefficient"] for t in sorted(rows, key=lambda t: rows[t]["number"])])
+    slack = v * (1 / (1 + np.exp(-(x @ beta + model.intercept))) - y)
+    assert np.abs(x.T @ slack + beta / 4.0).max() < 1e-5 and abs(slack.sum()) < 1e-5
+
+
 def test_sequences_and_lookups(spark):
     df, _ = scored(spark, 60)
     moved = sequences.burst_move(df.withColumn("customer", F.lit(1)), F.col("seq") % 3 > 0, F.lit(0))
