@@ -45,6 +45,17 @@ def test_equals_replay(spark):
         assert got == brute(events, at)
 
 
+def test_spans_of_any_length(spark, monkeypatch):
+    """Rows held twice are just those that a window of the next span can reach."""
+    events = stream(150, 5)
+    df = spark.createDataFrame(events, COLUMNS)
+    want = brute(events, [2])
+    for span in (1, 3):
+        monkeypatch.setattr(velocity, "SPAN", span)
+        assert {r["seq"]: [r[f] for f in velocity.feature_names()] for r in velocity.velocity(df, ["customer"]).collect()} == want
+    assert velocity.SPAN > 1
+
+
 def test_first_sight_is_null_and_own_outcome_hidden(spark):
     t = 1_700_000_000_000_000
     rows = [(i, t + i, 1, 1, 100, 1.0, False, True, False, None) for i in range(4)] + [(4, t + 10, 1, 1, 100, 1.0, True, True, False, None), (5, t + 20, 1, 1, 100, 1.0, False, True, False, None)]
