@@ -23,9 +23,10 @@ all pairs.  Components come from minimum labels with pointer jumping.
 
 ``keep_one`` removes near-duplicates at a Jaccard similarity of 0.8, where two
 64-bit fingerprints differ in 9.7 bits on average and the pigeonhole needs a radius
-of 15, at which its probes meet several percent of all rows.  There, bands of least
-hashes of the shingle sets propose pairs, SimHash sketches screen them, and the
-exact similarity of the sets decides.
+of 15, at which its probes meet several percent of all rows.  There, fingerprints
+are longer: every band of their bits deals all texts into buckets, in which
+fingerprints are compared with one another, and the exact similarity of the
+shingle sets decides on the pairs that are near.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
 other; rows with a null id take part, and a component without any id has a null
@@ -58,10 +59,17 @@ SIGNATURE_COST = 40
 PAIRS, WIDE = 1 << 21, 1 << 12
 #: Required Jaccard similarity of near-duplicates in ``keep_one``, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Bands of so many hash functions each: sets of that similarity share no band less often than once in 10^4 (0.8 ** 6 a band).
-BANDS, BAND = 32, 6
-#: Sets are compared exactly if their two sketches differ in at most so many of 128 bits (19.4 are expected at 0.8, with a deviation of 4.1).
-SKETCH_BITS = 44
+#: A pair at that similarity shares no band less often than this.
+LOSS = 1e-5
+#: Fingerprints that a band deals into a bucket, about, and bits of a band at least.
+BUCKET, LEAST_BITS = 2048, 4
+#: Fingerprints that are compared all with all in a task, at most about; buckets of more are cut into blocks that meet pairwise.
+HOT = 4 * BUCKET
+#: Words of a fingerprint that are kept, how many of them are compared in buckets, and the bits that may differ in those and in all
+#: (29.1 of 192 are expected at 0.8, with a deviation of 5.0, and 77.6 of 512, with one of 8.1).
+SKETCH, NARROW, NARROW_BITS, SKETCH_BITS = tuple(f"fp{i}" for i in range(8)), 3, 52, 114
+#: Where one set has fewer shingles than that, so many times these bits may differ: for four shingles within five 0.1875 are expected instead of 0.1515.
+FEW_SHINGLES, MORE_BITS = 8, 1.2
 #: Keys of at most so many sets are compared by a join; those of more in blocks of so many sets and shingles at most, about.
 RARE, BLOCK_ROWS, BLOCK_SHINGLES = 32, 512, 1_000_000
 #: Columns of the incidence matrices.
@@ -403,45 +411,155 @@ def _node(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) if len(hashes) else 0
 
 
-def _band_keys(hashes: np.ndarray, odd: np.ndarray, mask: np.ndarray) -> list[int]:
-    """A key for each band: ``BAND`` least values of the set under as many hash functions."""
-    import xxhash
+def _majorities(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` words of fingerprint: each bit the majority over the hashes, remixed anew for every word but the first.
 
+    Bits are counted where they stand, by adders on whole words: ``planes[i]`` holds the bits worth 2**i.
+    """
     if not len(hashes):
-        return []
-    least = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(hashes), 1024):
-        np.minimum(least, ((hashes[a : a + 1024, None] ^ mask) * odd).min(0), out=least)
-    return [signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least.reshape(BANDS, BAND))]
+        return np.zeros(words, np.uint64)
+    steps = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    planes: list[np.ndarray] = []
+    for a in range(0, len(hashes), 2048):
+        rows = _remixed(hashes[a : a + 2048, None] + steps)
+        rows[:, 0] = hashes[a : a + 2048]
+        level = 0
+        while len(rows):
+            if level < len(planes):
+                rows = np.concatenate([planes[level], rows])
+            carries = [rows[:0]]
+            while len(rows) > 1:
+                n = max(1, len(rows) // 3)
+                x, y = rows[:n], rows[n : 2 * n]
+                z = rows[2 * n : 3 * n] if len(rows) > 2 else np.zeros_like(x)
+                either = x ^ y
+                carries.append((x & y) | (z & either))
+                rows = np.concatenate([either ^ z, rows[3 * n :]])
+            planes[level : level + 1] = [rows]
+            rows = np.concatenate(carries)
+            level += 1
+    more, equal, half = np.zeros(words, np.uint64), np.full(words, np.iinfo(np.uint64).max, np.uint64), len(hashes) // 2
+    for i in reversed(range(len(planes))):
+        if half >> i & 1:
+            equal &= planes[i][0]
+        else:
+            more |= equal & planes[i][0]
+            equal &= ~planes[i][0]
+    return more
+
+
+def bands_for(n: int) -> tuple[int, int]:
+    """Bits of a band, and bands, for ``n`` texts: buckets hold about ``BUCKET`` texts that have nothing in common."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(n, 1) / BUCKET)))
+    similarity = NUMERATOR / DENOMINATOR
+    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return bits, math.ceil(math.log(LOSS) / math.log1p(-(agree**bits)))
 
 
 def shingle_sketches(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, body (a hash of the text as it stands), node (a hash of the shingle set), the set's size, two SimHash sketches and band keys."""
+    """Per row: id, body (a hash of the text as it stands), node (a hash of the shingle set), the set's size, its SimHash fingerprint and the values of its bands."""
     text = F.col(f"`{text_col}`").cast("string")
     narrow = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("t"), F.xxhash64(text).alias("body"))
+    bits, bands = bands_for(df.count())
+    words = max(len(SKETCH), math.ceil(bits * bands / BITS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.Generator(np.random.PCG64(SEED))
-        mask, odd = (rng.integers(0, 1 << 64, BANDS * BAND, np.uint64) for _ in range(2))
-        odd |= np.uint64(1)
         for part, texts in slices(batches, 1):
             sets = [_shingle_hashes(t, width) for t in texts]
-            short = np.array([(_node(h), _majority(h), _majority(_remixed(h))) for h in sets], np.uint64).view(np.int64)
-            keys = pa.array([_band_keys(h, odd, mask) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *map(pa.array, short.T.copy()), pa.array([len(h) for h in sets], pa.int32()), keys], names=["id", "body", "node", "fp", "fp2", "size", "keys"])
-
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, body long, node long, fp long, fp2 long, size int, keys array<long>")
+            found = np.array([_majorities(h, words) for h in sets], np.uint64).reshape(-1, words)
+            cut = np.unpackbits(found.astype(">u8").view(np.uint8), axis=1)[:, : bits * bands].reshape(len(sets), bands, bits)
+            values = (cut @ (1 << np.arange(bits))).astype(np.int32)
+            empty = np.array([not len(h) for h in sets], bool)
+            keys = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(empty, 0, bands))]).astype(np.int32), pa.array(values[~empty].ravel()))
+            nodes = np.array([_node(h) for h in sets], np.uint64)
+            columns = [nodes.view(np.int64), *found[:, : len(SKETCH)].T.copy().view(np.int64), np.array([len(h) for h in sets], np.int32)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *map(pa.array, columns), keys], names=["id", "body", "node", *SKETCH, "size", "keys"])
 
-
-def _distance(a: str, b: str) -> Column:
-    """Differing bits of the two sketches of the structs ``a`` and ``b``."""
-    return F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) + F.bit_count(F.col(f"{a}.fp2").bitwiseXOR(F.col(f"{b}.fp2")))
+    sketch = ", ".join(f"{c} long" for c in SKETCH)
+    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, body long, node long, {sketch}, size int, keys array<int>")
 
 
 def _likely(a: str, b: str) -> Column:
-    """Whether sizes and sketches of the structs ``a`` and ``b`` allow the required similarity."""
+    """Whether sizes and fingerprints of the structs ``a`` and ``b`` allow the required similarity."""
     small, large = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
-    return (small * DENOMINATOR >= large * NUMERATOR) & (_distance(a, b) <= SKETCH_BITS)
+    differ = sum(F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH)
+    most = F.when(small < FEW_SHINGLES, math.ceil(SKETCH_BITS * MORE_BITS)).otherwise(SKETCH_BITS)
+    return (small * DENOMINATOR >= large * NUMERATOR) & (differ <= most)
+
+
+def _near_in_bucket(table: pa.Table) -> pa.Table:
+    """Compare all fingerprints of a bucket, or of two blocks of it.
+
+    Per fingerprint that is near another one: key (the least node that a chain of
+    near ones connects it with), node, the nearest node below it (itself, if none is
+    below) and the bits in which they differ.
+    """
+    x, y = (table[c][0].as_py() for c in ("x", "y"))
+    table = table.sort_by("size")
+    size, node, block = (table[c].to_numpy().astype(np.int64) for c in ("size", "node", "block"))
+    words = [table[c].to_numpy().view(np.uint64) for c in SKETCH[:NARROW]]
+    most = np.where(size < FEW_SHINGLES, math.ceil(NARROW_BITS * MORE_BITS), NARROW_BITS)
+    n = len(node)
+    best, below = np.full(n, BITS * NARROW + 1), np.arange(n)
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+    stops = np.searchsorted(size, size * DENOMINATOR // NUMERATOR, "right")
+    rows = max(1, PAIRS // 8 // n)
+    for a in range(0, n, rows):
+        b = min(a + rows, n)
+        stop = int(stops[b - 1])
+        differ = np.zeros((b - a, stop - a), np.uint16)
+        for w in words:
+            differ += np.bitwise_count(w[a:b, None] ^ w[None, a:stop])
+        i, j = np.nonzero(differ <= most[a:b, None])
+        d = differ[i, j].astype(np.int64)
+        i, j = i + a, j + a
+        good = (i < j) & (j < stops[i]) & ((x == y) | (block[i] != block[j]))
+        i, j, d = i[good], j[good], d[good]
+        if not len(i):
+            continue
+        links.append(_spanning(i, j))
+        low, high = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+        order = np.lexsort((node[low], d, high))
+        low, high, d = low[order], high[order], d[order]
+        first = np.flatnonzero(np.diff(high, prepend=-1))
+        low, high, d = low[first], high[first], d[first]
+        nearer = (d < best[high]) | ((d == best[high]) & (node[low] < node[below[high]]))
+        best[high[nearer]], below[high[nearer]] = d[nearer], low[nearer]
+    if not links:
+        none = np.empty(0, np.int64)
+        return pa.table({"key": none, "node": none, "other": none, "d": none.astype(np.int32)})
+    member, root = _spanning(*(np.concatenate([k[c] for k in links]) for c in (0, 1)))
+    alone = np.unique(root)
+    member, root = np.concatenate([member, alone]), np.concatenate([root, alone])
+    order = np.argsort(root, kind="stable")
+    member, root = member[order], root[order]
+    starts = np.flatnonzero(np.diff(root, prepend=-1))
+    key = np.repeat(np.minimum.reduceat(node[member], starts), np.diff(starts, append=len(root)))
+    return pa.table({"key": key, "node": node[member], "other": node[below[member]], "d": best[member].astype(np.int32)})
+
+
+def near_fingerprints(points: DataFrame) -> DataFrame:
+    """(key, node, nearest) for points(node, size, fingerprint, keys): near fingerprints connect a node with its key, the least one, in some bucket.
+
+    Fingerprints that are near and share a band share a key.  What several buckets
+    connect with one key meets once.  ``nearest`` has the bits ``d`` in which the
+    nearest node below differs, and this ``other`` (the node itself, if none is below).
+    """
+    narrow = ["node", "size", *SKETCH[:NARROW]]
+    dealt = points.select(*narrow, F.posexplode("keys").alias("band", "value")).select((F.shiftleft(F.col("band").cast("long"), 32) + F.col("value")).alias("bucket"), *narrow)
+    large = checkpointed(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT))
+    none = F.lit(0).alias
+    whole = dealt
+    if not large.isEmpty():
+        whole = dealt.join(large, "bucket", "left_anti")
+    met = whole.select("*", none("block"), none("x"), none("y"))
+    if not large.isEmpty():
+        blocks = F.ceil(F.col("n") / (HOT // 2)).cast("int")
+        cut = dealt.join(large, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met = met.unionByName(cut.select("bucket", *narrow, "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")))
+    found = met.groupBy("bucket", "x", "y").applyInArrow(_near_in_bucket, "key long, node long, other long, d int")
+    return found.groupBy("key", "node").agg(F.min(F.struct("d", "other")).alias("nearest"))
 
 
 def texts_of(nodes: DataFrame, rows: DataFrame, df: DataFrame, text_col: str) -> DataFrame:
@@ -519,30 +637,23 @@ def frequent_links(members: DataFrame, texts: DataFrame, width: int) -> DataFram
 def similar_components(rows: DataFrame, df: DataFrame, width: int, text_col: str) -> DataFrame:
     """(node, label) for the nodes of distinct shingle sets that a chain of similar sets connects.
 
-    Sets that share a band key are candidates.  First every set meets one head of
-    its keys, the one nearest by sketches.  Sets that this connects need no more
-    pairs between them.  All other candidate pairs follow: those of keys with at
-    most ``RARE`` sets by a join, those of frequent keys block by block.
+    Sets whose fingerprints share a band and are near are candidates.  First every
+    set meets one of its candidates, the nearest below it.  Sets that this connects
+    need no more pairs between them.  All other candidate pairs follow: those of
+    keys with at most ``RARE`` sets by a join, those of frequent keys block by block.
     """
-    points = written(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "fp", "fp2", "keys")]))
-    sketch = F.struct("size", "fp", "fp2")
-    bands = points.select("node", F.explode("keys").alias("key"))
-    # A key's head is picked by a hash of key and node, so that a set is not the head of all its keys.
-    heads = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("o"), "node")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    heads = checkpointed(heads.select("key", "n", F.col("head.node").alias("head")))
-    shared = written(bands.join(heads, "key"))
-    stars = shared.where("node <> head").select("node", "head").distinct()
-    stars = stars.join(points.select("node", sketch.alias("x")), "node").join(points.select(F.col("node").alias("head"), sketch.alias("y")), "head").where(_likely("x", "y"))
-    nearest = stars.groupBy("node").agg(F.min(F.struct(_distance("x", "y").alias("d"), "head")).alias("nearest"))
-    first = checkpointed(nearest.select(F.col("nearest.head").alias("a"), F.col("node").alias("b")))
+    sketch = F.struct("size", *SKETCH)
+    points = written(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", *SKETCH, "keys")]))
+    shared = written(near_fingerprints(points))
+    nearest = shared.where("node <> nearest.other").groupBy("node").agg(F.min("nearest").alias("nearest")).select(F.col("nearest.other").alias("a"), F.col("node").alias("b"))
+    x, y = (points.select(F.col("node").alias(c), sketch.alias(f"s_{c}")) for c in "ab")
+    first = checkpointed(nearest.join(x, "a").join(y, "b").where(_likely("s_a", "s_b")).select("a", "b"))
     texts = texts_of(first.select(F.explode(F.array("a", "b")).alias("node")), rows, df, text_col)
     found = checkpointed(verified(first, texts, width))
-    named = shared.select("key", "n", "node").join(components(found), "node", "left").select("key", "n", "node", F.coalesce("label", "node").alias("label"))
-    named = checkpointed(named)
-    apart = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    # A set without a likely head (hence without a text here) can still be near another one.
-    ends = checkpointed(named.join(apart, "key", "left_semi").join(points.select("node", sketch.alias("s")), "node").select("key", "n", "label", "node", "s"))
-    x, y = (ends.where(F.col("n") <= RARE).select("key", F.struct("label", "node", "s.size", "s.fp", "s.fp2").alias(c)) for c in "xy")
+    named = checkpointed(shared.select("key", "node").join(components(found), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    apart = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
+    ends = checkpointed(named.join(apart, "key").join(points.select("node", sketch.alias("s")), "node").select("key", "n", "label", "node", "s"))
+    x, y = (ends.where(F.col("n") <= RARE).select("key", F.struct("label", "node", "s.*").alias(c)) for c in "xy")
     rest = x.join(y, "key").where((F.col("x.label") < F.col("y.label")) & _likely("x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     done = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = checkpointed(rest.join(done, ["a", "b"], "left_anti"))
@@ -556,10 +667,11 @@ def keep_one(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: st
     """One row of each group of near-duplicates (that of the least id; of equal rows any one), with the columns of ``df``.
 
     Two texts link if the Jaccard similarity of their shingle sets is at least 0.8.
-    Bounded losses: a pair at 0.8 shares no band less often than once in 10^4, and
-    the screen by sketches (``SKETCH_BITS`` of 128, six deviations above what is
-    expected at 0.8) has no exact way round it.  Texts that are not UTF-8 are
-    compared as bytes.
+    Bounded losses: a pair at 0.8 shares no band less often than once in 10^5
+    (``LOSS``; of four shingles within five, up to twice in 10^3 at ten million texts), and
+    the limits to differing bits (``NARROW_BITS``, ``SKETCH_BITS``, 4.5 deviations
+    above what is expected at 0.8) have no exact way round them.  Texts that are not
+    UTF-8 are compared as bytes.
     """
     rows = written(shingle_sketches(df, width, id_col, text_col))
     labels = similar_components(rows, df, width, text_col)

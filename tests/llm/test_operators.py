@@ -399,6 +399,27 @@ def test_keep_one_equals_brute_force_jaccard(spark, monkeypatch, rare):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(label))
 
 
+def test_keep_one_proposes_by_fingerprint_bands(spark, monkeypatch):
+    """Pairs come from SimHash fingerprints: near ones of one bucket share the least of their chain, also across blocks; others share nothing."""
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(0, 1 << 64, 301, np.uint64)
+    words = simhash._majorities(hashes, 3)
+    assert [int(words[0]), int(words[1])] == [simhash._majority(h) for h in (hashes, simhash._remixed(hashes + np.uint64(0x9E3779B97F4A7C15)))]
+    assert simhash._majorities(hashes[:2], 1)[0] == hashes[0] & hashes[1]
+    bits, bands = simhash.bands_for(10_000_000)
+    assert (1 - 0.8485**bits) ** bands < 1.1e-5 and simhash.bands_for(0)[0] == simhash.LEAST_BITS
+    base = [" ".join(f"w{rng.integers(10**6)}" for _ in range(200)) for _ in range(30)]
+    docs = spark.createDataFrame([(3 * i + k, f"{t} x{k}" if k else t) for i, t in enumerate(base) for k in range(3)], "doc_id long, text string")
+    rows = simhash.shingle_sketches(docs, 5, "doc_id", "text").localCheckpoint()
+    family = {r["node"]: r["id"] // 3 for r in rows.collect()}
+    for hot in (simhash.HOT, 4):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        near = simhash.near_fingerprints(rows).collect()
+        assert {r["node"] for r in near} == set(family) and all(family[r["key"]] == family[r["node"]] == family[r["nearest"]["other"]] for r in near)
+        assert all(r["key"] <= r["nearest"]["other"] <= r["node"] for r in near)
+        assert len({r["node"] for r in near if r["node"] != r["nearest"]["other"]}) == 60
+
+
 def test_stages_decide_on_rows_not_ids(spark, monkeypatch):
     """Null and repeated ids: a row's fate depends on its own text."""
     docs = spark.createDataFrame([(None, "bad one"), (None, "good one"), (1, "bad two"), (1, "good two"), (2, "good three")], "doc_id long, text string")
