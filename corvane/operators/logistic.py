@@ -8,6 +8,10 @@ gradients need one product with XX' each: the rows' numbers go to groups of term
 which send back their part.  Only sums come to the driver.
 
 Terms of one row only take part by the sum of their squares in that row.
+
+The entries of X are dealt once, as blocks of NumPy arrays: a group holds a range of
+the terms' 64-bit hashes (``text.dealt_terms``), and there terms are counted,
+weighed, fitted and met by the texts to be scored.
 """
 
 from __future__ import annotations
@@ -16,93 +20,215 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark import RDD, StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a chunk, as a power of two, and groups of terms at most: a product sends each row's number to every group.
-CHUNK_BITS, GROUPS = 14, 64
-#: Entries of a group below and above which more groups gain nothing or are needed.
-FEW_ENTRIES, MANY_ENTRIES = 100_000, 2_000_000
+#: Rows of a chunk, as a power of two.
+CHUNK_BITS = 14
+#: Entries of a group of terms below and above which more groups gain nothing or are needed: a product sends each row's number to every group.
+FEW_ENTRIES, MANY_ENTRIES = 100_000, 30_000_000
+#: Chunks that a task takes together.
+FEW_CHUNKS = 16
 #: Steps between checkpoints of the chunks, and halvings that a line search tries at once.
 KEPT, HALVINGS = 8, 12
 
 
-def _pack(table: pa.Table) -> pa.Table:
-    """The entries of a chunk of rows in a group of terms, ordered by term."""
-    row, term, weight = (table[c].to_numpy() for c in ("row", "term", "weight"))
-    order = np.lexsort((row, term))
-    terms, at = np.unique(term[order], return_inverse=True)
-    arrays = (row[order].astype(np.int32), at.astype(np.int32), weight[order].astype(np.float64), terms.astype(np.int64))
-    head = {"group": table["group"][:1], "chunk": table["chunk"][:1]}
-    return pa.table(head | {n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("row", "at", "weight", "terms"), arrays, strict=True)})
+def groups_for(entries: int, cores: int) -> int:
+    return max(1, entries // MANY_ENTRIES + 1, min(cores, entries // FEW_ENTRIES))
+
+
+def chunk_of(doc: Column) -> Column:
+    """Equal for the rows of a chunk, by ids as ``monotonically_increasing_id`` makes them; consecutive chunks and partitions are dealt to different tasks."""
+    inner = doc.bitwiseAND((1 << 33) - 1)
+    return F.shiftright(doc, 33) + F.shiftright(inner, CHUNK_BITS) * 1_000_003
+
+
+def row_of(doc: Column) -> Column:
+    return doc.bitwiseAND((1 << CHUNK_BITS) - 1).cast("int")
 
 
-def _unpack(r) -> tuple[int, tuple]:  # noqa: ANN001
-    row, at, weight, terms = (np.frombuffer(bytes(r[n]), t) for n, t in (("row", np.int32), ("at", np.int32), ("weight", np.float64), ("terms", np.int64)))
-    return r["group"], (r["chunk"], row, at, weight, terms)
+def small(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 up in few bytes."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
 def _chunk(r) -> tuple[int, dict]:  # noqa: ANN001
     held = sorted(r["rows"])
-    n = held[-1]["row"] + 1
-    at = np.array([x["row"] for x in held])
-    out = {name: np.zeros(n) for name in ("y", "v", "own", "a", "k", "da", "dk", "ra", "rk", "pa", "pk", "u", "curve")}
-    out["doc"] = np.full(n, -1, np.int64)
-    out["scale"] = np.ones(n)
-    for name in ("doc", "y", "v", "own", "scale"):
-        out[name][at] = [x[name] for x in held]
-    return r["chunk"], out
+    return r["chunk"], {n: np.array([x[n] for x in held], t) for n, t in (("row", np.int64), ("doc", np.int64), ("ones", np.int64), ("zeros", np.int64))}
 
 
 @dataclass
-class _Matrix:
-    """XX' in groups of terms: blocks of (group, (chunk, row, at, weight, terms))."""
+class Vocabulary:
+    """The terms of training rows, (group, ("terms", hashes ascending, idf)), and the entries in blocks (group, (kind, chunk, row, at, tf)).
 
-    blocks: RDD
+    ``row`` and ``at`` count the chunk's training rows and the group's terms.
+    ``matrix`` has the entries of terms of several rows: (group, idf) and (group, (chunk, row, at, many, tf)), ``at`` for each ``many`` entries.
+    """
+
+    held: RDD
+    matrix: RDD
+    chunks: RDD
     groups: int
-    length: int
-
-    def times_u(self, chunks: RDD, parts: int, after) -> RDD:  # noqa: ANN001
-        """chunks after ``after(chunk, XX'u)``, for their vectors u."""
-        groups, length = self.groups, self.length
-
-        def term_sums(held: Iterator[tuple]) -> Iterator[tuple]:
-            u, sums = {}, {}
-            for group, item in held:
-                if len(item) == 2:
-                    u[group, item[0]] = item[1]
-                    continue
-                chunk, row, at, weight, terms = item
-                total = sums.setdefault(group, np.zeros(length))
-                total[terms] += np.bincount(at, weight * u[group, chunk][row], len(terms))
-            yield from sums.items()
-
-        def row_sums(held: Iterator[tuple]) -> Iterator[tuple]:
-            sums = {}
-            for group, item in held:
-                if isinstance(item, np.ndarray):
-                    sums[group] = item
-                    continue
-                chunk, row, at, weight, terms = item
-                yield chunk, np.bincount(row, weight * sums[group][terms][at])
-
-        def gather(held: Iterator[tuple]) -> Iterator[tuple]:
-            states, found = {}, {}
-            for chunk, item in held:
-                if isinstance(item, dict):
-                    states[chunk], found[chunk] = item, np.zeros(len(item["u"]))
-                else:
-                    found[chunk][: len(item)] += item
-            for chunk, state in states.items():
-                yield chunk, after(state, state["own"] * state["u"] + state["scale"] * found[chunk])
-
-        sent = chunks.flatMap(lambda x: [(g, (x[0], x[1]["u"] * x[1]["scale"])) for g in range(groups)]).partitionBy(self.blocks.getNumPartitions())
-        # RDDs dealt alike are joined partition by partition, the first one's rows first; the blocks stay where they are.
-        sums = sent.union(self.blocks).mapPartitions(term_sums, True)
-        back = sums.union(self.blocks).mapPartitions(row_sums).partitionBy(parts)
-        return chunks.union(back).mapPartitions(gather, True)
+    size: int
+
+
+def _sent(chunks: RDD, groups: int, parts: int, f) -> RDD:  # noqa: ANN001
+    """(group, (chunk, f(state))) for every group."""
+    return chunks.mapValues(f).flatMap(lambda x: [(g, x) for g in range(groups)]).partitionBy(parts)
+
+
+def weigh(tf: np.ndarray) -> np.ndarray:
+    """1 + ln tf; frequencies that fit into a byte or two by a table."""
+    if tf.dtype.itemsize > 2 or not len(tf):
+        return 1 + np.log(tf.astype(np.float64))
+    return (1 + np.log(np.maximum(np.arange(int(tf.max()) + 1), 1)))[tf]
+
+
+def learn_vocabulary(dealt: RDD, told: DataFrame, groups: int, n: int) -> Vocabulary:
+    """Terms of the rows told(doc, ones, zeros), with ln((1 + n) / (1 + df)) + 1; each row counts ``ones + zeros`` times.
+
+    dealt: (group, (chunk, row, terms, many, tf)), entries by term: ``many`` of each
+    of ``terms``, with their rows and frequencies.
+    """
+    parts = dealt.getNumPartitions()
+    lists = told.select(chunk_of(F.col("doc")).alias("chunk"), F.struct(row_of(F.col("doc")).alias("row"), "doc", "ones", "zeros").alias("r")).groupBy("chunk").agg(F.collect_list("r").alias("rows"))
+    chunks = lists.rdd.map(_chunk).persist(StorageLevel.MEMORY_AND_DISK)
+    n_chunks = chunks.count()
+    size = 1 << CHUNK_BITS
+
+    def learn(held: Iterator[tuple]) -> Iterator[tuple]:
+        rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        found: dict[int, list[tuple]] = {}
+        for group, item in held:
+            if len(item) == 2:  # rows that take part come before all blocks
+                chunk, (row, count) = item
+                place = np.full(size, -1, np.int32)
+                place[row] = np.arange(len(row))
+                rows[chunk] = place, count
+                continue
+            chunk, row, terms, many, tf = item
+            mine = found.setdefault(group, [])
+            if chunk not in rows:
+                continue
+            place, count = rows[chunk]
+            at = place[row]
+            there = at >= 0
+            if not there.any():
+                continue
+            at, kept = at[there], tf[there]
+            term = np.repeat(np.arange(len(terms)), many)[there]
+            several = np.bincount(term, minlength=len(terms))
+            seen = several > 0
+            mine.append((chunk, small(at), terms[seen], small(several[seen]), kept, np.bincount(term, count[at], len(terms))[seen]))
+        for group, mine in found.items():
+            words = np.unique(np.concatenate([x[2] for x in mine])) if mine else np.empty(0, np.uint64)
+            places = [np.searchsorted(words, x[2]).astype(np.int32) for x in mine]
+            df, entries = np.zeros(len(words)), np.zeros(len(words), np.int64)
+            for (_, _, _, several, _, total), at in zip(mine, places, strict=True):
+                df[at] += total
+                entries[at] += several
+            yield group, ("terms", words, np.log((1.0 + n) / (1 + df)) + 1)
+            for (chunk, row, _, several, tf, _), at in zip(mine, places, strict=True):
+                at = np.repeat(at, several)  # noqa: PLW2901
+                alone = entries[at] == 1
+                for kind, which in (("alone", alone), ("shared", ~alone)):
+                    if which.any():
+                        yield group, (kind, chunk, row[which], at[which], tf[which])
+
+    sent = _sent(chunks, groups, parts, lambda s: (s["row"], s["ones"] + s["zeros"]))
+    held = sent.union(dealt).mapPartitions(learn, True).persist(StorageLevel.MEMORY_AND_DISK)
+    n_terms = held.map(lambda x: len(x[1][1]) if x[1][0] == "terms" else 0).sum()
+
+    def shared(held: Iterator[tuple]) -> Iterator[tuple]:
+        terms, blocks = {}, {}
+        for group, item in held:
+            if item[0] == "terms":
+                terms[group] = item[2]
+            elif item[0] == "shared":
+                blocks.setdefault(group, []).append(item[1:])
+        for group, mine in blocks.items():
+            used = np.zeros(len(terms[group]), bool)
+            for _, _, at, _ in mine:
+                used[at] = True
+            place = (np.cumsum(used) - 1).astype(np.int32)
+            yield group, terms[group][used]
+            for chunk, row, at, tf in mine:
+                first = np.flatnonzero(np.diff(at, prepend=-1))
+                yield group, (chunk, row, place[at[first]], small(np.diff(first, append=len(at))), tf)
+
+    matrix = held.mapPartitions(shared, True).persist(StorageLevel.MEMORY_AND_DISK)
+    return Vocabulary(held, matrix, chunks.partitionBy(max(1, n_chunks // FEW_CHUNKS)), groups, int(n_terms))
+
+
+def _start(vocabulary: Vocabulary, v_ones: float, v_zeros: float) -> RDD:
+    """Chunks of training rows at coefficients 0, with the lengths of their rows."""
+
+    def squares(held: Iterator[tuple]) -> Iterator[tuple]:
+        idf = {}
+        for group, item in held:
+            if item[0] == "terms":
+                idf[group] = item[2]
+                continue
+            kind, chunk, row, at, tf = item
+            yield chunk, (kind, np.bincount(row, (weigh(tf) * idf[group][at]) ** 2))
+
+    def start(held: Iterator[tuple]) -> Iterator[tuple]:
+        states, total = {}, {}
+        for chunk, item in held:
+            if isinstance(item, dict):
+                states[chunk], total[chunk] = item, {k: np.zeros(len(item["doc"])) for k in ("alone", "shared")}
+            else:
+                total[chunk][item[0]][: len(item[1])] += item[1]
+        for chunk, s in states.items():
+            zeros = {k: np.zeros(len(s["doc"])) for k in ("a", "k", "da", "dk", "ra", "rk", "pa", "pk", "u", "curve")}
+            both = total[chunk]["alone"] + total[chunk]["shared"]
+            there = both > 0
+            v = s["ones"] * v_ones + s["zeros"] * v_zeros
+            scale, own = np.ones(len(v)), np.zeros(len(v))
+            scale[there], own[there] = 1 / np.sqrt(both[there]), total[chunk]["alone"][there] / both[there]
+            yield chunk, zeros | {"doc": s["doc"], "v": v, "y": s["ones"] * v_ones / v, "scale": scale, "own": own}
+
+    back = vocabulary.held.mapPartitions(squares).partitionBy(vocabulary.chunks.getNumPartitions())
+    return vocabulary.chunks.union(back).mapPartitions(start, True)
+
+
+def _times_u(vocabulary: Vocabulary, chunks: RDD, after) -> RDD:  # noqa: ANN001
+    """chunks after ``after(state, XX'u)``, for their vectors u."""
+
+    def product(held: Iterator[tuple]) -> Iterator[tuple]:
+        u, idf, blocks = {}, {}, {}
+        for group, item in held:
+            if isinstance(item, np.ndarray):
+                idf[group] = item
+            elif len(item) == 2:
+                u[item[0]] = item[1]
+            else:
+                blocks.setdefault(group, []).append(item)
+        for group, mine in blocks.items():
+            total, weights = np.zeros(len(idf[group])), []
+            for chunk, row, at, many, tf in mine:
+                w = weigh(tf)
+                weights.append(w)
+                total[at] += np.add.reduceat(w * u[chunk][row], np.cumsum(many, dtype=np.int64) - many)
+            total *= idf[group] ** 2
+            for (chunk, row, at, many, _), w in zip(mine, weights, strict=True):
+                yield chunk, np.bincount(row, w * np.repeat(total[at], many))
+
+    def gather(held: Iterator[tuple]) -> Iterator[tuple]:
+        states, found = {}, {}
+        for chunk, item in held:
+            if isinstance(item, dict):
+                states[chunk], found[chunk] = item, np.zeros(len(item["u"]))
+            else:
+                found[chunk][: len(item)] += item
+        for chunk, state in states.items():
+            yield chunk, after(state, state["own"] * state["u"] + state["scale"] * found[chunk])
+
+    # RDDs dealt alike are joined partition by partition, the first one's rows first; the blocks stay where they are.
+    sent = _sent(chunks, vocabulary.groups, vocabulary.held.getNumPartitions(), lambda s: s["u"] * s["scale"])
+    back = sent.union(vocabulary.matrix).mapPartitions(product).partitionBy(chunks.getNumPartitions())
+    return chunks.union(back).mapPartitions(gather, True)
 
 
 def _sums(s: dict) -> np.ndarray:
@@ -114,7 +240,7 @@ class _Chunks:
     """The chunks of all rows, step by step."""
 
     def __init__(self, rdd: RDD) -> None:
-        self.rdd, self.parts, self.steps = rdd.persist(StorageLevel.MEMORY_AND_DISK), rdd.getNumPartitions(), 0
+        self.rdd, self.steps = rdd.persist(StorageLevel.MEMORY_AND_DISK), 0
 
     def total(self, f) -> np.ndarray:  # noqa: ANN001
         return self.rdd.map(lambda x: f(x[1])).reduce(np.add)
@@ -130,38 +256,13 @@ class _Chunks:
         return out
 
 
-def fit_balanced(entries: DataFrame, docs: DataFrame, terms: int, c: float, rounds: int, tol: float = 1e-6) -> tuple[DataFrame, float]:
-    """((doc, a), intercept) of the least of the weighted log-loss plus half the squared coefficients over ``c``; coefficients are sums of entries' weights times a.
-
-    A doc's row in X are its entries, brought to length 1 here.
+def fit_balanced(vocabulary: Vocabulary, v_ones: float, v_zeros: float, c: float, rounds: int, tol: float = 1e-6) -> tuple[RDD, float]:
+    """((group, (hashes, idf, coefficients)), intercept) of the least of the weighted log-loss plus half the squared coefficients over ``c``.
 
-    entries(doc, term, weight): ``term`` is a number from 0 to ``terms``, or null for terms that only
-    this doc has; docs(doc, y, v): ids as ``monotonically_increasing_id`` makes them, labels and weights.
-    Steps end where the gradient's length is ``tol`` of that at the start.
+    Rows are brought to length 1, and weigh ``v_ones`` or ``v_zeros`` each time they
+    are labelled.  Steps end where the gradient's length is ``tol`` of that at the start.
     """
-    from corvane.plans.session import checkpoint_folder, checkpointed
-
-    spark = docs.sparkSession
-    checkpoint_folder(spark)
-    context = spark.sparkContext
-    inner = F.col("doc").bitwiseAND((1 << 33) - 1)
-    # Equal for the rows of a chunk; consecutive chunks and partitions are dealt to different tasks.
-    chunk = (F.shiftright("doc", 33) + F.shiftright(inner, CHUNK_BITS) * 1_000_003).alias("chunk")
-    row = F.col("doc").bitwiseAND((1 << CHUNK_BITS) - 1).cast("int").alias("row")
-    square = F.col("weight") * F.col("weight")
-    own = entries.groupBy(F.col("doc").alias("of")).agg((F.sum(F.when(F.col("term").isNull(), square)) / F.sum(square)).alias("own"), (1 / F.sqrt(F.sum(square))).alias("scale"))
-    told = docs.join(own.hint("merge"), F.col("doc") == F.col("of"), "left").select(chunk, F.struct(row, "doc", F.col("y").cast("double").alias("y"), "v", F.coalesce("own", F.lit(0.0)).alias("own"), F.coalesce("scale", F.lit(1.0)).alias("scale")).alias("r"))
-    lists = told.groupBy("chunk").agg(F.collect_list("r").alias("rows"))
-    n_chunks = docs.select(chunk).distinct().count()
-    shared = entries.where("term IS NOT NULL")
-    n_entries = shared.count()
-    groups = min(GROUPS, max(1, n_entries // MANY_ENTRIES + 1, min(context.defaultParallelism, n_entries // FEW_ENTRIES)))
-    packed = shared.select(F.pmod("term", F.lit(groups)).cast("long").alias("group"), chunk, row, F.floor(F.col("term") / groups).cast("long").alias("term"), "weight")
-    packed = packed.groupBy("group", "chunk").applyInArrow(_pack, "group long, chunk long, row binary, at binary, weight binary, terms binary")
-    blocks = packed.rdd.map(_unpack).partitionBy(groups).persist(StorageLevel.MEMORY_AND_DISK)
-    matrix = _Matrix(blocks, groups, terms // groups + 1)
-    chunks = _Chunks(lists.rdd.map(_chunk).partitionBy(min(n_chunks, max(context.defaultParallelism, n_chunks // 16))))
-
+    chunks = _Chunks(_start(vocabulary, v_ones, v_zeros))
     b, t, start = 0.0, 0.0, None
     for _ in range(rounds):
         # Residuals are u; the gradient is (a / c + u, sum of u).
@@ -174,7 +275,7 @@ def fit_balanced(entries: DataFrame, docs: DataFrame, terms: int, c: float, roun
             ra, rk = -(s["a"] / c + s["u"]), -(s["k"] / c + product)
             return s | {"ra": ra, "rk": rk, "pa": ra, "pk": rk, "da": np.zeros_like(ra), "dk": np.zeros_like(ra)}
 
-        rr, _, _, zz, _, _, z1, _, bend, slope = chunks.move(matrix.times_u(chunks.rdd.mapValues(opened), chunks.parts, first), _sums)
+        rr, _, _, zz, _, _, z1, _, bend, slope = chunks.move(_times_u(vocabulary, chunks.rdd.mapValues(opened), first), _sums)
         t = 0.0
         length = np.sqrt(max(rr, 0.0) + slope * slope)
         start = start or length
@@ -199,7 +300,7 @@ def fit_balanced(entries: DataFrame, docs: DataFrame, terms: int, c: float, roun
                 }
 
             db, rb = db + alpha * bp, rb - alpha * bhp
-            rr, rp, pp, zz, zp, ww, z1, w1, _, _ = chunks.move(matrix.times_u(chunks.rdd.mapValues(turned), chunks.parts, moved), _sums)
+            rr, rp, pp, zz, zp, ww, z1, w1, _, _ = chunks.move(_times_u(vocabulary, chunks.rdd.mapValues(turned), moved), _sums)
             new = rr + rb * rb / bend
             if not goal < new < 1e6 * first_rz:
                 break
@@ -224,8 +325,61 @@ def fit_balanced(entries: DataFrame, docs: DataFrame, terms: int, c: float, roun
         if not t:
             break  # no step is left that rounding can tell
         b += t * db
-    rows = chunks.rdd.flatMap(lambda x: [(int(d), float(v)) for d, v in zip(x[1]["doc"], (x[1]["a"] + t * x[1]["da"]) * x[1]["scale"], strict=True) if d >= 0])
-    found = checkpointed(spark.createDataFrame(rows, "doc long, a double"))
-    blocks.unpersist()
-    chunks.rdd.unpersist()
-    return found, float(b)
+
+    def coefficients(held: Iterator[tuple]) -> Iterator[tuple]:
+        shares, found, total = {}, {}, {}
+        for group, item in held:
+            if len(item) == 2:
+                shares[item[0]] = item[1]
+            elif item[0] == "terms":
+                found[group], total[group] = item[1:], np.zeros(len(item[1]))
+            else:
+                _, chunk, row, at, tf = item
+                total[group] += np.bincount(at, weigh(tf) * shares[chunk][row], len(total[group]))
+        for group, (words, idf) in found.items():
+            yield group, (words, idf, idf * total[group])
+
+    sent = _sent(chunks.rdd, vocabulary.groups, vocabulary.held.getNumPartitions(), lambda s: (s["a"] + t * s["da"]) * s["scale"])
+    out = sent.union(vocabulary.held).mapPartitions(coefficients, True).persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    for done in (chunks.rdd, vocabulary.held, vocabulary.matrix):
+        done.unpersist()
+    return out, float(b)
+
+
+def margins(dealt: RDD, coefficients: RDD) -> RDD:
+    """(chunk, (row of the first, sums)) of the rows that have known terms: coefficients times entries of rows brought to length 1."""
+
+    def part(held: Iterator[tuple]) -> Iterator[tuple]:
+        known = {}
+        for group, item in held:
+            if len(item) == 3:  # coefficients come before all blocks
+                known[group] = item
+                continue
+            chunk, row, terms, many, tf = item
+            words, idf, coefficient = known.get(group, ((), (), ()))
+            if not len(words) or not len(terms):
+                continue
+            at = np.minimum(np.searchsorted(words, terms), len(words) - 1)
+            there = words[at] == terms
+            of = np.repeat(np.where(there, at, -1), many)
+            row, w, of = row[of >= 0].astype(np.int64), weigh(tf[of >= 0]), of[of >= 0]
+            if len(of):
+                first = int(row.min())
+                w *= idf[of]
+                yield chunk, (first, np.bincount(row - first, coefficient[of] * w), np.bincount(row - first, w * w))
+
+    def whole(held: Iterator[tuple]) -> Iterator[tuple]:
+        found: dict[int, np.ndarray] = {}
+        for chunk, (first, sums, squares) in held:
+            total = found.get(chunk)
+            if total is None:
+                total = found[chunk] = np.zeros((2, size))
+            total[0, first : first + len(sums)] += sums
+            total[1, first : first + len(sums)] += squares
+        for chunk, (sums, squares) in found.items():
+            for row in np.flatnonzero(squares).tolist():
+                yield chunk, row, float(sums[row] / np.sqrt(squares[row]))
+
+    size = 1 << CHUNK_BITS
+    return coefficients.union(dealt).mapPartitions(part).partitionBy(dealt.getNumPartitions()).mapPartitions(whole)

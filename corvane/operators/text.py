@@ -1,21 +1,33 @@
 """Text layer: TF-IDF over word 1-2 grams and a balanced logistic model of artefacts.
 
-The vocabulary is a table: terms are numbered in order, vectors are rows of (key,
-number, weight), and a score is a sum over a join.  No term is dropped.
+``tfidf`` makes rows of (key, term, weight).  The model finds terms by 64-bit hashes
+of words and pairs, which Spark deals to groups as blocks of NumPy arrays: there they
+are counted, fitted and scored.  No term is dropped; two of a hundred million terms
+share a hash, and so a coefficient, less often than once in 3,000 runs.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.scalars import variant
 
-from .logistic import fit_balanced
+from .logistic import chunk_of, fit_balanced, groups_for, learn_vocabulary, margins, row_of, small
 from .skew import look_up
 
+#: Words of the texts that a task makes a block of, about; the odd factor of a pair's first word.
+OCCURRENCES, PAIR = 2_000_000, np.uint64(0x9E3779B97F4A7C15)
+
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
@@ -24,9 +36,14 @@ def plain(text: Column) -> Column:
     return F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
 
 
+def words_in(text: Column) -> Column:
+    """Words of two characters or more."""
+    return F.regexp_extract_all(plain(text), F.lit(r"(?U)\w\w+"), F.lit(0))
+
+
 def terms(text: Column) -> Column:
     """Array of word 1-grams and 2-grams; words have two characters or more."""
-    words = F.regexp_extract_all(plain(text), F.lit(r"(?U)\w\w+"), F.lit(0))
+    words = words_in(text)
     pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     return F.concat(words, pairs)
 
@@ -37,28 +54,15 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key), F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def raw_weights(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """counts' terms in the vocabulary, with its columns and ``w``, (1 + ln tf) * idf."""
-    return look_up(counts, "term", vocabulary.withColumnRenamed("term", "word"), "word").withColumn("w", (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-
-
 def weighted(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """(key, *vocabulary's columns, weight): (1 + ln tf) * idf of the terms in the vocabulary, each document normalised to length 1."""
-    raw = raw_weights(counts, vocabulary)
+    found = look_up(counts, "term", vocabulary.withColumnRenamed("term", "word"), "word")
+    raw = found.withColumn("w", (1 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
     norm = raw.groupBy(F.col(key).alias("of")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     kept = [c for c in vocabulary.columns if c != "idf"]
     return raw.join(norm, F.col(key) == F.col("of")).select(key, *kept, (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def fit_vocabulary(counts: DataFrame, n: int) -> DataFrame:
-    """(term, number, place, idf): all terms numbered from 0 in order, with ln((1 + n) / (1 + df)) + 1; ``place`` numbers those of several documents."""
-    from .ordered import running
-
-    found = counts.groupBy("term").agg(F.count("*").alias("df"))
-    numbers = running(found, "term", {"n": F.lit(1), "several": (F.col("df") > 1).cast("int"), "same_df": F.col("df")})
-    return numbers.select("term", F.col("n_below").alias("number"), F.when(F.col("several") > 0, F.col("several_below")).alias("place"), (F.log(F.lit(1.0 + n) / (1 + F.col("same_df"))) + 1).alias("idf"))
-
-
 def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), each document normalised to length 1."""
     from corvane.plans.session import checkpointed
@@ -68,49 +72,172 @@ def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
     return weighted(counts, df.select("term", (F.log(F.lit(1.0 + docs.count()) / (1 + F.col("df"))) + 1).alias("idf")), key)
 
 
+def word_hashes(text: Column) -> Column:
+    """64-bit hashes of the words, in their order."""
+    return F.transform(words_in(text), lambda w: F.xxhash64(w))
+
+
+def _pair_hashes(words: np.ndarray) -> np.ndarray:
+    """Hashes of consecutive words' 2-grams, by those of the words."""
+    return words[:-1] * PAIR + words[1:]
+
+
+def _occurrences(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all lists of word hashes: the words' and the pairs' rows and hashes, words first, and which of the values begin a pair."""
+    ends = lists.offsets.to_numpy()
+    words = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
+    row = np.repeat(np.arange(len(lists)), np.diff(ends))
+    pair = row[:-1] == row[1:]
+    return np.concatenate([row, row[:-1][pair]]), np.concatenate([words, _pair_hashes(words)[pair]]), pair
+
+
+def _blocks(chunk: int, first: int, lists: pa.ListArray, groups: int) -> Iterator[tuple]:
+    """(group, (chunk, row, terms, many, tf)) of some consecutive rows of a chunk."""
+    row, term, _ = _occurrences(lists)
+    order = np.argsort(term)
+    term, row = term[order], row[order]
+    new = np.diff(term, prepend=~term[:1]) != 0
+    key = (np.cumsum(new) - 1) * len(lists) + row
+    key.sort()
+    start = np.flatnonzero(np.diff(key, prepend=-1))
+    tf, terms, key = np.diff(start, append=len(key)), term[new], key[start]
+    many = np.bincount(key // len(lists), minlength=len(terms))
+    cuts = np.searchsorted(terms, np.array([(g << 64) // groups for g in range(groups)], np.uint64)).tolist() + [len(terms)]
+    ends = np.concatenate([[0], np.cumsum(many)])
+    for g, (a, b) in enumerate(pairwise(cuts)):
+        if a < b:
+            part = slice(ends[a], ends[b])
+            yield g, (chunk, small(first + key[part] % len(lists)), terms[a:b], small(many[a:b]), small(tf[part]))
+
+
+def dealt_terms(docs: DataFrame, text: str, groups: int) -> RDD:
+    """All terms of docs(doc, text) as blocks, dealt by ranges of the terms' hashes.
+
+    doc: ids as ``monotonically_increasing_id`` makes them.
+    """
+    found = docs.select(chunk_of(F.col("doc")).alias("chunk"), row_of(F.col("doc")).alias("row"), word_hashes(F.col(text)).alias("words"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunk, row, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            ends = lists.offsets.to_numpy()
+            a = 0
+            while a < len(row):
+                # Rows of one chunk, of about OCCURRENCES words; no text is cut.
+                b = int(np.searchsorted(ends, ends[a] + OCCURRENCES, "right")) - 1
+                other = np.flatnonzero(chunk[a:] != chunk[a])
+                b = min(max(a + 1, b), a + int(other[0]) if len(other) else len(row))
+                out = [(g, pickle.dumps(item, 5)) for g, item in _blocks(int(chunk[a]), int(row[a]), lists.slice(a, b - a), groups)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["group", "block"])
+                a = b
+
+    return found.mapInArrow(run, "group int, block binary").rdd.map(lambda r: (r[0], pickle.loads(bytes(r[1])))).partitionBy(groups)  # noqa: S301  (made above)
+
+
+def _groups(docs: DataFrame, text: str) -> int:
+    """Groups of terms for so much text, at about four characters an entry."""
+    size = docs.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
+    return groups_for(size // 4, docs.sparkSession.sparkContext.defaultParallelism)
+
+
 @dataclass
 class TextModel:
-    """terms(term, number, idf, coefficient) and the intercept."""
+    """Coefficients of terms by their hashes, in groups: (group, (hashes, idf, coefficients)); the intercept, the number of terms, and the training texts."""
 
-    terms: DataFrame
+    coefficients: RDD
+    groups: int
     intercept: float
     size: int
+    docs: DataFrame
+    text: str
+
+    @property
+    def terms(self) -> DataFrame:
+        """(term, number, idf, coefficient), numbered from 0 in the terms' order."""
+        from corvane.plans.session import checkpointed
+
+        from .ordered import running
+
+        docs = self.docs.select(words_in(F.col(self.text)).alias("words"), word_hashes(F.col(self.text)).alias("hashes"))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                words = batch.column(0).flatten()
+                _, term, pair = _occurrences(batch.column(1))
+                both = pa.compute.binary_join_element_wise(words[:-1].filter(pa.array(pair)), words[1:].filter(pa.array(pair)), " ")
+                found, first = np.unique(term, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.concat_arrays([words, both]).take(pa.array(first))], names=["hash", "term"])
+
+        named = docs.mapInArrow(run, "hash long, term string").groupBy("hash").agg(F.min("term").alias("term"))
+        rows = self.coefficients.flatMap(lambda x: zip(x[1][0].view(np.int64).tolist(), x[1][1].tolist(), x[1][2].tolist(), strict=True))
+        known = docs.sparkSession.createDataFrame(rows, "of long, idf double, coefficient double")
+        found = checkpointed(named.join(known.hint("merge"), F.col("hash") == F.col("of")).select("term", "idf", "coefficient"))
+        numbers = running(found, "term", {"n": F.lit(1)}).select(F.col("term").alias("at"), F.col("n_below").alias("number"))
+        return found.join(numbers.hint("merge"), F.col("term") == F.col("at")).select("term", "number", "idf", "coefficient")
+
+
+def _fitted(dealt: RDD, told: DataFrame, docs: DataFrame, text: str, groups: int, c: float, rounds: int) -> TextModel:
+    sizes = told.agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).first()
+    ones, zeros = sizes["ones"] or 0, sizes["zeros"] or 0
+    if not ones or not zeros:
+        raise ValueError("both kinds of artefacts are needed in training")
+    n = ones + zeros
+    vocabulary = learn_vocabulary(dealt, told, groups, n)
+    coefficients, intercept = fit_balanced(vocabulary, n / (2 * ones), n / (2 * zeros), c, rounds)
+    return TextModel(coefficients, groups, intercept, vocabulary.size, docs, text)
 
 
 def text_model(train: DataFrame, text: str, label: str, c: float = 4.0, rounds: int = 200) -> TextModel:
     """Balanced logistic regression over normalised TF-IDF of all terms; the label marks artefacts, never events.
 
-    The penalty is on the plain coefficients: half their squares over ``c``, beside the summed loss.
+    The penalty is on the plain coefficients: half their squares over ``c``, beside
+    the summed loss.  Rows without a label take no part.
     """
-    from corvane.plans.session import checkpointed, written
+    from corvane.plans.session import checkpointed
+
+    label = F.col(label).cast("int")
+    docs = checkpointed(train.where(label.isNotNull()).select(F.monotonically_increasing_id().alias("doc"), F.col(text).alias("text"), label.alias("y")))
+    groups = _groups(docs, "text")
+    told = docs.select("doc", (F.col("y") > 0).cast("long").alias("ones"), (F.col("y") <= 0).cast("long").alias("zeros"))
+    return _fitted(dealt_terms(docs, "text", groups), told, docs, "text", groups, c, rounds)
 
-    docs = checkpointed(train.select(F.monotonically_increasing_id().alias("doc"), F.col(text).alias("text"), F.col(label).cast("int").alias("y")))
-    sizes = docs.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
-    n, p = sizes["n"], sizes["p"] or 0
-    if not 0 < p < n:
-        raise ValueError("both kinds of artefacts are needed in training")
-    counts = written(term_counts(docs, "doc", "text"))
-    vocabulary = written(fit_vocabulary(counts, n))
-    last = vocabulary.agg(F.count("*").alias("size"), F.max("place").alias("place")).first()
-    # Rows are brought to length 1 by a factor for each document, not by another join of all terms.
-    vectors = written(raw_weights(counts, vocabulary).select("doc", "number", "place", F.col("w").alias("weight")))
-    weights = F.when(F.col("y") > 0, n / (2 * p)).otherwise(n / (2 * (n - p)))
-    entries = vectors.select("doc", F.col("place").alias("term"), "weight")
-    shares, intercept = fit_balanced(entries, docs.select("doc", "y", weights.alias("v")), (last["place"] or 0) + 1, c, rounds)
-    shares = shares.withColumnRenamed("doc", "of")
-    summed = vectors.join(shares.hint("merge"), F.col("doc") == F.col("of")).groupBy(F.col("number").alias("at")).agg(F.sum(F.col("weight") * F.col("a")).alias("coefficient"))
-    terms_ = written(vocabulary.join(summed.hint("merge"), F.col("number") == F.col("at")).select("term", "number", "idf", "coefficient"))
-    return TextModel(terms_, intercept, last["size"])
+
+def _scored(docs: DataFrame, dealt: RDD, model: TextModel, key: str) -> DataFrame:
+    from corvane.plans.session import written
+
+    found = docs.sparkSession.createDataFrame(margins(dealt, model.coefficients), "chunk long, row int, margin double")
+    here = docs.select(F.col(key).alias("key_"), chunk_of(F.col("doc")).alias("chunk"), row_of(F.col("doc")).alias("row"))
+    margin = F.coalesce("margin", F.lit(0.0)) + model.intercept
+    return written(here.join(found.hint("merge"), ["chunk", "row"], "left").select(F.col("key_").alias(key), (1 / (1 + F.exp(-margin))).alias("score")))
 
 
 def score_texts(docs: DataFrame, model: TextModel, key: str, text: str) -> DataFrame:
     """(key, score) of each artefact, once; terms that training did not see count for nothing."""
     from corvane.plans.session import written
 
-    found = raw_weights(written(term_counts(docs, key, text)), model.terms.select("term", "idf", "coefficient"))
-    sums = found.groupBy(F.col(key).alias("of")).agg((F.sum(F.col("coefficient") * F.col("w")) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("sum"))
-    margin = F.coalesce("sum", F.lit(0.0)) + model.intercept
-    return docs.select(key).join(sums.hint("merge"), F.col(key) == F.col("of"), "left").select(key, (1 / (1 + F.exp(-margin))).alias("score"))
+    docs = written(docs.select(key, F.col(text).alias("text"))).withColumn("doc", F.monotonically_increasing_id())
+    return _scored(docs, dealt_terms(docs, "text", model.groups), model, key)
+
+
+def learn_and_score(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, c: float = 4.0, rounds: int = 200) -> DataFrame:
+    """(key, score) of every row of docs, by a ``text_model`` of those that labels(key, label) has: a row for each time a row is labelled.
+
+    Terms are found and dealt once, for training and scores.  ``docs`` must read
+    alike each time: hand in a table or a checkpoint.
+    """
+    docs = docs.select(key, text).withColumn("doc", F.monotonically_increasing_id())
+    groups = _groups(docs, text)
+    dealt = dealt_terms(docs, text, groups)
+    y = F.col(label).cast("int")
+    counted = labels.where(y.isNotNull()).groupBy(F.col(key).alias("of")).agg(F.count_if(y > 0).alias("ones"), F.count_if(y <= 0).alias("zeros"))
+    told = docs.select("doc", key).join(counted.hint("merge"), F.col(key) == F.col("of")).select("doc", "ones", "zeros")
+    from corvane.plans.session import checkpointed
+
+    model = _fitted(dealt, checkpointed(told), docs, text, groups, c, rounds)
+    out = _scored(docs, dealt, model, key)
+    model.coefficients.unpersist()
+    return out
 
 
 def top_terms(model: TextModel, spark: SparkSession, k: int = 20) -> DataFrame:

@@ -181,6 +181,29 @@ def test_text_model_brings_no_coefficients_to_the_driver(spark, monkeypatch):
     assert np.abs(x.T @ slack + beta / 4.0).max() < 1e-5 and abs(slack.sum()) < 1e-5
 
 
+def test_text_scores_deal_terms_once(spark, monkeypatch):
+    """No table of term strings: terms are dealt once for fit and scores, in several blocks, and scores are those of the model; each label of a row counts."""
+    from corvane.operators import logistic
+
+    made = [(i, " ".join(f"w{(i * j) % (7 + i % 5)} x{i % 11} Été" for j in range(1, 6))) for i in range(40)]
+    docs = spark.createDataFrame([*made, (None, made[3][1]), (90, None), (91, made[4][1])], "id long, text string").repartition(3, "id")
+    labels = spark.createDataFrame([(i, i % 3 == 0) for i in range(0, 40, 2)] + [(4, True), (4, True), (6, None), (77, True)], "id long, bad boolean")
+    model = text.text_model(docs.join(labels, "id"), "text", "bad")
+    want = {(r["id"], r["score"]) for r in text.score_texts(docs, model, "id", "text").collect()}
+    monkeypatch.setattr(text, "term_counts", lambda *a: pytest.fail("terms became rows"))
+    monkeypatch.setattr(text, "OCCURRENCES", 30)
+    monkeypatch.setattr(logistic, "CHUNK_BITS", 3)
+    dealt, calls = text.dealt_terms, []
+    monkeypatch.setattr(text, "dealt_terms", lambda *a: calls.append(a) or dealt(*a))
+    found = text.learn_and_score(docs.localCheckpoint(), labels, "id", "text", "bad")
+    got = {(r["id"], r["score"]) for r in found.collect()}
+    assert len(calls) == 1 and found.count() == 43
+    order = sorted(want, key=lambda x: (x[0] is None, x))
+    assert [x for x, _ in order] == [x for x, _ in sorted(got, key=lambda x: (x[0] is None, x))]
+    assert [x for _, x in sorted(got, key=lambda x: (x[0] is None, x))] == pytest.approx([x for _, x in order], abs=1e-8)
+    assert dict(got)[None] == pytest.approx(dict(got)[3], abs=1e-12)
+
+
 def test_sequences_and_lookups(spark):
     df, _ = scored(spark, 60)
     moved = sequences.burst_move(df.withColumn("customer", F.lit(1)), F.col("seq") % 3 > 0, F.lit(0))
