@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 #: Rows of a chunk, as a power of two.
 CHUNK_BITS = 14
-#: Entries of a group of terms below and above which more groups gain nothing or are needed: a product sends each row's number to every group.
-FEW_ENTRIES, MANY_ENTRIES = 100_000, 30_000_000
+#: Entries of a group of terms below and above which more groups gain nothing or are needed.
+FEW_ENTRIES, MANY_ENTRIES = 100_000, 10_000_000
+#: Groups of terms that a task of a product may take together: each step sends the rows' numbers to every task.
+TOGETHER = 8
 #: Chunks that a task takes together.
 FEW_CHUNKS = 16
 #: Steps between checkpoints of the chunks, and halvings that a line search tries at once.
@@ -53,6 +55,15 @@ def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
+def planed(terms: np.ndarray) -> np.ndarray:
+    """Ascending hashes as the bytes of their differences, the first bytes of all first: those are zeros mostly, and compress."""
+    return np.diff(terms, prepend=np.uint64(0)).astype(">u8").view(np.uint8).reshape(-1, 8).T.copy()
+
+
+def unplaned(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(planes.T.copy().view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
+
+
 def _chunk(r) -> tuple[int, dict]:  # noqa: ANN001
     held = sorted(r["rows"])
     return r["chunk"], {n: np.array([x[n] for x in held], t) for n, t in (("row", np.int64), ("doc", np.int64), ("ones", np.int64), ("zeros", np.int64))}
@@ -60,14 +71,16 @@ def _chunk(r) -> tuple[int, dict]:  # noqa: ANN001
 
 @dataclass
 class Vocabulary:
-    """The terms of training rows, (group, ("terms", hashes ascending, idf)), and the entries in blocks (group, (kind, chunk, row, at, tf)).
+    """The terms of training rows, (group, ("terms", hashes ascending, idf)), and the entries in blocks (group, (kind, chunk, row, at, many, tf)).
 
-    ``row`` and ``at`` count the chunk's training rows and the group's terms.
-    ``matrix`` has the entries of terms of several rows: (group, idf) and (group, (chunk, row, at, many, tf)), ``at`` for each ``many`` entries.
+    ``row`` and ``at`` count the chunk's training rows and the group's terms; there is
+    an ``at`` for each ``many`` entries.  ``matrix`` has the entries of terms of several
+    rows, groups together in ``parts``: (part, (group, idf)) and (part, (group, chunk, row, at, many, tf)).
     """
 
     held: RDD
     matrix: RDD
+    parts: int
     chunks: RDD
     groups: int
     size: int
@@ -89,7 +102,7 @@ def learn_vocabulary(dealt: RDD, told: DataFrame, groups: int, n: int) -> Vocabu
     """Terms of the rows told(doc, ones, zeros), with ln((1 + n) / (1 + df)) + 1; each row counts ``ones + zeros`` times.
 
     dealt: (group, (chunk, row, terms, many, tf)), entries by term: ``many`` of each
-    of ``terms``, with their rows and frequencies.
+    of ``terms`` (as ``planed`` writes them), with their rows and frequencies.
     """
     parts = dealt.getNumPartitions()
     lists = told.select(chunk_of(F.col("doc")).alias("chunk"), F.struct(row_of(F.col("doc")).alias("row"), "doc", "ones", "zeros").alias("r")).groupBy("chunk").agg(F.collect_list("r").alias("rows"))
@@ -102,16 +115,15 @@ def learn_vocabulary(dealt: RDD, told: DataFrame, groups: int, n: int) -> Vocabu
         found: dict[int, list[tuple]] = {}
         for group, item in held:
             if len(item) == 2:  # rows that take part come before all blocks
-                chunk, (row, count) = item
-                place = np.full(size, -1, np.int32)
-                place[row] = np.arange(len(row))
-                rows[chunk] = place, count
+                rows[item[0]] = item[1]
                 continue
             chunk, row, terms, many, tf = item
             mine = found.setdefault(group, [])
             if chunk not in rows:
                 continue
-            place, count = rows[chunk]
+            terms, (taken, count) = unplaned(terms), rows[chunk]
+            place = np.full(size, -1, np.int32)
+            place[taken] = np.arange(len(taken))
             at = place[row]
             there = at >= 0
             if not there.any():
@@ -120,7 +132,7 @@ def learn_vocabulary(dealt: RDD, told: DataFrame, groups: int, n: int) -> Vocabu
             term = np.repeat(np.arange(len(terms)), many)[there]
             several = np.bincount(term, minlength=len(terms))
             seen = several > 0
-            mine.append((chunk, small(at), terms[seen], small(several[seen]), kept, np.bincount(term, count[at], len(terms))[seen]))
+            mine.append((chunk, small(at), terms[seen], small(several[seen]), kept, small(np.bincount(term, count[at], len(terms))[seen].astype(np.int64))))
         for group, mine in found.items():
             words = np.unique(np.concatenate([x[2] for x in mine])) if mine else np.empty(0, np.uint64)
             places = [np.searchsorted(words, x[2]).astype(np.int32) for x in mine]
@@ -130,13 +142,13 @@ def learn_vocabulary(dealt: RDD, told: DataFrame, groups: int, n: int) -> Vocabu
                 entries[at] += several
             yield group, ("terms", words, np.log((1.0 + n) / (1 + df)) + 1)
             for (chunk, row, _, several, tf, _), at in zip(mine, places, strict=True):
-                at = np.repeat(at, several)  # noqa: PLW2901
-                alone = entries[at] == 1
-                for kind, which in (("alone", alone), ("shared", ~alone)):
-                    if which.any():
-                        yield group, (kind, chunk, row[which], at[which], tf[which])
+                single = entries[at] == 1
+                which = np.repeat(single, several)
+                for kind, t, e in (("alone", single, which), ("shared", ~single, ~which)):
+                    if e.any():
+                        yield group, (kind, chunk, row[e], at[t], several[t], tf[e])
 
-    sent = _sent(chunks, groups, parts, lambda s: (s["row"], s["ones"] + s["zeros"]))
+    sent = _sent(chunks, groups, parts, lambda s: (small(s["row"]), small(s["ones"] + s["zeros"])))
     held = sent.union(dealt).mapPartitions(learn, True).persist(StorageLevel.MEMORY_AND_DISK)
     n_terms = held.map(lambda x: len(x[1][1]) if x[1][0] == "terms" else 0).sum()
 
@@ -149,16 +161,16 @@ def learn_vocabulary(dealt: RDD, told: DataFrame, groups: int, n: int) -> Vocabu
                 blocks.setdefault(group, []).append(item[1:])
         for group, mine in blocks.items():
             used = np.zeros(len(terms[group]), bool)
-            for _, _, at, _ in mine:
+            for _, _, at, _, _ in mine:
                 used[at] = True
             place = (np.cumsum(used) - 1).astype(np.int32)
-            yield group, terms[group][used]
-            for chunk, row, at, tf in mine:
-                first = np.flatnonzero(np.diff(at, prepend=-1))
-                yield group, (chunk, row, place[at[first]], small(np.diff(first, append=len(at))), tf)
+            yield group % together, (group, terms[group][used])
+            for chunk, row, at, many, tf in mine:
+                yield group % together, (group, chunk, row, place[at], many, tf)
 
-    matrix = held.mapPartitions(shared, True).persist(StorageLevel.MEMORY_AND_DISK)
-    return Vocabulary(held, matrix, chunks.partitionBy(max(1, n_chunks // FEW_CHUNKS)), groups, int(n_terms))
+    together = min(groups, max(told.sparkSession.sparkContext.defaultParallelism, groups // TOGETHER))
+    matrix = held.mapPartitions(shared).partitionBy(together).persist(StorageLevel.MEMORY_AND_DISK)
+    return Vocabulary(held, matrix, together, chunks.partitionBy(max(1, n_chunks // FEW_CHUNKS)), groups, int(n_terms))
 
 
 def _start(vocabulary: Vocabulary, v_ones: float, v_zeros: float) -> RDD:
@@ -170,8 +182,8 @@ def _start(vocabulary: Vocabulary, v_ones: float, v_zeros: float) -> RDD:
             if item[0] == "terms":
                 idf[group] = item[2]
                 continue
-            kind, chunk, row, at, tf = item
-            yield chunk, (kind, np.bincount(row, (weigh(tf) * idf[group][at]) ** 2))
+            kind, chunk, row, at, many, tf = item
+            yield chunk, (kind, np.bincount(row, (weigh(tf) * np.repeat(idf[group][at], many)) ** 2))
 
     def start(held: Iterator[tuple]) -> Iterator[tuple]:
         states, total = {}, {}
@@ -198,13 +210,13 @@ def _times_u(vocabulary: Vocabulary, chunks: RDD, after) -> RDD:  # noqa: ANN001
 
     def product(held: Iterator[tuple]) -> Iterator[tuple]:
         u, idf, blocks = {}, {}, {}
-        for group, item in held:
-            if isinstance(item, np.ndarray):
-                idf[group] = item
-            elif len(item) == 2:
-                u[item[0]] = item[1]
+        for _, item in held:
+            if len(item) > 2:
+                blocks.setdefault(item[0], []).append(item[1:])
+            elif isinstance(item[0], str):
+                u[item[1][0]] = item[1][1]
             else:
-                blocks.setdefault(group, []).append(item)
+                idf[item[0]] = item[1]
         for group, mine in blocks.items():
             total, weights = np.zeros(len(idf[group])), []
             for chunk, row, at, many, tf in mine:
@@ -226,7 +238,7 @@ def _times_u(vocabulary: Vocabulary, chunks: RDD, after) -> RDD:  # noqa: ANN001
             yield chunk, after(state, state["own"] * state["u"] + state["scale"] * found[chunk])
 
     # RDDs dealt alike are joined partition by partition, the first one's rows first; the blocks stay where they are.
-    sent = _sent(chunks, vocabulary.groups, vocabulary.held.getNumPartitions(), lambda s: s["u"] * s["scale"])
+    sent = _sent(chunks, vocabulary.parts, vocabulary.matrix.getNumPartitions(), lambda s: s["u"] * s["scale"]).mapPartitions(lambda held: ((k, ("u", x)) for k, x in held), True)
     back = sent.union(vocabulary.matrix).mapPartitions(product).partitionBy(chunks.getNumPartitions())
     return chunks.union(back).mapPartitions(gather, True)
 
@@ -334,8 +346,8 @@ def fit_balanced(vocabulary: Vocabulary, v_ones: float, v_zeros: float, c: float
             elif item[0] == "terms":
                 found[group], total[group] = item[1:], np.zeros(len(item[1]))
             else:
-                _, chunk, row, at, tf = item
-                total[group] += np.bincount(at, weigh(tf) * shares[chunk][row], len(total[group]))
+                _, chunk, row, at, many, tf = item
+                total[group][at] += np.add.reduceat(weigh(tf) * shares[chunk][row], np.cumsum(many, dtype=np.int64) - many)
         for group, (words, idf) in found.items():
             yield group, (words, idf, idf * total[group])
 
@@ -358,8 +370,9 @@ def margins(dealt: RDD, coefficients: RDD) -> RDD:
                 continue
             chunk, row, terms, many, tf = item
             words, idf, coefficient = known.get(group, ((), (), ()))
-            if not len(words) or not len(terms):
+            if not len(words):
                 continue
+            terms = unplaned(terms)
             at = np.minimum(np.searchsorted(words, terms), len(words) - 1)
             there = words[at] == terms
             of = np.repeat(np.where(there, at, -1), many)

@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from corvane.functions.scalars import variant
 
-from .logistic import chunk_of, fit_balanced, groups_for, learn_vocabulary, margins, row_of, small
+from .logistic import chunk_of, fit_balanced, groups_for, learn_vocabulary, margins, planed, row_of, small
 from .skew import look_up
 
-#: Words of the texts that a task makes a block of, about; the odd factor of a pair's first word.
-OCCURRENCES, PAIR = 2_000_000, np.uint64(0x9E3779B97F4A7C15)
+#: Words of the texts that a task makes a block for each group of, about, and their occurrences sorted at a time; the odd factor of a pair's first word.
+OCCURRENCES, RANGE, PAIR = 3_000_000, 500_000, np.uint64(0x9E3779B97F4A7C15)
 
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
@@ -86,28 +86,41 @@ def _occurrences(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     """Of all lists of word hashes: the words' and the pairs' rows and hashes, words first, and which of the values begin a pair."""
     ends = lists.offsets.to_numpy()
     words = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
-    row = np.repeat(np.arange(len(lists)), np.diff(ends))
+    row = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(ends))
     pair = row[:-1] == row[1:]
     return np.concatenate([row, row[:-1][pair]]), np.concatenate([words, _pair_hashes(words)[pair]]), pair
 
 
 def _blocks(chunk: int, first: int, lists: pa.ListArray, groups: int) -> Iterator[tuple]:
     """(group, (chunk, row, terms, many, tf)) of some consecutive rows of a chunk."""
-    row, term, _ = _occurrences(lists)
-    order = np.argsort(term)
-    term, row = term[order], row[order]
-    new = np.diff(term, prepend=~term[:1]) != 0
-    key = (np.cumsum(new) - 1) * len(lists) + row
-    key.sort()
-    start = np.flatnonzero(np.diff(key, prepend=-1))
-    tf, terms, key = np.diff(start, append=len(key)), term[new], key[start]
-    many = np.bincount(key // len(lists), minlength=len(terms))
-    cuts = np.searchsorted(terms, np.array([(g << 64) // groups for g in range(groups)], np.uint64)).tolist() + [len(terms)]
-    ends = np.concatenate([[0], np.cumsum(many)])
-    for g, (a, b) in enumerate(pairwise(cuts)):
-        if a < b:
-            part = slice(ends[a], ends[b])
-            yield g, (chunk, small(first + key[part] % len(lists)), terms[a:b], small(many[a:b]), small(tf[part]))
+    rows, all_terms, _ = _occurrences(lists)
+    # About RANGE occurrences are sorted at a time.
+    ranges = max(1, min(groups, len(rows) // RANGE))
+    for r in range(ranges):
+        low, high = groups * r // ranges, groups * (r + 1) // ranges
+        here = slice(None)
+        if ranges > 1:
+            here = (all_terms >= _lowest(low, groups)) & (all_terms <= np.uint64(((high << 64) - 1) // groups))
+        term, row = all_terms[here], rows[here]
+        order = np.argsort(term)
+        term, row = term[order], row[order]
+        new = np.diff(term, prepend=~term[:1]) != 0
+        key = (np.cumsum(new) - 1) * len(lists) + row
+        key.sort()
+        start = np.flatnonzero(np.diff(key, prepend=-1))
+        tf, terms, key = np.diff(start, append=len(key)), term[new], key[start]
+        many = np.bincount(key // len(lists), minlength=len(terms))
+        cuts = np.searchsorted(terms, np.array([_lowest(g, groups) for g in range(low, high)], np.uint64)).tolist() + [len(terms)]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        for g, (a, b) in enumerate(pairwise(cuts), low):
+            if a < b:
+                part = slice(ends[a], ends[b])
+                yield g, (chunk, small(first + key[part] % len(lists)), planed(terms[a:b]), small(many[a:b]), small(tf[part]))
+
+
+def _lowest(group: int, groups: int) -> np.uint64:
+    """The least hash of a group."""
+    return np.uint64(-(-(group << 64) // groups))
 
 
 def dealt_terms(docs: DataFrame, text: str, groups: int) -> RDD:
@@ -127,9 +140,8 @@ def dealt_terms(docs: DataFrame, text: str, groups: int) -> RDD:
                 b = int(np.searchsorted(ends, ends[a] + OCCURRENCES, "right")) - 1
                 other = np.flatnonzero(chunk[a:] != chunk[a])
                 b = min(max(a + 1, b), a + int(other[0]) if len(other) else len(row))
-                out = [(g, pickle.dumps(item, 5)) for g, item in _blocks(int(chunk[a]), int(row[a]), lists.slice(a, b - a), groups)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["group", "block"])
+                for group, item in _blocks(int(chunk[a]), int(row[a]), lists.slice(a, b - a), groups):
+                    yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([pickle.dumps(item, 5)], pa.binary())], names=["group", "block"])
                 a = b
 
     return found.mapInArrow(run, "group int, block binary").rdd.map(lambda r: (r[0], pickle.loads(bytes(r[1])))).partitionBy(groups)  # noqa: S301  (made above)

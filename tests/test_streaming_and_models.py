@@ -192,6 +192,8 @@ def test_text_scores_deal_terms_once(spark, monkeypatch):
     want = {(r["id"], r["score"]) for r in text.score_texts(docs, model, "id", "text").collect()}
     monkeypatch.setattr(text, "term_counts", lambda *a: pytest.fail("terms became rows"))
     monkeypatch.setattr(text, "OCCURRENCES", 30)
+    monkeypatch.setattr(text, "RANGE", 20)
+    monkeypatch.setattr(logistic, "FEW_ENTRIES", 40)
     monkeypatch.setattr(logistic, "CHUNK_BITS", 3)
     dealt, calls = text.dealt_terms, []
     monkeypatch.setattr(text, "dealt_terms", lambda *a: calls.append(a) or dealt(*a))
