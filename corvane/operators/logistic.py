@@ -71,7 +71,7 @@ def _chunk(r) -> tuple[int, dict]:  # noqa: ANN001
 
 @dataclass
 class Vocabulary:
-    """The terms of training rows, (group, ("terms", hashes ascending, idf)), and the entries in blocks (group, (kind, chunk, row, at, many, tf)).
+    """The terms of training rows, (group, ("terms", hashes ascending, df)), and the entries in blocks (group, (kind, chunk, row, at, many, tf)).
 
     ``row`` and ``at`` count the chunk's training rows and the group's terms; there is
     an ``at`` for each ``many`` entries.  ``matrix`` has the entries of terms of several
@@ -84,11 +84,19 @@ class Vocabulary:
     chunks: RDD
     groups: int
     size: int
+    n: int
 
 
 def _sent(chunks: RDD, groups: int, parts: int, f) -> RDD:  # noqa: ANN001
     """(group, (chunk, f(state))) for every group."""
-    return chunks.mapValues(f).flatMap(lambda x: [(g, x) for g in range(groups)]).partitionBy(parts)
+
+    def run(held: Iterator[tuple]) -> Iterator[tuple]:
+        for chunk, state in held:
+            x = (chunk, f(state))
+            for g in range(groups):
+                yield g, x
+
+    return chunks.mapPartitions(run).partitionBy(parts)
 
 
 def weigh(tf: np.ndarray) -> np.ndarray:
@@ -98,6 +106,10 @@ def weigh(tf: np.ndarray) -> np.ndarray:
     return (1 + np.log(np.maximum(np.arange(int(tf.max()) + 1), 1)))[tf]
 
 
+def rarity(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log((1.0 + n) / (1 + df.astype(np.float64))) + 1
+
+
 def learn_vocabulary(dealt: RDD, told: DataFrame, groups: int, n: int) -> Vocabulary:
     """Terms of the rows told(doc, ones, zeros), with ln((1 + n) / (1 + df)) + 1; each row counts ``ones + zeros`` times.
 
@@ -140,7 +152,7 @@ def learn_vocabulary(dealt: RDD, told: DataFrame, groups: int, n: int) -> Vocabu
             for (_, _, _, several, _, total), at in zip(mine, places, strict=True):
                 df[at] += total
                 entries[at] += several
-            yield group, ("terms", words, np.log((1.0 + n) / (1 + df)) + 1)
+            yield group, ("terms", words, small(df.astype(np.int64)))
             for (chunk, row, _, several, tf, _), at in zip(mine, places, strict=True):
                 single = entries[at] == 1
                 which = np.repeat(single, several)
@@ -156,7 +168,7 @@ def learn_vocabulary(dealt: RDD, told: DataFrame, groups: int, n: int) -> Vocabu
         terms, blocks = {}, {}
         for group, item in held:
             if item[0] == "terms":
-                terms[group] = item[2]
+                terms[group] = rarity(n, item[2])
             elif item[0] == "shared":
                 blocks.setdefault(group, []).append(item[1:])
         for group, mine in blocks.items():
@@ -170,17 +182,19 @@ def learn_vocabulary(dealt: RDD, told: DataFrame, groups: int, n: int) -> Vocabu
 
     together = min(groups, max(told.sparkSession.sparkContext.defaultParallelism, groups // TOGETHER))
     matrix = held.mapPartitions(shared).partitionBy(together).persist(StorageLevel.MEMORY_AND_DISK)
-    return Vocabulary(held, matrix, together, chunks.partitionBy(max(1, n_chunks // FEW_CHUNKS)), groups, int(n_terms))
+    return Vocabulary(held, matrix, together, chunks.partitionBy(max(1, n_chunks // FEW_CHUNKS)), groups, int(n_terms), n)
 
 
 def _start(vocabulary: Vocabulary, v_ones: float, v_zeros: float) -> RDD:
     """Chunks of training rows at coefficients 0, with the lengths of their rows."""
 
+    vocabulary_n = vocabulary.n
+
     def squares(held: Iterator[tuple]) -> Iterator[tuple]:
         idf = {}
         for group, item in held:
             if item[0] == "terms":
-                idf[group] = item[2]
+                idf[group] = rarity(vocabulary_n, item[2])
                 continue
             kind, chunk, row, at, many, tf = item
             yield chunk, (kind, np.bincount(row, (weigh(tf) * np.repeat(idf[group][at], many)) ** 2))
@@ -213,19 +227,17 @@ def _times_u(vocabulary: Vocabulary, chunks: RDD, after) -> RDD:  # noqa: ANN001
         for _, item in held:
             if len(item) > 2:
                 blocks.setdefault(item[0], []).append(item[1:])
-            elif isinstance(item[0], str):
-                u[item[1][0]] = item[1][1]
+            elif isinstance(item[1], tuple):
+                u[item[0]] = item[1][1]
             else:
                 idf[item[0]] = item[1]
         for group, mine in blocks.items():
-            total, weights = np.zeros(len(idf[group])), []
+            total = np.zeros(len(idf[group]))
             for chunk, row, at, many, tf in mine:
-                w = weigh(tf)
-                weights.append(w)
-                total[at] += np.add.reduceat(w * u[chunk][row], np.cumsum(many, dtype=np.int64) - many)
+                total[at] += np.add.reduceat(weigh(tf) * u[chunk][row], np.cumsum(many, dtype=np.int64) - many)
             total *= idf[group] ** 2
-            for (chunk, row, at, many, _), w in zip(mine, weights, strict=True):
-                yield chunk, np.bincount(row, w * np.repeat(total[at], many))
+            for chunk, row, at, many, tf in mine:
+                yield chunk, np.bincount(row, weigh(tf) * np.repeat(total[at], many))
 
     def gather(held: Iterator[tuple]) -> Iterator[tuple]:
         states, found = {}, {}
@@ -238,7 +250,7 @@ def _times_u(vocabulary: Vocabulary, chunks: RDD, after) -> RDD:  # noqa: ANN001
             yield chunk, after(state, state["own"] * state["u"] + state["scale"] * found[chunk])
 
     # RDDs dealt alike are joined partition by partition, the first one's rows first; the blocks stay where they are.
-    sent = _sent(chunks, vocabulary.parts, vocabulary.matrix.getNumPartitions(), lambda s: s["u"] * s["scale"]).mapPartitions(lambda held: ((k, ("u", x)) for k, x in held), True)
+    sent = _sent(chunks, vocabulary.parts, vocabulary.matrix.getNumPartitions(), lambda s: ("u", s["u"] * s["scale"]))
     back = sent.union(vocabulary.matrix).mapPartitions(product).partitionBy(chunks.getNumPartitions())
     return chunks.union(back).mapPartitions(gather, True)
 
@@ -338,13 +350,15 @@ def fit_balanced(vocabulary: Vocabulary, v_ones: float, v_zeros: float, c: float
             break  # no step is left that rounding can tell
         b += t * db
 
+    n = vocabulary.n
+
     def coefficients(held: Iterator[tuple]) -> Iterator[tuple]:
         shares, found, total = {}, {}, {}
         for group, item in held:
             if len(item) == 2:
                 shares[item[0]] = item[1]
             elif item[0] == "terms":
-                found[group], total[group] = item[1:], np.zeros(len(item[1]))
+                found[group], total[group] = (item[1], rarity(n, item[2])), np.zeros(len(item[1]))
             else:
                 _, chunk, row, at, many, tf = item
                 total[group][at] += np.add.reduceat(weigh(tf) * shares[chunk][row], np.cumsum(many, dtype=np.int64) - many)
