@@ -26,7 +26,9 @@ all pairs.  Components come from minimum labels with pointer jumping.
 of 15, at which its probes meet several percent of all rows.  There, fingerprints
 are longer: every band of their bits deals all texts into buckets, in which
 fingerprints are compared with one another, and the exact similarity of the
-shingle sets decides on the pairs that are near.
+shingle sets decides on the pairs that are near.  Similar sets that fingerprints did
+not connect share one of their first shingles in an order of all; an exact search
+over those closes the step, so that no link is lost.
 
 Defined results: a null or empty text has fingerprint zero, linked like any
 other; rows with a null id take part, and a component without any id has a null
@@ -72,6 +74,8 @@ SKETCH, NARROW, NARROW_BITS, SKETCH_BITS = tuple(f"fp{i}" for i in range(8)), 3,
 FEW_SHINGLES, MORE_BITS = 8, 1.2
 #: Keys of at most so many sets are compared by a join; those of more in blocks of so many sets and shingles at most, about.
 RARE, BLOCK_ROWS, BLOCK_SHINGLES = 32, 512, 1_000_000
+#: A token of more prefixes than that goes to the end of the order, so many times anew; tokens that a task takes together.
+HOT_TOKEN, TURNS, TOKENS = 512, 3, 250_000
 #: Columns of the incidence matrices.
 COLUMNS = 2048
 #: Links of which a task makes a spanning forest.
@@ -456,8 +460,13 @@ def bands_for(n: int) -> tuple[int, int]:
     return bits, math.ceil(math.log(LOSS) / math.log1p(-(agree**bits)))
 
 
+def prefix_length(n: int) -> int:
+    """So many shingles of a set of ``n``, the first in any order that all sets share, hold one of every similar set's first ones."""
+    return n - -(-n * NUMERATOR // DENOMINATOR) + 1 if n else 0
+
+
 def shingle_sketches(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, body (a hash of the text as it stands), node (a hash of the shingle set), the set's size, its SimHash fingerprint and the values of its bands."""
+    """Per row: id, body (a hash of the text as it stands), node (a hash of the shingle set), the set's size, its SimHash fingerprint, the values of its bands and its prefix (``prefix_length`` least shingles)."""
     text = F.col(f"`{text_col}`").cast("string")
     narrow = df.select(F.col(f"`{id_col}`").alias("id"), text.alias("t"), F.xxhash64(text).alias("body"))
     bits, bands = bands_for(df.count())
@@ -472,11 +481,14 @@ def shingle_sketches(df: DataFrame, width: int, id_col: str, text_col: str) -> D
             empty = np.array([not len(h) for h in sets], bool)
             keys = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(empty, 0, bands))]).astype(np.int32), pa.array(values[~empty].ravel()))
             nodes = np.array([_node(h) for h in sets], np.uint64)
+            least = [h[: prefix_length(len(h))] for h in sets]
+            starts = np.concatenate([[0], np.cumsum([len(h) for h in least])]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(starts, pa.array(np.concatenate(least).view(np.int64) if least else np.empty(0, np.int64)))
             columns = [nodes.view(np.int64), *found[:, : len(SKETCH)].T.copy().view(np.int64), np.array([len(h) for h in sets], np.int32)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *map(pa.array, columns), keys], names=["id", "body", "node", *SKETCH, "size", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *map(pa.array, columns), keys, prefix], names=["id", "body", "node", *SKETCH, "size", "keys", "prefix"])
 
     sketch = ", ".join(f"{c} long" for c in SKETCH)
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, body long, node long, {sketch}, size int, keys array<int>")
+    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, body long, node long, {sketch}, size int, keys array<int>, prefix array<long>")
 
 
 def _likely(a: str, b: str) -> Column:
@@ -634,6 +646,88 @@ def frequent_links(members: DataFrame, texts: DataFrame, width: int) -> DataFram
     return met.join(texts, "node").select("key", "x", "y", "block", "node", "label", "t").groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
 
 
+def _sharing(table: pa.Table) -> pa.Table:
+    """Pairs (a, b) of sets of different labels that share a token, if their sizes and the token's places allow the required similarity."""
+    order = np.argsort(table["token"].to_numpy())
+    token, node, label, size, place = (table[c].to_numpy()[order].astype(np.int64) for c in ("token", "node", "label", "size", "place"))
+    starts = np.flatnonzero(np.diff(token, prepend=~token[:1]))
+    counts = np.diff(starts, append=len(token))
+    mixed = np.minimum.reduceat(label, starts) < np.maximum.reduceat(label, starts)
+    left = np.flatnonzero(np.repeat(mixed, counts))
+    many = np.repeat(starts + counts, counts)[left] - left - 1
+    ends = np.cumsum(many)
+    found, a = [np.empty((0, 2), np.int64)], 0
+    while a < len(left):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
+        x, y = np.repeat(left[a:b], many[a:b]), ranges(left[a:b] + 1, many[a:b])
+        most = np.minimum(size[x] - place[x], size[y] - place[y])  # the first shared token and all after it
+        good = (label[x] != label[y]) & (most * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (size[x] + size[y]))
+        x, y = node[x[good]], node[y[good]]
+        found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
+        a = b
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _later(hot: np.ndarray, width: int):  # noqa: ANN202
+    """Prefixes in the order that has the tokens ``hot`` (ascending) last."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, 1):
+            prefixes = []
+            for t in texts:
+                h = _shingle_hashes(t, width)
+                last = np.isin(h, hot)
+                prefixes.append(np.concatenate([h[~last], h[last]])[: prefix_length(len(h))].view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prefixes, pa.list_(pa.int64()))], names=["at", "later"])
+
+    return run
+
+
+def missed_links(points: DataFrame, labels: DataFrame, rows: DataFrame, df: DataFrame, width: int, text_col: str) -> DataFrame:
+    """Links (a, b) between similar sets that ``labels`` (node, label) does not connect: none is lost.
+
+    Similar sets share a token of their prefixes, in any one order of all tokens.
+    Tokens of many sets go to the order's end, so that few prefixes have them; those
+    that still have, with others of more than ``HOT_TOKEN`` sets, meet block by block.
+    """
+    sets = written(points.select("node", "size", "prefix").join(labels, "node", "left").select("node", "size", "prefix", F.coalesce("label", "node").alias("label")))
+
+    def frequent(held: DataFrame) -> DataFrame:
+        tokens = held.select("label", F.explode("prefix").alias("token"))
+        counts = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+        return checkpointed(counts.where((F.col("n") > HOT_TOKEN) & (F.col("low") < F.col("high"))).select("token"))
+
+    hot = np.empty(0, np.uint64)
+    for _ in range(TURNS):
+        large = frequent(sets)
+        # At most a HOT_TOKEN-th of all prefixes' tokens.
+        new = np.setdiff1d(np.array([r["token"] for r in large.collect()], np.int64).view(np.uint64), hot)
+        if not len(new):
+            break
+        hot = np.union1d(hot, new)
+        those = sets.select("node", F.explode("prefix").alias("token")).join(large, "token", "left_semi").select("node")
+        again = texts_of(those, rows, df, text_col).select("node", "t").mapInArrow(_later(hot, width), "at long, later array<long>")
+        sets = written(sets.join(again, F.col("node") == F.col("at"), "left").select("node", "size", F.coalesce("later", "prefix").alias("prefix"), "label"))
+    else:
+        large = frequent(sets)
+    tokens = sets.select("node", "label", "size", F.posexplode("prefix").alias("place", "token"))
+    n = sets.agg(F.sum(F.size("prefix")).alias("n")).first()["n"] or 0
+    few = tokens if large.isEmpty() else tokens.join(large, "token", "left_anti")
+    bucket = F.pmod(F.xxhash64("token"), F.lit(max(1, n // TOKENS))).alias("bucket")
+    pairs = few.select(bucket, "token", "node", "label", "size", "place").groupBy("bucket").applyInArrow(_sharing, "a long, b long").distinct()
+    # Tokens of both prefixes, and at most all others of one set, are shared.
+    x, y = (sets.select(F.col("node").alias(c), F.struct("size", "prefix").alias(f"s_{c}")) for c in "ab")
+    rest = F.greatest(*[F.col(f"s_{c}.size") - F.size(f"s_{c}.prefix") for c in "ab"])
+    enough = (F.size(F.array_intersect("s_a.prefix", "s_b.prefix")) + rest) * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (F.col("s_a.size") + F.col("s_b.size"))
+    pairs = checkpointed(pairs.join(x, "a").join(y, "b").where(enough).select("a", "b"))
+    found = verified(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), rows, df, text_col), width)
+    if large.isEmpty():
+        return found
+    members = checkpointed(tokens.join(large, "token").select(F.col("token").alias("key"), "node", "label", "size"))
+    return found.unionByName(frequent_links(members, texts_of(members.select("node"), rows, df, text_col), width))
+
+
 def similar_components(rows: DataFrame, df: DataFrame, width: int, text_col: str) -> DataFrame:
     """(node, label) for the nodes of distinct shingle sets that a chain of similar sets connects.
 
@@ -641,9 +735,10 @@ def similar_components(rows: DataFrame, df: DataFrame, width: int, text_col: str
     set meets one of its candidates, the nearest below it.  Sets that this connects
     need no more pairs between them.  All other candidate pairs follow: those of
     keys with at most ``RARE`` sets by a join, those of frequent keys block by block.
+    What fingerprints miss is then found by shared shingles (``missed_links``).
     """
     sketch = F.struct("size", *SKETCH)
-    points = written(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", *SKETCH, "keys")]))
+    points = written(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", *SKETCH, "keys", "prefix")]))
     shared = written(near_fingerprints(points))
     nearest = shared.where("node <> nearest.other").groupBy("node").agg(F.min("nearest").alias("nearest")).select(F.col("nearest.other").alias("a"), F.col("node").alias("b"))
     x, y = (points.select(F.col("node").alias(c), sketch.alias(f"s_{c}")) for c in "ab")
@@ -660,18 +755,19 @@ def similar_components(rows: DataFrame, df: DataFrame, width: int, text_col: str
     frequent = ends.where(F.col("n") > RARE).select("key", "node", "label", "s.size")
     more = rest.select(F.explode(F.array("a", "b")).alias("node")).unionByName(frequent.select("node")).distinct().join(texts, "node", "left_anti")
     texts = texts.unionByName(texts_of(more, rows, df, text_col))
-    return components(fewer_links(found.unionByName(verified(rest, texts, width)).unionByName(frequent_links(frequent, texts, width))))
+    near = fewer_links(found.unionByName(verified(rest, texts, width)).unionByName(frequent_links(frequent, texts, width)))
+    labels = components(near)
+    missed = fewer_links(missed_links(points, labels, rows, df, width, text_col))
+    return labels if missed.isEmpty() else components(fewer_links(near.unionByName(missed)))
 
 
 def keep_one(df: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates (that of the least id; of equal rows any one), with the columns of ``df``.
 
-    Two texts link if the Jaccard similarity of their shingle sets is at least 0.8.
-    Bounded losses: a pair at 0.8 shares no band less often than once in 10^5
-    (``LOSS``; of four shingles within five, up to twice in 10^3 at ten million texts), and
-    the limits to differing bits (``NARROW_BITS``, ``SKETCH_BITS``, 4.5 deviations
-    above what is expected at 0.8) have no exact way round them.  Texts that are not
-    UTF-8 are compared as bytes.
+    Two texts link just if the Jaccard similarity of their shingle sets is at least 0.8.
+    Fingerprints find nearly all links; a pair that shares no band or differs in more
+    bits than allowed is found by a shingle that both prefixes have.  Texts that are
+    not UTF-8 are compared as bytes.
     """
     rows = written(shingle_sketches(df, width, id_col, text_col))
     labels = similar_components(rows, df, width, text_col)

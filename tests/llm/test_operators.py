@@ -399,6 +399,34 @@ def test_keep_one_equals_brute_force_jaccard(spark, monkeypatch, rare):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(label))
 
 
+@pytest.mark.parametrize("hot", [512, 3])
+def test_keep_one_loses_no_link_that_fingerprints_miss(spark, monkeypatch, hot):
+    """Fingerprints that find nothing, or only some links: the result is that of brute force, also with passages that many texts share."""
+    monkeypatch.setattr(simhash, "HOT_TOKEN", hot)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(simhash, "TOKENS", 50)
+    rng = random.Random(7)
+    texts, passage = ["", "one", "one two", "a b c d e"], [f"p{i}" for i in range(30)]
+    for k in range(10):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([5, 12, 40, 90]))] + passage * (k % 3 == 0)
+        for _ in range(6):
+            words = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 25))):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    proposed = simhash.near_fingerprints
+    for missed in ("false", "node % 3 = 0"):
+        monkeypatch.setattr(simhash, "near_fingerprints", lambda points, missed=missed: proposed(points).where(missed))
+        assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(label))
+
+
 def test_keep_one_proposes_by_fingerprint_bands(spark, monkeypatch):
     """Pairs come from SimHash fingerprints: near ones of one bucket share the least of their chain, also across blocks; others share nothing."""
     rng = np.random.default_rng(5)
