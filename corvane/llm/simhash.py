@@ -658,7 +658,7 @@ def _sharing(table: pa.Table) -> pa.Table:
     ends = np.cumsum(many)
     found, a = [np.empty((0, 2), np.int64)], 0
     while a < len(left):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS // 8, "right")))
         x, y = np.repeat(left[a:b], many[a:b]), ranges(left[a:b] + 1, many[a:b])
         most = np.minimum(size[x] - place[x], size[y] - place[y])  # the first shared token and all after it
         good = (label[x] != label[y]) & (most * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (size[x] + size[y]))

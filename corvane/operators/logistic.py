@@ -223,7 +223,7 @@ def _times_u(vocabulary: Vocabulary, chunks: RDD, after) -> RDD:  # noqa: ANN001
     """chunks after ``after(state, XX'u)``, for their vectors u."""
 
     def product(held: Iterator[tuple]) -> Iterator[tuple]:
-        u, idf, blocks = {}, {}, {}
+        u, idf, blocks, out = {}, {}, {}, {}
         for _, item in held:
             if len(item) > 2:
                 blocks.setdefault(item[0], []).append(item[1:])
@@ -237,7 +237,9 @@ def _times_u(vocabulary: Vocabulary, chunks: RDD, after) -> RDD:  # noqa: ANN001
                 total[at] += np.add.reduceat(weigh(tf) * u[chunk][row], np.cumsum(many, dtype=np.int64) - many)
             total *= idf[group] ** 2
             for chunk, row, at, many, tf in mine:
-                yield chunk, np.bincount(row, weigh(tf) * np.repeat(total[at], many))
+                found = np.bincount(row, weigh(tf) * np.repeat(total[at], many))
+                out.setdefault(chunk, np.zeros(len(u[chunk])))[: len(found)] += found
+        yield from out.items()
 
     def gather(held: Iterator[tuple]) -> Iterator[tuple]:
         states, found = {}, {}
