@@ -161,7 +161,7 @@ def learn_vocabulary(dealt: RDD, told: DataFrame, groups: int, n: int) -> Vocabu
                         yield group, (kind, chunk, row[e], at[t], several[t], tf[e])
 
     sent = _sent(chunks, groups, parts, lambda s: (small(s["row"]), small(s["ones"] + s["zeros"])))
-    held = sent.union(dealt).mapPartitions(learn, True).persist(StorageLevel.MEMORY_AND_DISK)
+    held = sent.union(dealt).mapPartitions(learn, True).persist(StorageLevel.DISK_ONLY)  # read three times only
     n_terms = held.map(lambda x: len(x[1][1]) if x[1][0] == "terms" else 0).sum()
 
     def shared(held: Iterator[tuple]) -> Iterator[tuple]:
