@@ -26,7 +26,7 @@ from .logistic import chunk_of, fit_balanced, groups_for, learn_vocabulary, marg
 from .skew import look_up
 
 #: Words of the texts that a task makes a block for each group of, about, and their occurrences sorted at a time; the odd factor of a pair's first word.
-OCCURRENCES, RANGE, PAIR = 2_000_000, 500_000, np.uint64(0x9E3779B97F4A7C15)
+OCCURRENCES, RANGE, PAIR = 1_000_000, 500_000, np.uint64(0x9E3779B97F4A7C15)
 
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
